@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from axonwave.llm import op07_url_reputation, op09_line_frequency
+from axonwave.llm import op06_radix_dedup, op07_url_reputation, op08_warc, op09_line_frequency
 
 MODULES = {
+    "op6_radix_dedup": op06_radix_dedup,
     "op7_url_reputation": op07_url_reputation,
+    "op8_warc": op08_warc,
     "op9_line_frequency": op09_line_frequency,
 }
 
