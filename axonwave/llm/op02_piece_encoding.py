@@ -81,7 +81,7 @@ def merged(text: str, score: dict[str, float]) -> list[str]:
 class PieceCodec:
     """Encoder and decoder of one model; words and pairs are remembered up to a number of entries."""
 
-    def __init__(self, model: PieceModel, remember: int = 400_000):
+    def __init__(self, model: PieceModel, remember: int = 700_000):
         import ahocorasick
 
         self.model, self.remember = model, remember
@@ -114,35 +114,40 @@ class PieceCodec:
     def pieces(self, word: str) -> list[str]:
         """Backtracking over the matches at each place."""
         n = len(word)
-        at: list[list[int]] = [[] for _ in range(n)]
+        at: list[list[int]] = [[] for _ in range(n)]  # ends of the matches from each place, ascending
         for last, size in self.automaton.iter(word):
-            at[last - size + 1].append(size)
-        for i, sizes in enumerate(at):  # shortest first: the longest is taken from the end
-            if 1 not in sizes:
-                sizes.append(1)  # a character without a piece stands alone
-            sizes.sort()
-        failed = bytearray(n // 8 + 1)
+            at[last - size + 1].append(last + 1)
+        known, failed = self.pairs.get, 0  # failed: a bit for each position from which no encoding goes on
         out: list[str] = []
         took: list[int] = []  # which of the place's matches each piece is
-        pos, pick = 0, len(at[0]) - 1 if n else -1
+        pos, before = 0, ""
+        pick = -1
         while pos < n:
-            before = out[-1] if out else ""
+            ends = at[pos]
+            if not ends or ends[0] != pos + 1:
+                ends.insert(0, pos + 1)  # a character without a piece stands alone
+            if pick < 0:
+                pick = len(ends) - 1
             while pick >= 0:
-                end = pos + at[pos][pick]
-                if not failed[end >> 3] >> (end & 7) & 1 and self.fits(before, word[pos:end]):
-                    break
+                end = ends[pick]
+                if not failed >> end & 1:
+                    piece = word[pos:end]
+                    fits = known((before, piece))
+                    if fits or fits is None and self.fits(before, piece):
+                        break
                 pick -= 1
             if pick >= 0:
-                out.append(word[pos:end])
+                out.append(piece)
                 took.append(pick)
-                pos = end
-                pick = len(at[pos]) - 1 if pos < n else -1
-            else:
-                failed[pos >> 3] |= 1 << (pos & 7)
+                pos, before, pick = end, piece, -1
+                continue
+            while pick < 0:
+                failed |= 1 << pos
                 if not out:
                     raise AssertionError("no encoding; every text has one")
                 pos -= len(out.pop())
                 pick = took.pop() - 1
+            before = out[-1] if out else ""
         return out
 
     def ids(self, word: str) -> list[int]:
