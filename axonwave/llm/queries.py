@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from axonwave.llm import op01_consensus_extraction, op02_piece_encoding, op04_fragment_join, op05_pivotal_mix, op06_radix_dedup, op07_url_reputation, op08_warc, op09_line_frequency
+from axonwave.llm import op01_consensus_extraction, op02_piece_encoding, op03_repeat_intervals, op04_fragment_join, op05_pivotal_mix, op06_radix_dedup, op07_url_reputation, op08_warc, op09_line_frequency
 
 MODULES = {
     "op1_consensus_extraction": op01_consensus_extraction,
     "op2_piece_encoding": op02_piece_encoding,
+    "op3_repeat_intervals": op03_repeat_intervals,
     "op4_fragment_join": op04_fragment_join,
     "op5_pivotal_mix": op05_pivotal_mix,
     "op6_radix_dedup": op06_radix_dedup,
