@@ -41,12 +41,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], allowed: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], allowed: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, distinct: bool = False) -> DataFrame:
     """buckets(bucket, node) -> node, component of the graph of verified candidate pairs.
 
     verify(pairs(a, b)) returns the pairs that are links; allowed(pairs) may drop pairs that cannot be, cheaply.
+    distinct: the rows of buckets differ already.
     """
-    buckets = written(buckets.distinct(), "buckets")
+    buckets = written(buckets if distinct else buckets.distinct(), "buckets")
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("_last")).where("head != _last").drop("_last")
     heads = written(heads, "heads")
     own = written(buckets.join(heads, "bucket"), "own")

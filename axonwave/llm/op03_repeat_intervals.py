@@ -271,6 +271,8 @@ def _groups(table, plan: RepeatPlan):
 
 def _merged(doc, start, end):
     """Spans of documents joined where they touch."""
+    if not len(doc):
+        return doc, start, end
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order], end[order]
     names, index = np.unique(doc, return_inverse=True)

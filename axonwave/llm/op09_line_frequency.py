@@ -89,21 +89,32 @@ def frequent_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", hos
     return per.join(of, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("docs") > cfg.max_share * F.col("of")).drop("_of")
 
 
-def line_quality(docs: DataFrame, text: str = "text", doc: str = "doc_id", host: str = "source", cfg: LineLimits = LineLimits()) -> DataFrame:
-    """All columns of docs with the counts, base_failed, n_removed_words (in frequent lines) and kept."""
+def line_quality(docs: DataFrame, text: str = "text", doc: str = "doc_id", host: str = "source", cfg: LineLimits = LineLimits(), clean: bool = False) -> DataFrame:
+    """All columns of docs with the counts, base_failed, n_removed_words (in frequent lines) and kept.
+
+    clean: the text comes back without the frequent lines (a text that loses any also loses its blank lines).
+    """
     frequent = written(frequent_lines(docs, text, doc, host, cfg).select(F.col("_host").alias("_h"), F.col("_line").alias("_fl")), "frequent")
     lost = written(
         _lines(docs, text, doc, host)
         .join(frequent, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_line") == F.col("_fl")), "left_semi")
         .select("_doc", "_text", "_host", "_pos", F.size(words_of(F.col("_l"))).alias("_n")).distinct()
-        .groupBy("_doc", "_text", "_host").agg(F.sum("_n").alias("_lost")),
+        .groupBy("_doc", "_text", "_host").agg(F.sum("_n").alias("_lost"), F.collect_list("_pos").alias("_places")),
         "lost")
     same = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     left = with_counts(docs, text, cfg).withColumn("_t", same)
     on = F.col(doc).eqNullSafe(F.col("_doc")) & (F.col("_t") == F.col("_text")) & F.col(host).eqNullSafe(F.col("_host"))
     out = left.join(small_side(lost), on, "left").withColumn("n_removed_words", F.coalesce(F.col("_lost"), F.lit(0)))
     enough = (F.col("n_words") - F.col("n_removed_words")) >= cfg.keep_share * F.col("n_words")
-    return out.withColumn("kept", ~F.col("base_failed") & enough).drop("_doc", "_text", "_host", "_t", "_lost")
+    return _cleaned(out, text, enough) if clean else out.withColumn("kept", ~F.col("base_failed") & enough).drop("_doc", "_text", "_host", "_t", "_lost", "_places")
+
+
+def _cleaned(out: DataFrame, text: str, enough: Column) -> DataFrame:
+    """The frequent lines are taken out of the text; all else as in line_quality."""
+    held = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike(f"[^{SPACE}]"))
+    places = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_held") - 1), "_places"), lambda k: F.get("_held", k)["x"])
+    out = out.withColumn("kept", ~F.col("base_failed") & enough).withColumn("_held", F.when(F.col("_places").isNotNull(), held))
+    return out.withColumn(text, F.when(F.col("_places").isNull(), F.col(text)).otherwise(F.array_join(places, "\n"))).drop("_doc", "_text", "_host", "_t", "_lost", "_places", "_held")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

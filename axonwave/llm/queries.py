@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from axonwave.llm import op01_consensus_extraction, op02_piece_encoding, op03_repeat_intervals, op04_fragment_join, op05_pivotal_mix, op06_radix_dedup, op07_url_reputation, op08_warc, op09_line_frequency
+from axonwave.llm import op01_consensus_extraction, op02_piece_encoding, op03_repeat_intervals, op04_fragment_join, op05_pivotal_mix, op06_radix_dedup, op07_url_reputation, op08_warc, op09_line_frequency, op10_line_dedup
 
 MODULES = {
     "op1_consensus_extraction": op01_consensus_extraction,
@@ -14,6 +14,7 @@ MODULES = {
     "op7_url_reputation": op07_url_reputation,
     "op8_warc": op08_warc,
     "op9_line_frequency": op09_line_frequency,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 

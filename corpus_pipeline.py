@@ -1,13 +1,65 @@
-"""The corpus pipeline: stages that read documents and hand documents on."""
+"""The corpus pipeline over documents: quality rules, line dedup, near duplicates, mixing, encoding.
+
+Each stage reads what its predecessor has kept, as a table, and all but the last return the columns of
+documents. Edge cases are those of the operators; an empty table passes through all stages.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from axonwave.llm import op02_piece_encoding, op04_fragment_join, op05_pivotal_mix, op09_line_frequency, op10_line_dedup
+from axonwave.llm.common import small_side, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, without the lines above the limits."""
+    out = op09_line_frequency.line_quality(docs, clean=True).where("kept")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated lines; those left without any line go."""
+    return op10_line_dedup.deduped(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    found = written(op04_fragment_join.near_duplicates(docs), "near")
+    gone = written(found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    out = docs.join(small_side(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    repeated = not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it (rows repeat); documents that it does not take go."""
+    taken = op05_pivotal_mix.mixed(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of each text."""
+    model = op02_piece_encoding.PieceModel.load(op02_piece_encoding.model_path())
+    return op02_piece_encoding.encoded(docs, model, keep_ids=True).drop("decoded")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources", mixing),
+    ("piece encoding", encoding),
+]
+
+#: Random rounding and encoding are not for SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
