@@ -42,35 +42,38 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(plain))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once: a name that the optimiser cannot replace by its expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _covered(s: Column, w: int) -> Column:
+    """Words in the windows whose hash occurs twice or more; s: struct(h, i) of the windows, sorted."""
+    twice = F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]))
+    places = F.sort_array(F.transform(twice, lambda x: x["i"]))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(-w).alias("last"))
+    return F.aggregate(places, zero, lambda a, p: F.struct((a["n"] + F.least(F.lit(w), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
+
+
 def with_counts(docs: DataFrame, text: str = "text", cfg: LineLimits = LineLimits()) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     t, w = F.coalesce(F.col(text), F.lit("")), cfg.window
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
-    out = docs.withColumns({"_q_hashes": F.transform(words_of(F.col(text)), lambda x: F.xxhash64(x)), "_q_lines": lines})
-    n = F.size("_q_hashes")
-    out = out.withColumn(
-        "_q_windows",
-        F.when(n > w, F.transform(F.sequence(F.lit(0), n - w), lambda i: F.xxhash64(*[F.get(F.col("_q_hashes"), i + j) for j in range(w)])))
-        .otherwise(F.array().cast("array<bigint>")),
-    )
-    out = out.withColumn(
-        "_q_sorted",
-        F.when(F.size(F.array_distinct("_q_windows")) < F.size("_q_windows"), F.sort_array(F.transform("_q_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))),
-    )
-    s = F.col("_q_sorted")
-    twice = F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]))
-    places = F.sort_array(F.transform(twice, lambda x: x["i"]))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(-w).alias("last"))
-    covered = F.aggregate(places, zero, lambda a, p: F.struct((a["n"] + F.least(F.lit(w), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
-    out = out.withColumns({
-        "n_words": n.cast("long"),
+    hashes = F.transform(words_of(F.col(text)), lambda x: F.xxhash64(x))
+    windows = _let(hashes, lambda h: F.when(
+        F.size(h) > w, F.transform(F.sequence(F.lit(0), F.size(h) - w), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(w)]))
+    ).otherwise(F.array().cast("array<bigint>")))
+    by_hash = lambda x: F.sort_array(F.transform(x, lambda v, i: F.struct(v.alias("h"), i.alias("i"))))
+    repeated = _let(windows, lambda x: F.when(F.size(F.array_distinct(x)) < F.size(x), _let(by_hash(x), lambda s: _covered(s, w))).otherwise(0))
+    out = docs.withColumns({
+        "n_words": F.size(words_of(F.col(text))).cast("long"),
         "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
-        "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
+        "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": repeated.cast("long"),
     })
     failed = (F.col("n_words") < cfg.min_words) | (100 * F.col("n_repeat_words") > cfg.max_repeat_percent * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_q_hashes", "_q_lines", "_q_windows", "_q_sorted")
+    return out.withColumn("base_failed", failed)
 
 
 def _lines(docs: DataFrame, text: str, doc: str, host: str) -> DataFrame:
@@ -89,32 +92,47 @@ def frequent_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", hos
     return per.join(of, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("docs") > cfg.max_share * F.col("of")).drop("_of")
 
 
-def line_quality(docs: DataFrame, text: str = "text", doc: str = "doc_id", host: str = "source", cfg: LineLimits = LineLimits(), clean: bool = False) -> DataFrame:
-    """All columns of docs with the counts, base_failed, n_removed_words (in frequent lines) and kept.
-
-    clean: the text comes back without the frequent lines (a text that loses any also loses its blank lines).
-    """
+def lost_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", host: str = "source", cfg: LineLimits = LineLimits()) -> DataFrame:
+    """_doc, _text (hash), _host, _lost (words), _places (of lines) of the documents with frequent lines."""
     frequent = written(frequent_lines(docs, text, doc, host, cfg).select(F.col("_host").alias("_h"), F.col("_line").alias("_fl")), "frequent")
-    lost = written(
+    return written(
         _lines(docs, text, doc, host)
         .join(frequent, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_line") == F.col("_fl")), "left_semi")
         .select("_doc", "_text", "_host", "_pos", F.size(words_of(F.col("_l"))).alias("_n")).distinct()
         .groupBy("_doc", "_text", "_host").agg(F.sum("_n").alias("_lost"), F.collect_list("_pos").alias("_places")),
         "lost")
+
+
+def _with_lost(df: DataFrame, lost: DataFrame, text: str, doc: str, host: str) -> DataFrame:
     same = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    left = with_counts(docs, text, cfg).withColumn("_t", same)
     on = F.col(doc).eqNullSafe(F.col("_doc")) & (F.col("_t") == F.col("_text")) & F.col(host).eqNullSafe(F.col("_host"))
-    out = left.join(small_side(lost), on, "left").withColumn("n_removed_words", F.coalesce(F.col("_lost"), F.lit(0)))
+    return df.withColumn("_t", same).join(small_side(lost), on, "left").drop("_doc", "_text", "_host", "_t")
+
+
+def line_quality(
+    docs: DataFrame, text: str = "text", doc: str = "doc_id", host: str = "source", cfg: LineLimits = LineLimits(), lost: DataFrame | None = None
+) -> DataFrame:
+    """All columns of docs with the counts, base_failed, n_removed_words (in frequent lines) and kept."""
+    lost = lost_lines(docs, text, doc, host, cfg) if lost is None else lost
+    out = _with_lost(with_counts(docs, text, cfg), lost, text, doc, host).withColumn("n_removed_words", F.coalesce(F.col("_lost"), F.lit(0)))
     enough = (F.col("n_words") - F.col("n_removed_words")) >= cfg.keep_share * F.col("n_words")
-    return _cleaned(out, text, enough) if clean else out.withColumn("kept", ~F.col("base_failed") & enough).drop("_doc", "_text", "_host", "_t", "_lost", "_places")
+    return out.withColumn("kept", ~F.col("base_failed") & enough).drop("_lost", "_places")
+
 
+def accepted(docs: DataFrame, text: str = "text", doc: str = "doc_id", host: str = "source", cfg: LineLimits = LineLimits()) -> DataFrame:
+    """The documents that are kept, with the columns of docs and without the lines above the limits.
 
-def _cleaned(out: DataFrame, text: str, enough: Column) -> DataFrame:
-    """The frequent lines are taken out of the text; all else as in line_quality."""
-    held = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike(f"[^{SPACE}]"))
-    places = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_held") - 1), "_places"), lambda k: F.get("_held", k)["x"])
-    out = out.withColumn("kept", ~F.col("base_failed") & enough).withColumn("_held", F.when(F.col("_places").isNotNull(), held))
-    return out.withColumn(text, F.when(F.col("_places").isNull(), F.col(text)).otherwise(F.array_join(places, "\n"))).drop("_doc", "_text", "_host", "_t", "_lost", "_places", "_held")
+    The verdicts are a table of their own, so that texts are judged once.
+    """
+    lost = lost_lines(docs, text, doc, host, cfg)
+    same = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    judged = line_quality(docs.select(doc, text, host), text, doc, host, cfg, lost)
+    rejected = written(judged.select(F.col(doc).alias("_rd"), same.alias("_rt"), F.col(host).alias("_rh"), F.col("kept").alias("_kept")), "verdicts").where("NOT _kept").distinct()
+    out = docs.join(small_side(rejected), F.col(doc).eqNullSafe(F.col("_rd")) & (same == F.col("_rt")) & F.col(host).eqNullSafe(F.col("_rh")), "left_anti")
+    out = _with_lost(out, lost, text, doc, host)
+    rows = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike(f"[^{SPACE}]"))
+    left = _let(rows, lambda r: F.transform(F.array_except(F.sequence(F.lit(0), F.size(r) - 1), F.col("_places")), lambda k: F.get(r, k)["x"]))
+    return out.withColumn(text, F.when(F.col("_places").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
