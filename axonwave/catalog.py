@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from axonwave.plans import signal_queries
+
+GROUPS = [signal_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for g in GROUPS for name, (q, _) in g.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for g in GROUPS for name, (_, sql) in g.QUERIES.items() if sql}
