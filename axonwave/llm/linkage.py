@@ -1,9 +1,9 @@
 """Connected groups from buckets of candidates, without all pairs of a bucket.
 
 Two nodes that share a bucket are candidates. First every bucket's nodes are tested against one
-of them (its smallest), which gives most links of a group in as many tests as it has members.
+of them, which gives most links of a group in as many tests as it has members.
 Nodes that are then connected need no further test among each other: only pairs of different
-groups are left, and of a bucket only those with a node outside its main group. Every link that could
+groups are left, and of a bucket only those with a node outside its largest group. Every link that could
 join two groups is thus tested or implied, so the groups are exact.
 
 Everything is joins and combined aggregates on thin rows; hot keys are split by Spark's skew joins.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axonwave.llm.common import forget, written
@@ -41,26 +41,40 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], allowed: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, distinct: bool = False) -> DataFrame:
-    """buckets(bucket, node) -> node, component of the graph of verified candidate pairs.
+def linked_groups(
+    buckets: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    allowed: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+    distinct: bool = False,
+    carry: tuple[str, ...] = (),
+    near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
+) -> DataFrame:
+    """buckets(bucket, node, *carry) -> node, component of the graph of verified candidate pairs.
 
     verify(pairs(a, b)) returns the pairs that are links; allowed(pairs) may drop pairs that cannot be, cheaply.
+    near(x, y), given the carried columns of two rows of a bucket, may be false where this bucket need not make them a pair.
     distinct: the rows of buckets differ already.
     """
+    near = near or (lambda x, y: F.lit(True))
     buckets = written(buckets if distinct else buckets.distinct(), "buckets")
-    heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("_last")).where("head != _last").drop("_last")
+    order = F.xxhash64("node", "bucket")  # another head in each bucket, so that a large group is tested from many sides
+    heads = buckets.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", *carry)).alias("h"), F.min("node").alias("_first"), F.max("node").alias("_last"))
+    heads = heads.where("_first != _last").drop("_first", "_last")
     heads = written(heads, "heads")
     own = written(buckets.join(heads, "bucket"), "own")
-    stars = written(allowed(own.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()), "stars")
+    here, head = (lambda c: F.col(c)), (lambda c: F.col(f"h.{c}"))
+    stars = own.where("node != h.node").where(near(here, head)).select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct()
+    stars = written(allowed(stars), "stars")
     links = written(verify(stars).select("a", "b"), "links")
     found = components(links)
-    group = lambda df, c, name: df.join(found.select(F.col("node").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
-    named = written(group(group(own, "node", "g"), "head", "main"), "named")
-    mixed = named.groupBy("bucket").agg(F.min("g").alias("_g0"), F.max("g").alias("_g1")).where("_g0 != _g1").select("bucket")
-    named = written(named.join(mixed, "bucket", "left_semi"), "mixed")
-    outside = named.where("g != main").select("bucket", F.col("node").alias("x"), F.col("g").alias("gx"))
-    every = named.select("bucket", F.col("node").alias("y"), F.col("g").alias("gy"), (F.col("g") == F.col("main")).alias("in_main"), "head")
-    rest = outside.join(every, "bucket").where("gx != gy AND (in_main OR x < y) AND x != head AND y != head")
+    named = own.select("bucket", "node", *carry, F.col("h.node").alias("head"))
+    named = named.join(found.withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
+    named = written(named, "named")
+    counts = named.groupBy("bucket", "g").agg(F.count("*").alias("n_g")).groupBy("bucket").agg(F.count("*").alias("groups"), F.max_by("g", F.struct("n_g", "g")).alias("main"))
+    named = written(named.join(counts.where("groups > 1").drop("groups"), "bucket").where("node != head"), "mixed")
+    x = named.where("g != main").select("bucket", F.col("node").alias("x"), F.col("g").alias("gx"), *[F.col(c).alias(f"{c}_x") for c in carry])
+    y = named.select("bucket", F.col("node").alias("y"), F.col("g").alias("gy"), (F.col("g") == F.col("main")).alias("in_main"), *[F.col(c).alias(f"{c}_y") for c in carry])
+    rest = x.join(y, (x.bucket == y.bucket) & F.expr("gx != gy AND (in_main OR x < y)") & near(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y")))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = written(allowed(rest.join(stars, ["a", "b"], "left_anti")), "rest")
     if rest.isEmpty():

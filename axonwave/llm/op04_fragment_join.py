@@ -6,10 +6,12 @@ order gives the same result; this one keeps common passages out of the prefixes.
 
 1. Documents with the same set of shingles are one class; classes, not documents, are joined.
 2. Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of either, so these prefixes are the
-   candidates' buckets. A bitmap of the prefix hashes that occur again (fixed size) keeps the others, nearly all, from being shuffled.
+   candidates' buckets; sizes and the places of a shared shingle bound the overlap of a pair before it is made. A bitmap of the prefix hashes that occur again (fixed size) keeps the others, nearly all, from being shuffled.
 3. A bucket's classes are tested against its head, and only those that stay unconnected among each other
    (linkage.py), so a group of n near copies costs about n tests.
-4. A test cuts the order into fragments: each class has one row a fragment, overlaps are counted
+4. Pairs are first bounded: by size, and by the Hamming distance of parity signatures (about a bit a shingle), which cannot
+   exceed the symmetric difference of the sets. Neither bound can drop a link.
+5. A test cuts the order into fragments: each class has one row a fragment, overlaps are counted
    fragment by fragment (array_intersect), and summed for each pair. Exact integers decide.
 
 Texts are read again for each step rather than kept as sets, which would be larger than the texts. Classes are known by 64-bit hashes of
@@ -41,8 +43,9 @@ class JoinPlan:
     bits: int = 27  #: of the bitmap of repeated prefix hashes: 16 MB
     class_bits: int = 22  #: of the bitmap of candidate classes
     frequent: int = 1 << 18  #: at most so many shingles are ordered by frequency
-    local_min: int = 4  #: a shingle counts as frequent in a chunk from so many classes
+    local_min: int = 3  #: a shingle counts as frequent in a chunk from so many classes
     chunk: int = 4_000_000  #: shingles of a chunk
+    signature: int = 1024  #: bits at least; a power of two, and as many as the set has shingles
     seen: int = 1 << 20  #: classes a task remembers, so as to skip copies
 
 
@@ -66,6 +69,12 @@ def _class_of(s: np.ndarray) -> tuple[int, int]:
     return int(a[0]), int(a[1])
 
 
+def _parity(s: np.ndarray, least: int) -> bytes:
+    """Bit i: whether an odd number of shingles falls to it. The two halves together give the signature of half the size."""
+    bits = max(least, 1 << max(0, len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
 def _once(batches, plan: JoinPlan):
     """(class, set) of the classes that this task has not met before (as far as it remembers)."""
     seen: set[int] = set()
@@ -81,29 +90,30 @@ def _once(batches, plan: JoinPlan):
 
 def classes(docs: DataFrame, plan: JoinPlan) -> DataFrame:
     """kind 0: doc_id, n, f1, f2 of each row; kind 1: f1 a shingle that is frequent in a chunk, n its classes there."""
-    schema = "kind int, doc_id long, n long, f1 long, f2 long"
+    schema = "kind int, doc_id long, n long, f1 long, f2 long, parity binary"
 
     def rows(batches):
         import pyarrow as pa
 
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["kind", "doc_id", "n", "f1", "f2"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["kind", "doc_id", "n", "f1", "f2", "parity"]
         batch = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
         def frequent(held):
             h, n = np.unique(np.concatenate(held), return_counts=True)
             at = np.flatnonzero(n >= plan.local_min)
             zero = np.zeros(len(at), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(zero + 1, pa.int32()), pa.nulls(len(at), pa.int64()), pa.array(n[at], pa.int64()), pa.array(h[at].view(np.int64)), pa.array(zero)], names)
+            return pa.RecordBatch.from_arrays([pa.array(zero + 1, pa.int32()), pa.nulls(len(at), pa.int64()), pa.array(n[at], pa.int64()), pa.array(h[at].view(np.int64)), pa.array(zero), pa.nulls(len(at), pa.binary())], names)
 
         out, seen, held, n_held = [], set(), [], 0
         for ids, i, s in _sets(batches, plan.width):
             f1, f2 = _class_of(s) if len(s) else (None, None)
-            out.append((0, ids[i].as_py(), len(s), f1, f2))
+            fresh = f1 is not None and f1 not in seen  # one signature of a class and task is enough
+            out.append((0, ids[i].as_py(), len(s), f1, f2, _parity(s, plan.signature) if fresh else None))
             if len(out) >= 10_000:
                 yield batch(zip(*out, strict=True))
                 out = []
-            if f1 is not None and f1 not in seen:
+            if fresh:
                 if len(seen) >= plan.seen:
                     seen.clear()
                 seen.add(f1)
@@ -166,7 +176,7 @@ def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
     texts = docs.select("doc_id", "text")
     found = written(classes(texts, plan), "classes")
     rows = found.where("kind = 0")
-    known = written(rows.where("n > 0").groupBy("f1").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    known = written(rows.where("n > 0").groupBy("f1").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("parity").alias("parity")), "classes")
     order = share(frequent_shingles(found, plan))  # bounded by plan.frequent
     owners = owners_for(docs)
 
@@ -180,27 +190,52 @@ def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
         import pyarrow as pa
 
         test = tested(again.value, plan.bits)
-        h, c, n = [], [], 0
+        batch = lambda held: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["bucket", "node", "n", "at"])
+        held, n = [], 0
         for node, s in _once(batches, plan):
             p = _prefix(s, *order.value, plan.percent)
-            p = p[test(p)]
-            h.append(p)
-            c.append(np.full(len(p), node, np.int64))
-            n += len(p)
+            at = np.flatnonzero(test(p)).astype(np.int32)
+            held.append((p[at].view(np.int64), np.full(len(at), node, np.int64), np.full(len(at), len(s), np.int32), at))
+            n += len(at)
             if n >= 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(c))], ["bucket", "node"])
-                h, c, n = [], [], 0
+                yield batch(held)
+                held, n = [], 0
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(c))], ["bucket", "node"])
+            yield batch(held)
+
+    def near(x, y):
+        """Sizes and places allow a link whose first common shingle is this one."""
+        small, large = F.least(x("n"), y("n")).cast("long"), F.greatest(x("n"), y("n")).cast("long")
+        left = F.least(x("n") - x("at"), y("n") - y("at"))
+        return (100 * small >= plan.percent * large) & (left * (100 + plan.percent) >= plan.percent * (small + large))
+
+    def differing(batches):
+        """Keeps the pairs whose signatures differ in no more bits than the sets of linked classes can."""
+        import pyarrow as pa
+
+        for b in batches:
+            if not len(b):
+                continue
+            far = np.empty(len(b), np.int64)
+            for i, (x, y) in enumerate(zip(b.column(4), b.column(5), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                n = min(len(x), len(y))
+                far[i] = np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, n), axis=0) ^ np.bitwise_xor.reduce(y.reshape(-1, n), axis=0)).sum(dtype=np.int64)
+            size = b.column(2).to_numpy() + b.column(3).to_numpy()
+            near = b.filter(pa.array(far * (100 + plan.percent) <= size * (100 - plan.percent)))
+            yield pa.RecordBatch.from_arrays([near.column(0), near.column(1)], ["a", "b"])
 
     def allowed(pairs: DataFrame) -> DataFrame:
-        size = lambda c, n: known.select(F.col("f1").alias(c), F.col("n").alias(n))
+        side = lambda c: known.select(F.col("f1").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"parity_{c}"))
         near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * plan.percent
-        return pairs.join(size("a", "na"), "a").join(size("b", "nb"), "b").where(near).select("a", "b")
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where(near)
+        return both.select("a", "b", "na", "nb", "parity_a", "parity_b").mapInArrow(differing, "a long, b long")
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("f1")).union(pairs.select("b")).distinct()
         wanted = written(wanted.join(known, "f1").select(F.col("f1").alias("node"), "rep"), "wanted")
+        if wanted.isEmpty():
+            return pairs
         slots = wanted.select(F.shiftrightunsigned("node", 64 - plan.class_bits).cast("int").alias("slot")).distinct().toArrow()
         bitmap = np.zeros((1 << plan.class_bits) // 8, np.uint8)
         at = slots.column("slot").to_numpy()
@@ -212,7 +247,7 @@ def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
         both = part.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         return both.where(100 * F.col("common") >= plan.percent * (F.col("na") + F.col("nb") - F.col("common")))
 
-    groups = linked_groups(texts.mapInArrow(buckets, "bucket long, node long"), verify, allowed)
+    groups = linked_groups(texts.mapInArrow(buckets, "bucket long, node long, n int, at int"), verify, allowed, carry=("n", "at"), near=near)
     named = known.join(groups.withColumnRenamed("node", "f1"), "f1", "left").withColumn("component", F.coalesce("component", "f1"))
     named = written(named.select("f1", "rep", "component"), "named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
