@@ -39,16 +39,16 @@ class RepeatPlan:
     k: int = 32
     bits: int = 27  #: of the bitmap of repeated anchors: 16 MB
     lanes: int = 8  #: groups of runs for each shuffle partition
-    windows: int = 200_000  #: sorted at once within a task
-    held_bytes: int = 1 << 24  #: of runs that a task compares before it sends them
+    windows: int = 60_000  #: sorted at once within a task
+    held_bytes: int = 1 << 22  #: of runs that a task compares before it sends them
 
 
 _MASK = np.uint64((1 << 23) - 1)
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, plan: RepeatPlan):
-    """(row, start in the slice, windows, anchor hash, prefix sums, shift) arrays for each block of a slice."""
+    """(row, start, windows, anchor hash, prefix sums, shift of the block, place of the anchor in the run) arrays for each block."""
     from axonwave.llm.vectors import prefix_sums, span_hashes
 
     size, k = plan.min_bytes, plan.k
@@ -87,7 +87,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, plan: RepeatPlan):
         stop[:-1] = new[1:] | ~valid[1:]
         end = np.flatnonzero(stop & valid)
         row = np.searchsorted(bounds, start, "right") - 1
-        yield row, start, end - start + 1, h[anchor[start]], sums, lo
+        yield row, start, end - start + 1, h[anchor[start]], sums, lo, anchor[start] - start
 
 
 def _texts(batches):
@@ -98,7 +98,7 @@ def _texts(batches):
 
     for b in batches:
         ids = pc.fill_null(b.column(0), NO_DOC).to_numpy(zero_copy_only=False)
-        for first, data, offsets in slices(b.column(1)):
+        for first, data, offsets in slices(b.column(1), 1 << 20):
             yield ids[first : first + len(offsets) - 1], data, offsets
 
 
@@ -115,7 +115,7 @@ def runs(texts: DataFrame, bitmap, plan: RepeatPlan, lanes: int) -> DataFrame:
 
     Of equal runs in a task's hold the earliest is sent with its bytes, the others without, but with the earliest's place.
     """
-    schema = "lane int, doc long, start long, size int, anchor long, run binary, of_doc long, of_start long"
+    schema = "lane int, doc long, start long, size int, anchor long, mark int, run binary, of_doc long, of_start long"
 
     def rows(batches):
         import pyarrow as pa
@@ -126,8 +126,8 @@ def runs(texts: DataFrame, bitmap, plan: RepeatPlan, lanes: int) -> DataFrame:
         shift = np.uint64(64 - (lanes.bit_length() - 1)) if lanes > 1 else None
 
         def flush(held):
-            doc, start, n, anchor, equal = (np.concatenate([x[i] for x in held]) for i in range(5))
-            data = np.concatenate([x[5] for x in held])
+            doc, start, n, anchor, equal, mark = (np.concatenate([x[i] for x in held]) for i in range(6))
+            data = np.concatenate([x[6] for x in held])
             offsets = np.concatenate([[0], np.cumsum(n)])
             order = np.lexsort((start, doc, n, equal))
             same = np.zeros(len(order), bool)
@@ -141,7 +141,7 @@ def runs(texts: DataFrame, bitmap, plan: RepeatPlan, lanes: int) -> DataFrame:
             run = pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(blob.tobytes())])
             lane = lambda a: (a >> shift).astype(np.int32) if shift is not None else np.zeros(len(a), np.int32)
             names = [x.split()[0] for x in schema.split(", ")]
-            cols = lambda i, run, od, os: [pa.array(lane(anchor[i])), pa.array(doc[i]), pa.array(start[i]), pa.array(n[i].astype(np.int32)), pa.array(anchor[i].view(np.int64)), run, od, os]
+            cols = lambda i, run, od, os: [pa.array(lane(anchor[i])), pa.array(doc[i]), pa.array(start[i]), pa.array(n[i].astype(np.int32)), pa.array(anchor[i].view(np.int64)), pa.array(mark[i].astype(np.int32)), run, od, os]
             none = pa.nulls(len(kept), pa.int64())
             yield pa.RecordBatch.from_arrays(cols(kept, run, none, none), names)
             copies = order[same]
@@ -149,13 +149,13 @@ def runs(texts: DataFrame, bitmap, plan: RepeatPlan, lanes: int) -> DataFrame:
 
         held, total = [], 0
         for ids, data, offsets in _texts(batches):
-            for row, start, n, anchor, sums, lo in anchor_runs(data, offsets, plan):
+            for row, start, n, anchor, sums, lo, mark in anchor_runs(data, offsets, plan):
                 hit = test(anchor)
                 if not hit.any():
                     continue
                 row, start, length, anchor = row[hit], start[hit], n[hit] + size - 1, anchor[hit]
                 blob, _ = gathered(data[lo:], start, length)
-                held.append((ids[row], start + lo - offsets[row], length, anchor, span_hashes(sums, start, start + length), blob))
+                held.append((ids[row], start + lo - offsets[row], length, anchor, span_hashes(sums, start, start + length), mark[hit], blob))
                 total += len(blob)
                 if total >= plan.held_bytes:
                     yield from flush(held)
@@ -180,17 +180,21 @@ def intervals(lcp: np.ndarray, least: int):
             stack.append((now, left))
 
 
-def maximal_repeats(data: np.ndarray, offsets: np.ndarray, least: int, most: int):
+def maximal_repeats(data: np.ndarray, offsets: np.ndarray, least: int, most: int, first: np.ndarray | None = None, count: np.ndarray | None = None):
     """Groups of the runs data[offsets[i]:offsets[i+1]]: (length, run of each occurrence, place in its run), one after another.
 
     Suffixes are bucketed by their first `least` bytes; buckets that left-extend in one way only cannot start a
-    maximal repeat and are not sorted further.
+    maximal repeat and are not sorted further. first, count: the places of each run at which repeats may start (all, if not given).
     """
     from axonwave.llm.vectors import prefix_sums, span_hashes
 
-    size = np.diff(offsets) - least + 1
+    size = np.diff(offsets) - least + 1 if count is None else count
     run = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+    if not len(run):
+        return
+    if first is not None:
+        place += first[run]
     at = offsets[run] + place
     h = span_hashes(prefix_sums(data), at, at + least)
     order = np.argsort(h, kind="stable")
@@ -207,7 +211,7 @@ def maximal_repeats(data: np.ndarray, offsets: np.ndarray, least: int, most: int
     p, stop = at[order], offsets[run[order] + 1]
     tail = most - least
     words = -(-tail // 8)
-    where = p[:, None] + (least + np.arange(words * 8, dtype=np.int64))[None, :]
+    where = p.astype(np.int32)[:, None] + (least + np.arange(words * 8, dtype=np.int32))[None, :]
     rest = np.where(where < stop[:, None], data[np.minimum(where, len(data) - 1)], 0).astype(np.uint8)
     key = rest.view(">u8").astype(np.uint64)
     sa = np.lexsort([stop - p, *[key[:, i] for i in range(words - 1, -1, -1)], bucket])
@@ -238,7 +242,7 @@ def _groups(table, plan: RepeatPlan):
     t = table.filter(table.column("run").is_valid()).combine_chunks()
     if not len(t):
         return
-    doc, start, anchor = (t.column(c).to_numpy() for c in ("doc", "start", "anchor"))
+    doc, start, anchor, mark = (t.column(c).to_numpy() for c in ("doc", "start", "anchor", "mark"))
     column = t.column("run").chunk(0) if t.column("run").num_chunks else None
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8)
@@ -263,9 +267,16 @@ def _groups(table, plan: RepeatPlan):
         to = int(fit[-1]) if len(fit) else int(change[change > at][0])
         own = order[at:to]
         blob, cuts = gathered(data, offsets[own], sizes[at:to])
-        for n, run, place in maximal_repeats(blob, cuts, plan.min_bytes, 2 * plan.min_bytes - plan.k):
-            d, s = doc[own[run]], start[own[run]] + place
-            yield n, d, s, int(np.lexsort((s, d))[0])
+        n_windows, before = sizes[at:to] - plan.min_bytes + 1, mark[own].astype(np.int64)
+        # equal windows have their anchor at the same place: a hot anchor is sorted place by place
+        most = plan.min_bytes - plan.k + 1
+        step = most if n_windows.sum() <= 2 * plan.windows else max(1, plan.windows // len(own))
+        for o in range(0, most, step):
+            first = np.clip(before - (o + step - 1), 0, n_windows)
+            count = np.clip(before - o + 1, 0, n_windows) - first
+            for n, run, place in maximal_repeats(blob, cuts, plan.min_bytes, 2 * plan.min_bytes - plan.k, first, count):
+                d, s = doc[own[run]], start[own[run]] + place
+                yield n, d, s, int(np.lexsort((s, d))[0])
         at = to
 
 
