@@ -187,7 +187,7 @@ def containers(root: Node) -> list[tuple[float, str, Node]]:
                     while up is not None and share > 0.2:
                         if up.tag in CONTAINER:
                             score[id(up)] = score.get(id(up), 0.0) + gain * share
-                            share *= 0.8
+                            share *= 0.9
                         up = up.parent
             elif not c.drop:
                 stack.append((c, f"{path}>{c.step}", 0))

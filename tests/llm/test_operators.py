@@ -95,7 +95,7 @@ def test_extraction(spark):
 def test_host_votes_win(spark):
     page = lambda extra: f"<body><div class=a1><p>{'main text ' * 9}</p></div><div class=b>{extra}</div></body>"
     pages = [(i, "http://h.org/" + str(i), page("<a href=/x>link</a>")) for i in range(5)]
-    pages.append((9, "http://h.org/9", page("<p>" + "other text " * 7 + "</p>")))
+    pages.append((9, "http://h.org/9", page("<p>" + "other text " * 5 + "</p>")))
     won = op1.winning_paths(spark.createDataFrame(pages, "page_id long, url string, html string")).first()
     assert won.path.endswith("div.a#") and won.votes == 5
     got = op1.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).where("page_id = 9").first()
