@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -56,7 +57,8 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     top = f"{shared_dir(spark)}/axonwave-{spark.sparkContext.applicationId}"
     path = f"{top}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with batches_of(spark, "16m"):  # what Python workers hold at once
+        df.write.parquet(path)
     if top not in _tops:
         _tops.add(top)
         atexit.register(dropped, spark, top)
@@ -65,6 +67,18 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, size: str):
+    """Arrow batches of at most this size for what is planned inside; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 _tops: set[str] = set()
 
 

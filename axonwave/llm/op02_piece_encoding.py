@@ -81,7 +81,7 @@ def merged(text: str, score: dict[str, float]) -> list[str]:
 class PieceCodec:
     """Encoder and decoder of one model; words and pairs are remembered up to a number of entries."""
 
-    def __init__(self, model: PieceModel, remember: int = 700_000):
+    def __init__(self, model: PieceModel, remember: int = 400_000):
         import ahocorasick
 
         self.model, self.remember = model, remember
@@ -98,6 +98,7 @@ class PieceCodec:
         self.together = {pair for p in self.id for pair in zip(p, p[1:])}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         special = (ord("s"), ord("u"))
         self.text = [b"" if k in special else bytes([int(p[3:5], 16)]) if k == ord("b") else p.replace(BLANK, " ").encode() for p, k in zip(model.pieces, model.kinds, strict=True)]
         self.text[self.unknown] = " ⁇ ".encode() if self.unknown >= 0 else b""
@@ -106,7 +107,7 @@ class PieceCodec:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= self.remember:
+            if len(self.pairs) >= self.remember // 2:
                 self.pairs.clear()
             known = self.pairs[key] = merged(left + right, self.score) == [p for p in key if p]
         return known
@@ -173,25 +174,21 @@ class PieceCodec:
         return out
 
     def _word(self, word: str) -> bytes:
-        known = self.words.get
-        packed = b"".join([known(p) or self._part(p) for p in parts]) if len(parts := self.parts(word)) > 1 else self._part(word)
+        packed = self.older.get(word)
+        if packed is None:
+            known = self.words.get
+            packed = b"".join([known(p) or self._part(p) for p in self.parts(word)])
         if len(word) <= 64:
-            self._keep(word, packed)
+            if len(self.words) >= self.remember // 2:  # the older half goes, what is used again comes back
+                self.older, self.words = self.words, {}
+            self.words[word] = packed
         return packed
 
     def _part(self, part: str) -> bytes:
         packed = array("I", self.ids(part))
         if sys.byteorder == "big":
             packed.byteswap()
-        packed = packed.tobytes()
-        if len(part) <= 64:
-            self._keep(part, packed)
-        return packed
-
-    def _keep(self, part: str, packed: bytes) -> None:
-        if len(self.words) >= self.remember:
-            self.words.clear()
-        self.words[part] = packed
+        return packed.tobytes()
 
     def encode(self, text: str, begin: bool = True, end: bool = True) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

@@ -44,7 +44,7 @@ class RepeatPlan:
 
 
 _MASK = np.uint64((1 << 23) - 1)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, plan: RepeatPlan):
@@ -98,7 +98,7 @@ def _texts(batches):
 
     for b in batches:
         ids = pc.fill_null(b.column(0), NO_DOC).to_numpy(zero_copy_only=False)
-        for first, data, offsets in slices(b.column(1), 1 << 20):
+        for first, data, offsets in slices(b.column(1)):
             yield ids[first : first + len(offsets) - 1], data, offsets
 
 
@@ -106,14 +106,22 @@ def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.
     """(bytes of all data[start:start+size] one after another, their offsets)."""
     offsets = np.zeros(len(start) + 1, np.int64)
     np.cumsum(size, out=offsets[1:])
-    at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
-    return data[at], offsets
+    out = np.empty(offsets[-1], np.uint8)
+    at = 0
+    while at < len(size):  # an index takes eight times the room of what it fetches
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 20), "right")) - 1)
+        index = np.repeat(start[at:to] - offsets[at:to], size[at:to])
+        index += np.arange(offsets[at], offsets[to])
+        np.take(data, index, out=out[offsets[at] : offsets[to]])
+        at = to
+    return out, offsets
 
 
-def runs(texts: DataFrame, bitmap, plan: RepeatPlan, lanes: int) -> DataFrame:
+def runs(texts: DataFrame, bitmap, plan: RepeatPlan, lanes: int, joined: bool = False) -> DataFrame:
     """Runs with a repeated anchor: lane, doc, start, size, anchor, run (bytes).
 
-    Of equal runs in a task's hold the earliest is sent with its bytes, the others without, but with the earliest's place.
+    Of equal runs in a task's hold the earliest is sent with its bytes, the others without, but with the earliest's place;
+    joined: the others as spans only, joined where they touch.
     """
     schema = "lane int, doc long, start long, size int, anchor long, mark int, run binary, of_doc long, of_start long"
 
@@ -145,6 +153,12 @@ def runs(texts: DataFrame, bitmap, plan: RepeatPlan, lanes: int) -> DataFrame:
             none = pa.nulls(len(kept), pa.int64())
             yield pa.RecordBatch.from_arrays(cols(kept, run, none, none), names)
             copies = order[same]
+            if joined:
+                d, b, e = _merged(doc[copies], start[copies], start[copies] + n[copies])
+                void = lambda kind: pa.nulls(len(d), kind)
+                spread = ((d % lanes) + lanes) % lanes
+                yield pa.RecordBatch.from_arrays([pa.array(spread.astype(np.int32)), pa.array(d), pa.array(b), pa.array((e - b).astype(np.int32)), void(pa.int64()), void(pa.int32()), void(pa.binary()), void(pa.int64()), void(pa.int64())], names)
+                return
             yield pa.RecordBatch.from_arrays(cols(copies, pa.nulls(len(copies), pa.binary()), pa.array(doc[of[same]]), pa.array(start[of[same]])), names)
 
         held, total = [], 0
@@ -294,7 +308,7 @@ def _merged(doc, start, end):
     return doc[at], start[at], far[np.append(at[1:], len(doc)) - 1]
 
 
-def repeated_runs(docs: DataFrame, plan: RepeatPlan = RepeatPlan()) -> DataFrame:
+def repeated_runs(docs: DataFrame, plan: RepeatPlan = RepeatPlan(), joined: bool = False) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     owners = owners_for(docs)
@@ -303,7 +317,7 @@ def repeated_runs(docs: DataFrame, plan: RepeatPlan = RepeatPlan()) -> DataFrame
         yield from packed_by_owner((x[3] for _, data, offsets in _texts(batches) for x in anchor_runs(data, offsets, plan)), owners)
 
     bitmap = repeated_bitmap(texts.mapInArrow(anchors, "owner int, hashes binary"), owners, plan.bits)
-    return runs(texts, spark.sparkContext.broadcast(bitmap), plan, owners * plan.lanes)
+    return runs(texts, spark.sparkContext.broadcast(bitmap), plan, owners * plan.lanes, joined)
 
 
 def repeat_groups(docs: DataFrame, plan: RepeatPlan = RepeatPlan()) -> DataFrame:
@@ -346,7 +360,7 @@ def removal_spans(docs: DataFrame, plan: RepeatPlan = RepeatPlan()) -> DataFrame
         d, s, e = _merged(*(np.concatenate(x).astype(np.int64) for x in (doc, start, end)))
         return pa.table([pa.array(d), pa.array(s), pa.array(e)], names=["doc", "start", "end"])
 
-    return repeated_runs(docs, plan).groupBy("lane").applyInArrow(spans, "doc long, start long, end long")
+    return repeated_runs(docs, plan, joined=True).groupBy("lane").applyInArrow(spans, "doc long, start long, end long")
 
 
 def without_repeats(docs: DataFrame, plan: RepeatPlan = RepeatPlan(), keep_bytes: bool = False) -> DataFrame:
