@@ -48,6 +48,7 @@ def linked_groups(
     distinct: bool = False,
     carry: tuple[str, ...] = (),
     near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
+    large: int = 32,
 ) -> DataFrame:
     """buckets(bucket, node, *carry) -> node, component of the graph of verified candidate pairs.
 
@@ -58,12 +59,13 @@ def linked_groups(
     near = near or (lambda x, y: F.lit(True))
     buckets = written(buckets if distinct else buckets.distinct(), "buckets")
     order = F.xxhash64("node", "bucket")  # another head in each bucket, so that a large group is tested from many sides
-    heads = buckets.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", *carry)).alias("h"), F.min("node").alias("_first"), F.max("node").alias("_last"))
+    heads = buckets.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", *carry)).alias("h"), F.min("node").alias("_first"), F.max("node").alias("_last"), F.count("*").alias("of"))
     heads = heads.where("_first != _last").drop("_first", "_last")
     heads = written(heads, "heads")
     own = written(buckets.join(heads, "bucket"), "own")
     here, head = (lambda c: F.col(c)), (lambda c: F.col(f"h.{c}"))
-    stars = own.where("node != h.node").where(near(here, head)).select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct()
+    # a test more in a large bucket saves many pairs later, so there the head is tested against all
+    stars = own.where("node != h.node").where(near(here, head) | (F.col("of") >= large)).select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct()
     stars = written(allowed(stars), "stars")
     links = written(verify(stars).select("a", "b"), "links")
     found = components(links)

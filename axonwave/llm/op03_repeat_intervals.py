@@ -194,14 +194,22 @@ def intervals(lcp: np.ndarray, least: int):
             stack.append((now, left))
 
 
+def _window_hashes(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of data[at:at+size]; by prefix sums, or window by window where those would be large."""
+    from axonwave.llm.vectors import poly_hashes, prefix_sums, span_hashes
+
+    if len(data) <= 1 << 22:
+        return span_hashes(prefix_sums(data), at, at + size)
+    wide = np.arange(size)
+    return np.concatenate([poly_hashes(data[at[i : i + 8192, None] + wide]) for i in range(0, len(at), 8192)])
+
+
 def maximal_repeats(data: np.ndarray, offsets: np.ndarray, least: int, most: int, first: np.ndarray | None = None, count: np.ndarray | None = None):
     """Groups of the runs data[offsets[i]:offsets[i+1]]: (length, run of each occurrence, place in its run), one after another.
 
     Suffixes are bucketed by their first `least` bytes; buckets that left-extend in one way only cannot start a
     maximal repeat and are not sorted further. first, count: the places of each run at which repeats may start (all, if not given).
     """
-    from axonwave.llm.vectors import prefix_sums, span_hashes
-
     size = np.diff(offsets) - least + 1 if count is None else count
     run = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
@@ -210,7 +218,7 @@ def maximal_repeats(data: np.ndarray, offsets: np.ndarray, least: int, most: int
     if first is not None:
         place += first[run]
     at = offsets[run] + place
-    h = span_hashes(prefix_sums(data), at, at + least)
+    h = _window_hashes(data, at, least)
     order = np.argsort(h, kind="stable")
     hs = h[order]
     begin = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))

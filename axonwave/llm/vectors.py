@@ -56,6 +56,12 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(_BASE))
 
 
+def poly_hashes(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of a byte matrix."""
+    with np.errstate(**_WRAP):
+        return mix((_BYTE[rows] * powers(_BASE, rows.shape[1])).sum(1))
+
+
 def slices(column, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows with at most `most` bytes, or one longer row; null is empty."""
     import pyarrow as pa
