@@ -190,6 +190,10 @@ class PieceCodec:
             packed.byteswap()
         return packed.tobytes()
 
+    def forget(self) -> None:
+        self.pairs.clear()
+        self.words, self.older = {}, {}
+
     def encode(self, text: str, begin: bool = True, end: bool = True) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         edge = lambda on, i: i.to_bytes(4, "little") if on and i >= 0 else b""
@@ -270,23 +274,26 @@ def encoded(docs: DataFrame, model: PieceModel, doc: str = "doc_id", text: str =
         import pyarrow as pa
 
         codec = codec_of(shared.value)
-        for b in batches:
-            n, ids, texts, id_lists, decoded = [], [], [], [], []
-            for t in b.column(1):
-                packed = codec.encode(t.as_py() or "")
-                back = codec.decode(packed)
-                n.append(len(packed) // 4)
-                ids.append(hashlib.sha256(packed).hexdigest())
-                texts.append(hashlib.sha256(back.encode()).hexdigest())
+        for whole in batches:
+            for at in range(0, len(whole), 256):  # results are handed on before more are made
+                b = whole.slice(at, 256)
+                n, ids, texts, id_lists, decoded = [], [], [], [], []
+                for t in b.column(1):
+                    packed = codec.encode(t.as_py() or "")
+                    back = codec.decode(packed)
+                    n.append(len(packed) // 4)
+                    ids.append(hashlib.sha256(packed).hexdigest())
+                    texts.append(hashlib.sha256(back.encode()).hexdigest())
+                    if keep_ids:
+                        id_lists.append(np.frombuffer(packed, dtype="<u4").astype("int32"))
+                        decoded.append(back)
+                columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+                names = [doc, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    id_lists.append(np.frombuffer(packed, dtype="<u4").astype("int32"))
-                    decoded.append(back)
-            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
-            names = [doc, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns += [pa.array(id_lists, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    columns += [pa.array(id_lists, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+        codec.forget()  # an idle worker stays for a while
 
     return docs.select(doc, text).mapInArrow(rows, schema)
 

@@ -198,7 +198,7 @@ def _window_hashes(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """Hashes of data[at:at+size]; by prefix sums, or window by window where those would be large."""
     from axonwave.llm.vectors import poly_hashes, prefix_sums, span_hashes
 
-    if len(data) <= 1 << 22:
+    if len(data) <= 1 << 19:
         return span_hashes(prefix_sums(data), at, at + size)
     wide = np.arange(size)
     return np.concatenate([poly_hashes(data[at[i : i + 8192, None] + wide]) for i in range(0, len(at), 8192)])
