@@ -358,14 +358,17 @@ def removal_spans(docs: DataFrame, plan: RepeatPlan = RepeatPlan()) -> DataFrame
         import pyarrow as pa
 
         copies = t.filter(t.column("run").is_null())
-        doc, start = [copies.column("doc").to_numpy()], [copies.column("start").to_numpy()]
-        end = [start[0] + copies.column("size").to_numpy()]
+        first_start = copies.column("start").to_numpy()
+        held = [(copies.column("doc").to_numpy(), first_start, first_start + copies.column("size").to_numpy())]
+        joined = lambda: _merged(*(np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True)))
+        size = 0
         for n, d, s, first in _groups(t, plan):
             rest = (d != d[first]) | (s != s[first])
-            doc.append(d[rest])
-            start.append(s[rest])
-            end.append(s[rest] + n)
-        d, s, e = _merged(*(np.concatenate(x).astype(np.int64) for x in (doc, start, end)))
+            held.append((d[rest], s[rest], s[rest] + n))
+            size += len(d)
+            if size > 300_000:  # groups of a hot anchor cover the same bytes again and again
+                held, size = [joined()], 0
+        d, s, e = joined()
         return pa.table([pa.array(d), pa.array(s), pa.array(e)], names=["doc", "start", "end"])
 
     return repeated_runs(docs, plan, joined=True).groupBy("lane").applyInArrow(spans, "doc long, start long, end long")
