@@ -6,8 +6,10 @@ hashed, their distinct documents (by text, so that copies of one document count
 per host, lines above the limits are removed, and documents that keep too little are rejected.
 
 DataFrame functions only. Lines are counted in two steps (host, line, text), then (host, line),
-both combined before the shuffle, so a line that every document holds costs one row a task. The
-lines over the limits are few: a host has at most lines-per-document / max_share of them.
+both combined before the shuffle, so a line that every document holds costs one row a task. By share
+alone the lines over the limits are few (a host has at most lines-per-document / max_share of them), but
+a share gets looser as a host grows; many_docs is a limit that does not. The query has the limits of its
+SQL, which is by share alone; the pipeline has LIMITS.
 
 Edge cases: null text counts as no words and fails; a null host is a host of its own; rows with
 the same id and text share one verdict. Very long texts stay in one row. Extra columns are kept
@@ -34,6 +36,11 @@ class LineLimits:
     window: int = 8
     min_words: int = 20
     max_repeat_percent: int = 30
+    many_docs: int | None = None  #: a line that so many of the host's documents hold is removed, whatever their share
+
+
+#: Of the pipeline: lines of 20 documents at every size of a host, and of 5 if they are a large share of a small one.
+LIMITS = LineLimits(least_docs=5, many_docs=20)
 
 
 def line_hash(line: Column) -> Column:
@@ -89,7 +96,9 @@ def frequent_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", hos
     per = _lines(docs, text, doc, host).groupBy("_host", "_line", "_text").agg(F.lit(1).alias("one"))
     per = per.groupBy("_host", "_line").agg(F.count("*").alias("docs")).where(F.col("docs") >= cfg.least_docs)
     of = docs.select(F.col(host).alias("_of"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text")).distinct().groupBy("_of").agg(F.count("*").alias("of"))
-    return per.join(of, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("docs") > cfg.max_share * F.col("of")).drop("_of")
+    over = F.col("docs") > cfg.max_share * F.col("of")
+    over = over if cfg.many_docs is None else over | (F.col("docs") >= cfg.many_docs)
+    return per.join(of, F.col("_host").eqNullSafe(F.col("_of"))).where(over).drop("_of")
 
 
 def lost_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", host: str = "source", cfg: LineLimits = LineLimits()) -> DataFrame:

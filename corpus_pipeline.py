@@ -15,7 +15,7 @@ from axonwave.llm.common import small_side, written
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without the lines above the limits."""
-    return op09_line_frequency.accepted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return op09_line_frequency.accepted(docs, cfg=op09_line_frequency.LIMITS).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,5 +20,14 @@ def test_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in c.collect()) and all(r.n_tokens == len(r.ids) for r in out)
 
 
+def test_lines_of_many_documents_go_from_large_sources(spark, tmp_path):
+    own = lambda i: " ".join(f"w{(i * 7919 + k * k * 31) % 5003}" for k in range(40))
+    boiler = "the same notice on many a page of this host"
+    rows = [(i, own(i) + ("\n" + boiler if i % 10 == 0 else ""), "en", "large", 0) for i in range(400)] + [(1000 + i, own(i) + ("\nsmall notice" if i < 6 else ""), "en", "small", 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert got == {r[0]: r[1].split("\n")[0] for r in rows}
+
+
 def test_registry():
     assert len(queries.queries()) == 10 and [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
