@@ -257,3 +257,27 @@ def test_lines(spark):
     assert {r.doc_id for r in op10.deduped(docs).collect()} == {1, 3, 4, 5}
     for a, b, n in (("kitten", "sitting", 3), ("", "abc", 3), ("abc", "abc", 0), ("abcdef", "azced", 3)):
         assert op10.edit_distance(a, b) == n
+
+
+def test_similar_lines_are_found(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9)))
+    vocab = [word() for _ in range(4000)]
+    lines = []
+    for _ in range(250):
+        w = [rnd.choice(vocab) for _ in range(rnd.randint(5, 50))]
+        v = list(w)
+        for _ in range(rnd.randint(1, max(1, len(w) // 8))):
+            k = rnd.randrange(len(v))
+            v[k : k + 1] = rnd.choice([[rnd.choice(vocab)], [], [v[k], rnd.choice(vocab)]])
+        lines += [" ".join(w), " ".join(v)]
+    lines = [x for x in dict.fromkeys(lines) if len(x.split()) >= 5]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    table = op10.line_table(docs, op10.LinePlan())
+    first = {r.doc: r.first.doc for r in table.join(op10.line_groups(docs, table), "node").collect()}
+    close = lambda x, y: abs(len(x) - len(y)) <= 0.2 * max(len(x), len(y)) and op10.edit_distance(x, y) <= 0.2 * max(len(x), len(y))
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if close(lines[i], lines[j])]
+    found = sum(i in first and first[i] == first.get(j) for i, j in pairs)
+    print(f"{found} of {len(pairs)}")
+    assert len(pairs) > 150 and found >= 0.95 * len(pairs)
+    assert all((first[i], i) in pairs or (i, first[i]) in pairs or i == first[i] for i in first)
