@@ -12,8 +12,8 @@ occurrence (smallest doc_id, then place) stays, all others go.
 Everything before the test is thin rows of numbers; the words of candidate lines are read again for the test. A line that occurs in
 every document is one node, counted by a combined aggregate.
 
-Edge cases: null text is empty and stays as it is; a document that loses lines and is left without a line of min_words words is
-dropped by deduped() and reported as dropped in the query; rows that repeat a doc_id with the same text are one document; a null doc_id ranks before
+Edge cases: null text is empty and stays as it is; a document that loses lines and is left without a line with a word (without one of
+min_words words, unless keep_rest) is dropped by deduped() and reported as dropped; the query and the pipeline set keep_rest; rows that repeat a doc_id with the same text are one document; a null doc_id ranks before
 all others, and documents with null ids are told apart by text. Very long lines are one line. Other columns pass through deduped() unchanged, n_chars excepted.
 """
 
@@ -40,8 +40,15 @@ class LinePlan:
     rows: int = 6  #: of functions in a band; every function is in three bands
     bits: int = 27  #: of the bitmap of bands that occur again
     node_bits: int = 22  #: of the bitmap of candidate lines
+    keep_rest: bool = False  #: a document goes only if no line with a word is left; else if none of min_words words is
 
 
+#: Of the query and the pipeline.
+WHOLE = LinePlan(keep_rest=True)
+
+
+#: A character that is none of the separators below.
+WORD = r"[^\x20\x09-\x0D!-/:-@\[-`{-~]"
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, *range(9, 14), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -249,7 +256,7 @@ def removed_lines(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     gone = lines.select("doc", "th", "pos", "node").join(groups, "node").where(~stays).select("doc", "th", "pos")
     left = lines.groupBy("doc", "th").agg(F.count_distinct("pos").alias("lines"))
     lost = gone.groupBy("doc", "th").agg(F.collect_set("pos").alias("lost"))
-    return lost.join(left, ["doc", "th"]).select("doc", "th", "lost", (F.col("lines") == F.size("lost")).alias("dropped"))
+    return lost.join(left, ["doc", "th"]).select("doc", "th", "lost", (F.col("lines") == F.size("lost")).alias("dropped"))  # of min_words words; see with_lines_removed
 
 
 def with_lines_removed(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
@@ -259,6 +266,9 @@ def with_lines_removed(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFram
     out = keyed.join(lost, (F.col("_d") == F.col("_doc")) & (F.col("_h") == F.col("_th")), "left").drop("_d", "_h", "_doc", "_th")
     out = out.withColumn("_lines", F.split("text", "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_lost")
+    if plan.keep_rest:
+        worded = F.exists(F.transform(kept, lambda i: F.get("_lines", i)), lambda x: x.rlike(WORD))
+        out = out.withColumn("_dropped", F.col("_dropped") & ~worded)
     text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
     out = out.withColumns({
         "text": text, "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
@@ -273,5 +283,5 @@ def deduped(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_lines_removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = with_lines_removed(table(spark, sf_dir, "documents").select("doc_id", "text"), WHOLE)
     return out.select("doc_id", "n_lines", "n_removed", "dropped", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those left without any line go."""
-    return op10_line_dedup.deduped(docs)
+    """Documents without repeated lines; those left without a line with a word go."""
+    return op10_line_dedup.deduped(docs, op10_line_dedup.WHOLE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,5 +29,15 @@ def test_lines_of_many_documents_go_from_large_sources(spark, tmp_path):
     assert got == {r[0]: r[1].split("\n")[0] for r in rows}
 
 
+def test_short_lines_of_their_own_stay(spark, tmp_path):
+    notice = "This work is under a licence of five words"
+    rows = [(1, notice + "\nfirst"), (2, notice + "\nroses are red\n\nviolets blue"), (3, notice + "\n -- "), (4, notice + "\n\u6211\u4eec\u53bb")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
+    assert got == {1: rows[0][1], 2: "roses are red\n\nviolets blue", 4: "\u6211\u4eec\u53bb"}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id for r in queries.queries()["op10_line_dedup"](spark, str(tmp_path)).collect() if r.dropped} == {3}
+
+
 def test_registry():
     assert len(queries.queries()) == 10 and [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
