@@ -1,7 +1,9 @@
 """Fuzzy line dedup: MinHash bands of normalised lines, edit similarity, connected groups.
 
 A line is normalised to its words: A-Z lower-cased, digits as 0, white space and ASCII punctuation
-as separators. Lines with fewer than min_words words are left alone. Equal normalised lines are one node. Two nodes link when
+as separators. In scripts without blanks each
+character is a word, and counts as half a one. Lines with fewer than min_words words are compared for equality only, digits included.
+Equal normalised lines are one node. Two nodes link when
 their edit similarity (1 - distance / longer length, on normalised text) is at least min_similarity. Candidates share a band: `rows` of
 the least values of their words under `functions` hash functions. Two lines with a share J of their words in common (of those in either)
 share a band with probability about 1 - (1 - J**rows)**bands: 1.00 for J = 9/11 (one word of ten changed), 0.95 for 8/12. The chance falls for
@@ -53,6 +55,7 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, *range(9, 14), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
+_EXACT = _PLAIN.copy()  # lower case, digits as they are
 _PLAIN[48:58] = 48
 
 
@@ -70,13 +73,27 @@ def line_words(data: np.ndarray, offsets: np.ndarray):
     inside = ~_SEPARATOR[data]
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
-    start = np.flatnonzero(inside & (~before | first))
+    lead = unspaced(data)
+    begins = inside & (~before | first) | lead
+    at = np.flatnonzero(lead)
+    behind = at + np.where(data[at] >= 0xF0, 4, 3)
+    behind = behind[behind < n]
+    begins[behind] |= inside[behind]
+    start = np.flatnonzero(begins)
     after = np.zeros(n, bool)
-    after[:-1] = inside[1:] & ~first[1:]
+    after[:-1] = inside[1:] & ~first[1:] & ~begins[1:]
     end = np.flatnonzero(inside & ~after) + 1
     return start, end, np.searchsorted(line_start, start, "right") - 1, row, place
 
 
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Where characters of scripts without blanks begin (Chinese, Japanese, Thai, Lao, Burmese, Khmer): each is a word."""
+    second = np.append(data[1:], np.uint8(0))
+    thai = (data == 0xE0) & (second >= 0xB8) & (second <= 0xBB)
+    khmer = (data == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second >= 0x9E) & (second <= 0x9F))
+    return (data >= 0xE3) & (data <= 0xE9) | (data == 0xF0) & (second >= 0xA0) & (second <= 0xB3) | thai | khmer
+
+
 def band_keys(words: np.ndarray, begin: np.ndarray, plan: LinePlan) -> np.ndarray:
     """Keys (lines x bands) of the runs of word hashes that begin at begin and follow one another without gaps."""
     from axonwave.llm.vectors import mix
@@ -97,32 +114,39 @@ def band_keys(words: np.ndarray, begin: np.ndarray, plan: LinePlan) -> np.ndarra
     return out
 
 
-def _lines(batches, plan: LinePlan):
-    """For each slice: first row, bytes, (word start, end, hash) and per chosen line: row, place, node, first word, words."""
+def _lines(batches, plan: LinePlan, short: bool = False):
+    """For each slice: first row, bytes, (word start, end, hash) and per line: row, place, node, first word, words, long.
+
+    Only lines long enough for the fuzzy join, or with short all lines with a word; the node of a short line keeps its digits.
+    """
     from axonwave.llm.vectors import mix, powers, prefix_sums, slices, span_hashes
 
     for b in batches:
         for first, data, offsets in slices(b.column(2)):
             if not len(data):
                 continue
-            data = _PLAIN[data]
+            raw, data = data, _PLAIN[data]
             start, end, line, row, place = line_words(data, offsets)
             if not len(start):
                 continue
             begin = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
             count = np.diff(np.append(begin, len(line)))
-            chosen = count >= plan.min_words
+            long = 2 * count - np.add.reduceat(unspaced(data)[start].astype(np.int64), begin) >= 2 * plan.min_words
+            chosen = long | short
             if not chosen.any():
                 continue
             words = np.repeat(chosen, count)
             start, end, line = start[words], end[words], line[begin[chosen]]
-            count = count[chosen]
+            count, long = count[chosen], long[chosen]
             begin = np.cumsum(count) - count
             h = span_hashes(prefix_sums(data), start, end)
+            if not long.all():
+                at = np.flatnonzero(np.repeat(~long, count))
+                h[at] = span_hashes(prefix_sums(_EXACT[raw]), start[at], end[at])
             with np.errstate(over="ignore"):
                 order = np.arange(len(h)) - np.repeat(begin, count)
                 node = mix(np.add.reduceat(h * powers(0xD1342543DE82EF95, int(count.max()) + 1)[order], begin) + count.astype(np.uint64))
-            yield b, first, data, start, end, h, row[line], place[line], node, begin, count
+            yield b, first, data, start, end, h, row[line], place[line], node, begin, count, long
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -130,16 +154,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame, plan: LinePlan) -> DataFrame:
-    """doc, th (hash of the text), pos, node of every line with min_words words."""
+    """doc, th (hash of the text), pos, node, long (min_words words or more) of every line with a word."""
 
     def rows(batches):
         import pyarrow as pa
 
-        for b, first, _, _, _, _, row, place, node, _, _ in _lines(batches, plan):
+        for b, first, _, _, _, _, row, place, node, _, _, long in _lines(batches, plan, True):
             at = pa.array(first + row)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(node.view(np.int64))], ["doc", "th", "pos", "node"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(long)], ["doc", "th", "pos", "node", "long"])
 
-    return _keyed(docs).mapInArrow(rows, "doc long, th long, pos int, node long")
+    return _keyed(docs).mapInArrow(rows, "doc long, th long, pos int, node long, long boolean")
 
 
 def line_buckets(docs: DataFrame, plan: LinePlan) -> DataFrame:
@@ -147,10 +171,18 @@ def line_buckets(docs: DataFrame, plan: LinePlan) -> DataFrame:
     spark, owners = docs.sparkSession, owners_for(docs)
 
     def keys(batches):
-        for _, _, data, start, end, h, _, _, node, begin, count in _lines(batches, plan):
+        from axonwave.llm.vectors import mix
+
+        for _, _, data, start, end, h, _, _, node, begin, count, _ in _lines(batches, plan):
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             once = np.unique(node, return_index=True)[1]
-            n = np.add.reduceat(chars[end] - chars[start], begin) + count - 1
+            apart = np.append(start[1:] > end[:-1], False)  # a blank comes behind the word
+            apart[begin + count - 1] = False
+            n = np.add.reduceat(chars[end] - chars[start] + apart, begin)
+            pair = unspaced(data)[start]  # single characters say little
+            pair[begin + count - 1] = False
+            at = np.flatnonzero(pair)
+            h[at] = mix(h[at] * np.uint64(3) + h[at + 1])
             yield node[once], n[once], band_keys(h, begin, plan)[once]
 
     blobs = _keyed(docs).mapInArrow(lambda batches: packed_by_owner((k.reshape(-1) for _, _, k in keys(batches)), owners), "owner int, hashes binary")
@@ -175,9 +207,10 @@ def line_texts(docs: DataFrame, wanted, plan: LinePlan) -> DataFrame:
         import pyarrow as pa
 
         test = tested(wanted.value, plan.node_bits)
-        for _, _, data, start, end, _, _, _, node, begin, count in _lines(batches, plan):
+        for _, _, data, start, end, _, _, _, node, begin, count, _ in _lines(batches, plan):
             at = np.flatnonzero(test(node))
-            text = lambda i: b" ".join(data[s:e].tobytes() for s, e in zip(start[begin[i] : begin[i] + count[i]], end[begin[i] : begin[i] + count[i]], strict=True))
+            ends = np.append(start[1:] > end[:-1], False)
+            text = lambda i: b"".join(data[start[k] : end[k]].tobytes() + b" " * bool(ends[k]) for k in range(begin[i], begin[i] + count[i])).rstrip(b" ")
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array([text(i).decode() for i in at], pa.string())], ["node", "line"])
 
@@ -253,10 +286,12 @@ def removed_lines(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     lines = written(line_table(docs, plan), "lines")
     groups = written(line_groups(docs, lines, plan), "groups")
     stays = (F.col("doc") == F.col("first.doc")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))
-    gone = lines.select("doc", "th", "pos", "node").join(groups, "node").where(~stays).select("doc", "th", "pos")
-    left = lines.groupBy("doc", "th").agg(F.count_distinct("pos").alias("lines"))
-    lost = gone.groupBy("doc", "th").agg(F.collect_set("pos").alias("lost"))
-    return lost.join(left, ["doc", "th"]).select("doc", "th", "lost", (F.col("lines") == F.size("lost")).alias("dropped"))  # of min_words words; see with_lines_removed
+    gone = lines.join(groups, "node").where(~stays).select("doc", "th", "pos", "long")
+    longs = lambda name: F.count_distinct(F.when(F.col("long"), F.col("pos"))).alias(name)
+    left = lines.groupBy("doc", "th").agg(F.count_distinct("pos").alias("lines"), longs("longs"))
+    lost = gone.groupBy("doc", "th").agg(F.collect_set("pos").alias("lost"), longs("gone"))
+    none_left = (F.col("lines") == F.size("lost")) | (F.col("gone") > 0) & (F.col("gone") == F.col("longs"))
+    return lost.join(left, ["doc", "th"]).select("doc", "th", "lost", none_left.alias("dropped"))
 
 
 def with_lines_removed(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:

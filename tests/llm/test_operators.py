@@ -281,3 +281,11 @@ def test_similar_lines_are_found(spark):
     print(f"{found} of {len(pairs)}")
     assert len(pairs) > 150 and found >= 0.95 * len(pairs)
     assert all((first[i], i) in pairs or (i, first[i]) in pairs or i == first[i] for i in first)
+
+
+def test_short_and_unspaced_lines(spark):
+    zh = "\u4eca\u5929\u6211\u4eec\u4e00\u8d77\u53bb\u516c\u56ed\u770b\u82b1\u7136\u540e\u56de\u5bb6\u5403\u996d"
+    rows = [(1, f"les.\nchapter 1\n{zh}"), (2, f"Les\nchapter 2\n{zh[:8]}\u5c71{zh[9:]}"), (3, f"les\n{zh[::-1]}"), (4, "\u7b2c\u4e00"), (5, "\u7b2c\u4e00\nb"), (6, "les")]
+    got = {r.doc_id: r for r in op10.with_lines_removed(spark.createDataFrame(rows, "doc_id long, text string"), op10.WHOLE).collect()}
+    assert {i: r.text for i, r in got.items()} == {1: rows[0][1], 2: "chapter 2", 3: zh[::-1], 4: "\u7b2c\u4e00", 5: "b", 6: ""}
+    assert [i for i, r in got.items() if r.dropped] == [6]
