@@ -98,7 +98,7 @@ def decode_lossy(p: DataFrame, tables, n_ch: int, cfg: LossyConfig = LossyConfig
                 data = bytes(r.bytes)
                 if data[0] != coding.header(1, r.pkt):
                     raise ValueError("wrong mode or sequence number")
-                got = coding.rans_unpacked(data[1:], [(c, k) for _, c, k, _ in order], tables, flush, esc, cfg.esc_bytes, 1 << cfg.prob_bits, cfg.lsh)
+                got = coding.rans_unpacked(data[1:], [(c, k) for _, c, k, _ in order], tables, flush, esc, cfg.esc_bytes, cfg.lsh)
                 v = [s - cfg.s_max if raw is None else (-((m + 1) >> 1) if (m := int.from_bytes(raw, "little")) & 1 else m >> 1) for s, raw in got]
                 b, c, k, i = zip(*order, strict=True)
                 p = [(j << cfg.levels) if q == 0 else (j << q) + (1 << (q - 1)) for q, j in zip(k, i, strict=True)]

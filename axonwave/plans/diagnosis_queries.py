@@ -10,7 +10,7 @@ from axonwave.functions import coding
 from axonwave.operators import codecs, wavelet
 from axonwave.plans.protocol_queries import EDGES, edges, reach
 from axonwave.plans.samples import BLOCKS_SQL, SQL, blocks, packets, packets_sql, samples, table
-from axonwave.plans.signal_queries import N, RICE_SQL, rice_adaptive_bits
+from axonwave.plans.signal_queries import N, RICE_SQL, rice_adaptive_bits, RICE_CONTEXT_SQL
 
 BASE = f"WITH {SQL}, {BLOCKS_SQL}, {wavelet.forward_sql()}"
 
@@ -43,7 +43,7 @@ def group_rates(spark, d):
 
 def frame_alignment(spark, d):
     """Shift of a received signal against the expected one: the shift with most equal codes."""
-    s = samples(spark, d).where("frame < 200")
+    s = samples(spark, d)
     got = s.select("ch", (F.col("frame") - 3).alias("frame"), F.col("code").alias("got")).where("frame >= 0")
     shifts = F.broadcast(spark.range(8).select(F.col("id").alias("shift")))
     j = got.join(shifts).withColumn("at", F.col("frame") + F.col("shift")).join(s.select("ch", F.col("frame").alias("at"), "code"), ["ch", "at"])
@@ -115,7 +115,7 @@ def state_flips(spark, d):
 
 
 def single_state_rans(spark, d):
-    """Byte-wise coder with one 32-bit state for each packet, and back."""
+    """Byte-wise coder with one 32-bit state for each packet: coded forward, undone from the end."""
     sym = codecs.whole_packets(wavelet.symbols(blocks(samples(spark, d))), N)
     tables = codecs.trained_tables(sym)
     low = 1 << 23
@@ -123,25 +123,13 @@ def single_state_rans(spark, d):
     def one(pdf):
         pdf = pdf.sort_values("pos")
         s, k = pdf.sym.tolist(), pdf.ctx.tolist()
-        x, out = low, []
-        for a, c in zip(reversed(s), reversed(k), strict=True):
-            f, b = tables[c][a + 1] - tables[c][a], tables[c][a]
-            while x >= (low >> 12 << 8) * f:
-                out.append(x & 255)
-                x >>= 8
-            x = (x // f << 12) + x % f + b
-        from bisect import bisect_right
-
-        wrong, left = 0, out[::-1]
-        data, y = iter(left), x
+        x, out = low, bytearray()
         for a, c in zip(s, k, strict=True):
-            slot = y & 4095
-            got = bisect_right(tables[c], slot) - 1
-            wrong += got != a
-            y = (tables[c][got + 1] - tables[c][got]) * (y >> 12) + slot - tables[c][got]
-            while y < low:
-                y = y << 8 | next(data)
-        return pd.DataFrame({"pkt": [int(pdf.pkt.iloc[0])], "n_bytes": [len(out) + 4], "wrong": [wrong + (y != low)]})
+            x, units = coding.rans_step(x, tables[c][a + 1] - tables[c][a], tables[c][a], 4096, 11)
+            out += bytes(units)
+        order, data = [(0, c) for c in k], bytes(out) + x.to_bytes(4, "little")
+        back = coding.rans_unpacked(data, order, tables, 1, None, lsh=11, state_bytes=4)
+        return pd.DataFrame({"pkt": [int(pdf.pkt.iloc[0])], "n_bytes": [len(data)], "wrong": [sum(a != b for a, (b, _) in zip(s, back, strict=True))]})
 
     return sym.groupBy("pkt").applyInPandas(one, "pkt long, n_bytes long, wrong long")
 
@@ -229,7 +217,9 @@ def fault_table(spark, d):
 
 def retrained_generalisation(spark, d):
     """Entropy of the first half of the blocks, and cost of the second half under the first half's counts."""
-    s = wavelet.symbols(blocks(samples(spark, d))).withColumn("train", F.col("blk") < 8)
+    s = wavelet.symbols(blocks(samples(spark, d)))
+    half = s.groupBy("stream", "ch").agg(((F.max("blk") + 1) / 2).alias("half"))
+    s = s.join(half, ["stream", "ch"]).withColumn("train", F.col("blk") < F.col("half"))
     n = s.groupBy("train", "ctx", "sym").agg(F.count("*").alias("n"))
     t, h = n.where("train"), n.where("NOT train")
     total = t.groupBy("ctx").agg(F.sum("n").alias("t"))
@@ -241,12 +231,12 @@ QUERIES = {
     "header_codec": (header_codec, "SELECT (i % 4)::INT AS mode, (i // 4)::INT AS seq, (((i % 4) << 6) | ((i // 4) & 63))::INT AS head, (i % 4)::INT AS mode_back, ((i // 4) & 63)::INT AS seq_back FROM range(1024) t(i)"),
     "restoring_division": (restoring_division, f"WITH {SQL}, x AS (SELECT code * 1021 + 7 AS x, (code * 31) % 4000 + 1 AS f FROM s) SELECT sum(x // f)::BIGINT AS q, sum(x % f)::BIGINT AS r, 0::BIGINT AS wrong FROM x"),
     "group_rates": (group_rates, RICE_SQL.replace("SELECT pkt, ch, bits FROM r WHERE i = 127", ", p AS (SELECT pkt, sum(bits)::BIGINT AS bits FROM r WHERE i = 127 GROUP BY pkt) SELECT pkt, bits, round(bits / 1024, 6) AS bps, rank() OVER (ORDER BY bits DESC) AS rank, round(bits / sum(bits) OVER (), 8) AS share FROM p")),
-    "frame_alignment": (frame_alignment, f"""WITH {SQL}, g AS (SELECT ch, frame - 3 AS frame, code AS got FROM s WHERE frame BETWEEN 3 AND 199), j AS (SELECT sh, (got = s.code)::INT::DOUBLE AS e FROM g, range(8) t(sh), s WHERE s.ch = g.ch AND s.frame = g.frame + sh AND s.frame < 200),
+    "frame_alignment": (frame_alignment, f"""WITH {SQL}, g AS (SELECT ch, frame - 3 AS frame, code AS got FROM s WHERE frame >= 3), j AS (SELECT sh, (got = s.code)::INT::DOUBLE AS e FROM g, range(8) t(sh), s WHERE s.ch = g.ch AND s.frame = g.frame + sh),
         a AS (SELECT sh, round(avg(e), 9) AS score FROM j GROUP BY sh) SELECT arg_max(sh, (score, -sh)) AS shift, max(score) AS score FROM a"""),
     "byte_edits": (byte_edits, None),
     "state_flips": (state_flips, None),
     "single_state_rans": (single_state_rans, None),
-    "rice_context_bits": (rice_context_bits, None),
+    "rice_context_bits": (rice_context_bits, RICE_CONTEXT_SQL),
     "mode_table": (mode_table, None),
     "dependency_horizon": (dependency_horizon, f"""WITH b AS (SELECT 0::BIGINT AS stream, 0 AS ch, k AS blk, p::INT AS p, (512 + CASE WHEN p = k THEN 400 ELSE 0 END)::BIGINT AS code FROM range(64) t(k), range(64) u(p)), {wavelet.forward_sql()}
         SELECT blk AS frame, max(least(63, (1 << CASE WHEN ctx = 0 THEN 3 ELSE ctx END) * (i + 2) - 2))::BIGINT AS horizon FROM co WHERE c != 0 GROUP BY blk"""),
@@ -256,6 +246,6 @@ QUERIES = {
     "block_attribution": (block_attribution, """WITH n AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL), b AS (SELECT c_nationkey, c_mktsegment AS block FROM n QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) = 1)
         SELECT block, count(*) AS cells, sum((block = c_mktsegment)::BIGINT)::BIGINT AS agree FROM customer JOIN b USING (c_nationkey) GROUP BY block"""),
     "fault_table": (fault_table, "SELECT event_type AS class, count(*) AS faults, sum((value > 50)::BIGINT)::BIGINT AS found, round(avg((value > 50)::INT::DOUBLE), 9) AS share FROM events GROUP BY 1"),
-    "retrained_generalisation": (retrained_generalisation, f"""{BASE}, {wavelet.SYMBOLS_SQL}, n AS (SELECT blk < 8 AS tr, ctx, sym, count(*) AS n FROM sm GROUP BY ALL), t AS (SELECT ctx, sum(n) AS t FROM n WHERE tr GROUP BY ctx)
+    "retrained_generalisation": (retrained_generalisation, f"""{BASE}, {wavelet.SYMBOLS_SQL}, hf AS (SELECT ch, (max(blk) + 1) / 2 AS half FROM sm GROUP BY ch), n AS (SELECT blk < half AS tr, ctx, sym, count(*) AS n FROM sm JOIN hf USING (ch) GROUP BY ALL), t AS (SELECT ctx, sum(n) AS t FROM n WHERE tr GROUP BY ctx)
         SELECT h.ctx, sum(h.n)::BIGINT AS n, round(sum(-h.n * log2((coalesce(m.n, 0) + 0.5) / (t.t + 32))) / sum(h.n), 6) AS bits_per_symbol FROM n h JOIN t USING (ctx) LEFT JOIN n m ON m.tr AND m.ctx = h.ctx AND m.sym = h.sym WHERE NOT h.tr GROUP BY h.ctx"""),
 }

@@ -285,7 +285,7 @@ def sequence_fault(spark, d):
 
 def stuck_hypotheses(spark, d):
     """Which single stuck bit of a code explains what was seen: every hypothesis against every channel, exact match only."""
-    s = samples(spark, d).where("frame < 256")
+    s = samples(spark, d)
     seen = F.when(F.col("ch") == 2, F.col("code").bitwiseOR(8)).when(F.col("ch") == 5, F.col("code").bitwiseAND(1023 - 64)).otherwise(F.col("code"))
     s = s.withColumn("seen", seen)
     h = F.broadcast(spark.range(20).select((F.col("id") % 10).cast("int").alias("bit"), (F.col("id") >= 10).alias("high")))
@@ -349,7 +349,7 @@ QUERIES = {
     "sequence_fault": (sequence_fault, f"""{R}, c AS (SELECT user_id, seq, CASE WHEN user_id % 3 = 0 THEN xor(seq, 4) WHEN user_id % 3 = 1 THEN (seq + 5) % 64 ELSE seq END AS claim FROM r),
         x AS (SELECT user_id, count(DISTINCT xor(claim, seq)) AS xors, max(bit_count(xor(claim, seq))) AS bits, count(DISTINCT (claim - seq + 64) % 64) AS steps FROM c GROUP BY user_id)
         SELECT CASE WHEN xors = 1 AND bits = 0 THEN 'ok' WHEN xors = 1 AND bits = 1 THEN 'flipped bit' WHEN steps = 1 THEN 'offset' ELSE 'unclear' END AS kind, count(*) AS n FROM x GROUP BY 1"""),
-    "stuck_hypotheses": (stuck_hypotheses, f"""WITH {SQL}, o AS (SELECT ch, code, CASE ch WHEN 2 THEN code | 8 WHEN 5 THEN code & 959 ELSE code END AS seen FROM s WHERE frame < 256), h AS (SELECT (i % 10)::INT AS bit, i >= 10 AS high FROM range(20) t(i))
+    "stuck_hypotheses": (stuck_hypotheses, f"""WITH {SQL}, o AS (SELECT ch, code, CASE ch WHEN 2 THEN code | 8 WHEN 5 THEN code & 959 ELSE code END AS seen FROM s), h AS (SELECT (i % 10)::INT AS bit, i >= 10 AS high FROM range(20) t(i))
         SELECT ch, bit, high FROM o, h GROUP BY ALL HAVING bool_and(seen = CASE WHEN high THEN code | (1 << bit) ELSE code & (1023 - (1 << bit)) END)"""),
     "worst_verdict": (worst_verdict, """WITH e AS (SELECT *, CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 WHEN 'click' THEN 3 ELSE 9 END AS rk FROM events)
         SELECT user_id, event_type AS verdict, event_id AS packet FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rk, event_id) = 1"""),

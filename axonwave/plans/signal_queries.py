@@ -350,7 +350,7 @@ def renorm_sweep(spark, d):
 
 
 def adaptive_rans(spark, d):
-    """Each packet coded with a table from the packet before: packets stay independent for the encoder."""
+    """Each packet coded with a table from the packet before (the first with equal frequencies), and back: packets stay independent for the encoder."""
     sym = codecs.whole_packets(wavelet.symbols(blocks(samples(spark, d))), N).select("stream", "pkt", "ch", "sym", "pos")
     counts = sym.where(F.col("pos") < 4096 - 64).groupBy("stream", "pkt", "sym").agg(F.count("*").alias("n")).groupBy("stream", "pkt").agg(F.map_from_entries(F.collect_list(F.struct("sym", "n"))).alias("t"))
     prev = counts.select("stream", (F.col("pkt") + 1).alias("pkt"), "t")
@@ -358,28 +358,20 @@ def adaptive_rans(spark, d):
     def one(pdf):
         pdf = pdf.sort_values("pos")
         t = pdf.t.iloc[0]
-        table = coding.cumulative([1 + (dict(t).get(s, 0) if t is not None else 0) for s in range(64)])
-        total, states, n = table[-1], {}, 0
-        sha = hashlib.sha256()
-        for c, s in zip(pdf.ch.tolist(), pdf.sym.tolist(), strict=True):
-            x = states.get(c, 4096 << 11)
-            f = table[s + 1] - table[s]
-            while x >= f << 19:
-                sha.update(bytes([x & 255]))
-                x, n = x >> 8, n + 1
-            states[c] = x // f * total + x % f + table[s]
-        return pd.DataFrame({"pkt": [int(pdf.pkt.iloc[0])], "n_bytes": [n + 4 * N], "sha": [sha.hexdigest()]})
+        tables = [coding.cumulative([1 + (dict(t).get(s, 0) if t is not None else 0) for s in range(64)])]
+        order, sym = [(c, 0) for c in pdf.ch.tolist()], pdf.sym.tolist()
+        data = coding.rans_packed(order, sym, tables, N, 11)
+        back = [s for s, _ in coding.rans_unpacked(data, order, tables, N, None, lsh=11, state_bytes=4)]
+        return pd.DataFrame({"pkt": [int(pdf.pkt.iloc[0])], "n_bytes": [len(data)], "sha": [hashlib.sha256(data).hexdigest()], "wrong": [sum(x != y for x, y in zip(sym, back, strict=True))]})
 
-    return sym.join(prev, ["stream", "pkt"], "left").groupBy("stream", "pkt").applyInPandas(one, "pkt long, n_bytes long, sha string")
+    return sym.join(prev, ["stream", "pkt"], "left").groupBy("stream", "pkt").applyInPandas(one, "pkt long, n_bytes long, sha string, wrong long")
 
 
 def lms_residuals(spark, d):
     """Sign-sign LMS prediction of the differences: magnitude of the wrapped residual and samples of each context."""
     import numpy as np
 
-    # fixed values of the predictor: first weights and steps
-    start = np.array([700, 400, 500, 400, 400, 100, 250, 50])
-    step = np.array([6, 4, 3, 2, 2, 1, 1, 1])
+    start, step = np.array(LMS_START), np.array(LMS_STEP)
 
     def one(pdf):
         x = pdf.sort_values("frame").code.to_numpy()
@@ -399,6 +391,29 @@ def lms_residuals(spark, d):
     return samples(spark, d).groupBy("stream", "ch").applyInPandas(one, "ch int, total long, ctx0 long, ctx1 long, ctx2 long, ctx3 long")
 
 
+RAW_CDF = f"""{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, {SYM}, g AS (SELECT k::INT AS ctx, s::INT AS sym FROM range(4) a(k), range(64) b(s)), n AS (SELECT ctx, sym, count(*) AS n FROM sm GROUP BY ALL),
+    w AS (SELECT ctx, sym, coalesce(n, 0) + 0.5::DOUBLE AS c FROM g LEFT JOIN n USING (ctx, sym)), v AS (SELECT ctx, sym, greatest(1, floor(c / sum(c) OVER (PARTITION BY ctx) * 4096)::BIGINT) AS f FROM w),
+    fr(ctx, f, gap) AS (SELECT ctx, list(f ORDER BY sym), 4096 - sum(f)::BIGINT FROM v GROUP BY ctx UNION ALL SELECT ctx, list_transform(f, lambda x, i: CASE WHEN i = list_position(f, list_max(f)) THEN x + sign(gap) ELSE x END), gap - sign(gap) FROM fr WHERE gap != 0),
+    fl AS (SELECT ctx, unnest(range(64))::INT AS sym, unnest(f) AS f FROM fr WHERE gap = 0), cdf AS (SELECT ctx, sym, f, (sum(f) OVER (PARTITION BY ctx ORDER BY sym) - f)::BIGINT AS c FROM fl)"""
+# fixed values of the predictor: first weights and steps
+LMS_START, LMS_STEP = [700, 400, 500, 400, 400, 100, 250, 50], [6, 4, 3, 2, 2, 1, 1, 1]
+LMS_SQL = f"""WITH RECURSIVE {SQL}, q AS (SELECT ch, frame, code, code - lag(code) OVER (PARTITION BY ch ORDER BY frame) AS diff FROM s),
+    r0 AS (SELECT ch, 0::BIGINT AS frame, {LMS_START}::BIGINT[] AS w, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS past, (30 << 17)::BIGINT AS acc, 0::BIGINT AS mag, 0::BIGINT AS total, [0, 0, 0, 0]::BIGINT[] AS n FROM q WHERE frame = 0),
+    l AS (SELECT * FROM r0 UNION ALL SELECT ch, frame, list_transform(w, lambda x, i: least(8192, greatest(-8192, x - sign(past[i]) * (CASE WHEN res > 0 THEN 1 ELSE -1 END) * {LMS_STEP}[i]))), list_prepend(diff, past[1:7]), acc + m - (acc >> 17), m, total + m,
+        list_transform(n, lambda x, i: x + (i = 1 + (mag >= av)::INT + (mag >= 3 * av)::INT + (mag >= 5 * av)::INT)::INT) FROM
+        (SELECT *, abs((res + 512) % 1024 + CASE WHEN (res + 512) % 1024 < 0 THEN 1024 ELSE 0 END - 512) AS m FROM (SELECT l.ch, q.frame, q.diff, w, past, acc, mag, total, n, greatest(1, acc >> 17) AS av,
+            q.diff + floor(list_dot_product(past::DOUBLE[], w::DOUBLE[]) / 4096)::BIGINT AS res FROM l JOIN q ON q.ch = l.ch AND q.frame = l.frame + 1)))
+    SELECT ch, total, n[1] AS ctx0, n[2] AS ctx1, n[3] AS ctx2, n[4] AS ctx3 FROM l QUALIFY row_number() OVER (PARTITION BY ch ORDER BY frame DESC) = 1"""
+RICE_CONTEXT_SQL = f"""WITH RECURSIVE {SQL}, q AS (SELECT ch, frame, (code - lag(code) OVER (PARTITION BY ch ORDER BY frame) + 1536) % 1024 - 512 AS e FROM s),
+    l AS (SELECT ch, 0::BIGINT AS frame, 10::BIGINT AS bits, [16, 16, 16, 16]::BIGINT[] AS a, [1, 1, 1, 1]::BIGINT[] AS n, (30 << 17)::BIGINT AS av, 0::BIGINT AS mag FROM q WHERE frame = 0
+        UNION ALL SELECT ch, frame, CASE WHEN again THEN bits + 10 ELSE bits + CASE WHEN (m >> k) < 16 THEN (m >> k) + 1 + k ELSE 26 END END,
+            CASE WHEN again THEN [16, 16, 16, 16] ELSE list_transform(a, lambda x, i: CASE WHEN i != c THEN x WHEN n[c] = 63 THEN (x + abs(e)) >> 1 ELSE x + abs(e) END) END,
+            CASE WHEN again THEN [1, 1, 1, 1] ELSE list_transform(n, lambda x, i: CASE WHEN i != c THEN x WHEN x = 63 THEN 32 ELSE x + 1 END) END, av + abs(e) - (av >> 17), abs(e)
+        FROM (SELECT *, ({' + '.join(f'((n[c] << {j}) < a[c])::INT' for j in range(9))})::BIGINT AS k, CASE WHEN e >= 0 THEN 2 * e ELSE -2 * e - 1 END AS m FROM (SELECT l.ch, q.frame, e, bits, a, n, av, q.frame % 256 = 0 AS again,
+            1 + (mag >= greatest(1, av >> 17))::INT + (mag >= 3 * greatest(1, av >> 17))::INT + (mag >= 5 * greatest(1, av >> 17))::INT AS c FROM l JOIN q ON q.ch = l.ch AND q.frame = l.frame + 1)))
+    SELECT ch, frame + 1 AS n, bits FROM l QUALIFY row_number() OVER (PARTITION BY ch ORDER BY frame DESC) = 1"""
+
+
 QUERIES = {
     "samples_summary": (samples_summary, f"WITH {SQL} SELECT ch, count(*) AS n, min(code) AS lo, max(code) AS hi, sum(code)::BIGINT AS total FROM s GROUP BY ch"),
     "slot_selection": (slot_selection, "SELECT x.ch::INT AS ch, count(*) AS n, sum(round_even(value, 0)::BIGINT)::BIGINT AS total FROM events e JOIN (VALUES (0,3),(1,40),(2,41),(3,90),(4,128),(5,149)) x(ch, slot) ON e.user_id % 256 = x.slot GROUP BY x.ch"),
@@ -416,9 +431,9 @@ QUERIES = {
         t AS (SELECT least(63, (1 << l) * (i + 2) - 2) AS t, count(*) AS n FROM c GROUP BY 1) SELECT p::INT AS t, coalesce(n, 0) AS n FROM p LEFT JOIN t ON t.t = p.p"""),
     "coding_positions": (coding_positions, f"{BASE}, {SYM}, po AS (SELECT *, row_number() OVER (PARTITION BY pkt ORDER BY blk, at_, ch, turn) - 1 AS pos FROM sm) SELECT pkt, count(*) AS n, sum(pos * (sym + 1))::BIGINT AS mixed, sum(pos * ch)::BIGINT AS chs FROM po GROUP BY pkt"),
     "entropy_bits": (entropy_bits, f"{BASE}, {SYM}, n AS (SELECT ctx, sym, count(*) AS n FROM sm GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY ctx) AS t FROM n) SELECT ctx, sum(n)::BIGINT AS n, round(-sum(n * log2(n / t)), 4) AS bits FROM t GROUP BY ctx"),
-    "trained_cdf": (trained_cdf, None),
-    "static_code_length": (static_code_length, None),
-    "slot_lookup_range": (slot_lookup_range, None),
+    "trained_cdf": (trained_cdf, f"{RAW_CDF} SELECT ctx, sym, f, c FROM cdf"),
+    "static_code_length": (static_code_length, f"{RAW_CDF} SELECT ch, count(*) AS n, round(sum(-log2(f / 4096.0) + CASE WHEN sym = 63 THEN 10 ELSE 0 END) + 42, 4) AS bits FROM sm JOIN cdf USING (ctx, sym) GROUP BY ch"),
+    "slot_lookup_range": (slot_lookup_range, f"{RAW_CDF} SELECT ctx, count(*) AS n, count(DISTINCT sym) AS syms, sum(slot * sym)::BIGINT AS mixed FROM range(4096) t(slot), cdf WHERE slot >= c AND slot < c + f GROUP BY ctx"),
     "cross_fit": (cross_fit, f"""{BASE}, {SYM}, n AS (SELECT blk % 2 AS fold, ctx, sym, count(*) AS n FROM sm GROUP BY ALL), t AS (SELECT fold, ctx, sum(n) AS t FROM n GROUP BY ALL)
         SELECT n.fold, sum(n.n)::BIGINT AS n, round(sum(-n.n * log2((coalesce(o.n, 0) + 0.5) / (t.t + 32))), 4) AS bits FROM n JOIN t ON t.fold = 1 - n.fold AND t.ctx = n.ctx LEFT JOIN n o ON o.fold = 1 - n.fold AND o.ctx = n.ctx AND o.sym = n.sym GROUP BY n.fold"""),
     "rice_static_bits": (rice_static_bits, f"""WITH {SQL}, {packets_sql(128)}, z AS (SELECT ch, code - lag(code) OVER (PARTITION BY pkt, ch ORDER BY frame) AS e0 FROM k), e AS (SELECT ch, (e0 + 1536) % 1024 - 512 AS e FROM z WHERE e0 IS NOT NULL),
@@ -453,5 +468,5 @@ QUERIES = {
     "encode_lfsr": (encode_lfsr, None),
     "renorm_sweep": (renorm_sweep, None),
     "adaptive_rans": (adaptive_rans, None),
-    "lms_residuals": (lms_residuals, None),
+    "lms_residuals": (lms_residuals, LMS_SQL),
 }
