@@ -4,14 +4,15 @@ Each page's containers are scored (text they hold, less text in links, with a pr
 article and main elements), and the best one is named by its generalised path: tags and classes
 from the root, digits and positions left out. Pages vote for paths by host in Spark, votes being combined before
 the shuffle; the path with most votes wins. Pages are then parsed again and the text of
-the container at the host's winning path is taken; a page without such a container, or whose container there holds
+the containers at the host's winning path is taken; a page without such a container, or whose container there holds
 little of what its own best one holds, uses its own.
 
 Only (host, winning path) is joined to the pages: broadcast if its size allows, else a shuffled
 join in which Spark splits hot hosts.
 
 What counts as text: everything in the container but menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, known by tag, role, or a word of class or id. Character
+scripts, styles and reader comments, known by tag, role, or a word of class or id; but a name alone does not drop the element that has the
+article (spare()). Character
 references are decoded, white space (as str.split has it) in a block becomes one blank, blocks are joined by one blank.
 
 Edge cases: null or empty html and pages without text give ""; a null url or one without a host
@@ -43,18 +44,31 @@ BLOCK = frozenset(
 CONTAINER = frozenset("article main section div td body html".split())
 DROP_TAG = frozenset("nav header footer aside form button script style noscript template textarea title iframe head select svg math object menu dialog input label".split())
 DROP_ROLE = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-#: Words of class and id that name what is not the article.
-DROP_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|adsbygoogle|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|"
-    r"sidebar|side-bar|aside|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|foot|copyright|comments?|commentlist|respond|replies|disqus|"
-    r"share|sharing|social|related|recommended|widget|toolbar|pagination|pager|form|login|search|skip|hidden|paywall)(?=$|[\s_-])",
+#: Words of class and id that name what is not the article: those of parts that are never it, and those of layout, which themes also hang on its wrapper.
+NEVER_WORD = re.compile(
+    r"(?:^|[_-])(?:ads?|advert\w*|adbox|adsense|adsbygoogle|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|"
+    r"comments?|commentlist|respond|replies|disqus|pagination|pager|paywall|breadcrumbs?|copyright)(?=$|[_-])",
     re.I,
 )
+LAYOUT_WORD = re.compile(
+    r"(?:^|[_-])(?:sidebar|side-bar|aside|nav|navbar|navigation|menu|header|masthead|topbar|footer|foot|share|sharing|social|related|recommended|widget|toolbar|form|login|search|skip|hidden)(?=$|[_-])",
+    re.I,
+)
+#: A name that says whether a page has such a part, as no-sidebar or sidebar-layout, names none.
+ABOUT = re.compile(r"^(?:\w+[_-]+)*(?:no|not|non|with|without|has|have|is|hide|show|under|below|above)[_-]|[_-](?:layout|offset|enabled|disabled|visible|open|page|template|off|on)$", re.I)
+#: Reasons to drop an element, in rising strength.
+KEEP, LAYOUT, NEVER, ALWAYS = range(4)
 GOOD_WORD = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|body|text|main|prose)(?=$|[\s_-])", re.I)
 #: An open element of the first set is closed by a start tag of the second.
 CLOSES = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
 
 
+def named(names: str) -> int:
+    """What the words of class and id say of an element."""
+    words = [w for w in names.split() if not ABOUT.search(w)]
+    return NEVER if any(map(NEVER_WORD.search, words)) else LAYOUT if any(map(LAYOUT_WORD.search, words)) else KEEP
+
+
 class Node:
     __slots__ = ("children", "drop", "link", "name", "parent", "step", "tag", "weight")
 
@@ -62,7 +76,14 @@ class Node:
         self.tag, self.parent, self.children = tag, parent, []
         names = " ".join(attrs.get(k) or "" for k in ("class", "id"))
         role = (attrs.get("role") or "").lower()
-        self.drop = tag in DROP_TAG or role in DROP_ROLE or "hidden" in attrs or bool(names and tag not in ("html", "body", "article", "main") and DROP_WORD.search(names))
+        if tag == "form":
+            self.drop = LAYOUT
+        elif tag in DROP_TAG or role in DROP_ROLE or "hidden" in attrs:
+            self.drop = ALWAYS
+        elif names and tag not in ("html", "body", "article", "main"):
+            self.drop = named(names)
+        else:
+            self.drop = KEEP
         self.weight = 3.0 if tag == "article" or "articlebody" in (attrs.get("itemprop") or "").lower() else 2.0 if tag == "main" or role == "main" else 1.5 if GOOD_WORD.search(names) else 1.0
         classes = sorted(re.sub(r"\d+", "#", c) for c in (attrs.get("class") or "").split()) if attrs else ()
         self.step = ".".join([tag, *classes])
@@ -83,6 +104,11 @@ def parse(page: str) -> Node:
             now.children.append(unescape(text) if "&" in text else text)
         if cut == n:
             break
+        if page.startswith("<![CDATA[", cut):
+            end = page.find("]]>", cut)
+            now.children.append(page[cut + 9 : end if end >= 0 else n])
+            at = end + 3 if end >= 0 else n
+            continue
         m = _TOKEN.match(page, cut)
         if m is None:
             now.children.append("<")
@@ -119,14 +145,54 @@ def parse(page: str) -> Node:
                 break
         node = Node(tag, attrs, now)
         now.children.append(node)
-        if tag in RAW:
+        if tag in RAW and not (tag in ("svg", "math") and rest.endswith("/")):
             end = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, at)
             at = end.end() if end else n
-        elif tag not in VOID and not (rest.endswith("/") and tag not in BLOCK):
+        elif tag not in RAW and tag not in VOID and not (rest.endswith("/") and tag not in BLOCK and "href" not in attrs):
             now = node
+    spare(root)
     return root
 
 
+def spare(root: Node) -> None:
+    """Keeps an element that its names would drop, where it and not the rest of the page has the article.
+
+    That is if it holds an article, main or h1 element, and what is not dropped has none, or no text at all. Names of layout need one of the
+    two, others both. What is dropped inside such an element stays so, unless the same holds again.
+    """
+    while True:
+        kept, marked, held, stack = 0, False, [], [(root, None)]
+        text: dict[int, list] = {}
+        while stack:
+            node, inside = stack.pop()
+            if node.drop == ALWAYS:
+                continue
+            if inside is None and node.drop:
+                inside = text[id(node)] = [0, False]
+                held.append(node)
+            if node.tag in ("article", "main", "h1"):
+                if inside is None:
+                    marked = True
+                else:
+                    inside[1] = True
+            for c in node.children:
+                if isinstance(c, str):
+                    size = 0 if c.isspace() else len(c)
+                    if inside is None:
+                        kept += size
+                    else:
+                        inside[0] += size
+                elif c is not None:
+                    stack.append((c, inside))
+        again = False
+        for node in held:
+            size, has = text[id(node)]
+            if size and ((has and not marked) + (not kept) >= node.drop):
+                node.drop, again = KEEP, True
+        if not again:
+            return
+
+
 def blocks(node: Node) -> list[str]:
     """The text blocks of a node without what is dropped."""
     out: list[str] = []
@@ -233,14 +299,13 @@ def main_text(page: str | None, winning: str | None, least_share: float = 0.5) -
     found = containers(root)
     if not found:
         return ""
-    own = widened(max(found, key=lambda x: x[0])[2])
-    text = " ".join(blocks(own))
-    if winning and path_of(own) != winning:
-        at = [x for _, path, x in found if path == winning]
-        if at:
-            voted = " ".join(t for x in at for t in blocks(x))
-            if len(voted) >= least_share * len(text):
-                return voted
+    own = path_of(widened(max(found, key=lambda x: x[0])[2]))
+    at = lambda wanted: " ".join(t for _, path, x in found if path == wanted for t in blocks(x))
+    text = at(own)
+    if winning and own != winning:
+        voted = at(winning)
+        if voted and len(voted) >= least_share * len(text):
+            return voted
     return text
 
 
