@@ -41,3 +41,33 @@ def streaming_high_pass(x: DataFrame, cfg: FrontEnd = FrontEnd()) -> DataFrame:
         yield pd.DataFrame({"stream": key[0], "ch": key[1], "frame": rows.frame.to_numpy(), "hp": hp[:, 0]})
 
     return x.groupBy("stream", "ch").applyInPandasWithState(step, "stream long, ch int, frame long, hp long", "acc long", "append", GroupStateTimeout.NoTimeout)
+
+
+def lifted(x: np.ndarray, levels: int = 3) -> np.ndarray:
+    """Wavelet coefficients of blocks (rows), each at the place of its sample: odd places of every stride less the mean of their neighbours, then even ones."""
+    c = x.astype(np.int64)
+    for stride in (1 << level for level in range(levels)):
+        v = c[:, ::stride]
+        even, odd = v[:, ::2], v[:, 1::2]
+        odd -= (even + np.concatenate([even[:, 1:], even[:, -1:]], 1)) >> 1
+        even += (np.concatenate([odd[:, :1], odd[:, :-1]], 1) + odd + 2) >> 2
+    return c
+
+
+def streaming_coefficients(x: DataFrame, block: int = 64, levels: int = 3, centre: int = 512) -> DataFrame:
+    """stream, ch, blk, p, c of whole blocks: a channel's state is the samples of its open block, fewer than block of them.
+
+    Frames of a channel must arrive in order of batches; within a batch they are sorted. The same rows as the wavelet of a batch query.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("frame")
+        first, held = state.get if state.exists else (int(rows.frame.iloc[0]), [])
+        codes = np.concatenate([np.array(held, np.int64), rows.code.to_numpy(dtype=np.int64)])
+        whole = len(codes) // block
+        state.update((first + whole * block, codes[whole * block :].tolist()))
+        c = lifted(codes[: whole * block].reshape(-1, block) - centre, levels)
+        blk = first // block + np.repeat(np.arange(whole), block)
+        yield pd.DataFrame({"stream": key[0], "ch": key[1], "blk": blk, "p": np.tile(np.arange(block, dtype=np.int32), whole), "c": c.reshape(-1)})
+
+    return x.groupBy("stream", "ch").applyInPandasWithState(step, "stream long, ch int, blk long, p int, c long", "first long, held array<long>", "append", GroupStateTimeout.NoTimeout)
