@@ -38,7 +38,11 @@ def restoring_division(spark, d):
 def group_rates(spark, d):
     """Bits a sample of each packet, worst first, with rank and share of all bits."""
     p = rice_adaptive_bits(spark, d).groupBy("pkt").agg(F.sum("bits").alias("bits"))
-    return p.select("pkt", "bits", F.round(F.col("bits") / (128 * N), 6).alias("bps"), F.rank().over(Window.orderBy(F.desc("bits"))).cast("long").alias("rank"), F.round(F.col("bits") / F.sum("bits").over(Window.partitionBy()), 8).alias("share"))
+    sizes = p.groupBy("bits").agg(F.count("*").alias("n"))  # as many rows as there are sizes of a packet
+    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("bits")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = F.broadcast(sizes.select("bits", (above + 1).alias("rank")))
+    total = F.broadcast(p.agg(F.sum("bits").alias("total")))
+    return p.join(ranks, "bits").crossJoin(total).select("pkt", "bits", F.round(F.col("bits") / (128 * N), 6).alias("bps"), "rank", F.round(F.col("bits") / F.col("total"), 8).alias("share"))
 
 
 def frame_alignment(spark, d):
@@ -188,9 +192,17 @@ def dependency_horizon(spark, d):
 def output_queue(spark, d):
     """Depth of an output queue that takes each frame's bytes and drains a fixed number: the running maximum of backlog."""
     b = samples(spark, d).groupBy("frame").agg(F.sum(F.floor(F.col("code") / 128)).alias("bytes"))
-    w = Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)  # one queue, one sequence of frames
+    # sums and minima within ranges of frames, then over the ranges, so that no task sorts all frames
+    b = b.withColumn("range", F.floor(F.col("frame") / 65536))
+    w = Window.partitionBy("range").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
     t = b.withColumn("net", F.sum(F.col("bytes") - 26).over(w))
-    t = t.withColumn("depth", F.col("net") - F.least(F.lit(0), F.min("net").over(w)))
+    t = t.withColumn("low", F.min("net").over(w))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # rows: ranges
+    r = t.groupBy("range").agg(F.sum(F.col("bytes") - 26).alias("all"), F.min("low").alias("least"))
+    r = r.withColumn("from", F.coalesce(F.sum("all").over(before), F.lit(0)))
+    r = r.withColumn("least", F.least(F.lit(0), F.coalesce(F.min(F.col("from") + F.col("least")).over(before), F.lit(0)))).select("range", "from", "least")
+    t = t.join(F.broadcast(r), "range")
+    t = t.withColumn("depth", F.col("from") + F.col("net") - F.least("least", F.col("from") + F.col("low")))
     return t.agg(F.max("depth").alias("deepest"), F.sum((F.col("depth") > 0).cast("long")).alias("busy"), F.count("*").alias("frames"))
 
 

@@ -55,14 +55,14 @@ def stacked(codes: DataFrame, n: int, first: int = 0) -> DataFrame:
 
 
 def read_capture(spark: SparkSession, path: str) -> DataFrame:
-    """pos, kind (B byte, A abort, O overflow), v, last. Tokens: XX, XXL, XX L, A or ABORT, O or OVF; # starts a comment."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    tok = lines.select("line", F.posexplode(F.filter(F.split(F.trim(F.regexp_replace("text", "#.*", "")), r"\s+"), lambda t: t != "")).alias("i", "t"))
-    w = Window.orderBy("line", "i")  # one capture of one device
-    tok = tok.select(F.upper("t").alias("t"), "line", "i").withColumn("next", F.lead("t").over(w)).where("t != 'L'")
+    """path, pos, kind (B byte, A abort, O overflow), v, last of each capture file. Tokens: XX, XXL, XX L, A or ABORT, O or OVF; # starts a comment."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    tok = lines.select("path", "line", F.posexplode(F.filter(F.split(F.trim(F.regexp_replace("text", "#.*", "")), r"\s+"), lambda t: t != "")).alias("i", "t"))
+    w = Window.partitionBy("path").orderBy("line", "i")  # a file is one capture of one device
+    tok = tok.select("path", F.upper("t").alias("t"), "line", "i").withColumn("next", F.lead("t").over(w)).where("t != 'L'")
     kind = F.when(F.col("t").isin("A", "ABORT"), "A").when(F.col("t").isin("O", "OVF"), "O").otherwise("B")
     byte = F.conv(F.regexp_replace("t", "L$", ""), 16, 10).cast("int")
-    return tok.select((F.row_number().over(w) - 1).cast("long").alias("pos"), kind.alias("kind"), F.when(kind == "B", byte).alias("v"), ((kind == "B") & (F.col("t").endswith("L") | (F.coalesce("next", F.lit("")) == "L"))).alias("last"))
+    return tok.select("path", (F.row_number().over(w) - 1).cast("long").alias("pos"), kind.alias("kind"), F.when(kind == "B", byte).alias("v"), ((kind == "B") & (F.col("t").endswith("L") | (F.coalesce("next", F.lit("")) == "L"))).alias("last"))
 
 
 def write_capture(tokens: DataFrame, path: str) -> None:
@@ -71,11 +71,11 @@ def write_capture(tokens: DataFrame, path: str) -> None:
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """pos, v, last of hexadecimal words with bit 8 as the last flag; 200 ends the list."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\s+")).alias("pos", "t")).where("t != ''")
-    words = lines.select("pos", F.conv("t", 16, 10).cast("int").alias("w"))
-    end = words.where("w = 512").agg(F.coalesce(F.min("pos"), F.lit(1 << 30)).alias("end"))
-    return words.join(F.broadcast(end)).where("pos < end").select(F.col("pos").cast("long"), F.col("w").bitwiseAND(255).alias("v"), (F.col("w") >= 256).alias("last"))
+    """path, pos, v, last of each file's hexadecimal words with bit 8 as the last flag; 200 ends the list."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\s+")).alias("pos", "t")).where("t != ''")
+    words = lines.select("path", "pos", F.conv("t", 16, 10).cast("int").alias("w"))
+    end = words.where("w = 512").groupBy("path").agg(F.min("pos").alias("end"))
+    return words.join(end, "path", "left").where("end IS NULL OR pos < end").select("path", F.col("pos").cast("long"), F.col("w").bitwiseAND(255).alias("v"), (F.col("w") >= 256).alias("last"))
 
 
 def write_vectors(packets: DataFrame, path: str, most: int = 8192) -> None:
@@ -122,14 +122,14 @@ def read_netlist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vcd(spark: SparkSession, path: str) -> DataFrame:
-    """t, net, v of single-bit changes of a value change dump (x and z as null)."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "s"))
-    names = lines.select(F.regexp_extract("s", r"^\$var\s+\w+\s+1\s+(\S+)\s+(\S+)", 1).alias("id"), F.regexp_extract("s", r"^\$var\s+\w+\s+1\s+(\S+)\s+(\S+)", 2).alias("net")).where("id != ''")
-    w = Window.orderBy("i")  # one dump is one sequence of times
+    """path, t, i (line), net, v of single-bit changes of value change dumps (x and z as null)."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("i", "s"))
+    names = lines.select("path", F.regexp_extract("s", r"^\$var\s+\w+\s+1\s+(\S+)\s+(\S+)", 1).alias("id"), F.regexp_extract("s", r"^\$var\s+\w+\s+1\s+(\S+)\s+(\S+)", 2).alias("net")).where("id != ''")
+    w = Window.partitionBy("path").orderBy("i")  # a dump is one sequence of times
     at = F.last(F.when(F.col("s").startswith("#"), F.expr("try_cast(substring(s, 2) AS bigint)")), True).over(w)
     c = lines.withColumn("t", F.coalesce(at, F.lit(0))).where(F.col("s").rlike("^[01xzXZ]\\S+$"))
-    c = c.select("t", "i", F.expr("substring(s, 2)").alias("id"), F.expr("try_cast(substring(s, 1, 1) AS int)").alias("v"))
-    return c.join(F.broadcast(names), "id").select("t", "i", "net", "v")
+    c = c.select("path", "t", "i", F.expr("substring(s, 2)").alias("id"), F.expr("try_cast(substring(s, 1, 1) AS int)").alias("v"))
+    return c.join(F.broadcast(names), ["path", "id"]).select("path", "t", "i", "net", "v")
 
 
 def write_tables(tables: list[list[int]], spark: SparkSession, path: str) -> None:
