@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it none of df's columns."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, _UPPER, _LOWER)
@@ -33,8 +41,8 @@ def words_of(c: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where it is set.
 
-    Only where the setting is absent (a local session, as in tests) a temporary folder is made,
-    once for each application.
+    Only where the setting is absent in a local session, as in tests, a temporary folder is made,
+    once for each application; on a cluster the setting is needed.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
@@ -42,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.sparkContext._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="axonwave-")
     atexit.register(shutil.rmtree, made, True)
     spark.sparkContext.setCheckpointDir(made)
@@ -92,15 +102,26 @@ def dropped(spark: SparkSession, path: str) -> None:
         pass
 
 
-def forget(df: DataFrame) -> None:
+def forget(df: DataFrame | None) -> None:
     """Drops the table behind a DataFrame that written() returned and that nobody reads again."""
     if path := getattr(df, "_axonwave_path", None):
         dropped(df.sparkSession, path)
 
 
-def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """df with a broadcast hint if it has at most most_rows rows; else as it is, for a shuffled join.
+def small_side(df: DataFrame, most_rows: int = 100_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """df with a broadcast hint if it has at most most_rows rows from files of at most most_bytes; else as it is, for a shuffled join.
 
-    df should be a written() table, so that the count is a read of file footers.
+    df should be made from written() tables only, so that the count is a read of file footers.
     """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    if df.limit(most_rows + 1).count() > most_rows:
+        return df
+    jvm, conf, total = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration(), 0
+    for top in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(top)
+        total += where.getFileSystem(conf).getContentSummary(where).getLength()
+    return F.broadcast(df) if total <= most_bytes else df
+
+
+def key_side(df: DataFrame) -> DataFrame:
+    """small_side for tables of a number or two a row."""
+    return small_side(df, most_rows=2_000_000)

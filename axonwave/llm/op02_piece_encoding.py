@@ -7,7 +7,8 @@ pair). The encoder therefore walks the text: an Aho-Corasick automaton gives the
 match, longest first, at every place; a piece is taken if its border with the one before holds,
 which is tested once for each pair by merging the two again; where no piece fits, the place is
 marked in a bitfield of failed positions and the walk steps back. No place fails twice, so the
-time is linear in the text however long a word is.
+time is linear in the text however long a word is. Most words need no step back: the automaton's run of leftmost longest
+matches is tried first, and is the result if all its borders hold.
 
 Where no piece of the vocabulary holds two neighbouring characters together, no merge can span
 them; texts are cut there, and the parts are encoded one by one and kept in a bounded memory. A
@@ -93,10 +94,11 @@ class PieceCodec:
         self.by_word = not any(BLANK in p.lstrip(BLANK) for p in self.id)
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
-            self.automaton.add_word(p, len(p))
+            self.automaton.add_word(p, (len(p), self.id[p]))
         self.automaton.make_automaton()
         self.together = {pair for p in self.id for pair in zip(p, p[1:])}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.id_pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         special = (ord("s"), ord("u"))
@@ -116,7 +118,7 @@ class PieceCodec:
         """Backtracking over the matches at each place."""
         n = len(word)
         at: list[list[int]] = [[] for _ in range(n)]  # ends of the matches from each place, ascending
-        for last, size in self.automaton.iter(word):
+        for last, (size, _) in self.automaton.iter(word):
             at[last - size + 1].append(last + 1)
         known, failed = self.pairs.get, 0  # failed: a bit for each position from which no encoding goes on
         out: list[str] = []
@@ -151,7 +153,31 @@ class PieceCodec:
             before = out[-1] if out else ""
         return out
 
+    def straight(self, word: str) -> list[int] | None:
+        """The ids of the leftmost longest matches if they leave nothing out and all their borders hold."""
+        out, at, before, known = [], -1, -1, self.id_pairs
+        for last, (size, i) in self.automaton.iter_long(word):
+            if last - size != at:
+                return None
+            if before >= 0:
+                key = before << 32 | i
+                fits = known.get(key)
+                if fits is None:
+                    if len(known) >= self.remember:
+                        known.clear()
+                    pair = [self.model.pieces[before], self.model.pieces[i]]
+                    fits = known[key] = merged("".join(pair), self.score) == pair
+                if not fits:
+                    return None
+            out.append(i)
+            at, before = last, i
+        return out if at == len(word) - 1 else None
+
     def ids(self, word: str) -> list[int]:
+        if len(word) == 1 and word in self.id:
+            return [self.id[word]]
+        if (out := self.straight(word)) is not None:
+            return out
         out = []
         for p in self.pieces(word):
             i = self.id.get(p)
@@ -192,6 +218,7 @@ class PieceCodec:
 
     def forget(self) -> None:
         self.pairs.clear()
+        self.id_pairs.clear()
         self.words, self.older = {}, {}
 
     def encode(self, text: str, begin: bool = True, end: bool = True) -> bytes:

@@ -3,19 +3,20 @@
 1. Anchors. Every window of min_bytes has one anchor, the least of its k-byte hashes (leftmost on
    ties), so equal windows have equal anchors at equal places. Neighbouring windows with one anchor form a run of text
    shorter than twice min_bytes. A bitmap of anchor hashes that occur again (fixed size, no false negatives) keeps back what is unique.
-2. Runs with a repeated anchor are dealt by anchor: whatever repeats a run is in the same
-   task. Runs that a task holds several times are sent once, the earliest; the others are copies of it.
-3. A task sorts the suffixes of its runs that may start a repeat, computes the common prefixes of neighbours, and scans
+2. Runs with a repeated anchor are dealt by anchor and sorted by it: whatever repeats a run is next to it. A run that a task has met at an earlier
+   place is not sent; its place is a span that goes.
+3. A task reads its runs anchor by anchor and sorts the suffixes that may start a repeat (buckets of equal first bytes, which are compared, then the bytes
+   that follow), computes the common prefixes of neighbours, and scans
    them with a stack: each closed interval is a set of suffixes with a common prefix. An interval whose
    occurrences are preceded by different bytes (or by the start of a run) cannot be extended to the left: it is a
-   maximal repeat, and is output with all of its occurrences, not just neighbours.
+   maximal repeat, and is output with all of its occurrences, not just neighbours. A task holds the different runs of one anchor at most, or a few MB.
 4. Occurrences after the first of their group are joined to spans for each document; the rest of the bytes stays.
 
 Repeats longer than a run are output as overlapping groups, one for each run; their spans join up to the whole.
 
 Edge cases: null is empty; texts shorter than min_bytes lose nothing; offsets are in UTF-8 bytes and a cut may
-fall inside a character; a null doc_id ranks before all others; rows that repeat a doc_id with the same text are one document and no
-repeat of each other; very long texts are read in overlapping blocks. Other columns are not read. An empty table gives an empty table.
+fall inside a character; a null doc_id ranks before all others; documents are known by doc_id and text, those of one doc_id (or none) rank by a hash of their text;
+rows alike in both are one document and no repeat of each other; very long texts are read in overlapping blocks. Other columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from axonwave.llm.common import table, written
 from axonwave.llm.repeats import owners_for, packed_by_owner, repeated_bitmap, tested
+from axonwave.llm.vectors import gathered
 
 NO_DOC = -(1 << 63)
 
@@ -38,9 +40,9 @@ class RepeatPlan:
     min_bytes: int = 100
     k: int = 32
     bits: int = 27  #: of the bitmap of repeated anchors: 16 MB
-    lanes: int = 8  #: groups of runs for each shuffle partition
     windows: int = 60_000  #: sorted at once within a task
-    held_bytes: int = 1 << 22  #: of runs that a task compares before it sends them
+    held_bytes: int = 1 << 22  #: of runs that a task reads before it sorts them
+    seen: int = 1 << 20  #: different runs whose earliest places a task remembers
 
 
 _MASK = np.uint64((1 << 23) - 1)
@@ -48,7 +50,7 @@ _BLOCK = 1 << 19
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, plan: RepeatPlan):
-    """(row, start, windows, anchor hash, prefix sums, shift of the block, place of the anchor in the run) arrays for each block."""
+    """(row, start, windows, anchor hash, hash of the run, shift of the block, place of the anchor in the run) arrays for each block."""
     from axonwave.llm.vectors import prefix_sums, span_hashes
 
     size, k = plan.min_bytes, plan.k
@@ -87,97 +89,108 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, plan: RepeatPlan):
         stop[:-1] = new[1:] | ~valid[1:]
         end = np.flatnonzero(stop & valid)
         row = np.searchsorted(bounds, start, "right") - 1
-        yield row, start, end - start + 1, h[anchor[start]], sums, lo, anchor[start] - start
+        yield row, start, end - start + 1, h[anchor[start]], span_hashes(sums, start, end + size), lo, anchor[start] - start
 
 
 def _texts(batches):
-    """(doc ids of the slice, bytes, offsets)."""
+    """(doc ids, hashes of the texts, bytes, offsets) of each slice."""
     import pyarrow.compute as pc
 
     from axonwave.llm.vectors import slices
 
     for b in batches:
         ids = pc.fill_null(b.column(0), NO_DOC).to_numpy(zero_copy_only=False)
+        hashes = b.column(2).to_numpy(zero_copy_only=False)
         for first, data, offsets in slices(b.column(1)):
-            yield ids[first : first + len(offsets) - 1], data, offsets
-
-
-def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all data[start:start+size] one after another, their offsets)."""
-    offsets = np.zeros(len(start) + 1, np.int64)
-    np.cumsum(size, out=offsets[1:])
-    out = np.empty(offsets[-1], np.uint8)
-    at = 0
-    while at < len(size):  # an index takes eight times the room of what it fetches
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 20), "right")) - 1)
-        index = np.repeat(start[at:to] - offsets[at:to], size[at:to])
-        index += np.arange(offsets[at], offsets[to])
-        np.take(data, index, out=out[offsets[at] : offsets[to]])
-        at = to
-    return out, offsets
-
-
-def runs(texts: DataFrame, bitmap, plan: RepeatPlan, lanes: int, joined: bool = False) -> DataFrame:
-    """Runs with a repeated anchor: lane, doc, start, size, anchor, run (bytes).
-
-    Of equal runs in a task's hold the earliest is sent with its bytes, the others without, but with the earliest's place;
-    joined: the others as spans only, joined where they touch.
+            to = first + len(offsets) - 1
+            yield ids[first:to], hashes[first:to], data, offsets
+
+
+class _Seen:
+    """The earliest place of each run met so far, by two hashes of the run; forgets all when full."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self):
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.place = np.zeros((3, 0), np.int64)
+
+    def later(self, key: np.ndarray, check: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which of the runs (key ascending, each once) have been met at an earlier place; the others are noted."""
+        at = np.searchsorted(self.key, key)
+        known = at < len(self.key)
+        known[known] = self.key[at[known]] == key[known]
+        same = known.copy()
+        same[known] = self.check[at[known]] == check[known]
+        after = np.zeros(len(key), bool)
+        i, j = at[same], np.flatnonzero(same)
+        was, now = self.place[:, i], place[:, j]
+        after[j] = (now[0] > was[0]) | (now[0] == was[0]) & ((now[1] > was[1]) | (now[1] == was[1]) & (now[2] > was[2]))
+        better = j[~after[j]]
+        self.place[:, at[better]] = place[:, better]
+        new = ~known
+        if len(self.key) + new.sum() > self.most:
+            self.clear()
+            at = np.zeros(len(key), np.int64)
+        self.key = np.insert(self.key, at[new], key[new])
+        self.check = np.insert(self.check, at[new], check[new])
+        self.place = np.insert(self.place, at[new], place[:, new], axis=1)
+        return after
+
+
+_RUNS = "anchor long, doc long, th long, start long, size int, mark int, run binary"
+
+
+def runs(texts: DataFrame, bitmap, plan: RepeatPlan, whole: bool = False) -> DataFrame:
+    """Runs with a repeated anchor: anchor, doc, th, start, size, mark (place of the anchor), run (bytes).
+
+    Runs that a task has met at an earlier place are sent as spans (run null), joined where they touch; unless whole.
     """
-    schema = "lane int, doc long, start long, size int, anchor long, mark int, run binary, of_doc long, of_start long"
 
     def rows(batches):
         import pyarrow as pa
 
-        from axonwave.llm.vectors import span_hashes
-
-        test, size = tested(bitmap.value, plan.bits), plan.min_bytes
-        shift = np.uint64(64 - (lanes.bit_length() - 1)) if lanes > 1 else None
-
-        def flush(held):
-            doc, start, n, anchor, equal, mark = (np.concatenate([x[i] for x in held]) for i in range(6))
-            data = np.concatenate([x[6] for x in held])
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            order = np.lexsort((start, doc, n, equal))
-            same = np.zeros(len(order), bool)
-            same[1:] = (equal[order][1:] == equal[order][:-1]) & (n[order][1:] == n[order][:-1])
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-            of = order[head]
-            again = (doc[order] == doc[of]) & (start[order] == start[of]) & same  # a repeated row
-            order, of, same = order[~again], of[~again], same[~again]
-            kept = order[~same]
-            blob, cuts = gathered(data, offsets[kept], n[kept])
-            run = pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(blob.tobytes())])
-            lane = lambda a: (a >> shift).astype(np.int32) if shift is not None else np.zeros(len(a), np.int32)
-            names = [x.split()[0] for x in schema.split(", ")]
-            cols = lambda i, run, od, os: [pa.array(lane(anchor[i])), pa.array(doc[i]), pa.array(start[i]), pa.array(n[i].astype(np.int32)), pa.array(anchor[i].view(np.int64)), pa.array(mark[i].astype(np.int32)), run, od, os]
-            none = pa.nulls(len(kept), pa.int64())
-            yield pa.RecordBatch.from_arrays(cols(kept, run, none, none), names)
-            copies = order[same]
-            if joined:
-                d, b, e = _merged(doc[copies], start[copies], start[copies] + n[copies])
-                void = lambda kind: pa.nulls(len(d), kind)
-                spread = ((d % lanes) + lanes) % lanes
-                yield pa.RecordBatch.from_arrays([pa.array(spread.astype(np.int32)), pa.array(d), pa.array(b), pa.array((e - b).astype(np.int32)), void(pa.int64()), void(pa.int32()), void(pa.binary()), void(pa.int64()), void(pa.int64())], names)
-                return
-            yield pa.RecordBatch.from_arrays(cols(copies, pa.nulls(len(copies), pa.binary()), pa.array(doc[of[same]]), pa.array(start[of[same]])), names)
-
-        held, total = [], 0
-        for ids, data, offsets in _texts(batches):
-            for row, start, n, anchor, sums, lo, mark in anchor_runs(data, offsets, plan):
-                hit = test(anchor)
-                if not hit.any():
-                    continue
-                row, start, length, anchor = row[hit], start[hit], n[hit] + size - 1, anchor[hit]
-                blob, _ = gathered(data[lo:], start, length)
-                held.append((ids[row], start + lo - offsets[row], length, anchor, span_hashes(sums, start, start + length), mark[hit], blob))
-                total += len(blob)
-                if total >= plan.held_bytes:
-                    yield from flush(held)
-                    held, total = [], 0
-        if held:
-            yield from flush(held)
+        from axonwave.llm.vectors import mix, prefix_sums, span_hashes
 
-    return texts.mapInArrow(rows, schema)
+        test, size, seen = tested(bitmap.value, plan.bits), plan.min_bytes, _Seen(plan.seen)
+        names = [x.split()[0] for x in _RUNS.split(", ")]
+
+        def sent(anchor, doc, th, start, n, mark, run):
+            return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *map(pa.array, (doc, th, start, n.astype(np.int32), mark.astype(np.int32))), run], names)
+
+        for ids, hashes, data, offsets in _texts(batches):
+            for row, start, n, anchor, key, lo, mark in anchor_runs(data, offsets, plan):
+                hit = np.flatnonzero(test(anchor))
+                if not len(hit):
+                    continue
+                row, at, n, anchor, key, mark = row[hit], start[hit] + lo, n[hit] + size - 1, anchor[hit], key[hit], mark[hit]
+                doc, th, start = ids[row], hashes[row], at - offsets[row]
+                if not whole:
+                    order = np.lexsort((start, th, doc, key))
+                    first = np.ones(len(order), bool)
+                    first[1:] = key[order][1:] != key[order][:-1]
+                    heads = order[first]
+                    part = data[lo : int(at.max() + n.max())]
+                    check = span_hashes(prefix_sums(part[::-1]), len(part) - (at[heads] - lo) - n[heads], len(part) - (at[heads] - lo))
+                    after = seen.later(key[heads], check, np.stack([doc[heads], th[heads], start[heads]]))
+                    copies = np.concatenate([order[~first], heads[after]])
+                    # a place more than once is a repeated row, and its head is no copy of itself
+                    of = heads[np.cumsum(first) - 1][~first]
+                    again = (doc[order[~first]] == doc[of]) & (th[order[~first]] == th[of]) & (start[order[~first]] == start[of])
+                    copies = copies[np.append(~again, np.ones(int(after.sum()), bool))]
+                    d, t, b, e = _merged(doc[copies], th[copies], start[copies], start[copies] + n[copies])
+                    yield sent(mix((d ^ t).view(np.uint64)), d, t, b, e - b, np.zeros(len(d), np.int32), pa.nulls(len(d), pa.binary()))
+                    kept = heads[~after]
+                    row, at, n, anchor, mark, doc, th, start = (x[kept] for x in (row, at, n, anchor, mark, doc, th, start))
+                for i in range(0, len(at), 4096):
+                    j = slice(i, i + 4096)
+                    blob, cuts = gathered(data, at[j], n[j])
+                    run = pa.Array.from_buffers(pa.binary(), len(n[j]), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(blob.tobytes())])
+                    yield sent(anchor[j], doc[j], th[j], start[j], n[j], mark[j], run)
+
+    return texts.mapInArrow(rows, _RUNS)
 
 
 def intervals(lcp: np.ndarray, least: int):
@@ -204,6 +217,13 @@ def _window_hashes(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([poly_hashes(data[at[i : i + 8192, None] + wide]) for i in range(0, len(at), 8192)])
 
 
+def _equal_bytes(data: np.ndarray, at: np.ndarray, h: np.ndarray, size: int) -> bool:
+    """Whether neighbours with equal hashes have equal bytes."""
+    same = np.flatnonzero(h[1:] == h[:-1])
+    wide = np.arange(size)
+    return all((data[at[i][:, None] + wide] == data[at[i + 1][:, None] + wide]).all() for i in (same[k : k + 8192] for k in range(0, len(same), 8192)))
+
+
 def maximal_repeats(data: np.ndarray, offsets: np.ndarray, least: int, most: int, first: np.ndarray | None = None, count: np.ndarray | None = None):
     """Groups of the runs data[offsets[i]:offsets[i+1]]: (length, run of each occurrence, place in its run), one after another.
 
@@ -220,6 +240,9 @@ def maximal_repeats(data: np.ndarray, offsets: np.ndarray, least: int, most: int
     at = offsets[run] + place
     h = _window_hashes(data, at, least)
     order = np.argsort(h, kind="stable")
+    if not _equal_bytes(data, at[order], h[order], least):  # two strings with one hash: by their bytes instead
+        h = np.unique(np.stack([data[at + i] for i in range(least)], 1), axis=0, return_inverse=True)[1].astype(np.uint64)
+        order = np.argsort(h, kind="stable")
     hs = h[order]
     begin = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
     count = np.diff(np.append(begin, len(hs)))
@@ -259,27 +282,14 @@ def maximal_repeats(data: np.ndarray, offsets: np.ndarray, least: int, most: int
                 yield n, run[o], place[o]
 
 
-def _groups(table, plan: RepeatPlan):
-    """(length, doc, start, row of the first) arrays for each maximal repeat of a lane's runs."""
-    t = table.filter(table.column("run").is_valid()).combine_chunks()
-    if not len(t):
-        return
-    doc, start, anchor, mark = (t.column(c).to_numpy() for c in ("doc", "start", "anchor", "mark"))
-    column = t.column("run").chunk(0) if t.column("run").num_chunks else None
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2], np.uint8)
-    order = np.lexsort((start, doc, anchor))
-    again = np.zeros(len(order), bool)
-    again[1:] = (anchor[order][1:] == anchor[order][:-1]) & (doc[order][1:] == doc[order][:-1]) & (start[order][1:] == start[order][:-1])
-    order = order[~again]
-    a = anchor[order]
-    begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    count = np.diff(np.append(begin, len(a)))
-    several = np.repeat(count > 1, count)
-    order, a = order[several], a[several]
+def _groups(anchor, mark, data, offsets, plan: RepeatPlan):
+    """(length, run of each occurrence, place in its run) arrays for each maximal repeat of runs sorted by anchor."""
+    begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    count = np.diff(np.append(begin, len(anchor)))
+    order = np.flatnonzero(np.repeat(count > 1, count))
     if not len(order):
         return
-    sizes = offsets[order + 1] - offsets[order]
+    a, sizes = anchor[order], offsets[order + 1] - offsets[order]
     windows = np.cumsum(sizes - plan.min_bytes + 1)
     change = np.append(np.flatnonzero(a[1:] != a[:-1]) + 1, len(a))
     at = 0
@@ -297,88 +307,190 @@ def _groups(table, plan: RepeatPlan):
             first = np.clip(before - (o + step - 1), 0, n_windows)
             count = np.clip(before - o + 1, 0, n_windows) - first
             for n, run, place in maximal_repeats(blob, cuts, plan.min_bytes, 2 * plan.min_bytes - plan.k, first, count):
-                d, s = doc[own[run]], start[own[run]] + place
-                yield n, d, s, int(np.lexsort((s, d))[0])
+                yield n, own[run], place
         at = to
 
 
-def _merged(doc, start, end):
+def _merged(doc, th, start, end):
     """Spans of documents joined where they touch."""
     if not len(doc):
-        return doc, start, end
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    names, index = np.unique(doc, return_inverse=True)
+        return doc, th, start, end
+    order = np.lexsort((start, th, doc))
+    doc, th, start, end = doc[order], th[order], start[order], end[order]
+    other = np.ones(len(doc), bool)
+    other[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])
+    index = np.cumsum(other)
     far = np.maximum.accumulate(index * (1 << 40) + end) - index * (1 << 40)
-    new = np.ones(len(doc), bool)
-    new[1:] = (index[1:] != index[:-1]) | (start[1:] > far[:-1])
+    new = other.copy()
+    new[1:] |= start[1:] > far[:-1]
     at = np.flatnonzero(new)
-    return doc[at], start[at], far[np.append(at[1:], len(doc)) - 1]
+    return doc[at], th[at], start[at], far[np.append(at[1:], len(doc)) - 1]
+
+
+class _Held:
+    """Runs of a sorted stream: arrays anchor, doc, th, start, mark and their bytes."""
 
+    def __init__(self):
+        self.parts, self.bytes = [], 0
 
-def repeated_runs(docs: DataFrame, plan: RepeatPlan = RepeatPlan(), joined: bool = False) -> DataFrame:
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    owners = owners_for(docs)
+    def add(self, b):
+        column = b.column(6)
+        cuts = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[cuts[0] : cuts[-1]]
+        numbers = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2, 3, 5)])
+        self.parts.append((numbers, np.diff(cuts), data.copy()))
+        self.bytes += len(data) + 64 * len(cuts)
+
+    def taken(self):
+        numbers = np.concatenate([x[0] for x in self.parts], 1)
+        sizes, data = (np.concatenate([x[i] for x in self.parts]) for i in (1, 2))
+        self.parts, self.bytes = [], 0
+        return numbers, np.concatenate([[0], np.cumsum(sizes)]), data
+
+    def back(self, numbers, offsets, data, chosen):
+        """Holds the chosen runs again."""
+        sizes = offsets[chosen + 1] - offsets[chosen]
+        self.parts = [(numbers[:, chosen], sizes, gathered(data, offsets[chosen], sizes)[0])]
+        self.bytes = int(sizes.sum()) + 64 * len(chosen)
+
+
+def _distinct(numbers, offsets, data):
+    """(the earliest of equal runs, in order of anchors; the others but for repeated rows). Runs are compared by their bytes."""
+    anchor, doc, th, start, _ = numbers
+    sizes = np.diff(offsets)
+    text = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(len(sizes))]
+    order = np.lexsort((start, th, doc, anchor))
+    kept, copies, first, now = [], [], {}, None
+    for i in order.tolist():
+        if anchor[i] != now:
+            first, now = {}, anchor[i]
+        j = first.setdefault(text[i], i)
+        if j == i:
+            kept.append(i)
+        elif doc[i] != doc[j] or th[i] != th[j] or start[i] != start[j]:
+            copies.append(i)
+    return np.array(kept, np.int64), np.array(copies, np.int64)
+
+
+def _sorted_runs(found: DataFrame) -> DataFrame:
+    return found.repartition("anchor").sortWithinPartitions("anchor")
+
+
+def _bitmap(texts: DataFrame, plan: RepeatPlan):
+    owners = owners_for(texts)
 
     def anchors(batches):
-        yield from packed_by_owner((x[3] for _, data, offsets in _texts(batches) for x in anchor_runs(data, offsets, plan)), owners)
+        yield from packed_by_owner((x[3] for _, _, data, offsets in _texts(batches) for x in anchor_runs(data, offsets, plan)), owners)
 
-    bitmap = repeated_bitmap(texts.mapInArrow(anchors, "owner int, hashes binary"), owners, plan.bits)
-    return runs(texts, spark.sparkContext.broadcast(bitmap), plan, owners * plan.lanes, joined)
+    return texts.sparkSession.sparkContext.broadcast(repeated_bitmap(texts.mapInArrow(anchors, "owner int, hashes binary"), owners, plan.bits))
 
 
-def repeat_groups(docs: DataFrame, plan: RepeatPlan = RepeatPlan()) -> DataFrame:
-    """Maximal repeats with all occurrences: length, first_doc, first_start, doc, start.
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
 
-    Copies of a run that a task collapsed appear as a group of that run with the run's earliest place first.
-    """
-    schema = "length int, first_doc long, first_start long, doc long, start long"
 
-    def groups(key, t):
-        import pyarrow as pa
+def _in_order(batches, plan: RepeatPlan, done):
+    """Calls done(numbers, offsets, data, last) for runs of whole anchors, a few MB at a time; it may leave one anchor's runs held. Yields what it yields."""
+    held, most = _Held(), plan.held_bytes
+    for b in batches:
+        if len(b):
+            held.add(b)
+        if held.bytes >= most:
+            yield from done(held, False)
+            most = max(plan.held_bytes, 2 * held.bytes)  # of a hot anchor
+    if held.parts:
+        yield from done(held, True)
+
 
-        out = [[np.zeros(0, np.int64)] for _ in range(5)]
-        copies = t.filter(t.column("run").is_null())
-        for o, c in zip(out, ("size", "of_doc", "of_start", "doc", "start"), strict=True):
-            o.append(copies.column(c).to_numpy().astype(np.int64))
-        for n, d, s, first in _groups(t, plan):
-            for o, v in zip(out, (np.full(len(d), n), np.full(len(d), d[first]), np.full(len(d), s[first]), d, s), strict=True):
-                o.append(v)
-        cols = [np.concatenate(o) for o in out]
-        return pa.table([pa.array(cols[0].astype(np.int32)), *map(pa.array, cols[1:])], names=["length", "first_doc", "first_start", "doc", "start"])
+def repeat_groups(docs: DataFrame, plan: RepeatPlan = RepeatPlan()) -> DataFrame:
+    """Maximal repeats with all occurrences: length, first_doc, first_text_hash, first_start, doc, text_hash, start."""
+    texts = _keyed(docs)
+    names = ["length", "first_doc", "first_text_hash", "first_start", "doc", "text_hash", "start"]
+
+    def groups(batches):
+        import pyarrow as pa
 
-    return repeated_runs(docs, plan).groupBy("lane").applyInArrow(groups, schema)
+        def done(held, last):
+            numbers, offsets, data = held.taken()
+            anchor = numbers[0]
+            end = len(anchor) if last else int(np.searchsorted(anchor, anchor[-1]))
+            if not end:
+                end = len(anchor) if last else 0
+            if end < len(anchor):
+                held.back(numbers, offsets, data, np.arange(end, len(anchor)))
+            place = np.unique(numbers[:4, :end], axis=1, return_index=True)[1]  # repeated rows once
+            place = place[np.argsort(anchor[place], kind="stable")]
+            sizes = offsets[place + 1] - offsets[place]
+            blob, cuts = gathered(data, offsets[place], sizes)
+            for n, run, at in _groups(anchor[place], numbers[4][place], blob, cuts, plan) if len(place) else ():
+                d, t, s = numbers[1][place[run]], numbers[2][place[run]], numbers[3][place[run]] + at
+                o = int(np.lexsort((s, t, d))[0])
+                same = lambda v: np.full(len(d), v, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (same(n), same(d[o]), same(t[o]), same(s[o]), d, t, s)], names)
+
+        yield from _in_order(batches, plan, done)
+
+    return _sorted_runs(runs(texts, _bitmap(texts, plan), plan, whole=True)).mapInArrow(groups, ", ".join(f"{x} long" for x in names))
 
 
 def removal_spans(docs: DataFrame, plan: RepeatPlan = RepeatPlan()) -> DataFrame:
-    """doc, start, end: every occurrence of a group but its first, joined within a task."""
+    """doc, th, start, end: every occurrence of a group but its first, joined within a task."""
+    texts = _keyed(docs)
 
-    def spans(key, t):
+    def spans(batches):
         import pyarrow as pa
 
-        copies = t.filter(t.column("run").is_null())
-        first_start = copies.column("start").to_numpy()
-        held = [(copies.column("doc").to_numpy(), first_start, first_start + copies.column("size").to_numpy())]
-        joined = lambda: _merged(*(np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True)))
-        size = 0
-        for n, d, s, first in _groups(t, plan):
-            rest = (d != d[first]) | (s != s[first])
-            held.append((d[rest], s[rest], s[rest] + n))
-            size += len(d)
-            if size > 300_000:  # groups of a hot anchor cover the same bytes again and again
-                held, size = [joined()], 0
-        d, s, e = joined()
-        return pa.table([pa.array(d), pa.array(s), pa.array(e)], names=["doc", "start", "end"])
-
-    return repeated_runs(docs, plan, joined=True).groupBy("lane").applyInArrow(spans, "doc long, start long, end long")
+        def out(*cols):
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], ["doc", "th", "start", "end"])
+
+        def done(held, last):
+            numbers, offsets, data = held.taken()
+            kept, copies = _distinct(numbers, offsets, data)
+            doc, th, start = numbers[1:4]
+            yield out(*_merged(doc[copies], th[copies], start[copies], start[copies] + np.diff(offsets)[copies]))
+            anchor = numbers[0][kept]
+            end = len(kept) if last else int(np.searchsorted(anchor, anchor[-1]))
+            if end < len(kept):
+                held.back(numbers, offsets, data, kept[end:])
+            own = kept[:end]
+            blob, cuts = gathered(data, offsets[own], offsets[own + 1] - offsets[own])
+            doc, th, start, found, size = doc[own], th[own], start[own], [], 0
+            for n, run, at in _groups(anchor[:end], numbers[4][own], blob, cuts, plan) if end else ():
+                d, t, s = doc[run], th[run], start[run] + at
+                o = np.lexsort((s, t, d))[1:]
+                found.append((d[o], t[o], s[o], s[o] + n))
+                size += len(o)
+                if size > 300_000:  # groups of a hot anchor cover the same bytes again and again
+                    found, size = [_merged(*(np.concatenate(x) for x in zip(*found, strict=True)))], 0
+            if found:
+                yield out(*_merged(*(np.concatenate(x) for x in zip(*found, strict=True))))
+
+        def with_bytes():
+            for b in batches:
+                null = b.column(6).is_null()
+                copies = b.filter(null)
+                if len(copies):
+                    at = copies.column(3).to_numpy()
+                    ready.append(out(copies.column(1).to_numpy(), copies.column(2).to_numpy(), at, at + copies.column(4).to_numpy()))
+                    b = b.filter(pa.array(~np.asarray(null)))
+                yield b
+
+        ready: list = []
+        for x in _in_order(with_bytes(), plan, done):
+            yield from ready
+            ready.clear()
+            yield x
+        yield from ready
+
+    return _sorted_runs(runs(texts, _bitmap(texts, plan), plan)).mapInArrow(spans, "doc long, th long, start long, end long")
 
 
 def without_repeats(docs: DataFrame, plan: RepeatPlan = RepeatPlan(), keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with keep_bytes also kept and spans) for every row."""
     spans = written(removal_spans(docs, plan), "spans")
-    per = spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s")).select("doc", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
-    joined = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc")).join(per, "doc", "left").select("doc_id", "text", "starts", "ends")
+    per = spans.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s")).select("doc", "th", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
+    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    joined = keyed.join(per, ["doc", "th"], "left").select("doc_id", "text", "starts", "ends")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept binary, spans array<struct<start: long, end: long>>" if keep_bytes else ""
 

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonwave.llm.common import table, written
+from axonwave.llm.common import forget, small_side, table, written
 from axonwave.llm.linkage import linked_groups
 from axonwave.llm.repeats import owners_for, packed_by_owner, repeated_bitmap, tested
 
@@ -50,13 +50,13 @@ class JoinPlan:
 
 
 def _sets(batches, width: int):
-    """(doc column, row in it, sorted set) of every row."""
+    """(batch, row in it, sorted set) of every row."""
     from axonwave.llm.vectors import shingle_sets, slices
 
     for b in batches:
         for first, data, offsets in slices(b.column(1)):
             for i, s in enumerate(shingle_sets(data, offsets, width)):
-                yield b.column(0), first + i, s
+                yield b, first + i, s
 
 
 def _class_of(s: np.ndarray) -> tuple[int, int]:
@@ -89,27 +89,27 @@ def _once(batches, plan: JoinPlan):
 
 
 def classes(docs: DataFrame, plan: JoinPlan) -> DataFrame:
-    """kind 0: doc_id, n, f1, f2 of each row; kind 1: f1 a shingle that is frequent in a chunk, n its classes there."""
-    schema = "kind int, doc_id long, n long, f1 long, f2 long, parity binary"
+    """kind 0: doc_id, text_hash, n, f1, f2 of each row; kind 1: f1 a shingle that is frequent in a chunk, n its classes there."""
+    schema = "kind int, doc_id long, n long, f1 long, f2 long, parity binary, text_hash long"
 
     def rows(batches):
         import pyarrow as pa
 
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["kind", "doc_id", "n", "f1", "f2", "parity"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+        names = ["kind", "doc_id", "n", "f1", "f2", "parity", "text_hash"]
         batch = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
         def frequent(held):
             h, n = np.unique(np.concatenate(held), return_counts=True)
             at = np.flatnonzero(n >= plan.local_min)
             zero = np.zeros(len(at), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(zero + 1, pa.int32()), pa.nulls(len(at), pa.int64()), pa.array(n[at], pa.int64()), pa.array(h[at].view(np.int64)), pa.array(zero), pa.nulls(len(at), pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(zero + 1, pa.int32()), pa.nulls(len(at), pa.int64()), pa.array(n[at], pa.int64()), pa.array(h[at].view(np.int64)), pa.array(zero), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64())], names)
 
         out, seen, held, n_held = [], set(), [], 0
-        for ids, i, s in _sets(batches, plan.width):
+        for b, i, s in _sets(batches, plan.width):
             f1, f2 = _class_of(s) if len(s) else (None, None)
             fresh = f1 is not None and f1 not in seen  # one signature of a class and task is enough
-            out.append((0, ids[i].as_py(), len(s), f1, f2, _parity(s, plan.signature) if fresh else None))
+            out.append((0, b.column(0)[i].as_py(), len(s), f1, f2, _parity(s, plan.signature) if fresh else None, b.column(2)[i].as_py()))
             if len(out) >= 10_000:
                 yield batch(zip(*out, strict=True))
                 out = []
@@ -127,7 +127,7 @@ def classes(docs: DataFrame, plan: JoinPlan) -> DataFrame:
         if held:
             yield frequent(held)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).mapInArrow(rows, schema)
 
 
 def frequent_shingles(found: DataFrame, plan: JoinPlan) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +170,7 @@ def _prefix(s: np.ndarray, often, counts, percent: int) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id for every row of docs(doc_id, text)."""
+    """doc_id, n_shingles, class_id, component_id, group (a class of the component), text_hash for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
     texts = docs.select("doc_id", "text")
@@ -251,9 +251,25 @@ def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
     named = known.join(groups.withColumnRenamed("node", "f1"), "f1", "left").withColumn("component", F.coalesce("component", "f1"))
     named = written(named.select("f1", "rep", "component"), "named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("f1", "component_id")
+    named = written(named.join(least, "component").select("f1", "component_id", F.col("component").alias("group")), "groups")
+    forget(known), forget(groups)
     return rows.join(named, "f1", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("f1").alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.col("f1").alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group", "text_hash")
+
+
+def one_of_each(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
+    """docs without near duplicates: of each group the row with the smallest doc_id stays (null last; of equal ones the least hash of the text).
+
+    Rows are told apart by doc_id and text, so a null or repeated doc_id takes nothing else along; of rows alike in both one stays.
+    """
+    found = written(near_duplicates(docs, plan), "near")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    stays = found.where("n_shingles > 0").groupBy("group").agg(F.min(rank).alias("s"), F.count("*").alias("of")).where("of > 1").select("group", "s")
+    gone = written(found.join(stays, "group").where(rank != F.col("s")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "gone")
+    again = not found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
+    forget(found)
+    out = docs.join(small_side(gone), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash")), "left_anti")
+    return out.dropDuplicates(["doc_id", "text"]) if again else out
 
 
 def fragments(texts: DataFrame, near, order, plan: JoinPlan) -> DataFrame:
@@ -271,12 +287,12 @@ def fragments(texts: DataFrame, near, order, plan: JoinPlan) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, part)]), pa.int32()), pa.array(np.concatenate(part).view(np.int64)))
             return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(doc, pa.int64()), pa.array(frag, pa.int32()), pa.array(size, pa.int64()), flat], ["node", "doc_id", "frag", "n", "part"])
 
-        for ids, i, s in _sets(batches, plan.width):
+        for b, i, s in _sets(batches, plan.width):
             if len(s) and test(np.array([(c := _class_of(s)[0])], np.int64).view(np.uint64))[0]:
                 rare, frequent = _split(s, *order.value)
                 for f, part in enumerate([*np.split(rare, np.searchsorted(rare, cuts)), frequent]):
                     if len(part):
-                        out.append((c, ids[i].as_py(), f, len(s), part))
+                        out.append((c, b.column(0)[i].as_py(), f, len(s), part))
                         n += len(part)
                 if n >= 200_000:
                     yield flush()

@@ -1,14 +1,16 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 A source's target, in words, becomes a number of copies for each of its documents: a whole part
-and a fraction. Fractions are rounded in pairs: words move from one document of the pair to the
-other, at random with unchanged expectation, until one of the two is whole; the other goes on to
-the next pair. The words of a source are thereby kept exactly up to the last document, so that its
-taken words miss the target by less than one document.
+and a fraction. Fractions are rounded in pairs: words move between a document and its partner, at random with unchanged expectation of
+either, until one of the two is whole. Documents go by size, the largest first, and the partner is the pool of all smaller ones, each of which takes
+its share; so a large document is settled while there are many to make up for it, and what stays open in the end is
+one of the smallest. A document that is too large for the pool waits for a larger one, and where there
+is none goes the way that the pool can make up for better. Where two documents are left, they are each other's partners. The words of a
+source are thereby kept up to the last document.
 
 Documents are dealt to buckets by a hash of the id, so a source with a third of all rows
-is spread over all buckets. Each bucket leaves one open document for each source; these meet in a reduction tree of fixed
-fan-in, one table a level, until a single one is left, which a last draw decides. Draws are hashes of ids, so reruns agree
+is spread over all buckets. Each bucket leaves the `reserve` smallest documents of each source open (and those that wait); these meet in a reduction tree of fixed
+fan-in, one table a level, until a single bucket is left, where all are settled and a last draw decides the last. Draws are hashes of ids, so reruns agree
 whatever the partitioning.
 
 Targets: sources in code point order, null last, weigh as given, repeating; a source's target is capped
@@ -23,10 +25,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from axonwave.llm.common import small_side, table, words_of, written
+from axonwave.llm.common import forget, fresh, small_side, table, words_of, written
 
 
 @dataclass(frozen=True)
@@ -37,14 +40,20 @@ class Mix:
     seed: int = 7
     bucket_rows: int = 20_000
     fan_in: int = 32
+    reserve: int = 64
 
 
 def targets(sizes: DataFrame, cfg: Mix = Mix()) -> DataFrame:
     """sizes(source, size) -> source, source_size, target; one row for each source."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # rows: sources, not documents
+    order = F.col("source").asc_nulls_last()
+    ranged = written(per.orderBy(order).withColumn("part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # rows: partitions
+    parts = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1 + F.col("first")
     weight = F.element_at(F.array(*[F.lit(w) for w in cfg.weights]), (F.pmod(rank, F.lit(len(cfg.weights))) + 1).cast("int"))
-    per = written(per.withColumn("weight", weight.cast("double")), "sources")
+    per = written(ranged.join(F.broadcast(parts), "part").withColumn("weight", weight.cast("double")).drop("part", "first"), "sources")
+    forget(ranged)
     total = cfg.share * (per.agg(F.sum("source_size")).first()[0] or 0)
     level, before = 0.0, -1
     while True:
@@ -94,51 +103,118 @@ def pivot(items: list[list]) -> tuple[list[list], list | None]:
     return done, open_
 
 
-def _round(pdf):
-    """Pivotal rounding of one group, source by source; open documents keep a fraction."""
-    import pandas as pd
-
-    out = []
-    pdf = pdf.sort_values(["size", "u", "doc"], ascending=[False, True, True], kind="stable")  # the one left open is small
-    for _, own in pdf.groupby("source", dropna=False, sort=False):
-        rows = [[p, s, u, i] for p, s, u, i in zip(own["p"].tolist(), own["size"].tolist(), own["u"].tolist(), own.index, strict=True)]
-        done, open_ = pivot(rows)
-        out += [(r[3], r[0]) for r in done + ([open_] if open_ else [])]
-    pdf = pdf.copy()
-    pdf.loc[[i for i, _ in out], "p"] = pd.array([p for _, p in out], dtype="float64")
-    return pdf
+def _forced(p: float, size: float, mass: float, free: float, u: int, pool):
+    """(whether a document too large for a draw is taken, the pool's fractions then): the way that its pool can make up for better."""
+    short = max(0.0, (1 - p) * size - mass), max(0.0, p * size - free)
+    up = short[0] < short[1] or short[0] == short[1] and _mixed(u) < p
+    if up:
+        return True, pool * (1 - min(1.0, (1 - p) * size / mass)) if mass else pool
+    return False, pool + (1 - pool) * min(1.0, p * size / free) if free else pool
+
+
+def _settled(p: np.ndarray, size: np.ndarray, u: np.ndarray, reserve: int) -> np.ndarray:
+    """p after the documents, largest first, are settled against the pool of all smaller open ones; reserve documents stay in the pool."""
+    p, part = p.copy(), 0.5 if reserve else 1.0  # of the pool's room that one document may use
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    if len(open_) > 1 and (p[open_] == p[open_[0]]).all():  # as dealt: one number for the whole pool
+        x, rest = float(p[open_[0]]), np.append(np.cumsum(size[open_][::-1])[::-1], 0).tolist()
+        waits, at = [], 0
+        while at < len(open_) - max(reserve, 1) and 0 < x < 1:
+            i, of = open_[at], rest[at + 1]
+            s = float(size[i])
+            if s * max(x, 1 - x) > part * of * min(x, 1 - x):
+                if reserve:
+                    waits.append((i, x))
+                else:
+                    up, x = _forced(x, s, x * of, of - x * of, int(u[i]), x)
+                    p[i] = float(up)
+            else:
+                up = _mixed(int(u[i])) < x
+                x, p[i] = x + (x - up) * s / of, float(up)
+            at += 1
+        p[open_[at:]] = x
+        for i, was in waits:
+            p[i] = was
+        return p
+    for k in range(len(open_) - max(reserve, 1)):
+        i, pool = open_[k], open_[k + 1 :]
+        room = np.minimum(p[pool], 1 - p[pool])
+        of = float(room @ size[pool])
+        x, s = float(p[i]), float(size[i])
+        if 0 < x < 1 and s * max(x, 1 - x) <= part * of:
+            up = _mixed(int(u[i])) < x
+            p[pool] = np.clip(p[pool] + (x - up) * s / of * room, 0.0, 1.0)
+            p[i] = float(up)
+        elif 0 < x < 1 and not reserve:
+            mass = float(p[pool] @ size[pool])
+            up, p[pool] = _forced(x, s, mass, float(size[pool].sum()) - mass, int(u[i]), p[pool])
+            p[i] = float(up)
+    return p
+
+
+def _round(reserve: int):
+    """Pivotal rounding of one group, source by source. reserve: documents left open; 0: one at most, by pairs."""
+
+    def rounded(pdf):
+        pdf = pdf.sort_values(["size", "u", "doc"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        p = pdf["p"].to_numpy(dtype="float64").copy()
+        size, u = pdf["size"].to_numpy(dtype="float64"), pdf["u"].to_numpy()
+        for own in pdf.groupby("source", dropna=False, sort=False).indices.values():
+            own = np.sort(own)
+            p[own] = _settled(p[own], size[own], u[own], reserve)
+            if not reserve:
+                left = [[p[i], size[i], int(u[i]), i] for i in own if 0 < p[i] < 1]
+                done, open_ = pivot(left)
+                for r in done + ([open_] if open_ else []):
+                    p[r[3]] = r[0]
+        return pdf.assign(p=p)
+
+    return rounded
 
 
 def mixed(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", cfg: Mix = Mix()) -> DataFrame:
-    """doc, source, size, source_size, target, taken (words), copies for every row."""
+    """doc, source, size, source_size, target, taken (words), copies, text_hash for every row."""
     spark = docs.sparkSession
-    thin = written(docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size")), "sizes")
+    thin = written(docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")), "sizes")
     goal = written(targets(thin, cfg), "targets")
     g = small_side(goal.withColumnRenamed("source", "_s"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = thin.join(g, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("base", F.when(F.col("size") > 0, F.floor(ratio)).otherwise(0))
     rows = rows.withColumns({
         "p": F.when(F.col("size") > 0, ratio - F.col("base")).otherwise(0.0),
-        "u": F.xxhash64(F.coalesce("doc", F.lit(-1)), F.lit(cfg.seed)),
+        "u": F.xxhash64(F.coalesce("doc", F.lit(-1)), "text_hash", F.lit(cfg.seed)),
     })
     n, n_sources = thin.count(), goal.count()
-    buckets, lanes = max(1, -(-n // cfg.bucket_rows)), max(1, -(-n_sources // 1000))
+    buckets, lanes = max(1, -(-n // cfg.bucket_rows)), max(1, -(-n_sources // 100))
     rows = rows.withColumns({"bucket": F.pmod(F.col("u"), F.lit(buckets)), "lane": F.pmod(F.hash("source"), F.lit(lanes))})
     schema = rows.schema
     decided = []
-    rows = written(rows.groupBy("bucket").applyInPandas(_round, schema), "mix")
     is_open = (F.col("p") > 0) & (F.col("p") < 1)
+    rows = written(rows.groupBy("bucket").applyInPandas(_round(cfg.reserve if buckets > 1 else 0), schema), "mix")
     while buckets > 1:
         decided.append(rows.where(~is_open))
         buckets = -(-buckets // cfg.fan_in)
         up = rows.where(is_open).withColumn("bucket", F.floor(F.col("bucket") / cfg.fan_in))
-        rows = written(up.groupBy("bucket", "lane").applyInPandas(_round, schema), "mix")
+        rows = written(up.groupBy("bucket", "lane").applyInPandas(_round(cfg.reserve if buckets > 1 else 0), schema), "mix")
     last = F.when(is_open, (F.pmod(F.xxhash64("u", F.lit(cfg.seed + 1)), F.lit(1 << 30)) < F.col("p") * (1 << 30)).cast("double")).otherwise(F.col("p"))
     out = rows.withColumn("p", last)
     for x in decided:
         out = out.unionByName(x)
     copies = (F.col("base") + F.round("p")).cast("long")
-    return out.select(F.col("doc").alias(doc), "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return out.select(F.col("doc").alias(doc), "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "text_hash")
+
+
+def mix_of(docs: DataFrame, cfg: Mix = Mix()) -> DataFrame:
+    """The rows of docs(doc_id, text, source, ...), each as often as the mix takes it; rows alike in these three count together."""
+    key = fresh(docs, "_key"), fresh(docs, "_copies")
+    taken = mixed(docs, cfg=cfg).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias(key[1]), F.count("*").alias("rows"))
+    taken = written(taken, "taken")
+    alike = not taken.where("rows > 1").isEmpty()
+    taken = taken.where(F.col(key[1]) > 0).select(F.struct("doc_id", "source", "text_hash").alias(key[0]), key[1])
+    rows = docs.dropDuplicates(["doc_id", "text", "source"]) if alike else docs
+    own = F.struct(rows["doc_id"], rows["source"], F.xxhash64(F.coalesce(rows["text"], F.lit(""))))
+    out = rows.join(small_side(taken, 20_000), own.eqNullSafe(F.col(key[0])))
+    return out.withColumn(key[1], F.explode(F.sequence(F.lit(1), F.col(key[1]).cast("int")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,11 @@
 """WARC as a chunked record table, written to and read back from real WARC files.
 
-Writing: a page becomes rows (record, chunk number, bytes of the chunk); oversized payloads are
-continuation segments (WARC-Segment-Number), so neither side ever holds a whole payload as a
-record. A row is one complete WARC segment and Spark's text writer ends each with CRLF, so the files
+Writing: a page becomes rows (record, chunk number, bytes of the chunk, its digest); oversized payloads are
+continuation segments (WARC-Segment-Number, each with its WARC-Block-Digest), cut in one pass, and no chunk row holds more than its chunk. A row is one complete WARC segment and Spark's text writer ends each with CRLF, so the files
 are plain WARC 1.1 (gzip), on any file system that Spark writes to, with its commit protocol.
 
 Reading: a file is streamed line by line (CRLF), segments are cut by Content-Length, and a
-SHA-256 is carried from chunk to chunk; a response whose digest or length differs from its
+SHA-256 is carried from chunk to chunk; a chunk or a response whose digest or length differs from its
 header is an error.
 
 Equal payloads (SHA-256 and length, at least least_bytes long) have one response, that of the smallest
@@ -45,12 +44,10 @@ def segments(pages: DataFrame, least_bytes: int = 100, chunk_chars: int = 1 << 1
     html, crlf = F.coalesce(F.col("html"), F.lit("")), F.lit("\r\n")
     p = pages.select("page_id", F.regexp_replace("url", "[\r\n]", "").alias("url"), html.alias("html")).join(copies, "page_id", "left")
     revisit = F.col("refers_to").isNotNull()
-    p = p.withColumns({
-        "n": F.octet_length("html"), "sha": F.sha2("html", 256),
-        "chunks": F.when(revisit, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.length("html") / chunk_chars))).cast("int"),
-    })
-    p = p.withColumn("chunk", F.explode(F.sequence(F.lit(1), F.col("chunks"))))
-    part = F.when(revisit, "").otherwise(F.substr(F.col("html"), (F.col("chunk") - 1) * chunk_chars + 1, F.lit(chunk_chars)))
+    cut = F.when(F.length("html") <= chunk_chars, F.array("html")).otherwise(F.regexp_extract_all("html", F.lit(f"(?s)(.{{1,{chunk_chars}}})"), F.lit(1)))
+    p = p.withColumns({"n": F.octet_length("html"), "sha": F.sha2("html", 256), "parts": F.when(revisit, F.array(F.lit(""))).otherwise(cut)}).drop("html")
+    p = p.withColumn("chunks", F.size("parts"))
+    p = p.select("page_id", "url", "refers_to", "n", "sha", "chunks", F.posexplode("parts").alias("chunk", "part")).withColumn("chunk", F.col("chunk") + 1)
     field = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), crlf)).otherwise("")
     first, many = F.col("chunk") == 1, F.col("chunks") > 1
     only_first = lambda c: F.when(first, c)
@@ -61,14 +58,14 @@ def segments(pages: DataFrame, least_bytes: int = 100, chunk_chars: int = 1 << 1
         field("WARC-Record-ID", F.concat(F.lit("<"), record, F.when(first, "").otherwise(F.concat(F.lit(":"), F.col("chunk"))), F.lit(">"))),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z\r\n"), field("WARC-Target-URI", only_first(F.col("url"))),
         field("WARC-Payload-Digest", only_first(F.concat(F.lit("sha256:"), F.col("sha")))),
-        field("WARC-Payload-Length", only_first(F.col("n"))),
+        field("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.sha2("part", 256))), field("WARC-Payload-Length", only_first(F.col("n"))),
         field("WARC-Refers-To", only_first(F.concat(F.lit(f"<{RECORD}"), F.col("refers_to"), F.lit(">")))),
         field("WARC-Profile", F.when(first & revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         field("WARC-Segment-Number", F.when(many, F.col("chunk"))),
         field("WARC-Segment-Origin-ID", F.when(~first, F.concat(F.lit("<"), record, F.lit(">")))),
         field("WARC-Segment-Total-Length", F.when(F.col("chunk") == F.col("chunks"), F.when(many, F.col("n")))),
         F.lit("Content-Type: text/html;charset=utf-8\r\n"), field("Content-Length", F.octet_length("part")), crlf, F.col("part"), crlf)
-    return p.withColumn("part", part).select("page_id", "chunk", head.alias("value"))
+    return p.select("page_id", "chunk", head.alias("value"))
 
 
 def write_archives(records: DataFrame, path: str) -> None:
@@ -132,10 +129,13 @@ def records_of(lines: Iterator[tuple[str, str]]) -> Iterator[tuple]:
             now, sha, n, chunks = head, hashlib.sha256(), 0, 0
         elif now is None or head["WARC-Segment-Origin-ID"] != now["WARC-Record-ID"] or int(head["WARC-Segment-Number"]) != chunks + 1:
             raise ValueError(f"segment out of order: {head['WARC-Record-ID']}")
-        chunks += 1
+        chunks, block = chunks + 1, hashlib.sha256()
         for piece in body:
             sha.update(piece)
+            block.update(piece)
             n += len(piece)
+        if head.get("WARC-Block-Digest", digest := f"sha256:{block.hexdigest()}") != digest:
+            raise ValueError(f"digest of segment {chunks} of {now['WARC-Record-ID']} differs")
     if now is not None:
         yield closed()
 

@@ -1,22 +1,24 @@
-"""Fuzzy line dedup: MinHash bands of normalised lines, edit similarity, connected groups.
+"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
 
-A line is normalised to its words: A-Z lower-cased, digits as 0, white space and ASCII punctuation
-as separators. In scripts without blanks each
-character is a word, and counts as half a one. Lines with fewer than min_words words are compared for equality only, digits included.
+A line is normalised to its words: A-Z lower-cased, white space and ASCII punctuation as separators, digits as they are. In scripts
+without blanks each character is a word, and counts as half a one. Lines with fewer than min_words words are compared for equality only.
 Equal normalised lines are one node. Two nodes link when
-their edit similarity (1 - distance / longer length, on normalised text) is at least min_similarity. Candidates share a band: `rows` of
-the least values of their words under `functions` hash functions. Two lines with a share J of their words in common (of those in either)
-share a band with probability about 1 - (1 - J**rows)**bands: 1.00 for J = 9/11 (one word of ten changed), 0.95 for 8/12. The chance falls for
-lines with small edits in most of their words; the README has the measured recall. Bands that occur once are left out by a bitmap,
-lengths that rule the similarity out by the join, and linkage.py keeps the tests of a bucket linear. Of each connected group the first
-occurrence (smallest doc_id, then place) stays, all others go.
-
-Everything before the test is thin rows of numbers; the words of candidate lines are read again for the test. A line that occurs in
-every document is one node, counted by a combined aggregate.
-
-Edge cases: null text is empty and stays as it is; a document that loses lines and is left without a line with a word (without one of
-min_words words, unless keep_rest) is dropped by deduped() and reported as dropped; the query and the pipeline set keep_rest; rows that repeat a doc_id with the same text are one document; a null doc_id ranks before
-all others, and documents with null ids are told apart by text. Very long lines are one line. Other columns pass through deduped() unchanged, n_chars excepted.
+their edit similarity (1 - distance / longer length, on normalised text) is at least min_similarity. Candidates agree in a block, by the
+pigeonhole idea that an edit spoils a few blocks only. Blocks of sign bits would do for nearly equal lines alone: one word of ten changed
+turns every seventh bit of a SimHash (README: measured recall). So a block holds `rows` word pairs, each the least
+of the line's under a hash function of its own, and lines of up to short_words words have three blocks more, of their first and last words, one of which outlives any
+edit of one word. The 1,024 sign bits of the SimHash over the different words are the second test: lines of a block that differ in more than sign_bits (short_bits in short lines) are no pair.
+Blocks that occur once are left out by a bitmap, lengths that rule the similarity out by the join, and linkage.py keeps the tests of a bucket linear.
+Of each connected group the first occurrence (smallest doc_id, then place) stays, all others go.
+
+One pass over the texts makes a table of lines, with numbers for all that follows and the text of a long line's first occurrence in a slice. Lines that occur
+once and have no partner are sorted out by bitmaps before anything is joined; a line that occurs in every document is one node, counted by a
+combined aggregate. Equality of lines is that of 64 and further 32 bits of hash.
+
+Edge cases: null text is empty and stays as it is; a document that loses lines and with them at least the share most_lost of its words is dropped by
+deduped() and reported as dropped (1: all of its words; the pipeline drops near copies, with 0.8); rows that repeat a doc_id with the same text are one document; a null doc_id ranks before
+all others, and documents with null ids are told apart by text. Very long lines are one line. deduped() returns the columns of docs,
+all as they were but text and n_chars; with_lines_removed() adds n_lines, n_removed and dropped and replaces columns of these names.
 """
 
 from __future__ import annotations
@@ -27,36 +29,34 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonwave.llm.common import batches_of, table, written
+from axonwave.llm.common import ascii_lower, batches_of, forget, fresh, key_side, small_side, table, written
 from axonwave.llm.linkage import linked_groups
-from axonwave.llm.repeats import owners_for, packed_by_owner, repeated_bitmap, tested
+from axonwave.llm.repeats import bitmap_of, owners_for, packed_by_owner, tested
 
 NO_DOC = -(1 << 63)
+#: What stands between words.
+SEPARATORS = r"[\x20\x09-\x0D!-/:-@\[-`{-~]+"
+SIGN = tuple(f"s{i}" for i in range(16))  #: columns of the SimHash
 
 
 @dataclass(frozen=True)
 class LinePlan:
     min_words: int = 5
     min_similarity: float = 0.8
-    functions: int = 66
-    rows: int = 6  #: of functions in a band; every function is in three bands
-    bits: int = 27  #: of the bitmap of bands that occur again
-    node_bits: int = 22  #: of the bitmap of candidate lines
-    keep_rest: bool = False  #: a document goes only if no line with a word is left; else if none of min_words words is
+    rows: int = 3  #: word pairs in a block
+    blocks: int = 10
+    short_words: int = 10  #: lines of up to so many words have blocks of their first and last words as well
+    sign_bits: int = 208  #: of 1024 that may differ: the angle whose cosine is 0.8
+    short_chars: int = 100  #: in lines of fewer characters a word is many bits:
+    short_bits: int = 448
+    bits: int = 27  #: of the bitmaps of repeated blocks and of candidate lines
+    most_lost: float = 1.0  #: a document goes if it loses this share of its words
 
 
-#: Of the query and the pipeline.
-WHOLE = LinePlan(keep_rest=True)
-
-
-#: A character that is none of the separators below.
-WORD = r"[^\x20\x09-\x0D!-/:-@\[-`{-~]"
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, *range(9, 14), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
-_EXACT = _PLAIN.copy()  # lower case, digits as they are
-_PLAIN[48:58] = 48
 
 
 def line_words(data: np.ndarray, offsets: np.ndarray):
@@ -94,31 +94,52 @@ def unspaced(data: np.ndarray) -> np.ndarray:
     return (data >= 0xE3) & (data <= 0xE9) | (data == 0xF0) & (second >= 0xA0) & (second <= 0xB3) | thai | khmer
 
 
-def band_keys(words: np.ndarray, begin: np.ndarray, plan: LinePlan) -> np.ndarray:
-    """Keys (lines x bands) of the runs of word hashes that begin at begin and follow one another without gaps."""
-    from axonwave.llm.vectors import mix
-
-    odd = mix(np.arange(1, plan.functions + 1, dtype=np.uint64)) | np.uint64(1)
-    least = np.empty((plan.functions, len(begin)), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(plan.functions):
-            least[j] = np.minimum.reduceat(words * odd[j], begin)
-        each = np.arange(plan.functions)
-        bands = np.concatenate([each * step % plan.functions for step in (1, 5, 25)]).reshape(-1, plan.rows)
-        out = np.empty((len(begin), len(bands)), np.uint64)
-        for b, of in enumerate(bands):
-            key = np.full(len(begin), b + 1, np.uint64)
-            for j in of:
-                key = mix(key + least[j])
-            out[:, b] = key
+def signs(words: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """SimHash of 64 bits of each line: the majority of its words' bits, ties as 0."""
+    most = 255  #: words that a counter of eight bits can take
+    parts = -(-count // most)
+    line = np.repeat(np.arange(len(begin)), parts)
+    at = begin[line] + most * (np.arange(len(line)) - np.repeat(np.cumsum(parts) - parts, parts))
+    heads = np.cumsum(parts) - parts
+    out = np.zeros(len(begin), np.uint64)
+    for k in range(8):  # the bits k, k + 8, ... of a word are counted at once, each in a byte of its own
+        n = np.add.reduceat((words >> np.uint64(k)) & np.uint64(0x0101010101010101), at).astype("<u8").view(np.uint8).reshape(-1, 8)
+        n = np.add.reduceat(n.astype(np.int32), heads)
+        for j in range(8):
+            out |= (2 * n[:, j] > count).astype(np.uint64) << np.uint64(8 * j + k)
     return out
 
 
-def _lines(batches, plan: LinePlan, short: bool = False):
-    """For each slice: first row, bytes, (word start, end, hash) and per line: row, place, node, first word, words, long.
+def block_keys(words: np.ndarray, begin: np.ndarray, count: np.ndarray, plan: LinePlan) -> tuple[np.ndarray, np.ndarray]:
+    """(line of each key, key) of lines whose word hashes begin at begin and follow one another without gaps."""
+    from axonwave.llm.vectors import mix
 
-    Only lines long enough for the fuzzy join, or with short all lines with a word; the node of a short line keeps its digits.
-    """
+    last = begin + count - 1
+    follows = np.append(words[1:], np.uint64(0))
+    follows[last] = np.uint64(0x1D8E4E27C47D124F)
+    odd = mix(np.arange(1, plan.rows * plan.blocks + 1, dtype=np.uint64)) | np.uint64(1)
+    every, keys = np.arange(len(begin)), []
+
+    def key(number: int, of, at):
+        out = np.full(len(at), number, np.uint64)
+        for x in of:
+            out = mix(out + x)
+        return at, out
+
+    with np.errstate(over="ignore"):
+        pair = mix(words * np.uint64(0x9E3779B97F4A7C15) + mix(follows))
+        for b in range(plan.blocks):
+            keys.append(key(b + 1, [np.minimum.reduceat(pair * odd[b * plan.rows + r], begin) for r in range(plan.rows)], every))
+        few = np.flatnonzero((count <= plan.short_words) & (count >= 4))
+        i, j = begin[few], last[few]
+        keys.append(key(101, (words[i], words[i + 1], words[i + 2]), few))
+        keys.append(key(102, (words[j], words[j - 1], words[j - 2]), few))
+        keys.append(key(103, (words[i], words[i + 1], words[j - 1], words[j]), few))
+    return np.concatenate([k[0] for k in keys]), np.concatenate([k[1] for k in keys])
+
+
+def _lines(batches, plan: LinePlan):
+    """For each slice: batch, first row, bytes, plain bytes, (word start, end, hash) and per line with a word: row, place, node, check, first word, words, long."""
     from axonwave.llm.vectors import mix, powers, prefix_sums, slices, span_hashes
 
     for b in batches:
@@ -131,22 +152,16 @@ def _lines(batches, plan: LinePlan, short: bool = False):
                 continue
             begin = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
             count = np.diff(np.append(begin, len(line)))
-            long = 2 * count - np.add.reduceat(unspaced(data)[start].astype(np.int64), begin) >= 2 * plan.min_words
-            chosen = long | short
-            if not chosen.any():
-                continue
-            words = np.repeat(chosen, count)
-            start, end, line = start[words], end[words], line[begin[chosen]]
-            count, long = count[chosen], long[chosen]
-            begin = np.cumsum(count) - count
+            alone = unspaced(data)[start]
+            long = 2 * count - np.add.reduceat(alone.astype(np.int64), begin) >= 2 * plan.min_words
             h = span_hashes(prefix_sums(data), start, end)
-            if not long.all():
-                at = np.flatnonzero(np.repeat(~long, count))
-                h[at] = span_hashes(prefix_sums(_EXACT[raw]), start[at], end[at])
             with np.errstate(over="ignore"):
                 order = np.arange(len(h)) - np.repeat(begin, count)
-                node = mix(np.add.reduceat(h * powers(0xD1342543DE82EF95, int(count.max()) + 1)[order], begin) + count.astype(np.uint64))
-            yield b, first, data, start, end, h, row[line], place[line], node, begin, count, long
+                most = int(count.max()) + 1
+                node = mix(np.add.reduceat(h * powers(0xD1342543DE82EF95, most)[order], begin) + count.astype(np.uint64))
+                check = mix(np.add.reduceat(mix(h) * powers(0xA0761D6478BD642F, most)[order], begin)) >> np.uint64(32)
+            line = line[begin]
+            yield b, first, raw, data, start, end, h, row[line], place[line], node, check.astype(np.uint32).view(np.int32), begin, count, long
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -154,77 +169,141 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame, plan: LinePlan) -> DataFrame:
-    """doc, th (hash of the text), pos, node, long (min_words words or more) of every line with a word."""
+    """doc, th (hash of the text), pos, node, check, words of every line with a word; n (characters), keys, line of the long ones.
+
+    Of the lines that a slice of the texts has several times, one has keys, and line: its text from the first word to the last.
+    """
 
     def rows(batches):
         import pyarrow as pa
 
-        for b, first, _, _, _, _, row, place, node, _, _, long in _lines(batches, plan, True):
-            at = pa.array(first + row)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(long)], ["doc", "th", "pos", "node", "long"])
-
-    return _keyed(docs).mapInArrow(rows, "doc long, th long, pos int, node long, long boolean")
-
+        from axonwave.llm.vectors import gathered
 
-def line_buckets(docs: DataFrame, plan: LinePlan) -> DataFrame:
-    """bucket, node, n (characters of the normalised line) of the bands that seem to occur more than once; rows may repeat."""
-    spark, owners = docs.sparkSession, owners_for(docs)
+        for b, first, raw, data, start, end, h, row, place, node, check, begin, count, long in _lines(batches, plan):
+            at = pa.array(first + row)
+            own = np.flatnonzero(long)
+            own = own[np.unique(node[own], return_index=True)[1]]
+            n, keys = np.zeros(len(node), np.int32), pa.nulls(len(node), pa.binary())
+            text = pa.nulls(len(node), pa.string())
+            if len(own):
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                apart = np.append(start[1:] > end[:-1], False)  # a blank comes behind the word
+                apart[begin + count - 1] = False
+                n = np.add.reduceat(chars[end] - chars[start] + apart, begin).astype(np.int32)
+                sub = np.repeat(np.isin(np.arange(len(node)), own), count)
+                own = np.sort(own)
+                w, c = h[sub], count[own]
+                i = np.cumsum(c) - c
+                line, k = block_keys(w, i, c, plan)
+                k = k[np.argsort(line, kind="stable")]
+                offsets = np.zeros(len(node) + 1, np.int64)
+                offsets[own + 1] = 8 * np.bincount(line, minlength=len(own))
+                valid = np.zeros(len(node), bool)
+                valid[own] = True
+                some = pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+                cells = lambda kind, offsets, blob: pa.Array.from_buffers(kind, len(node), [some, pa.py_buffer(np.cumsum(offsets).astype(np.int32).tobytes()), pa.py_buffer(blob.tobytes())])
+                keys = cells(pa.binary(), offsets, k)
+                i = begin[own]
+                size = end[i + count[own] - 1] - start[i]
+                offsets[own + 1] = size
+                text = cells(pa.string(), offsets, gathered(raw, start[i], size)[0])
+            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(check), pa.array(count.astype(np.int32)), pa.array(n), keys, text]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "th", "pos", "node", "check", "words", "n", "keys", "line"])
+
+    return _keyed(docs).mapInArrow(rows, "doc long, th long, pos int, node long, check int, words int, n int, keys binary, line string")
+
+
+def _values(column) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint64)
+
+
+def line_buckets(lines: DataFrame, again, plan: LinePlan) -> DataFrame:
+    """bucket, node, n of the blocks that seem to occur in more than one node; again: bitmap of the nodes that occur more than once."""
+    spark, owners = lines.sparkSession, owners_for(lines)
+    long = lines.where("keys IS NOT NULL").select("node", "n", "keys")
+
+    def chosen(wanted: bool):
+        def rows(batches):
+            import pyarrow as pa
+
+            test = tested(again.value, plan.bits)
+            for b in batches:
+                yield b.filter(pa.array(test(b.column(0).to_numpy().view(np.uint64)) == wanted))
+
+        return long.mapInArrow(rows, long.schema)
+
+    once = written(chosen(True).dropDuplicates(["node"]), "once").unionByName(chosen(False))
 
     def keys(batches):
-        from axonwave.llm.vectors import mix
-
-        for _, _, data, start, end, h, _, _, node, begin, count, _ in _lines(batches, plan):
-            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            once = np.unique(node, return_index=True)[1]
-            apart = np.append(start[1:] > end[:-1], False)  # a blank comes behind the word
-            apart[begin + count - 1] = False
-            n = np.add.reduceat(chars[end] - chars[start] + apart, begin)
-            pair = unspaced(data)[start]  # single characters say little
-            pair[begin + count - 1] = False
-            at = np.flatnonzero(pair)
-            h[at] = mix(h[at] * np.uint64(3) + h[at + 1])
-            yield node[once], n[once], band_keys(h, begin, plan)[once]
-
-    blobs = _keyed(docs).mapInArrow(lambda batches: packed_by_owner((k.reshape(-1) for _, _, k in keys(batches)), owners), "owner int, hashes binary")
+        yield from packed_by_owner((_values(b.column(0)) for b in batches if len(b)), owners)
+
     with batches_of(spark, "16m"):
-        again = spark.sparkContext.broadcast(repeated_bitmap(blobs, owners, plan.bits))
+        repeated = spark.sparkContext.broadcast(bitmap_of(once.select("keys").mapInArrow(keys, "owner int, hashes binary"), owners, plan.bits))
 
     def rows(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        test = tested(again.value, plan.bits)
-        for node, n, k in keys(batches):
-            line, band = np.nonzero(test(k))
-            yield pa.RecordBatch.from_arrays([pa.array(k[line, band].view(np.int64)), pa.array(node[line].view(np.int64)), pa.array(n[line].astype(np.int32))], ["bucket", "node", "n"])
+        test = tested(repeated.value, plan.bits)
+        for b in batches:
+            if len(b):
+                k = _values(b.column(2))
+                line = np.repeat(np.arange(len(b)), pc.binary_length(b.column(2)).to_numpy() // 8)
+                hit = test(k)
+                at = pa.array(line[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(k[hit].view(np.int64)), b.column(0).take(at), b.column(1).take(at)], ["bucket", "node", "n"])
 
-    return _keyed(docs).mapInArrow(rows, "bucket long, node long, n int")
+    return once.mapInArrow(rows, "bucket long, node long, n int")
 
 
-def line_texts(docs: DataFrame, wanted, plan: LinePlan) -> DataFrame:
-    """node, line (normalised text) of the lines whose node is in the bitmap."""
+def _nodes_of(df: DataFrame, owners: int, bits: int, least: int):
+    """Bitmap of the nodes that occur least times."""
 
-    def rows(batches):
-        import pyarrow as pa
+    def hashes(batches):
+        yield from packed_by_owner((b.column(0).to_numpy().view(np.uint64) for b in batches if len(b)), owners)
+
+    with batches_of(df.sparkSession, "16m"):
+        return df.sparkSession.sparkContext.broadcast(bitmap_of(df.select("node").mapInArrow(hashes, "owner int, hashes binary"), owners, bits, least))
 
-        test = tested(wanted.value, plan.node_bits)
-        for _, _, data, start, end, _, _, _, node, begin, count, _ in _lines(batches, plan):
-            at = np.flatnonzero(test(node))
-            ends = np.append(start[1:] > end[:-1], False)
-            text = lambda i: b"".join(data[start[k] : end[k]].tobytes() + b" " * bool(ends[k]) for k in range(begin[i], begin[i] + count[i])).rstrip(b" ")
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.array([text(i).decode() for i in at], pa.string())], ["node", "line"])
 
-    return _keyed(docs).mapInArrow(rows, "node long, line string")
+def signs_of(batches):
+    """node, n, the words of the SimHash of each line, from batches of node, n, line."""
+    import pyarrow as pa
+
+    from axonwave.llm.vectors import mix, prefix_sums, slices, span_hashes
+
+    for b in batches:
+        for first, data, offsets in slices(b.column(2)):
+            rows = len(offsets) - 1
+            start, end, line, row, _ = line_words(data, offsets)
+            w, row = span_hashes(prefix_sums(data), start, end), row[line]
+            order = np.lexsort((w, row))  # each word of a line once, so that the frequent ones do not rule
+            w, row = w[order], row[order]
+            new = np.ones(len(w), bool)
+            new[1:] = (w[1:] != w[:-1]) | (row[1:] != row[:-1])
+            w, row = w[new], row[new]
+            begin = np.searchsorted(row, np.arange(rows))
+            count, cols = np.bincount(row, minlength=rows), []
+            for _ in SIGN:
+                cols.append(pa.array(signs(w, begin, count).view(np.int64)))
+                w = mix(w)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, rows), b.column(1).slice(first, rows), *cols], ["node", "n", *SIGN])
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
 
 
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, bit-parallel on integers of any length, after cutting what both begin and end with."""
-    n = min(len(a), len(b))
-    i = next((i for i in range(n) if a[i] != b[i]), n)
-    a, b = a[i:], b[i:]
-    n = min(len(a), len(b))
-    j = next((j for j in range(n) if a[-1 - j] != b[-1 - j]), n)
-    a, b = a[: len(a) - j], b[: len(b) - j]
+    """Levenshtein distance, bit-parallel on integers of any length."""
     if not a or not b:
         return max(len(a), len(b))
     full = (1 << len(a)) - 1
@@ -239,84 +318,141 @@ def edit_distance(a: str, b: str) -> int:
         plus, minus = down | ~(d0 | up) & full, up & d0
         distance += bool(plus & top) - bool(minus & top)
         plus, minus = plus << 1 | 1, minus << 1
-        x = match | down
         up, down = (minus | ~(d0 | plus)) & full, plus & d0 & full
     return distance
 
 
-def line_groups(docs: DataFrame, lines: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
-    """node, first (struct doc, th, pos of the occurrence that stays) of all lines that occur more than once or are linked."""
-    spark = docs.sparkSession
-    nodes = written(lines.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "pos")).alias("first")), "nodes")
-
-    def near(x, y):
+def close(a: str, b: str, similarity: float) -> bool:
+    """Whether the edit similarity is at least that. The cost of some way to edit words, if it is low enough, saves the exact distance."""
+    most = (1 - similarity) * max(len(a), len(b)) + 1e-9
+    if abs(len(a) - len(b)) > most:
+        return False
+    i = _common(a, b)
+    a, b = a[i:], b[i:]
+    i = _common(a[::-1], b[::-1])
+    a, b = a[: len(a) - i], b[: len(b) - i]
+    if max(len(a), len(b)) <= most:
+        return True
+    x, y, i, j, cost = a.split(" "), b.split(" "), 0, 0, 0
+    size = lambda words: sum(map(len, words)) + len(words)
+    while i < len(x) and j < len(y) and cost <= most:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        # where the two go on alike: words changed, left out or put in
+        ahead = ((k, skip - k) for skip in range(1, 7) for k in (skip // 2, *range(skip, -1, -1)) if i + k < len(x) and j + skip - k < len(y) and x[i + k] == y[j + skip - k])
+        gone, new = next(ahead, (len(x) - i, len(y) - j))
+        cost += max(size(x[i : i + gone]), size(y[j : j + new]))
+        i, j = i + gone, j + new
+    if cost + max(size(x[i:]), size(y[j:])) <= most:
+        return True
+    return edit_distance(a, b) <= most
+
+
+def line_links(lines: DataFrame, again, plan: LinePlan = LinePlan()) -> DataFrame:
+    """node, component of the lines that are linked with others."""
+    long = lines.where("keys IS NOT NULL")
+
+    def sizes(x, y):
         return F.least(x("n"), y("n")) >= plan.min_similarity * F.greatest(x("n"), y("n")) - 1e-6
 
+    def alike(x, y):
+        differ = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in SIGN), F.lit(0))
+        return differ <= F.when(F.least(x("n"), y("n")) < plan.short_chars, plan.short_bits).otherwise(plan.sign_bits)
+
     def similar(batches):
         import pyarrow as pa
 
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                most = (1 - plan.min_similarity) * max(len(x), len(y)) + 1e-9
-                keep.append(abs(len(x) - len(y)) <= most and edit_distance(x, y) <= most)
+            keep = [close(x, y, plan.min_similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             out = b.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], ["a", "b"])
 
+    texts = []
+
+    def described(nodes: DataFrame) -> DataFrame:
+        plain = F.regexp_replace(ascii_lower(F.col("line")), SEPARATORS, " ")
+        found = long.select("node", "n", "line").join(key_side(nodes), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("line").alias("line"))
+        texts.append(written(found.select("node", "n", plain.alias("line")), "texts"))
+        return texts[0].mapInArrow(signs_of, "node long, n int, " + ", ".join(f"{c} long" for c in SIGN))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        slots = wanted.select(F.shiftrightunsigned("node", 64 - plan.node_bits).cast("int").alias("slot")).distinct().toArrow()
-        bitmap, at = np.zeros((1 << plan.node_bits) // 8, np.uint8), slots.column("slot").to_numpy()
-        np.bitwise_or.at(bitmap, at >> 3, (1 << (7 - (at & 7))).astype(np.uint8))
-        if not len(at):
-            return pairs
-        texts = line_texts(docs, spark.sparkContext.broadcast(bitmap), plan).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
-        texts = written(texts, "lines")
-        side = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"))
+        side = lambda c: texts[0].select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "line_a", "line_b").mapInArrow(similar, "a long, b long")
 
-    linked = linked_groups(line_buckets(docs, plan), verify, carry=("n",), near=near)
-    named = nodes.join(linked, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    several = named.groupBy("group").agg(F.sum("n").alias("of"), F.min("first").alias("first")).where("of > 1").select("group", "first")
-    return named.select("node", "group").join(several, "group").select("node", "first")
+    out = linked_groups(line_buckets(lines, again, plan), verify, carry=("n",), near=sizes, attributes=described, alike=alike, large=1 << 62)
+    forget(texts[0])
+    return out
+
+
+def line_groups(lines: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
+    """doc, th, pos, words, node and first (struct doc, th, pos of the occurrence that stays) of all lines that occur more than once or are linked."""
+    owners = owners_for(lines)
+    again = _nodes_of(lines, owners, plan.bits, 2)
+    linked = line_links(lines, again, plan)
+    joined = _nodes_of(linked, owners, plan.bits, 1)
+
+    def several(batches):
+        import pyarrow as pa
+
+        twice, other = tested(again.value, plan.bits), tested(joined.value, plan.bits)
+        for b in batches:
+            node = b.column(3).to_numpy().view(np.uint64)
+            yield b.filter(pa.array(twice(node) | other(node)))
+
+    thin = lines.select("doc", "th", "pos", "node", "check", "words")
+    some = thin.mapInArrow(several, thin.schema).join(linked, "node", "left")
+    some = some.withColumns({"group": F.coalesce("component", "node"), "own": F.when(F.col("component").isNull(), F.col("check"))})
+    some = written(some.select("doc", "th", "pos", "node", "words", "group", "own"), "several")
+    first = some.groupBy("group", "own").agg(F.count("*").alias("of"), F.min(F.struct("doc", "th", "pos")).alias("first")).where("of > 1")
+    first = written(first.select("group", F.col("own").alias("_own"), "first"), "first")
+    out = written(some.join(small_side(first), "group").where("own <=> _own").select("doc", "th", "pos", "words", "node", "first"), "groups")
+    forget(some), forget(first), forget(linked)
+    return out
 
 
 def removed_lines(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
-    """doc, th, lost (places of the lines that go) of the documents that lose any."""
+    """doc, th, lost (places of the lines that go), dropped, of the documents that lose any; a written table."""
     lines = written(line_table(docs, plan), "lines")
-    groups = written(line_groups(docs, lines, plan), "groups")
+    groups = line_groups(lines, plan)
     stays = (F.col("doc") == F.col("first.doc")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))
-    gone = lines.join(groups, "node").where(~stays).select("doc", "th", "pos", "long")
-    longs = lambda name: F.count_distinct(F.when(F.col("long"), F.col("pos"))).alias(name)
-    left = lines.groupBy("doc", "th").agg(F.count_distinct("pos").alias("lines"), longs("longs"))
-    lost = gone.groupBy("doc", "th").agg(F.collect_set("pos").alias("lost"), longs("gone"))
-    none_left = (F.col("lines") == F.size("lost")) | (F.col("gone") > 0) & (F.col("gone") == F.col("longs"))
-    return lost.join(left, ["doc", "th"]).select("doc", "th", "lost", none_left.alias("dropped"))
+    gone = groups.where(~stays)
+    left = lines.groupBy("doc", "th").agg(F.sum("words").alias("words"))
+    lost = gone.groupBy("doc", "th").agg(F.collect_set("pos").alias("lost"), F.sum("words").alias("gone"))
+    out = written(lost.join(left, ["doc", "th"]).select("doc", "th", "lost", (F.col("gone") >= plan.most_lost * F.col("words")).alias("dropped")), "lost")
+    forget(lines), forget(groups)
+    return out
+
+
+def _marked(docs: DataFrame, plan: LinePlan, name: str) -> DataFrame:
+    """docs and a struct column: text, n_lines, n_removed, dropped of what is left."""
+    lost = removed_lines(docs, plan).select(F.struct("doc", "th").alias(f"{name}_key"), F.col("lost").alias(f"{name}_lost"), F.col("dropped").alias(f"{name}_gone"))
+    key = F.struct(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)), F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+    out = docs.join(small_side(lost, 20_000), key == F.col(f"{name}_key"), "left")
+    parts, gone = F.split("text", "\n", -1), F.col(f"{name}_lost")
+    text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    found = F.struct(
+        text.alias("text"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.col(f"{name}_gone"), F.lit(False)).alias("dropped"),
+    )
+    return out.withColumn(name, found).drop(f"{name}_key", f"{name}_lost", f"{name}_gone")
 
 
 def with_lines_removed(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     """docs with text and n_chars of what is left, and n_lines, n_removed, dropped."""
-    lost = written(removed_lines(docs, plan), "lost").withColumnsRenamed({"doc": "_doc", "th": "_th", "lost": "_lost", "dropped": "_dropped"})
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    out = keyed.join(lost, (F.col("_d") == F.col("_doc")) & (F.col("_h") == F.col("_th")), "left").drop("_d", "_h", "_doc", "_th")
-    out = out.withColumn("_lines", F.split("text", "\n", -1))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_lost")
-    if plan.keep_rest:
-        worded = F.exists(F.transform(kept, lambda i: F.get("_lines", i)), lambda x: x.rlike(WORD))
-        out = out.withColumn("_dropped", F.col("_dropped") & ~worded)
-    text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    out = out.withColumns({
-        "text": text, "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.size("_lost"), F.lit(0)).cast("long"), "dropped": F.coalesce("_dropped", F.lit(False)),
-    })
-    return out.withColumn("n_chars", F.length("text").cast("long")).drop("_lines", "_lost", "_dropped")
+    name = fresh(docs, "_found")
+    out = _marked(docs, plan, name)
+    new = {c: F.col(f"{name}.{c}") for c in ("text", "n_lines", "n_removed", "dropped")}
+    return out.withColumns(new | {"n_chars": F.length(F.col(f"{name}.text")).cast("long")}).drop(name)
 
 
 def deduped(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     """The documents that keep something, with the columns of docs."""
-    return with_lines_removed(docs, plan).where("NOT dropped").select(*docs.columns)
+    name = fresh(docs, "_found")
+    new = {"text": F.col(f"{name}.text")} | ({"n_chars": F.length(F.col(f"{name}.text")).cast("long")} if "n_chars" in docs.columns else {})
+    return _marked(docs, plan, name).where(f"NOT {name}.dropped").withColumns(new).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_lines_removed(table(spark, sf_dir, "documents").select("doc_id", "text"), WHOLE)
+    out = with_lines_removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", "dropped", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

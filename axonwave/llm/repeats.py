@@ -54,6 +54,11 @@ def owners_for(df: DataFrame) -> int:
 
 def repeated_bitmap(blobs: DataFrame, owners: int, bits: int) -> np.ndarray:
     """blobs(owner, hashes) -> the bitmap, as bytes of 8 bits in np.packbits order; 2**bits bits in all."""
+    return bitmap_of(blobs, owners, bits)
+
+
+def bitmap_of(blobs: DataFrame, owners: int, bits: int, least: int = 2) -> np.ndarray:
+    """The same for hashes that occur least (1 or 2) times or more."""
     span = bits - (owners.bit_length() - 1)
 
     def slices(key, group):
@@ -61,7 +66,7 @@ def repeated_bitmap(blobs: DataFrame, owners: int, bits: int) -> np.ndarray:
 
         held = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("hashes")]
         h = np.sort(np.concatenate(held))
-        again = h[1:][h[1:] == h[:-1]]
+        again = h[1:][h[1:] == h[:-1]] if least > 1 else h
         own = np.zeros(1 << span, bool)
         own[(again >> np.uint64(64 - bits)).astype(np.int64) & ((1 << span) - 1)] = True
         return pa.table({"owner": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([np.packbits(own).tobytes()], pa.binary())})

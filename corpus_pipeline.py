@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonwave.llm import op02_piece_encoding, op04_fragment_join, op05_pivotal_mix, op09_line_frequency, op10_line_dedup
-from axonwave.llm.common import small_side, written
+from axonwave.llm.common import forget, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,25 +18,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op09_line_frequency.accepted(docs, cfg=op09_line_frequency.LIMITS).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+#: A document that loses four fifths of its words to lines of others is a near copy; what is left of it is none.
+NEAR_COPIES = op10_line_dedup.LinePlan(most_lost=0.8)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those left without a line with a word go."""
-    return op10_line_dedup.deduped(docs, op10_line_dedup.WHOLE)
+    """Documents without repeated lines; those that lose four fifths of their words go."""
+    return op10_line_dedup.deduped(docs, NEAR_COPIES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
-    found = written(op04_fragment_join.near_duplicates(docs), "near")
-    gone = written(found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    out = docs.join(small_side(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    return op04_fragment_join.one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (rows repeat); documents that it does not take go."""
-    taken = op05_pivotal_mix.mixed(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return op05_pivotal_mix.mix_of(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

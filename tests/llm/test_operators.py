@@ -1,6 +1,7 @@
 """The corpus operators on small awkward tables, against plain Python."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -92,6 +93,32 @@ def test_extraction(spark):
     assert got[1].n_chars == len(got[1].text)
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='layout with-sidebar'><article>{}</article><div class=sidebar>no</div></div>", "<div class='no-sidebar'>{}</div>", "<div class=no-header><article>{}</article></div>",
+    "<div class='post has-comments'>{}<div class=comments><p>bad bad bad bad</p></div></div>", "<div class='topic social'>{}</div><div class=ad>buy</div>",
+    "<form id=aspnetForm><nav>menu</nav><div>{}</div></form>", "<svg/><div>{}</div>", "<div class=sidebar-layout><main>{}</main><div class=sidebar>" + "side words " * 90 + "</div></div>",
+    "<article>{}</article><div id=comments><article>" + "a comment " * 90 + "</article></div>", "<div class=header><div class=x>{}</div></div>",
+])
+def test_wrappers_keep_the_article(page):
+    text = "one two three four five six seven"
+    for body in (f"<p>{text}</p>", f"<h1>one two three</h1><p>four five <b>six</b></p><p>seven</p>"):
+        assert op1.main_text("<html><body>" + page.format(body), None) == text
+
+
+def test_siblings_and_cdata():
+    page = "<body><article><p>first part</p></article><article><p>second part <![CDATA[a < b]]></p></article>"
+    assert op1.main_text(page, None) == op1.main_text(page, "html>body>article") == "first part second part a < b"
+    assert op1.main_text("<body><div class=ad>only an advert</div></body>", None) == ""
+
+
+def test_ties_of_votes_and_other_columns(spark):
+    page = lambda c: f"<body><div class=n><a href=/>home</a></div><div class={c}><p>{c} text of some words</p></div></body>"
+    rows = [(i, f"http://t.org/{i}", page("ab"[i % 2]), "x") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    assert op1.winning_paths(pages).first().path == "html>body>div.a"
+    assert {r.page_id: r.text for r in op1.extract(pages).collect()} == {i: "ab"[i % 2] + " text of some words" for i in range(4)}
+
+
 def test_host_votes_win(spark):
     page = lambda extra: f"<body><div class=a1><p>{'main text ' * 9}</p></div><div class=b>{extra}</div></body>"
     pages = [(i, "http://h.org/" + str(i), page("<a href=/x>link</a>")) for i in range(5)]
@@ -133,6 +160,40 @@ def test_repeats(docs, rows):
         assert r.n_spans == len([x for x in bytes(gone).split(b"\0") if x])
 
 
+def test_repeats_of_documents_with_one_id(spark):
+    rnd = random.Random(8)
+    some = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, line = some(413), some(70)
+    rows = [(None, some(50) + passage), (None, passage + some(60)), (1, some(20) + passage + some(9)), (2, passage + "x"), (2, some(300) + passage), (2, passage + "x"), (3, "ab" * 400), (None, None)]
+    rows += [(i, some(40) + line + some(40) + (passage if i % 5 == 0 else "") + ("zz" * 70 if i % 7 == 0 else "")) for i in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    keyed = docs.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) AS th").distinct().collect()
+    want, seen = {}, set()
+    for r in sorted(keyed, key=lambda r: (-1 if r.doc_id is None else r.doc_id, r.th)):
+        raw = (r.text or "").encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - 99):
+            if raw[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(raw[p : p + 100])
+        want[r.doc_id, hashlib.sha256(bytes(b for b, g in zip(raw, gone) if not g)).hexdigest()] = sum(gone)
+    for plan in (op3.RepeatPlan(), op3.RepeatPlan(held_bytes=2000, windows=300, seen=8)):
+        got = op3.without_repeats(docs, plan).collect()
+        assert len(got) == len(rows) and {(r.doc_id, r.kept_sha256): r.n_removed for r in got} == want
+    groups = op3.repeat_groups(docs, op3.RepeatPlan(held_bytes=2000)).collect()
+    assert {1, 2, 10, 55} <= {r.doc for r in groups if r.first_doc == op3.NO_DOC}
+
+
+def test_equal_hashes_of_other_bytes(monkeypatch):
+    rng = np.random.default_rng(4)
+    runs = [bytes(rng.integers(97, 99, 30).astype(np.uint8)) for _ in range(30)]
+    data, offsets = np.frombuffer(b"".join(runs), np.uint8), np.arange(0, 901, 30)
+    found = lambda: sorted((n, *sorted(zip(run.tolist(), place.tolist()))) for n, run, place in op3.maximal_repeats(data, offsets, 10, 30))
+    want = found()
+    monkeypatch.setattr(op3, "_window_hashes", lambda d, at, size: (d[at].astype(np.uint64)))
+    assert found() == want
+
+
 def test_maximal_repeats_have_all_occurrences():
     rng = np.random.default_rng(2)
     runs = [bytes(rng.integers(97, 99, 30).astype(np.uint8)) for _ in range(40)]
@@ -181,7 +242,27 @@ def test_mix(spark):
     assert (got.sort_values("doc_id").taken.to_numpy() == again.sort_values("doc_id").taken.to_numpy()).all()
     by = got.groupby("source", dropna=False).agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
     assert abs(by.target.sum() - 1.5 * got["size"].sum()) < 1e-6
-    assert (abs(by.target - by.taken) <= 50).all() and (got.taken <= 2 * got["size"]).all() and (by.target <= 2 * by["size"] + 1e-9).all()
+    assert (abs(by.target - by.taken) <= 5).all() and (got.taken <= 2 * got["size"]).all() and (by.target <= 2 * by["size"] + 1e-9).all()
+
+
+def test_mix_settles_large_documents(spark):
+    rows = [(i, " ".join(["w"] * (4000 if i == 3 else 1500 if i % 50 == 0 else 5 + i % 90)), "abc"[i % 3]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for cfg in (op5.Mix(), op5.Mix(bucket_rows=100, reserve=20), op5.Mix(seed=11)):
+        got = op5.mixed(docs, cfg=cfg).toPandas()
+        by = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), median=("size", "median"))
+        assert (abs(by.target - by.taken) <= by["median"]).all()
+
+
+def test_mix_is_unbiased():
+    size = np.array([900.0, 300, 200, 100, 90, 80, 70, 60, 50, 40, 30, 20, 10])
+    mean = np.zeros(len(size))
+    for k in range(4000):
+        u = np.array([hash((k, i)) for i in range(len(size))])
+        p = op5._settled(np.full(len(size), 0.3), size, u, 3)
+        assert abs(p @ size - 0.3 * size.sum()) < 1e-6 and (p >= 0).all() and (p <= 1).all()
+        mean += p / 4000
+    assert (abs(mean - 0.3) < 0.04).all()
 
 
 def test_exact_dedup(docs, rows):
@@ -223,6 +304,19 @@ def test_warc(spark, tmp_path):
     assert got[2].refers_to == 1 and got[1].n_chunks == -(-len(big) // 100) and got[2].n_chunks == 1
 
 
+def test_warc_of_no_pages_repeated_rows_and_other_columns(spark, tmp_path):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    op8.write_archives(op8.segments(none), str(tmp_path / "none"))
+    assert op8.read_archives(spark, str(tmp_path / "none")).count() == 0
+    long = "some text \U0001f600 of a page\r" * 20
+    rows = [(1, "u", long, "x", 1), (1, "u", long, "x", 1), (2, "u", long, "y", 2), (2, "u", long, "y", 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, chunk string, sha int")
+    op8.write_archives(op8.segments(df, chunk_chars=64), str(tmp_path / "w"))
+    got = sorted((r.page_id, r.record_type, r.refers_to, r.payload_digest, r.n_chunks) for r in op8.read_archives(spark, str(tmp_path / "w")).collect())
+    sha = hashlib.sha256(long.encode()).hexdigest()
+    assert got == [(1, "response", None, sha, -(-len(long) // 64))] * 2 + [(2, "revisit", 1, sha, 1)] * 2
+
+
 def test_warc_damage_is_an_error():
     lines = "WARC/1.1|WARC-Type: response|WARC-Record-ID: <urn:axonwave:page:1>|WARC-Payload-Digest: sha256:00|WARC-Payload-Length: 2|Content-Length: 2||ab||".split("|")
     with pytest.raises(ValueError, match="differs"):
@@ -252,11 +346,22 @@ def test_lines(spark):
     rows = [(1, "Same line, of FIVE words 1!\nown text of the first document"), (2, "same line of five words 2\nshort one"), (3, long), (4, long.replace("wordaa ", "wordzz ", 1) + "\nand another line that is kept"), (5, None)]
     docs = spark.createDataFrame([(i, t, "x", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r for r in op10.with_lines_removed(docs).collect()}
-    assert got[1].n_removed == 0 and got[2].text == "short one" and got[2].dropped and got[5].text is None
+    assert got[1].n_removed == 0 and got[2].text == "short one" and not got[2].dropped and got[5].text is None
     assert got[4].text == "and another line that is kept" and got[4].n_chars == len(got[4].text)
-    assert {r.doc_id for r in op10.deduped(docs).collect()} == {1, 3, 4, 5}
-    for a, b, n in (("kitten", "sitting", 3), ("", "abc", 3), ("abc", "abc", 0), ("abcdef", "azced", 3)):
-        assert op10.edit_distance(a, b) == n
+    assert {r.doc_id for r in op10.deduped(docs).collect()} == {1, 2, 3, 4, 5}
+    assert {r.doc_id for r in op10.deduped(docs, op10.LinePlan(most_lost=0.7)).collect()} == {1, 3, 5}
+    own = docs.selectExpr("*", "'mine' AS dropped", "7 AS n_lines", "1 AS _found")
+    assert {(r.dropped, r.n_lines, r._found, r.lang) for r in op10.deduped(own).collect()} == {("mine", 7, 1, "x")}
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Row by row, vectorised over the columns."""
+    x, at = np.array([ord(c) for c in b]), np.arange(len(b) + 1)
+    row = at.copy()
+    for i, c in enumerate(a):
+        new = np.concatenate([[i + 1], np.minimum(row[1:] + 1, row[:-1] + (x != ord(c)))])
+        row = np.minimum.accumulate(new - at) + at
+    return int(row[-1])
 
 
 def test_similar_lines_are_found(spark):
@@ -272,20 +377,77 @@ def test_similar_lines_are_found(spark):
             v[k : k + 1] = rnd.choice([[rnd.choice(vocab)], [], [v[k], rnd.choice(vocab)]])
         lines += [" ".join(w), " ".join(v)]
     lines = [x for x in dict.fromkeys(lines) if len(x.split()) >= 5]
+    found, pairs, first = _recall(spark, lines)
+    assert len(pairs) > 150 and found >= 0.95 * len(pairs)
+    assert all((first[i], i) in pairs or (i, first[i]) in pairs or i == first[i] for i in first)
+
+
+def _recall(spark, lines):
+    """(pairs found, pairs of edit similarity 0.8 by brute force, the first of each line's group)."""
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    table = op10.line_table(docs, op10.LinePlan())
-    first = {r.doc: r.first.doc for r in table.join(op10.line_groups(docs, table), "node").collect()}
-    close = lambda x, y: abs(len(x) - len(y)) <= 0.2 * max(len(x), len(y)) and op10.edit_distance(x, y) <= 0.2 * max(len(x), len(y))
-    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if close(lines[i], lines[j])]
+    from axonwave.llm.common import written
+
+    table = written(op10.line_table(docs, op10.LinePlan()))
+    first = {r.doc: r.first.doc for r in op10.line_groups(table).collect()}
+    order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
+    n = np.array([len(lines[i]) for i in order])
+    grams = np.array([np.bincount([hash(lines[i][k : k + 2]) % 512 for k in range(len(lines[i]) - 1)], minlength=512) for i in order], np.int32)
+    pairs = set()
+    for k, i in enumerate(order):
+        to = np.searchsorted(n, n[k] / 0.8 + 1e-9, "right")
+        near = np.flatnonzero(abs(grams[k + 1 : to] - grams[k]).sum(1) <= 4 * 0.2 * n[k + 1 : to] + 2) + k + 1
+        pairs |= {(i, order[j]) for j in near if edit_distance(lines[i], lines[order[j]]) <= 0.2 * n[j]}
     found = sum(i in first and first[i] == first.get(j) for i, j in pairs)
     print(f"{found} of {len(pairs)}")
-    assert len(pairs) > 150 and found >= 0.95 * len(pairs)
-    assert all((first[i], i) in pairs or (i, first[i]) in pairs or i == first[i] for i in first)
+    return found, pairs, first
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_similar_lines_of_the_documents_are_found(spark):
+    import re
+
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    split = lambda x: [w for w in re.split(r"[\x20\x09-\x0D!-/:-@\[-`{-~]+", _lower(x)) if w]
+    lines = list(dict.fromkeys(" ".join(w) for t in texts for x in t.split("\n") if len(w := split(x)) >= 5))
+    found, pairs, _ = _recall(spark, [x for x in lines if len(x) < 3000])
+    assert len(pairs) >= 40 and found >= 0.9 * len(pairs)
+
+
+def test_numbers_stay_apart_in_short_lines(spark):
+    rows = [(1, "Item 12 costs 345 now"), (2, "Item 98 costs 761 now"), (3, "Item 12, costs 345: now")]
+    got = {r.doc_id: r.n_removed for r in op10.with_lines_removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 1}
+
+
+def test_close_is_edit_similarity():
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 7))) for _ in range(60)]
+    for _ in range(1500):
+        x = [rnd.choice(words) for _ in range(rnd.randint(1, 25))]
+        y = list(x)
+        for _ in range(rnd.randint(0, 6)):
+            k = rnd.randrange(len(y) + 1)
+            y[k : k + rnd.randint(0, 2)] = [rnd.choice(words) for _ in range(rnd.randint(0, 2))]
+        a, b = " ".join(x), " ".join(y)
+        assert op10.edit_distance(a, b) == edit_distance(a, b)
+        for s in (0.8, 0.6):
+            assert op10.close(a, b, s) == (edit_distance(a, b) <= (1 - s) * max(len(a), len(b)) + 1e-9), (a, b, s)
 
 
 def test_short_and_unspaced_lines(spark):
     zh = "\u4eca\u5929\u6211\u4eec\u4e00\u8d77\u53bb\u516c\u56ed\u770b\u82b1\u7136\u540e\u56de\u5bb6\u5403\u996d"
     rows = [(1, f"les.\nchapter 1\n{zh}"), (2, f"Les\nchapter 2\n{zh[:8]}\u5c71{zh[9:]}"), (3, f"les\n{zh[::-1]}"), (4, "\u7b2c\u4e00"), (5, "\u7b2c\u4e00\nb"), (6, "les")]
-    got = {r.doc_id: r for r in op10.with_lines_removed(spark.createDataFrame(rows, "doc_id long, text string"), op10.WHOLE).collect()}
+    got = {r.doc_id: r for r in op10.with_lines_removed(spark.createDataFrame(rows, "doc_id long, text string"), op10.LinePlan()).collect()}
     assert {i: r.text for i, r in got.items()} == {1: rows[0][1], 2: "chapter 2", 3: zh[::-1], 4: "\u7b2c\u4e00", 5: "b", 6: ""}
     assert [i for i, r in got.items() if r.dropped] == [6]
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    from axonwave.llm.linkage import components
+
+    links = [(i, i + 1) for i in range(0, 60) if i % 7] + [(100, 5), (100, 200), (7, 7)]
+    df = spark.createDataFrame(links, "a long, b long")
+    a, b = ({r.node: r.component for r in components(df, n).collect()} for n in (1000, 0))
+    a.pop(7, None), b.pop(7, None)
+    assert a == b and a[200] == 1 and a[14] == 8
+    assert components(df.where("false")).count() == 0
