@@ -4,6 +4,7 @@ import os
 from collections import Counter
 
 import duckdb
+import pandas as pd
 import pytest
 
 from axonwave import catalog
@@ -22,7 +23,7 @@ def duck():
 
 
 def _rows(df):
-    key = lambda v: None if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
+    key = lambda v: None if pd.api.types.is_scalar(v) and pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
     return Counter(tuple(key(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
 
 
