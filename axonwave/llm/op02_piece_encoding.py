@@ -3,12 +3,12 @@
 Merge-type encoding has one result, and a sequence of pieces is that result if and only if
 every two neighbours, taken alone, merge back to themselves (merges inside neighbours do not
 depend on what is further away, so the first merge across a border would also happen in the
-pair). The encoder therefore walks the text: an Aho-Corasick automaton gives the pieces that
-match, longest first, at every place; a piece is taken if its border with the one before holds,
+pair). The encoder therefore walks the text: an Aho-Corasick automaton gives the longest piece that
+matches at a place, a table the next shorter ones; a piece is taken if its border with the one before holds,
 which is tested once for each pair by merging the two again; where no piece fits, the place is
 marked in a bitfield of failed positions and the walk steps back. No place fails twice, so the
 time is linear in the text however long a word is. Most words need no step back: the automaton's run of leftmost longest
-matches is tried first, and is the result if all its borders hold.
+matches is followed as far as its borders hold.
 
 Where no piece of the vocabulary holds two neighbouring characters together, no merge can span
 them; texts are cut there, and the parts are encoded one by one and kept in a bounded memory. A
@@ -67,16 +67,17 @@ class PieceModel:
 
 def merged(text: str, score: dict[str, float]) -> list[str]:
     """The merge-type encoding by its definition: join the best neighbours (leftmost on ties) until none can be."""
-    parts = list(text)
-    while True:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            s = score.get(parts[i] + parts[i + 1])
-            if s is not None and (best is None or s > best):
-                best, at = s, i
-        if at < 0:
-            return parts
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    parts, none, get = list(text), float("-inf"), score.get
+    gain = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+    while gain and (best := max(gain)) > none:
+        i = gain.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del gain[i]
+        if i < len(gain):
+            gain[i] = get(parts[i] + parts[i + 1], none)
+        if i:
+            gain[i - 1] = get(parts[i - 1] + parts[i], none)
+    return parts
 
 
 class PieceCodec:
@@ -97,94 +98,108 @@ class PieceCodec:
             self.automaton.add_word(p, (len(p), self.id[p]))
         self.automaton.make_automaton()
         self.together = {pair for p in self.id for pair in zip(p, p[1:])}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.id_pairs: dict[int, bool] = {}
+        self.length = [len(p) for p in model.pieces]
+        self.most = max(map(len, self.id), default=1)
+        #: of each piece the longest shorter one that it starts with, or -1
+        self.shorter = [next((self.id[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), -1) for p in model.pieces]
+        self.start = len(model.pieces) + 0x110000
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         special = (ord("s"), ord("u"))
         self.text = [b"" if k in special else bytes([int(p[3:5], 16)]) if k == ord("b") else p.replace(BLANK, " ").encode() for p, k in zip(model.pieces, model.kinds, strict=True)]
         self.text[self.unknown] = " ⁇ ".encode() if self.unknown >= 0 else b""
 
-    def fits(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= self.remember // 2:
-                self.pairs.clear()
-            known = self.pairs[key] = merged(left + right, self.score) == [p for p in key if p]
-        return known
-
-    def pieces(self, word: str) -> list[str]:
-        """Backtracking over the matches at each place."""
-        n = len(word)
-        at: list[list[int]] = [[] for _ in range(n)]  # ends of the matches from each place, ascending
-        for last, (size, _) in self.automaton.iter(word):
-            at[last - size + 1].append(last + 1)
-        known, failed = self.pairs.get, 0  # failed: a bit for each position from which no encoding goes on
-        out: list[str] = []
-        took: list[int] = []  # which of the place's matches each piece is
-        pos, before = 0, ""
-        pick = -1
-        while pos < n:
-            ends = at[pos]
-            if not ends or ends[0] != pos + 1:
-                ends.insert(0, pos + 1)  # a character without a piece stands alone
-            if pick < 0:
-                pick = len(ends) - 1
-            while pick >= 0:
-                end = ends[pick]
-                if not failed >> end & 1:
-                    piece = word[pos:end]
-                    fits = known((before, piece))
-                    if fits or fits is None and self.fits(before, piece):
-                        break
-                pick -= 1
-            if pick >= 0:
-                out.append(piece)
-                took.append(pick)
-                pos, before, pick = end, piece, -1
-                continue
-            while pick < 0:
-                failed |= 1 << pos
-                if not out:
-                    raise AssertionError("no encoding; every text has one")
-                pos -= len(out.pop())
-                pick = took.pop() - 1
-            before = out[-1] if out else ""
+    def _named(self, code: int) -> str:
+        """The text of a code: a piece's id, or behind them a character without a piece, or behind those the start of a word."""
+        size = len(self.model.pieces)
+        return self.model.pieces[code] if code < size else chr(code - size) if code < self.start else ""
+
+    def fits(self, key: int) -> bool:
+        """Whether two neighbours (codes, in one integer) merge back to themselves."""
+        both = [p for p in (self._named(key >> 32), self._named(key & 0xFFFFFFFF)) if p]
+        if len(self.pairs) >= self.remember:
+            self.pairs.clear()
+        out = self.pairs[key] = merged("".join(both), self.score) == both
         return out
 
-    def straight(self, word: str) -> list[int] | None:
-        """The ids of the leftmost longest matches if they leave nothing out and all their borders hold."""
-        out, at, before, known = [], -1, -1, self.id_pairs
-        for last, (size, i) in self.automaton.iter_long(word):
-            if last - size != at:
-                return None
-            if before >= 0:
-                key = before << 32 | i
-                fits = known.get(key)
-                if fits is None:
-                    if len(known) >= self.remember:
-                        known.clear()
-                    pair = [self.model.pieces[before], self.model.pieces[i]]
-                    fits = known[key] = merged("".join(pair), self.score) == pair
-                if not fits:
-                    return None
+    def longest(self, word: str, pos: int) -> int:
+        """The code of the longest match from pos; a character without a match stands alone."""
+        for last, (length, i) in self.automaton.iter_long(word[pos : pos + self.most]):
+            if last + 1 == length:
+                return i
+            break
+        return len(self.model.pieces) + ord(word[pos])
+
+    def next_shorter(self, word: str, pos: int, code: int) -> int:
+        """The code of the next shorter match from pos, or -1."""
+        if code >= len(self.model.pieces):
+            return -1
+        shorter = self.shorter[code]
+        if shorter < 0 and self.length[code] > 1:
+            return len(self.model.pieces) + ord(word[pos])
+        return shorter
+
+    def pieces(self, word: str) -> list[int]:
+        """Codes: the run of longest matches as far as its borders hold, from there by backtracking."""
+        n, size, length = len(word), len(self.model.pieces), self.length
+        known, fits = self.pairs.get, self.fits
+        out: list[int] = []
+        pos, before, code = 0, self.start, -1
+        for last, (span, i) in self.automaton.iter_long(word):
+            if last - span + 1 != pos:
+                break
+            key = before << 32 | i
+            ok = known(key)
+            if not ok and (ok is not None or not fits(key)):
+                code = self.next_shorter(word, pos, i)
+                break
             out.append(i)
-            at, before = last, i
-        return out if at == len(word) - 1 else None
+            pos, before = last + 1, i
+        else:
+            if pos == n:
+                return out
+        if code < 0:
+            code = self.longest(word, pos)
+        failed = None  # a bit for each position from which no encoding goes on
+        while True:
+            while code >= 0:
+                end = pos + (length[code] if code < size else 1)
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    key = before << 32 | code
+                    ok = known(key)
+                    if ok or ok is None and fits(key):
+                        break
+                code = self.next_shorter(word, pos, code)
+            if code >= 0:
+                out.append(code)
+                if end == n:
+                    return out
+                pos, before = end, code
+                code = self.longest(word, pos)
+                continue
+            if failed is None:
+                failed = bytearray(n // 8 + 1)
+            failed[pos >> 3] |= 1 << (pos & 7)
+            if not out:
+                raise AssertionError("no encoding; every text has one")
+            last = out.pop()
+            pos -= length[last] if last < size else 1
+            before = out[-1] if out else self.start
+            code = self.next_shorter(word, pos, last)
 
     def ids(self, word: str) -> list[int]:
         if len(word) == 1 and word in self.id:
             return [self.id[word]]
-        if (out := self.straight(word)) is not None:
-            return out
+        codes, size = self.pieces(word), len(self.model.pieces)
+        if max(codes) < size:
+            return codes
         out = []
-        for p in self.pieces(word):
-            i = self.id.get(p)
-            if i is not None:
+        for i in codes:
+            if i < size:
                 out.append(i)
             elif self.byte:
-                out.extend(self.byte[b] for b in p.encode())
+                out.extend(self.byte[b] for b in chr(i - size).encode())
             else:
                 out.append(self.unknown)
         return out
@@ -217,8 +232,7 @@ class PieceCodec:
         return packed.tobytes()
 
     def forget(self) -> None:
-        self.pairs.clear()
-        self.id_pairs.clear()
+        """Drops the words; what is known of pairs of pieces is of use to all texts and stays."""
         self.words, self.older = {}, {}
 
     def encode(self, text: str, begin: bool = True, end: bool = True) -> bytes:
