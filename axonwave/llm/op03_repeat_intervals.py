@@ -490,7 +490,8 @@ def without_repeats(docs: DataFrame, plan: RepeatPlan = RepeatPlan(), keep_bytes
     spans = written(removal_spans(docs, plan), "spans")
     per = spans.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s")).select("doc", "th", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
     keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    joined = keyed.join(per, ["doc", "th"], "left").select("doc_id", "text", "starts", "ends")
+    # the spans grow with the texts: one plan at every size, no broadcast while they are few
+    joined = keyed.join(per.hint("merge"), ["doc", "th"], "left").select("doc_id", "text", "starts", "ends")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept binary, spans array<struct<start: long, end: long>>" if keep_bytes else ""
 
