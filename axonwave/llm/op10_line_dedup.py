@@ -214,7 +214,10 @@ def line_table(docs: DataFrame, plan: LinePlan) -> DataFrame:
 
 
 def _values(column) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint64)
+    """The keys of all rows (none null), from the column's own buffer."""
+    cuts = np.frombuffer(column.buffers()[1], np.int32)
+    first, last = cuts[column.offset], cuts[column.offset + len(column)]
+    return np.frombuffer(column.buffers()[2], np.uint8)[first:last].copy().view(np.uint64) if last > first else np.zeros(0, np.uint64)
 
 
 def line_buckets(lines: DataFrame, again, plan: LinePlan) -> DataFrame:
@@ -222,38 +225,46 @@ def line_buckets(lines: DataFrame, again, plan: LinePlan) -> DataFrame:
     spark, owners = lines.sparkSession, owners_for(lines)
     long = lines.where("keys IS NOT NULL").select("node", "n", "keys")
 
-    def chosen(wanted: bool):
-        def rows(batches):
-            import pyarrow as pa
+    def several(batches):
+        import pyarrow as pa
 
-            test = tested(again.value, plan.bits)
-            for b in batches:
-                yield b.filter(pa.array(test(b.column(0).to_numpy().view(np.uint64)) == wanted))
+        test = tested(again.value, plan.bits)
+        for b in batches:
+            yield b.filter(pa.array(test(b.column(0).to_numpy().view(np.uint64))))
 
-        return long.mapInArrow(rows, long.schema)
+    once = written(long.mapInArrow(several, long.schema).dropDuplicates(["node"]), "once")
+    nodes = once.withColumn("apart", F.lit(True)).unionByName(long.withColumn("apart", F.lit(False)))
 
-    once = written(chosen(True).dropDuplicates(["node"]), "once").unionByName(chosen(False))
+    def each(batches):
+        """Every node once: those that occur more than once have been set apart."""
+        import pyarrow as pa
+
+        test = tested(again.value, plan.bits)
+        for b in batches:
+            if len(b):
+                b = b.filter(pa.array(~test(b.column(0).to_numpy().view(np.uint64)) | b.column(3).to_numpy(zero_copy_only=False)))
+            if len(b):
+                yield b
 
     def keys(batches):
-        yield from packed_by_owner((_values(b.column(0)) for b in batches if len(b)), owners)
+        yield from packed_by_owner((_values(b.column(2)) for b in each(batches)), owners)
 
     with batches_of(spark, "16m"):
-        repeated = spark.sparkContext.broadcast(bitmap_of(once.select("keys").mapInArrow(keys, "owner int, hashes binary"), owners, plan.bits))
+        repeated = spark.sparkContext.broadcast(bitmap_of(nodes.mapInArrow(keys, "owner int, hashes binary"), owners, plan.bits))
 
     def rows(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
         test = tested(repeated.value, plan.bits)
-        for b in batches:
-            if len(b):
-                k = _values(b.column(2))
-                line = np.repeat(np.arange(len(b)), pc.binary_length(b.column(2)).to_numpy() // 8)
-                hit = test(k)
-                at = pa.array(line[hit])
-                yield pa.RecordBatch.from_arrays([pa.array(k[hit].view(np.int64)), b.column(0).take(at), b.column(1).take(at)], ["bucket", "node", "n"])
-
-    return once.mapInArrow(rows, "bucket long, node long, n int")
+        for b in each(batches):
+            k = _values(b.column(2))
+            line = np.repeat(np.arange(len(b)), pc.binary_length(b.column(2)).to_numpy() // 8)
+            hit = test(k)
+            at = pa.array(line[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(k[hit].view(np.int64)), b.column(0).take(at), b.column(1).take(at)], ["bucket", "node", "n"])
+
+    return nodes.mapInArrow(rows, "bucket long, node long, n int")
 
 
 def _nodes_of(df: DataFrame, owners: int, bits: int, least: int):
