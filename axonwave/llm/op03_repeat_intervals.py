@@ -2,8 +2,9 @@
 
 1. Anchors. Every window of min_bytes has one anchor, the least of its k-byte hashes (leftmost on
    ties), so equal windows have equal anchors at equal places. Neighbouring windows with one anchor form a run of text
-   shorter than twice min_bytes. A bitmap of anchor hashes that occur again (fixed size, no false negatives) keeps back what is unique.
-2. Runs with a repeated anchor are dealt by anchor and sorted by it: whatever repeats a run is next to it. A run that a task has met at an earlier
+   shorter than twice min_bytes. Every window has half of its other bytes before its anchor or behind it; a bitmap of the hashes of anchors with such
+   a half that occur again (fixed size, no false negatives) keeps back what is unique: in a large corpus anchors alone repeat by chance.
+2. Runs that may repeat are dealt by anchor and sorted by it: whatever repeats a run is next to it. A run that a task has met at an earlier
    place is not sent; its place is a span that goes.
 3. A task reads its runs anchor by anchor and sorts the suffixes that may start a repeat (buckets of equal first bytes, which are compared, then the bytes
    that follow), computes the common prefixes of neighbours, and scans
@@ -39,18 +40,26 @@ NO_DOC = -(1 << 63)
 class RepeatPlan:
     min_bytes: int = 100
     k: int = 32
-    bits: int = 27  #: of the bitmap of repeated anchors: 16 MB
+    bits: int = 27  #: of the bitmap of what occurs again: 16 MB
     windows: int = 60_000  #: sorted at once within a task
     held_bytes: int = 1 << 22  #: of runs that a task reads before it sorts them
     seen: int = 1 << 20  #: different runs whose earliest places a task remembers
 
+    @property
+    def half(self) -> int:
+        return (self.min_bytes - self.k + 1) // 2
+
 
 _MASK = np.uint64((1 << 23) - 1)
 _BLOCK = 1 << 19
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, plan: RepeatPlan):
-    """(row, start, windows, anchor hash, hash of the run, shift of the block, place of the anchor in the run) arrays for each block."""
+    """(row, start, last window, place of the anchor, its hash, left, right, prefix sums, shift of the block) arrays for each block.
+
+    left, right: hashes of the anchor with half of a window's other bytes before or behind it, 0 where no window of the run has so many there.
+    Every window has one of the two, so if neither occurs again, no window does.
+    """
     from axonwave.llm.vectors import prefix_sums, span_hashes
 
     size, k = plan.min_bytes, plan.k
@@ -89,7 +98,25 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, plan: RepeatPlan):
         stop[:-1] = new[1:] | ~valid[1:]
         end = np.flatnonzero(stop & valid)
         row = np.searchsorted(bounds, start, "right") - 1
-        yield row, start, end - start + 1, h[anchor[start]], span_hashes(sums, start, end + size), lo, anchor[start] - start
+        at, half = anchor[start], plan.half
+        left, right = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        i, j = np.flatnonzero(at - start >= half), np.flatnonzero(end + size >= at + k + half)
+        left[i] = span_hashes(sums, at[i] - half, at[i] + k)
+        right[j] = ~span_hashes(sums, at[j], at[j] + k + half)
+        yield row, start, end, at, h[at], left, right, sums, lo
+
+
+def suspects(block, test, plan: RepeatPlan):
+    """(row, start, windows, anchor hash, hash of the run, shift of the block, place of the anchor in the run) of the runs that may repeat, without the windows that cannot."""
+    from axonwave.llm.vectors import span_hashes
+
+    row, start, end, at, h, left, right, sums, lo = block
+    before, behind = (left != 0) & test(left), (right != 0) & test(right)
+    start = np.where(before, start, np.maximum(start, at - (plan.min_bytes - plan.k - plan.half)))
+    end = np.where(behind, end, np.minimum(end, at - plan.half))
+    hit = np.flatnonzero((before | behind) & (start <= end))
+    row, start, end, at, h = (x[hit] for x in (row, start, end, at, h))
+    return row, start, end - start + 1, h, span_hashes(sums, start, end + plan.min_bytes), lo, at - start
 
 
 def _texts(batches):
@@ -144,7 +171,7 @@ _RUNS = "anchor long, doc long, th long, start long, size int, mark int, run bin
 
 
 def runs(texts: DataFrame, bitmap, plan: RepeatPlan, whole: bool = False) -> DataFrame:
-    """Runs with a repeated anchor: anchor, doc, th, start, size, mark (place of the anchor), run (bytes).
+    """Runs that may repeat: anchor, doc, th, start, size, mark (place of the anchor), run (bytes).
 
     Runs that a task has met at an earlier place are sent as spans (run null), joined where they touch; unless whole.
     """
@@ -161,11 +188,11 @@ def runs(texts: DataFrame, bitmap, plan: RepeatPlan, whole: bool = False) -> Dat
             return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *map(pa.array, (doc, th, start, n.astype(np.int32), mark.astype(np.int32))), run], names)
 
         for ids, hashes, data, offsets in _texts(batches):
-            for row, start, n, anchor, key, lo, mark in anchor_runs(data, offsets, plan):
-                hit = np.flatnonzero(test(anchor))
-                if not len(hit):
+            for block in anchor_runs(data, offsets, plan):
+                row, start, n, anchor, key, lo, mark = suspects(block, test, plan)
+                if not len(row):
                     continue
-                row, at, n, anchor, key, mark = row[hit], start[hit] + lo, n[hit] + size - 1, anchor[hit], key[hit], mark[hit]
+                at, n = start + lo, n + size - 1
                 doc, th, start = ids[row], hashes[row], at - offsets[row]
                 if not whole:
                     order = np.lexsort((start, th, doc, key))
@@ -380,7 +407,8 @@ def _bitmap(texts: DataFrame, plan: RepeatPlan):
     owners = owners_for(texts)
 
     def anchors(batches):
-        yield from packed_by_owner((x[3] for _, _, data, offsets in _texts(batches) for x in anchor_runs(data, offsets, plan)), owners)
+        blocks = (x for _, _, data, offsets in _texts(batches) for x in anchor_runs(data, offsets, plan))
+        yield from packed_by_owner((h[h != 0] for x in blocks for h in x[5:7]), owners)
 
     return texts.sparkSession.sparkContext.broadcast(repeated_bitmap(texts.mapInArrow(anchors, "owner int, hashes binary"), owners, plan.bits))
 
@@ -490,8 +518,7 @@ def without_repeats(docs: DataFrame, plan: RepeatPlan = RepeatPlan(), keep_bytes
     spans = written(removal_spans(docs, plan), "spans")
     per = spans.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s")).select("doc", "th", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
     keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    # the spans grow with the texts: one plan at every size, no broadcast while they are few
-    joined = keyed.join(per.hint("merge"), ["doc", "th"], "left").select("doc_id", "text", "starts", "ends")
+    joined = keyed.join(per, ["doc", "th"], "left").select("doc_id", "text", "starts", "ends")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept binary, spans array<struct<start: long, end: long>>" if keep_bytes else ""
 
