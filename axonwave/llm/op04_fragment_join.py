@@ -14,7 +14,7 @@ order gives the same result; this one keeps common passages out of the prefixes.
 5. A test cuts the order into fragments: each class has one row a fragment, overlaps are counted
    fragment by fragment (array_intersect), and summed for each pair. Exact integers decide.
 
-Texts are read again for each step rather than kept as sets, which would be larger than the texts. Classes are known by 64-bit hashes of
+Prefixes are a table, read for the bitmap and for the buckets; whole sets, which would be larger than the texts, are made again from the texts where they are tested. Classes are known by 64-bit hashes of
 their shingle hashes, and shingles by 64-bit hashes; equality of two sets is equality of these.
 
 Edge cases: null, empty and blank texts have no shingle and are linked with nothing, not even each other;
@@ -30,9 +30,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonwave.llm.common import forget, small_side, table, written
+from axonwave.llm.common import batches_of, forget, small_side, table, written
 from axonwave.llm.linkage import linked_groups
-from axonwave.llm.repeats import owners_for, packed_by_owner, repeated_bitmap, tested
+from axonwave.llm.repeats import owners_for, packed_by_owner, packed_values, repeated_bitmap, tested
 
 
 @dataclass(frozen=True)
@@ -181,28 +181,44 @@ def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
     owners = owners_for(docs)
 
     def prefixes(batches):
-        yield from packed_by_owner((_prefix(s, *order.value, plan.percent) for _, s in _once(batches, plan)), owners)
-
-    blobs = texts.mapInArrow(prefixes, "owner int, hashes binary")
-    again = share(repeated_bitmap(blobs, owners, plan.bits))  # 2**bits bits
-
-    def buckets(batches):
+        """node, n, the hashes of its prefix in the global order, packed."""
         import pyarrow as pa
 
-        test = tested(again.value, plan.bits)
-        batch = lambda held: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["bucket", "node", "n", "at"])
+        batch = lambda held: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["node", "n", "hashes"])
         held, n = [], 0
         for node, s in _once(batches, plan):
             p = _prefix(s, *order.value, plan.percent)
-            at = np.flatnonzero(test(p)).astype(np.int32)
-            held.append((p[at].view(np.int64), np.full(len(at), node, np.int64), np.full(len(at), len(s), np.int32), at))
-            n += len(at)
+            held.append((node, len(s), p.tobytes()))
+            n += len(p)
             if n >= 100_000:
                 yield batch(held)
                 held, n = [], 0
-        if n:
+        if held:
             yield batch(held)
 
+    first = written(texts.mapInArrow(prefixes, "node long, n int, hashes binary"), "prefixes")  # about a fifth of the shingles
+
+    def hashes(batches):
+        yield from packed_by_owner((packed_values(b.column(2)) for b in batches if len(b)), owners)
+
+    blobs = first.mapInArrow(hashes, "owner int, hashes binary")
+    with batches_of(spark, "16m"):
+        again = share(repeated_bitmap(blobs, owners, plan.bits))  # 2**bits bits
+
+    def buckets(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        test = tested(again.value, plan.bits)
+        for b in batches:
+            if not len(b):
+                continue
+            p, count = packed_values(b.column(2)), pc.binary_length(b.column(2)).to_numpy() // 8
+            at = np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
+            hit = test(p)
+            rows = pa.array(np.repeat(np.arange(len(b)), count)[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(p[hit].view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array(at[hit].astype(np.int32))], ["bucket", "node", "n", "at"])
+
     def near(x, y):
         """Sizes and places allow a link whose first common shingle is this one."""
         small, large = F.least(x("n"), y("n")).cast("long"), F.greatest(x("n"), y("n")).cast("long")
@@ -247,12 +263,12 @@ def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
         both = part.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         return both.where(100 * F.col("common") >= plan.percent * (F.col("na") + F.col("nb") - F.col("common")))
 
-    groups = linked_groups(texts.mapInArrow(buckets, "bucket long, node long, n int, at int"), verify, allowed, carry=("n", "at"), near=near)
+    groups = linked_groups(first.mapInArrow(buckets, "bucket long, node long, n int, at int"), verify, allowed, carry=("n", "at"), near=near)
     named = known.join(groups.withColumnRenamed("node", "f1"), "f1", "left").withColumn("component", F.coalesce("component", "f1"))
     named = written(named.select("f1", "rep", "component"), "named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = written(named.join(least, "component").select("f1", "component_id", F.col("component").alias("group")), "groups")
-    forget(known), forget(groups)
+    forget(known), forget(groups), forget(first)
     return rows.join(named, "f1", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("f1").alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group", "text_hash")
 

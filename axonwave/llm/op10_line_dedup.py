@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from axonwave.llm.common import ascii_lower, batches_of, forget, fresh, key_side, small_side, table, written
 from axonwave.llm.linkage import linked_groups
-from axonwave.llm.repeats import bitmap_of, owners_for, packed_by_owner, tested
+from axonwave.llm.repeats import bitmap_of, owners_for, packed_by_owner, packed_values, tested
 
 NO_DOC = -(1 << 63)
 #: What stands between words.
@@ -213,13 +213,6 @@ def line_table(docs: DataFrame, plan: LinePlan) -> DataFrame:
     return _keyed(docs).mapInArrow(rows, "doc long, th long, pos int, node long, check int, words int, n int, keys binary, line string")
 
 
-def _values(column) -> np.ndarray:
-    """The keys of all rows (none null), from the column's own buffer."""
-    cuts = np.frombuffer(column.buffers()[1], np.int32)
-    first, last = cuts[column.offset], cuts[column.offset + len(column)]
-    return np.frombuffer(column.buffers()[2], np.uint8)[first:last].copy().view(np.uint64) if last > first else np.zeros(0, np.uint64)
-
-
 def line_buckets(lines: DataFrame, again, plan: LinePlan) -> DataFrame:
     """bucket, node, n of the blocks that seem to occur in more than one node; again: bitmap of the nodes that occur more than once."""
     spark, owners = lines.sparkSession, owners_for(lines)
@@ -247,7 +240,7 @@ def line_buckets(lines: DataFrame, again, plan: LinePlan) -> DataFrame:
                 yield b
 
     def keys(batches):
-        yield from packed_by_owner((_values(b.column(2)) for b in each(batches)), owners)
+        yield from packed_by_owner((packed_values(b.column(2)) for b in each(batches)), owners)
 
     with batches_of(spark, "16m"):
         repeated = spark.sparkContext.broadcast(bitmap_of(nodes.mapInArrow(keys, "owner int, hashes binary"), owners, plan.bits))
@@ -258,7 +251,7 @@ def line_buckets(lines: DataFrame, again, plan: LinePlan) -> DataFrame:
 
         test = tested(repeated.value, plan.bits)
         for b in each(batches):
-            k = _values(b.column(2))
+            k = packed_values(b.column(2))
             line = np.repeat(np.arange(len(b)), pc.binary_length(b.column(2)).to_numpy() // 8)
             hit = test(k)
             at = pa.array(line[hit])
