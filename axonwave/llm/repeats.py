@@ -41,13 +41,6 @@ def packed_by_owner(hashes: Iterator[np.ndarray], owners: int, most: int = 1 <<
         yield flush(held)
 
 
-def packed_values(column) -> np.ndarray:
-    """The hashes of all rows (none null) of a column of packed hashes, from its own buffer."""
-    cuts = np.frombuffer(column.buffers()[1], np.int32)
-    first, last = cuts[column.offset], cuts[column.offset + len(column)]
-    return np.frombuffer(column.buffers()[2], np.uint8)[first:last].copy().view(np.uint64) if last > first else np.zeros(0, np.uint64)
-
-
 def owner_of(h: np.ndarray, owners: int) -> np.ndarray:
     """Owners hold equal contiguous ranges of hashes; owners is a power of two."""
     return (h >> np.uint64(64 - (owners.bit_length() - 1))).astype(np.int64) if owners > 1 else np.zeros(len(h), np.int64)
