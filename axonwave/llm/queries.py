@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from axonwave.llm import op01_consensus_extraction, op02_piece_encoding, op03_repeat_intervals, op04_fragment_join, op05_pivotal_mix, op06_radix_dedup, op07_url_reputation, op08_warc, op09_line_frequency, op10_line_dedup
+from axonwave.llm import op01_consensus_extraction, op02_piece_encoding, op03_repeat_intervals, op04_fragment_join, op05_pivotal_mix, op06_radix_dedup, op07_url_reputation, op08_warc, op09_line_frequency, op10_line_dedup, op11_filter_audit, op12_best_fit_packing
 
 MODULES = {
     "op1_consensus_extraction": op01_consensus_extraction,
@@ -15,6 +15,8 @@ MODULES = {
     "op8_warc": op08_warc,
     "op9_line_frequency": op09_line_frequency,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_best_fit_packing": op12_best_fit_packing,
 }
 
 
