@@ -76,7 +76,7 @@ def trie_counts(rows: DataFrame, n: int) -> DataFrame:
     rows: part, fails, good, toxic. Depth first; a state that was reached by another order is not executed again.
     """
     spark = rows.sparkSession
-    tables, seen = [], set()
+    tables, seen, slots = [], set(), spark.sparkContext.defaultParallelism
 
     def visit(state: int, survivors: DataFrame) -> None:
         seen.add(state)
@@ -88,7 +88,8 @@ def trie_counts(rows: DataFrame, n: int) -> DataFrame:
         edge = lambda i: F.struct(F.count_if(fails(i)).alias("removed"), F.count_if(fails(i) & F.col("good")).alias("good_lost"), F.count_if(fails(i) & F.col("toxic")).alias("toxic_lost"))
         none = F.lit(None).cast("struct<removed:bigint,good_lost:bigint,toxic_lost:bigint>")
         counts = survivors.groupBy("part").agg(F.count("*").alias("kept"), F.array(*[edge(i) if i in ahead else none for i in range(n)]).alias("edges"))
-        tables.append(written(counts.select("part", F.lit(state).alias("state"), "kept", "edges"), "audit-state"))
+        counts = counts.select("part", F.lit(state).alias("state"), "kept", "edges").coalesce(slots)  # sums already: no file for each shuffle partition
+        tables.append(written(counts, "audit-state"))
         for i in below:
             if state | 1 << i not in seen:
                 visit(state | 1 << i, survivors.where(~fails(i)))
