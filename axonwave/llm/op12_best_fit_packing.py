@@ -12,8 +12,7 @@ most open_bins sequences a task of the level before, so it shrinks by the fan-in
 is a table in the shared folder; sequence numbers name level, task and bin.
 
 Tokens: white space ends every token of the word vocabulary, so texts are cut there and each word is
-encoded by the library once for a memory of words (bounded; it only saves time). The ids are those of the whole text. Full
-stops and the like at the end of a word are tokens of their own after a letter or digit of ASCII.
+encoded by the library once for a memory of words (bounded; it only saves time). The ids are those of the whole text.
 
 Edge cases: a null or empty text is the end id alone; null ids and repeated rows are packed row by row; very long
 texts are encoded word by word and leave piece by piece; an empty table gives an empty table; other columns are not read by
@@ -23,8 +22,8 @@ texts are encoded word by word and leave piece by piece; an empty table gives an
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,40 +41,88 @@ class Packing:
     end_id: int = 1  #: closes every document
 
 
-#: Word endings that are tokens of their own: a space before them changes nothing.
-_ENDING = re.compile(rb"(?<=[A-Za-z0-9])([.,!?]+)(?=[ \n])")
+#: An ending that is a token run of its own, after a letter or digit of ASCII.
+_ENDING = r"([a-z0-9])([.,!?;:]+)$"
 _WORDS, _LONG = 1 << 19, 64
 
 
+def _joined(flat, first, n, codes):
+    """The runs flat[first[c] : first[c] + n[c]] of all codes, one after the other, and where each starts (and the last ends)."""
+    import numpy as np
+
+    each = n[codes]
+    starts = np.concatenate(([0], np.cumsum(each)))
+    return flat[np.repeat(first[codes] - starts[:-1], each) + np.arange(starts[-1])], starts
+
+
+def _split(lists):
+    """Offsets from 0, codes and different values of an Arrow array of lists."""
+    import numpy as np
+
+    ends = np.asarray(lists.offsets).astype(np.int64)
+    values = lists.flatten().dictionary_encode()
+    return ends - ends[0], np.asarray(values.indices), values.dictionary
+
+
 class WordCoder:
-    """Ids of a text, as little-endian unsigned 32-bit integers, from the ids of its words."""
+    """Ids of texts from the ids of their different words."""
 
     def __init__(self, path: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library, self.known = Tokenizer.from_file(path), {}
+        size = self.library.get_vocab_size()
+        self.is_end = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _in_one(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, as one text: each ends with the one token that has the word-end mark."""
+        import numpy as np
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
+        if len(ends) != len(words):  # what Python calls a letter is none for the library: some word is more than one run
+            return self._each(words)
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers; long words are not remembered."""
+        if len(self.known) > _WORDS:
+            self.known.clear()
+        ids = [self.known.get(w) for w in words]
+        new = [k for k, i in enumerate(ids) if i is None]
+        solid = [k for k in new if words[k].isalpha()]
+        for how, which, step in ((self._in_one, solid, 1000), (self._each, [k for k in new if not words[k].isalpha()], 10_000)):
+            for at in range(0, len(which), step):
+                some = which[at : at + step]
+                for k, i in zip(some, how([words[k] for k in some]), strict=True):
+                    ids[k] = i
+                    if len(words[k]) <= _LONG:
+                        self.known[words[k]] = i
+        return ids
+
+    def encode_all(self, texts) -> list[bytes]:
+        """The ids of each text of an Arrow array; null is empty.
+
+        Different words, then their different stems (in lower case, as the vocabulary) and endings; ids go back the same way.
+        """
         import numpy as np
+        import pyarrow.compute as pc
 
-        found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        split = [_ENDING.sub(rb" \1", t).split() for t in texts]  # at blanks and the control characters 9 to 13
-        known = self.known
-        if len(known) > _WORDS:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        long = {w: None for w in new if len(w) > _LONG}
-        if long:
-            long = dict(zip(long, self._encode(list(long)), strict=True))
-            new = [w for w in new if w not in long]
-        known.update(zip(new, self._encode(new), strict=True))
-        if long:
-            return [b"".join([known[w] if len(w) <= _LONG else long[w] for w in words]) for words in split]
-        return [b"".join([known[w] for w in words]) for words in split]
+        ends, codes, words = _split(pc.ascii_split_whitespace(pc.fill_null(texts, "")))
+        plain = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
+        of_word, parts, stems = _split(pc.split_pattern(pc.replace_substring_regex(plain, _ENDING, r"\1 \2"), " "))
+        ids = self._ids_of([w.as_buffer().to_pybytes().decode("utf-8", "replace") for w in stems])
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = _joined(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(n) - n, n, parts)
+        upto = starts[of_word]
+        out, starts = _joined(flat, upto[:-1], np.diff(upto), codes)
+        cut = starts[ends].tolist()
+        return [out[a:b].tobytes() for a, b in zip(cut, cut[1:])]
 
 
 _coders: dict[str, WordCoder] = {}
@@ -100,15 +147,14 @@ def tokenised(docs: DataFrame, path: str, cfg: Packing = Packing(), doc: str = "
         coder = coder_of(path)
         for whole in batches:
             at = 0
-            while at < len(whole):  # a slice of texts of about a MB, or one longer text
+            while at < len(whole):  # a slice of texts of a few MB, or one longer text
                 upto, n = at, 0
-                while upto < len(whole) and (upto == at or n < 1 << 20):
+                while upto < len(whole) and (upto == at or n < 8 << 20):
                     t = whole.column(1)[upto]
                     n, upto = n + (t.as_buffer().size if t.is_valid else 0), upto + 1
                 b, at = whole.slice(at, upto - at), upto
-                texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(1)]
                 cols = [[], [], [], [], [], []]
-                for row, ids in enumerate(coder.encode_all(texts)):
+                for row, ids in enumerate(coder.encode_all(b.column(1))):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids), width)):
                         part = ids[start : start + width]

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,8 +109,11 @@ def _ids(ids):
 def test_words_encode_as_whole_texts_do():
     coder = op12.WordCoder(op12.vocabulary())
     texts = [_text(R.randint(0, 60)) for _ in range(300)] + ["", "<|endoftext|>.", "a.́ b", "it's. x", "x'. s", "a b. ́c", "l'été, l'été", "A.,! B", "…. a", "İ. I", "\x1c.\x85 a"]
-    for t, got in zip(texts, coder.encode_all([t.encode() for t in texts]), strict=True):
-        assert got == _ids(_library(t)), t
+    texts += ["THE <|ENDOFTEXT|> <|endoftext|>!", "I\u0307. A\u0301, E\u0301;", "a.b. ;: ?x.", "\u212a. \u017f, x\u0345."]
+    for k in (0, 5):  # a slice with an offset too, from remembered words
+        for t, got in zip(texts[k:], coder.encode_all(pa.array([*texts, None])[k:]), strict=False):
+            assert got == _ids(_library(t)), t
+    assert coder.encode_all(pa.array([None, ""])) == [b"", b""]
 
 
 def _checked(pieces, placed, size):
