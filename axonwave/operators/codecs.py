@@ -7,6 +7,7 @@ and 3 by packet after the front end, which runs along each channel. Decoding is
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,6 +115,67 @@ def decode_lossy(p: DataFrame, tables, n_ch: int, cfg: LossyConfig = LossyConfig
     return y.select("stream", "ch", "blk", "p", F.greatest(F.lit(0), F.least(F.lit((1 << cfg.adc_bits) - 1), F.col("x"))).alias("y"))
 
 
+SYMBOL = "stream long, pkt long, ch int, pos long, sym long"
+
+
+def _run(reset_every: int | None):
+    return F.floor(F.col("pkt") / reset_every) if reset_every else F.lit(0).cast("long")
+
+
+def encode_adaptive(sym: DataFrame, n_ch: int, reset_every: int | None = None, n_sym: int = 64, cap: int = 4096 - 64, lsh: int = 11) -> DataFrame:
+    """Symbols (stream, pkt, ch, pos, sym) -> stream, pkt, bytes. A packet's table is one more than the counts of the packet before.
+
+    Only the counts of the first cap symbols go from packet to packet, by a join, so all packets are coded at once. The first packet, every
+    reset_every-th one, and one whose predecessor is missing begin with equal frequencies.
+    """
+    counts = sym.where(F.col("pos") < cap).groupBy("stream", "pkt", "sym").agg(F.count("*").alias("n")).groupBy("stream", "pkt").agg(F.map_from_entries(F.collect_list(F.struct("sym", "n"))).alias("t"))
+    prev = counts.select("stream", (F.col("pkt") + 1).alias("pkt"), "t")
+    if reset_every:
+        prev = prev.where(F.pmod("pkt", F.lit(reset_every)) != 0)
+
+    def one(t, pos, ch, s):
+        return pd.Series([coding.adaptive_packed(*zip(*sorted(zip(*r[1:], strict=True)), strict=True), [dict(r[0] or {}).get(k, 0) for k in range(n_sym)], n_ch, lsh) for r in zip(t, pos, ch, s, strict=True)])
+
+    one.__annotations__ = {"t": pd.Series, "pos": pd.Series, "ch": pd.Series, "s": pd.Series, "return": pd.Series}
+    each = sym.groupBy("stream", "pkt").agg(F.collect_list(F.struct("pos", "ch", "sym")).alias("s")).join(prev, ["stream", "pkt"], "left")
+    return each.select("stream", "pkt", F.pandas_udf(one, "binary")("t", F.col("s.pos"), F.col("s.ch"), F.col("s.sym")).alias("bytes"))
+
+
+def decode_adaptive(p: DataFrame, channels: list[int], n_ch: int, reset_every: int | None = None, n_sym: int = 64, cap: int = 4096 - 64, lsh: int = 11) -> DataFrame:
+    """stream, pkt, bytes -> SYMBOL, from the bytes alone: the table of a packet comes from the decoded one before it.
+
+    channels: the channel of each position of a packet. Packets are dealt by stream and run (reset_every packets that begin with equal
+    frequencies), and each task reads its runs in order, a batch of packets at a time. A packet after a missing or damaged one cannot be read
+    before its run ends and has no rows.
+    """
+
+    def many(batches):
+        at, table = None, None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                if at is None or at[:2] != (r.stream, r.run):
+                    fresh = r.pkt == (r.run * reset_every if reset_every else 0)
+                    table = coding.uniform_counts(n_sym) if fresh else None
+                elif r.pkt != at[2] + 1:
+                    table = None
+                at = r.stream, r.run, r.pkt
+                if table is None:
+                    continue
+                try:
+                    got = [s for s, _ in coding.rans_unpacked(bytes(r.bytes), [(c, 0) for c in channels], [coding.cumulative([1 + n for n in table])], n_ch, None, lsh=lsh, state_bytes=4)]
+                except ValueError:
+                    table = None
+                    continue
+                table = np.bincount(got[:cap], minlength=n_sym).tolist()
+                out.append(pd.DataFrame({"stream": r.stream, "pkt": r.pkt, "ch": channels, "pos": range(len(got)), "sym": got}))
+            if out:
+                yield pd.concat(out)
+
+    runs = p.select("stream", "pkt", "bytes", _run(reset_every).alias("run")).repartition("stream", "run").sortWithinPartitions("stream", "run", "pkt")
+    return runs.mapInPandas(many, SYMBOL)
+
+
 def high_passed(x: DataFrame, cfg: FrontEnd = FrontEnd()) -> DataFrame:
     """stream, ch, frame, code, hp. The state runs along each channel; channels are the parallelism."""
 

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from axonwave.functions import coding
 from axonwave.operators import codecs, wavelet
 from axonwave.operators.codecs import high_passed, spikes, thresholds
+from axonwave.plans.packet_sql import rans_hex, rice_hex
 from axonwave.plans.samples import BLOCKS_SQL, SQL, blocks, packets, packets_sql, samples, table
+from axonwave.sources.folders import new_folder
+from axonwave.streaming import coder
 
 N = 8
 FWD, SYM = wavelet.forward_sql(), wavelet.SYMBOLS_SQL
@@ -195,6 +198,13 @@ def lossy_roundtrip(spark, d):
     return r.groupBy("ch").agg(F.count("*").alias("n"), F.sum((F.col("y") != F.col("z")).cast("long")).alias("wrong"))
 
 
+LOSSLESS_SQL = f"""WITH RECURSIVE {SQL}, {packets_sql(128)}, q AS (SELECT pkt, ch, frame % 128 AS i, code FROM k), {rice_hex("q", "")}
+SELECT pkt, 0::INT AS mode, (pkt % 64)::INT AS seq, length(packet) // 2 AS n_bytes, sha256(unhex(packet)) AS sha FROM rice_hex"""
+ADAPTIVE_SQL = f"""{BASE.replace("WITH", "WITH RECURSIVE", 1)}, {SYM}, po AS (SELECT pkt, ch, sym, row_number() OVER (PARTITION BY pkt ORDER BY blk, at_, ch, turn) - 1 AS pos, count(*) OVER (PARTITION BY pkt) AS n FROM sm),
+    w AS (SELECT * FROM po WHERE n = 2048), n AS (SELECT pkt, sym, count(*) AS n FROM w WHERE pos < 4032 GROUP BY ALL),
+    g AS (SELECT pkt, s AS sym, 1 + coalesce(n.n, 0) AS f FROM (SELECT DISTINCT pkt FROM w), range(64) r(s) LEFT JOIN (SELECT pkt + 1 AS p, sym AS y, n FROM n) n ON n.p = pkt AND n.y = s),
+    ta AS (SELECT pkt, sym, f, (sum(f) OVER (PARTITION BY pkt ORDER BY sym) - f)::BIGINT AS c, (sum(f) OVER (PARTITION BY pkt))::BIGINT AS m FROM g), {rans_hex("w", "ta", 11, 8, 4)}
+    SELECT pkt, length(packet) // 2 AS n_bytes, sha256(unhex(packet)) AS sha, 0::BIGINT AS wrong FROM rans_hex"""
 LOSSY_ROUND_SQL = f"{BASE}, sz AS (SELECT blk // 4 AS pkt, count(*) AS n FROM b GROUP BY 1) SELECT ch, count(*) AS n, 0::BIGINT AS wrong FROM b WHERE blk // 4 IN (SELECT pkt FROM sz WHERE n = 2048) GROUP BY ch"
 
 
@@ -350,21 +360,26 @@ def renorm_sweep(spark, d):
 
 
 def adaptive_rans(spark, d):
-    """Each packet coded with a table from the packet before (the first with equal frequencies), and back: packets stay independent for the encoder."""
-    sym = codecs.whole_packets(wavelet.symbols(blocks(samples(spark, d))), N).select("stream", "pkt", "ch", "sym", "pos")
-    counts = sym.where(F.col("pos") < 4096 - 64).groupBy("stream", "pkt", "sym").agg(F.count("*").alias("n")).groupBy("stream", "pkt").agg(F.map_from_entries(F.collect_list(F.struct("sym", "n"))).alias("t"))
-    prev = counts.select("stream", (F.col("pkt") + 1).alias("pkt"), "t")
-
-    def one(pdf):
-        pdf = pdf.sort_values("pos")
-        t = pdf.t.iloc[0]
-        tables = [coding.cumulative([1 + (dict(t).get(s, 0) if t is not None else 0) for s in range(64)])]
-        order, sym = [(c, 0) for c in pdf.ch.tolist()], pdf.sym.tolist()
-        data = coding.rans_packed(order, sym, tables, N, 11)
-        back = [s for s, _ in coding.rans_unpacked(data, order, tables, N, None, lsh=11, state_bytes=4)]
-        return pd.DataFrame({"pkt": [int(pdf.pkt.iloc[0])], "n_bytes": [len(data)], "sha": [hashlib.sha256(data).hexdigest()], "wrong": [sum(x != y for x, y in zip(sym, back, strict=True))]})
-
-    return sym.join(prev, ["stream", "pkt"], "left").groupBy("stream", "pkt").applyInPandas(one, "pkt long, n_bytes long, sha string, wrong long")
+    """Packets coded with a table from the packet before (the first with equal frequencies), and decoded from the bytes alone, packet after packet."""
+    sym = codecs.whole_packets(wavelet.symbols(blocks(samples(spark, d))), N).select("stream", "pkt", "ch", "pos", F.col("sym").cast("long").alias("sym"))
+    p = codecs.encode_adaptive(sym, N)
+    back = codecs.decode_adaptive(p, [c for _, c, _, _ in codecs.coding_order(N)], N).withColumnRenamed("sym", "back")
+    wrong = sym.join(back, ["stream", "pkt", "ch", "pos"], "full").groupBy("stream", "pkt").agg(F.count_if(~F.col("sym").eqNullSafe(F.col("back"))).alias("wrong"))
+    return p.join(wrong, ["stream", "pkt"]).select("pkt", F.length("bytes").cast("long").alias("n_bytes"), F.sha2("bytes", 256).alias("sha"), "wrong")
+
+
+def streamed_packets(spark, d):
+    """Lossless packets from a stream whose coder keeps its state between micro-batches and over a restart."""
+    x, at = samples(spark, d), new_folder(spark, "streamed-packets")
+    top = x.agg(F.max("frame")).first()[0] or 0
+    put = lambda lo, hi: x.where(F.col("frame").between(lo, hi - 1)).repartition(1).write.mode("append").parquet(f"{at}/in")  # noqa: E731  one file a micro-batch
+    with coder.state_store(spark):
+        for cuts in ([0, top // 3], [top // 3, top // 2, top + 1]):
+            for lo, hi in zip(cuts, cuts[1:]):
+                put(lo, hi)
+            made = coder.streaming_rice(spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"))
+            made.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _fingerprint(coder.lossless_packets(spark.read.parquet(f"{at}/out"), N))
 
 
 def lms_residuals(spark, d):
@@ -440,7 +455,8 @@ QUERIES = {
         m AS (SELECT ch, e, CASE WHEN e >= 0 THEN 2 * e ELSE -2 * e - 1 END AS m, ({' + '.join(f'CASE WHEN (4 << {j}) < abs(e) + 1 THEN 1 ELSE 0 END' for j in range(9))})::BIGINT AS k FROM e)
         SELECT ch, count(*) AS n, sum(m)::BIGINT AS m, sum(k)::BIGINT AS k, sum(CASE WHEN (m >> k) < 16 THEN (m >> k) + 1 + k ELSE 26 END)::BIGINT AS bits, 0::BIGINT AS wrong FROM m GROUP BY ch"""),
     "rice_adaptive_bits": (rice_adaptive_bits, RICE_SQL),
-    "lossless_packets": (lossless_packets, None),
+    "lossless_packets": (lossless_packets, LOSSLESS_SQL),
+    "streamed_packets": (streamed_packets, LOSSLESS_SQL),
     "lossless_roundtrip": (lossless_roundtrip, f"WITH {SQL}, {packets_sql(128)} SELECT ch, count(*) AS n, 0::BIGINT AS wrong FROM k GROUP BY ch"),
     "lossy_packets": (lossy_packets, None),
     "lossy_roundtrip": (lossy_roundtrip, LOSSY_ROUND_SQL),
@@ -467,6 +483,6 @@ QUERIES = {
     "lfsr_stimulus": (lfsr_stimulus, "WITH RECURSIVE l(pos, x) AS (SELECT 0::BIGINT, 44257::BIGINT UNION ALL SELECT pos + 1, xor(x >> 1, CASE WHEN x % 2 = 1 THEN 46080 ELSE 0 END) FROM l WHERE pos < 1999) SELECT pos, x & 1023 AS code FROM l"),
     "encode_lfsr": (encode_lfsr, None),
     "renorm_sweep": (renorm_sweep, None),
-    "adaptive_rans": (adaptive_rans, None),
+    "adaptive_rans": (adaptive_rans, ADAPTIVE_SQL),
     "lms_residuals": (lms_residuals, LMS_SQL),
 }

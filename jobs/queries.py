@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axonwave.plans.packet_sql import rice_hex
+from axonwave.sources.folders import new_folder
 from jobs import packet_intake, rate_survey
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own below spark.checkpoint.dir; only a local session without that setting gets a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="axonwave-jobs-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def job1_packet_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = new_folder(spark, "packet-intake")
     for _ in range(2):
@@ -35,22 +24,12 @@ def job2_rate_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-#: Codewords of the adaptive Rice coder as strings of bits, joined to packets and read four by four.
 JOB1_SQL = f"""WITH RECURSIVE g AS (SELECT user_id AS stream, event_id, min({{'day': coalesce(strftime(ts, '%Y-%m-%d'), 'none'), 'code': least(1023, greatest(0, round_even(value, 0)::BIGINT))}}) AS o
     FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) GROUP BY user_id, event_id),
 f AS (SELECT stream, event_id, o.day AS day, o.code AS code, row_number() OVER (PARTITION BY stream ORDER BY event_id) - 1 AS frame, count(*) OVER (PARTITION BY stream) AS n FROM g),
-z AS (SELECT *, frame // 32 AS pkt, frame % 32 AS i, coalesce((code - lag(code) OVER (PARTITION BY stream, frame // 32 ORDER BY frame) + 1536) % 1024 - 512, 0) AS e FROM f WHERE frame // 32 < n // 32),
-r(stream, pkt, i, a, n, word) AS (SELECT stream, pkt, 0::BIGINT, 16::BIGINT, 1::BIGINT, lpad(bin(code), 10, '0') FROM z WHERE i = 0
-  UNION ALL SELECT stream, pkt, i, CASE WHEN n = 63 THEN (a + abs(e)) >> 1 ELSE a + abs(e) END, CASE WHEN n = 63 THEN 32 ELSE n + 1 END,
-    CASE WHEN (m >> k) < 16 THEN repeat('1', (m >> k)::INT) || '0' || CASE WHEN k > 0 THEN lpad(bin(m & ((1::BIGINT << k) - 1)), k::INT, '0') ELSE '' END ELSE repeat('1', 16) || lpad(bin(m), 10, '0') END
-  FROM (SELECT z.stream, z.pkt, z.i, z.e, r.a, r.n, CASE WHEN z.e >= 0 THEN 2 * z.e ELSE -2 * z.e - 1 END AS m,
-    ({' + '.join(f'CASE WHEN (r.n << {j}) < r.a THEN 1 ELSE 0 END' for j in range(9))})::BIGINT AS k FROM r JOIN z ON z.stream = r.stream AND z.pkt = r.pkt AND z.i = r.i + 1)),
-b AS (SELECT stream, pkt, lpad(bin(pkt % 64), 8, '0') || string_agg(word, '' ORDER BY i) AS bits FROM r GROUP BY stream, pkt),
-p AS (SELECT stream, pkt, bits || repeat('0', ((8 - length(bits) % 8) % 8)::INT) AS bits FROM b),
-h AS (SELECT stream, pkt, string_agg(substr('0123456789ABCDEF', 1 + 8 * substr(bits, i::INT, 1)::INT + 4 * substr(bits, i::INT + 1, 1)::INT + 2 * substr(bits, i::INT + 2, 1)::INT + substr(bits, i::INT + 3, 1)::INT, 1), '' ORDER BY i) AS packet
-    FROM (SELECT stream, pkt, bits, unnest(range(1, length(bits) + 1, 4)) AS i FROM p) GROUP BY stream, pkt)
+q AS (SELECT stream, event_id, day, frame, frame // 32 AS pkt, 0 AS ch, frame % 32 AS i, code FROM f WHERE frame // 32 < n // 32), {rice_hex("q", "stream")}
 SELECT stream, pkt, (pkt % 64)::INT AS seq, count(*)::INT AS n_samples, min(event_id) AS first_event_id, max(event_id) AS last_event_id, any_value(packet) AS packet, arg_max(day, frame) AS day
-FROM z JOIN h USING (stream, pkt) GROUP BY stream, pkt"""
+FROM q JOIN rice_hex USING (stream, pkt) GROUP BY stream, pkt"""
 
 JOB2_SQL = f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, source, CASE WHEN ((coalesce(doc_id, 0) % 65536 + 65536) % 65536 * 40503) % 65536 < 32768 THEN 0 ELSE 1 END AS fold, hex(encode(coalesce(text, ''))) AS h FROM documents),
 x AS (SELECT id, source, fold, i, (instr('0123456789ABCDEF', substr(h, (2 * i + 1)::INT, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, (2 * i + 2)::INT, 1)) - 1 AS v FROM (SELECT id, source, fold, h, unnest(range(length(h) // 2)) AS i FROM d)),
