@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from axonwave.functions import coding
 from axonwave.operators import codecs, wavelet
 from axonwave.operators.codecs import high_passed, spikes, thresholds
-from axonwave.plans.packet_sql import rans_hex, rice_hex
+from axonwave.plans.packet_sql import LOSSY_CODED, RAW_CDF, rans_hex, rice_hex
 from axonwave.plans.samples import BLOCKS_SQL, SQL, blocks, packets, packets_sql, samples, table
 from axonwave.sources.folders import new_folder
 from axonwave.streaming import coder
@@ -203,8 +203,10 @@ SELECT pkt, 0::INT AS mode, (pkt % 64)::INT AS seq, length(packet) // 2 AS n_byt
 ADAPTIVE_SQL = f"""{BASE.replace("WITH", "WITH RECURSIVE", 1)}, {SYM}, po AS (SELECT pkt, ch, sym, row_number() OVER (PARTITION BY pkt ORDER BY blk, at_, ch, turn) - 1 AS pos, count(*) OVER (PARTITION BY pkt) AS n FROM sm),
     w AS (SELECT * FROM po WHERE n = 2048), n AS (SELECT pkt, sym, count(*) AS n FROM w WHERE pos < 4032 GROUP BY ALL),
     g AS (SELECT pkt, s AS sym, 1 + coalesce(n.n, 0) AS f FROM (SELECT DISTINCT pkt FROM w), range(64) r(s) LEFT JOIN (SELECT pkt + 1 AS p, sym AS y, n FROM n) n ON n.p = pkt AND n.y = s),
-    ta AS (SELECT pkt, sym, f, (sum(f) OVER (PARTITION BY pkt ORDER BY sym) - f)::BIGINT AS c, (sum(f) OVER (PARTITION BY pkt))::BIGINT AS m FROM g), {rans_hex("w", "ta", 11, 8, 4)}
+    ta AS (SELECT pkt, sym, f, (sum(f) OVER (PARTITION BY pkt ORDER BY sym) - f)::BIGINT AS c, (sum(f) OVER (PARTITION BY pkt))::BIGINT AS m FROM g),
+    wt AS (SELECT w.pkt, w.ch, w.pos, ta.f, ta.c, ta.m, '' AS raw FROM w JOIN ta ON w.pkt = ta.pkt AND w.sym = ta.sym), {rans_hex("wt", 11, 8, 4)}
     SELECT pkt, length(packet) // 2 AS n_bytes, sha256(unhex(packet)) AS sha, 0::BIGINT AS wrong FROM rans_hex"""
+LOSSY_SQL = f"""{LOSSY_CODED} SELECT pkt, 1::INT AS mode, (pkt % 64)::INT AS seq, length(packet) // 2 + 1 AS n_bytes, sha256(unhex(printf('%02X', (64 + pkt % 64)::INT) || packet)) AS sha FROM rans_hex"""
 LOSSY_ROUND_SQL = f"{BASE}, sz AS (SELECT blk // 4 AS pkt, count(*) AS n FROM b GROUP BY 1) SELECT ch, count(*) AS n, 0::BIGINT AS wrong FROM b WHERE blk // 4 IN (SELECT pkt FROM sz WHERE n = 2048) GROUP BY ch"
 
 
@@ -406,10 +408,6 @@ def lms_residuals(spark, d):
     return samples(spark, d).groupBy("stream", "ch").applyInPandas(one, "ch int, total long, ctx0 long, ctx1 long, ctx2 long, ctx3 long")
 
 
-RAW_CDF = f"""{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, {SYM}, g AS (SELECT k::INT AS ctx, s::INT AS sym FROM range(4) a(k), range(64) b(s)), n AS (SELECT ctx, sym, count(*) AS n FROM sm GROUP BY ALL),
-    w AS (SELECT ctx, sym, coalesce(n, 0) + 0.5::DOUBLE AS c FROM g LEFT JOIN n USING (ctx, sym)), v AS (SELECT ctx, sym, greatest(1, floor(c / sum(c) OVER (PARTITION BY ctx) * 4096)::BIGINT) AS f FROM w),
-    fr(ctx, f, gap) AS (SELECT ctx, list(f ORDER BY sym), 4096 - sum(f)::BIGINT FROM v GROUP BY ctx UNION ALL SELECT ctx, list_transform(f, lambda x, i: CASE WHEN i = list_position(f, list_max(f)) THEN x + sign(gap) ELSE x END), gap - sign(gap) FROM fr WHERE gap != 0),
-    fl AS (SELECT ctx, unnest(range(64))::INT AS sym, unnest(f) AS f FROM fr WHERE gap = 0), cdf AS (SELECT ctx, sym, f, (sum(f) OVER (PARTITION BY ctx ORDER BY sym) - f)::BIGINT AS c FROM fl)"""
 # fixed values of the predictor: first weights and steps
 LMS_START, LMS_STEP = [700, 400, 500, 400, 400, 100, 250, 50], [6, 4, 3, 2, 2, 1, 1, 1]
 LMS_SQL = f"""WITH RECURSIVE {SQL}, q AS (SELECT ch, frame, code, code - lag(code) OVER (PARTITION BY ch ORDER BY frame) AS diff FROM s),
@@ -458,7 +456,7 @@ QUERIES = {
     "lossless_packets": (lossless_packets, LOSSLESS_SQL),
     "streamed_packets": (streamed_packets, LOSSLESS_SQL),
     "lossless_roundtrip": (lossless_roundtrip, f"WITH {SQL}, {packets_sql(128)} SELECT ch, count(*) AS n, 0::BIGINT AS wrong FROM k GROUP BY ch"),
-    "lossy_packets": (lossy_packets, None),
+    "lossy_packets": (lossy_packets, LOSSY_SQL),
     "lossy_roundtrip": (lossy_roundtrip, LOSSY_ROUND_SQL),
     "high_pass": (high_pass, f"{HP_SQL} SELECT ch, sum(hp)::BIGINT AS total, min(hp) AS lo, max(hp) AS hi, sum(abs(hp))::BIGINT AS mag FROM hp GROUP BY ch"),
     "spike_thresholds": (spike_thresholds, f"{HP_SQL}, {THR_SQL} SELECT ch, thr FROM th"),
