@@ -22,7 +22,7 @@ from axonwave.functions.tracing import Coded, Coder
 UPSETS = (("state", 22), ("frequency", 13), ("start", 12), ("write_back", 22))
 
 
-def _coded(pdf: pd.DataFrame) -> Coded:
+def coded_of(pdf: pd.DataFrame) -> Coded:
     pdf = pdf.sort_values("pos")
     return Coded(pdf.ch.tolist(), pdf.f.tolist(), pdf.c.tolist(), [bytes(r) if r is not None else b"" for r in pdf.raw])
 
@@ -51,7 +51,7 @@ def traced(coded: DataFrame, payloads: DataFrame, keys: list[str], coder: Coder,
     meet, fault = "array<struct<k:int,ch:int,f:long,c:long,x:long,y:long,n:int,bytes:long>>", "array<struct<kind:string,ctx:int,sym:int,bit:int,value:int>>"
 
     def one(pdf):
-        s, n = _coded(pdf), len(pdf)
+        s, n = coded_of(pdf), len(pdf)
         body, states = coder.parted(bytes(pdf.payload.iloc[0]))
         ahead, _ = tracing.forward(s, coder, body)
         back = tracing.backward(s, coder, body, states)
@@ -109,7 +109,7 @@ def snapshots(coded: DataFrame, keys: list[str], coder: Coder, every: int) -> Da
     """keys, k, at, states: every n-th boundary of each packet as it is coded, and the last."""
 
     def one(pdf):
-        bounds, _ = tracing.forward(_coded(pdf), coder)
+        bounds, _ = tracing.forward(coded_of(pdf), coder)
         rows = [(k, at, list(x)) for k, (at, x) in bounds.items() if k % every == 0 or k == len(pdf)]
         k, at, states = zip(*rows, strict=True)
         return pd.DataFrame({c: pdf[c].iloc[0] for c in keys} | {"k": k, "at": at, "states": states})

@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from axonwave.functions import coding
-from axonwave.operators import codecs, wavelet
+from axonwave.functions import coding, tracing
+from axonwave.operators import codecs, faults, wavelet
 from axonwave.plans.protocol_queries import EDGES, edges, reach
 from axonwave.plans.samples import BLOCKS_SQL, SQL, blocks, packets, packets_sql, samples, table
 from axonwave.plans.signal_queries import N, RICE_SQL, rice_adaptive_bits, RICE_CONTEXT_SQL
@@ -82,40 +82,25 @@ def byte_edits(spark, d):
 
 
 def state_flips(spark, d):
-    """Which flipped bit of a coder state, after which symbol, explains a channel's bytes in a packet: every hypothesis is coded again."""
+    """Which flipped bit of a coder state, after which symbol, explains a channel's bytes in a packet: states from the start and states undone from the end meet there."""
+    keys, coder = ["stream", "pkt", "ch"], tracing.Coder(1, state_bytes=4)
     sym = codecs.whole_packets(wavelet.symbols(blocks(samples(spark, d))), N)
-    tables = codecs.trained_tables(sym)
-
-    def run(s, k, x, start, flip=None, seen=None):
-        """Bytes of the symbols from start on, coded from state x; None as soon as they are not those seen."""
-        out = bytearray()
-        for i in range(start, len(s)):
-            t = tables[k[i]]
-            x, units = coding.rans_step(x, t[s[i] + 1] - t[s[i]], t[s[i]], 4096, 2)
-            out += bytes(units)
-            if seen is not None and seen[len(out) - len(units) : len(out)] != bytes(units):
-                return None
-            if flip and flip[0] == i:
-                x ^= 1 << flip[1]
-        out = bytes(out) + x.to_bytes(4, "little")
-        return out if seen is None or out == seen else None
-
-    def one(pdf):
-        pdf = pdf.sort_values("pos")
-        s, k, c = pdf.sym.tolist(), pdf.ctx.tolist(), int(pdf.ch.iloc[0])
-        truth = (11 + c, 3 + c % 5)
-        seen = run(s, k, 4096 << 2, 0, truth)
-        fits, x, n = [], 4096 << 2, 0
-        for i in range(len(s)):
-            t = tables[k[i]]
-            x, units = coding.rans_step(x, t[s[i] + 1] - t[s[i]], t[s[i]], 4096, 2)
-            if seen[n : n + len(units)] != bytes(units):  # no later flip explains a byte before it
-                break
-            n += len(units)
-            fits += [(i, b) for b in range(14) if run(s, k, x ^ 1 << b, i + 1, seen=seen[n:]) is not None]
-        return pd.DataFrame({"stream": [pdf.stream.iloc[0]], "pkt": [pdf.pkt.iloc[0]], "ch": [c], "found": [truth in fits], "candidates": [len(fits)], "clean": [run(s, k, 4096 << 2, 0) == seen]})
-
-    return sym.groupBy("stream", "pkt", "ch").applyInPandas(one, "stream long, pkt long, ch int, found boolean, candidates long, clean boolean")
+    x = faults.coded_symbols(sym, codecs.trained_tables(sym)).select(*keys, "pos", F.lit(0).alias("own"), "f", "c", F.lit(None).cast("binary").alias("raw"))
+
+    def damage(pdf):
+        c = int(pdf.ch.iloc[0])
+        s = faults.coded_of(pdf.drop(columns="ch").rename(columns={"own": "ch"}))
+        flip = lambda k, y, f, b: (y, f, b, (lambda z: z ^ 1 << 3 + c % 5) if k == 11 + c else None)
+        bounds, out = tracing.forward(s, coder, None, flip)
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"payload": [out + coder.tail(bounds[len(pdf)][1])]})
+
+    bad = x.groupBy(*keys).applyInPandas(damage, "stream long, pkt long, ch int, payload binary")
+    by = ["stream", "pkt", "of"]
+    rows = faults.traced(x.withColumnRenamed("ch", "of").withColumnRenamed("own", "ch"), bad.withColumnRenamed("ch", "of"), by, coder)
+    fits = faults.upsets(rows, by, coder, kinds=(("write_back", 14),))
+    true = (F.col("k") == 11 + F.col("of")) & (F.col("bit") == 3 + F.col("of") % 5)
+    found = fits.groupBy(*by).agg(F.max(true).alias("found"), F.count("*").alias("candidates"))
+    return rows.join(found, by, "left").select("stream", "pkt", F.col("of").alias("ch"), F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("candidates", F.lit(0)).alias("candidates"), "clean")
 
 
 def single_state_rans(spark, d):

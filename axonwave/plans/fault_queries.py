@@ -70,7 +70,7 @@ def coder_upsets(spark, d):
     x, _, _ = coded(spark, d)
 
     def damage(pdf):
-        s, k = faults._coded(pdf), int(pdf.pkt.iloc[0])
+        s, k = faults.coded_of(pdf), int(pdf.pkt.iloc[0])
         j, kind, bit = upset(k, len(pdf))
         flip = lambda v, of: v ^ (1 << bit if kind == of else 0)
         alter = lambda i, y, f, c: (flip(y, "state"), flip(f, "frequency"), flip(c, "start"), lambda z: flip(z, "write_back")) if i == j else (y, f, c, None)
