@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonwave.functions import coding
@@ -106,8 +106,6 @@ def decode_lossy(p: DataFrame, tables, n_ch: int, cfg: LossyConfig = LossyConfig
                 yield pd.DataFrame({"stream": r.stream, "ch": c, "blk": [r.pkt * cfg.blocks_per_packet + x for x in b], "p": p, "ctx": k, "v": v})
 
     q = p.mapInPandas(many, "stream long, ch int, blk long, p int, ctx int, v long")
-    from pyspark.sql import Window
-
     run = Window.partitionBy("stream", "ch", "blk", "ctx").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     q = q.withColumn("q", F.when(F.col("ctx") == 0, F.sum("v").over(run)).otherwise(F.col("v")))
     q = q.withColumn("dq", wavelet.by_ctx(lambda k: wavelet.dequantise(F.col("q"), cfg.shift(k)), cfg.levels))
@@ -176,15 +174,39 @@ def decode_adaptive(p: DataFrame, channels: list[int], n_ch: int, reset_every: i
     return runs.mapInPandas(many, SYMBOL)
 
 
-def high_passed(x: DataFrame, cfg: FrontEnd = FrontEnd()) -> DataFrame:
-    """stream, ch, frame, code, hp. The state runs along each channel; channels are the parallelism."""
+def high_passed(x: DataFrame, cfg: FrontEnd = FrontEnd(), span: int = 1 << 16) -> DataFrame:
+    """stream, ch, frame, code, hp, by ranges of span frames.
 
-    def channel(pdf):
+    The running mean is one integer of few values, and a sample moves it monotonically: so a range of samples maps all possible states to a few,
+    and is folded without knowing where it starts. The maps of a channel's ranges, a few numbers each, give every range's first state; then the ranges are folded
+    again, each from its own. Tasks are ranges, however long a channel is.
+    """
+    keys = ["stream", "ch", "_range"]
+    rows = x.select("stream", "ch", "frame", "code").withColumn("_range", F.floor(F.col("frame") / span))
+
+    def mapped(pdf):
+        lows, ends = coding.mean_map(pdf.sort_values("frame").code.tolist(), cfg)
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"lows": [lows], "ends": [ends]})
+
+    last = rows.groupBy("stream", "ch").agg(F.max("_range").alias("_last"))
+    before = rows.join(last, ["stream", "ch"]).where("_range < _last").drop("_last")
+    maps = before.groupBy(*keys).applyInPandas(mapped, "stream long, ch int, _range long, lows array<long>, ends array<long>")
+    through = lambda a, m: F.get(m["ends"], F.size(F.filter(m["lows"], lambda low: low <= a)) - 1)
+    begin = F.struct(F.lit(coding.mean_start(cfg)).cast("long").alias("at"), F.array().cast("array<struct<_range:bigint,start:bigint>>").alias("all"))
+    step = lambda a, m: (lambda to: F.struct(to.alias("at"), F.array_append(a["all"], F.struct((m["_range"] + 1).alias("_range"), to.alias("start"))).alias("all")))(through(a["at"], m))
+    chain = maps.groupBy("stream", "ch").agg(F.array_sort(F.collect_list(F.struct("_range", "lows", "ends"))).alias("m"))
+    starts = chain.select("stream", "ch", F.inline(F.aggregate("m", begin, step)["all"]))
+
+    def ranged(pdf):
         pdf = pdf.sort_values("frame")
-        pdf["hp"] = coding.high_pass(pdf[["code"]].to_numpy(), cfg)[0][:, 0]
+        first = pdf.start.iloc[0]
+        pdf["hp"] = coding.high_pass(pdf[["code"]].to_numpy(), cfg, None if pd.isna(first) else np.array([int(first)]))[0][:, 0]
         return pdf[["stream", "ch", "frame", "code", "hp"]]
 
-    return x.select("stream", "ch", "frame", "code").groupBy("stream", "ch").applyInPandas(channel, "stream long, ch int, frame long, code long, hp long")
+    # a range that follows a gap of whole ranges starts where the last one before it has ended
+    w = Window.partitionBy("stream", "ch").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    known = rows.select(*keys).distinct().join(starts, keys, "full").withColumn("start", F.last("start", True).over(w))
+    return rows.join(known, keys).groupBy(*keys).applyInPandas(ranged, "stream long, ch int, frame long, code long, hp long")
 
 
 def thresholds(hp: DataFrame, k: float = 4.5) -> DataFrame:
@@ -193,15 +215,38 @@ def thresholds(hp: DataFrame, k: float = 4.5) -> DataFrame:
     return hp.groupBy("stream", "ch").agg(thr.alias("thr"))
 
 
+def islands(t: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """t with island: rows of its keys whose frames are more than reach apart from the frame before begin a new one."""
+    w = Window.partitionBy(*keys).orderBy("frame")
+    begins = F.coalesce(F.col("frame") - F.lag("frame").over(w) > reach, F.lit(True))
+    return t.withColumn("_begins", begins.cast("long")).withColumn("island", F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_begins")
+
+
 def spikes(hp: DataFrame, thr: DataFrame, cfg: FrontEnd = FrontEnd()) -> DataFrame:
-    """stream, ch, frame of each spike; only the samples below the threshold are folded."""
+    """stream, ch, frame of each spike; only the samples below the threshold are folded, each island of them on its own."""
     low = hp.join(thr, ["stream", "ch"]).where(F.col("hp") <= -F.col("thr")).select("stream", "ch", "frame")
 
-    def channel(pdf):
-        keep = coding.after_dead_time(sorted(pdf.frame.tolist()), cfg.refractory)
-        return pd.DataFrame({"stream": pdf.stream.iloc[0], "ch": pdf.ch.iloc[0], "frame": keep})
+    def first(frames: pd.Series) -> pd.Series:
+        return pd.Series([coding.after_dead_time(sorted(f), cfg.refractory) for f in frames])
+
+    each = islands(low, ["stream", "ch"], cfg.refractory).groupBy("stream", "ch", "island").agg(F.collect_list("frame").alias("frames"))
+    return each.select("stream", "ch", F.explode(F.pandas_udf(first, "array<long>")("frames")).alias("frame"))
+
+
+def matched_spikes(a: DataFrame, b: DataFrame, reach: int = 10) -> DataFrame:
+    """Spikes (stream, ch, frame) a against b: stream, ch, orig, hits, false_pos, distance. Each of a, in order, takes the first free one of b within reach.
+
+    Spikes further apart than reach cannot meet, so every island of both is matched on its own.
+    """
+
+    def counts(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([coding.matched(sorted(p), sorted(q), reach) for p, q in zip(x, y, strict=True)], columns=["hits", "extra", "far"])
 
-    return low.groupBy("stream", "ch").applyInPandas(channel, "stream long, ch int, frame long")
+    both = a.select("stream", "ch", "frame", F.lit(True).alias("_a")).unionByName(b.select("stream", "ch", "frame", F.lit(False).alias("_a")))
+    of = lambda c: F.collect_list(F.when(c, F.col("frame")))
+    each = islands(both, ["stream", "ch"], reach).groupBy("stream", "ch", "island").agg(of(F.col("_a")).alias("x"), of(~F.col("_a")).alias("y"))
+    m = each.select("stream", "ch", F.size("x").alias("n"), F.pandas_udf(counts, "hits long, extra long, far long")("x", "y").alias("m"))
+    return m.groupBy("stream", "ch").agg(F.sum("n").alias("orig"), F.sum("m.hits").alias("hits"), F.sum("m.extra").alias("false_pos"), F.sum("m.far").alias("distance"))
 
 
 def binned(x: DataFrame, spk: DataFrame, frames: int = 400, most: int = 7) -> DataFrame:

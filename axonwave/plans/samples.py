@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from axonwave.operators.numbering import numbered
+
 CHANNELS = 8
 
 
@@ -17,10 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    order = Window.partitionBy("stream", "ch").orderBy("event_id")
     code = F.least(F.lit(1023), F.greatest(F.lit(0), F.bround("value", 0).cast("long")))
     e = e.select(F.lit(0).cast("long").alias("stream"), F.pmod("user_id", F.lit(CHANNELS)).cast("int").alias("ch"), "event_id", code.alias("code"))
-    return e.select("stream", "ch", (F.row_number().over(order) - 1).cast("long").alias("frame"), "code")
+    return numbered(e, ["stream", "ch"], "event_id", "frame").select("stream", "ch", "frame", "code")
 
 
 SQL = """s AS (SELECT 0::BIGINT AS stream, (user_id % 8)::INT AS ch, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS frame,

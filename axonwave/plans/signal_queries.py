@@ -280,14 +280,7 @@ def spike_match(spark, d):
     a = high_passed(r.select("stream", "ch", "frame", "code"))
     thr = thresholds(a, 1.0)
     z = high_passed(r.select("stream", "ch", "frame", F.col("y").alias("code")))
-    both = spikes(a, thr).withColumn("of", F.lit("a")).unionByName(spikes(z, thr).withColumn("of", F.lit("b")))
-
-    def one(pdf):
-        x, y = (sorted(pdf[pdf.of == o].frame.tolist()) for o in "ab")
-        hits, extra, far = coding.matched(x, y)
-        return pd.DataFrame({"ch": [int(pdf.ch.iloc[0])], "orig": [len(x)], "hits": [hits], "false_pos": [extra], "distance": [far]})
-
-    return both.groupBy("ch").applyInPandas(one, "ch int, orig long, hits long, false_pos long, distance long")
+    return codecs.matched_spikes(spikes(a, thr), spikes(z, thr)).drop("stream")
 
 
 def value_range(spark, d):
