@@ -8,25 +8,24 @@ from pyspark.sql import functions as F
 
 from axonwave.functions import coding
 from axonwave.operators import codecs, wavelet
+from axonwave.operators.numbering import numbered
 from axonwave.plans.protocol_queries import EDGES, edges, reach
-from axonwave.plans.samples import BLOCKS_SQL, SQL, blocks, samples, table
+from axonwave.plans.samples import BLOCKS_SQL, SQL, blocks, packets, packets_sql, samples, table
 from axonwave.plans.signal_queries import SNR_SQL, N, snr_percentiles
 
 BASE = f"WITH {SQL}, {BLOCKS_SQL}, {wavelet.forward_sql()}"
 
 
 def bringup_patterns(spark, d):
-    """Closed-form stimulus patterns of one packet, by channel."""
-    g = spark.range(256).select(F.col("id").alias("f")).crossJoin(F.broadcast(spark.range(N).select(F.col("id").alias("c"))))
-    f, c = F.col("f"), F.col("c")
-    wave = F.rint(511.5 + 511.5 * F.sin(2 * 3.141592653589793 * f * (c + 1) / 37.0))
-    patterns = {
-        "silence": F.lit(512), "dc0": F.lit(0), "dc1023": F.lit(1023), "ramp": F.pmod(f * (c + 1), F.lit(1024)), "ramp_small": 400 + F.floor(f * (c + 1) / 16),
-        "impulse": F.when(f == 17 + 29 * c, 1023).otherwise(512), "step": F.when(f < 133, 100).otherwise(900), "steps": F.when(F.pmod(F.floor(f / 37), F.lit(2)) == 0, 0).otherwise(1023),
-        "square_nyq": F.when(F.pmod(f, F.lit(2)) == 0, 0).otherwise(1023), "square_16": F.when(F.pmod(F.floor(f / 8), F.lit(2)) == 0, 0).otherwise(1023), "sine_fs": wave,
-    }
-    rows = g.select("f", "c", F.explode(F.create_map(*[x for k, v in patterns.items() for x in (F.lit(k), v.cast("long"))])).alias("name", "code"))
-    return rows.groupBy("name", F.col("c").alias("ch")).agg(F.count("*").alias("n"), F.min("code").alias("lo"), F.max("code").alias("hi"), F.sum("code").alias("total"), F.sum(F.col("code") * F.col("f")).alias("mixed"))
+    """What each channel of a packet looks like as a test signal: by its different codes, changes, alternations and equal steps; packets and codes of every kind."""
+    w = Window.partitionBy("ch", "pkt").orderBy("frame")
+    x = packets(samples(spark, d), 256).withColumn("step", F.col("code") - F.lag("code").over(w))
+    x = x.withColumn("before", F.lag("step").over(w))
+    f = x.groupBy("ch", "pkt").agg(
+        F.count_distinct("code").alias("codes"), F.count_if(F.col("step") != 0).alias("changes"), F.count_if((F.col("step") != 0) & (F.col("step") == -F.col("before"))).alias("swings"),
+        F.count_if(F.col("step") == F.col("before")).alias("even"), F.sum("code").alias("total"))
+    kind = F.when(F.col("codes") == 1, "constant").when((F.col("codes") == 2) & (F.col("swings") >= 127), "square").when(F.col("changes") <= 8, "steps").when(F.col("even") >= 200, "ramp").otherwise("signal")
+    return f.groupBy("ch", kind.alias("kind")).agg(F.count("*").alias("packets"), F.sum("changes").alias("changes"), F.sum("swings").alias("swings"), F.sum("even").alias("even"), F.sum("total").alias("total"))
 
 
 def word(v, bits: int):
@@ -79,7 +78,7 @@ def energy_figures(spark, d):
 
 def regex_selection(spark, d):
     """Items chosen by a regular expression that have a metric, and those that lack it."""
-    p = table(spark, d, "part").where(F.col("p_type").rlike("^(STANDARD|ECONOMY).*(BRASS|TIN)$"))
+    p = table(spark, d, "part").where(F.col("p_type").rlike("^(S[MT]|ECO).*[LDY]$"))
     m = table(spark, d, "lineitem").where("l_discount > 0.09").groupBy("l_partkey").agg(F.count("*").alias("m"))
     return p.join(m, F.col("p_partkey") == F.col("l_partkey"), "left").groupBy("p_type").agg(F.count("*").alias("chosen"), F.count("m").alias("with_metric"))
 
@@ -176,7 +175,7 @@ def choose_packet(spark, d):
     s = samples(spark, d).withColumn("pkt", F.floor(F.col("frame") / 256))
     pkt = s.groupBy("pkt").agg(F.count("*").alias("n")).where(F.col("n") == 256 * N).select("pkt")
     # received: every third packet was skipped, so that from then on the sequence claims more than the count
-    got = pkt.where("pkt % 3 != 2").withColumn("next", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pkt")) - 1)
+    got = numbered(pkt.where("pkt % 3 != 2").withColumn("all", F.lit(0)), ["all"], "pkt", "next").drop("all")
     cand = got.select("pkt", "next", F.explode(F.array_distinct(F.array("next", F.col("next") + F.pmod(F.col("pkt") - F.col("next"), F.lit(64))))).alias("k"))
     a = s.select("pkt", "ch", F.pmod("frame", F.lit(256)).alias("f"), "code")
     b = a.select(F.col("pkt").alias("k"), "ch", "f", F.col("code").alias("want"))
@@ -202,10 +201,10 @@ def clock_roots(spark, d):
     return roots.select(F.col("node").alias("root")).join(found, "root", "left").na.fill(0)
 
 
-PATTERNS_SQL = """WITH g AS (SELECT f, c, 511.5::DOUBLE + 511.5::DOUBLE * sin(2 * 3.141592653589793::DOUBLE * f * (c + 1) / 37.0::DOUBLE) AS y FROM range(256) a(f), range(8) b(c)), p AS (SELECT f, c, unnest(['silence', 'dc0', 'dc1023', 'ramp', 'ramp_small', 'impulse', 'step', 'steps', 'square_nyq', 'square_16', 'sine_fs']) AS name,
-    unnest([512, 0, 1023, (f * (c + 1)) % 1024, 400 + f * (c + 1) // 16, CASE WHEN f = 17 + 29 * c THEN 1023 ELSE 512 END, CASE WHEN f < 133 THEN 100 ELSE 900 END, CASE WHEN f // 37 % 2 = 0 THEN 0 ELSE 1023 END,
-    CASE WHEN f % 2 = 0 THEN 0 ELSE 1023 END, CASE WHEN f // 8 % 2 = 0 THEN 0 ELSE 1023 END, CASE WHEN y - floor(y) > 0.5 OR (y - floor(y) = 0.5 AND floor(y) % 2 = 1) THEN floor(y) + 1 ELSE floor(y) END::BIGINT]) AS code FROM g)
-    SELECT name, c AS ch, count(*) AS n, min(code)::BIGINT AS lo, max(code)::BIGINT AS hi, sum(code)::BIGINT AS total, sum(code * f)::BIGINT AS mixed FROM p GROUP BY ALL"""
+PATTERNS_SQL = f"""WITH {SQL}, {packets_sql(256)}, x AS (SELECT *, code - lag(code) OVER (PARTITION BY ch, pkt ORDER BY frame) AS step FROM k), y AS (SELECT *, lag(step) OVER (PARTITION BY ch, pkt ORDER BY frame) AS prev FROM x),
+    f AS (SELECT ch, pkt, count(DISTINCT code) AS codes, count(*) FILTER (step != 0) AS changes, count(*) FILTER (step != 0 AND step = -prev) AS swings, count(*) FILTER (step = prev) AS even, sum(code)::BIGINT AS total FROM y GROUP BY ch, pkt)
+    SELECT ch, CASE WHEN codes = 1 THEN 'constant' WHEN codes = 2 AND swings >= 127 THEN 'square' WHEN changes <= 8 THEN 'steps' WHEN even >= 200 THEN 'ramp' ELSE 'signal' END AS kind, count(*) AS packets,
+        sum(changes)::BIGINT AS changes, sum(swings)::BIGINT AS swings, sum(even)::BIGINT AS even, sum(total)::BIGINT AS total FROM f GROUP BY 1, 2"""
 
 QUERIES = {
     "bringup_patterns": (bringup_patterns, PATTERNS_SQL),
@@ -217,7 +216,7 @@ QUERIES = {
     "compress_summary": (compress_summary, None),
     "snr_summary": (snr_summary, f"{SNR_SQL} SELECT round(median(snr), 6) AS snr_median, round(quantile_cont(snr, 0.1), 6) AS snr_p10 FROM snr"),
     "energy_figures": (energy_figures, "SELECT p_partkey, round(p_retailprice * 1e-6 / (8 * 19531.0::DOUBLE) * 1e9, 6) AS nj, round(p_retailprice * 1e-3 / (p_size / 0.6::DOUBLE * 1e-2), 6) AS density, round(p_retailprice * 1e-6 / (8 * 19531.0::DOUBLE) * 1e9 / ((10 - 2.087::DOUBLE) * 5.0::DOUBLE), 8) AS radio_ratio FROM part"),
-    "regex_selection": (regex_selection, "SELECT p_type, count(*) AS chosen, count(m) AS with_metric FROM part LEFT JOIN (SELECT l_partkey, count(*) AS m FROM lineitem WHERE l_discount > 0.09 GROUP BY 1) ON l_partkey = p_partkey WHERE regexp_matches(p_type, '^(STANDARD|ECONOMY).*(BRASS|TIN)$') GROUP BY 1"),
+    "regex_selection": (regex_selection, "SELECT p_type, count(*) AS chosen, count(m) AS with_metric FROM part LEFT JOIN (SELECT l_partkey, count(*) AS m FROM lineitem WHERE l_discount > 0.09 GROUP BY 1) ON l_partkey = p_partkey WHERE regexp_matches(p_type, '^(S[MT]|ECO).*[LDY]$') GROUP BY 1"),
     "tdm_methods": (tdm_methods, None),
     "tdm_bound": (tdm_bound, f"{BASE}, {wavelet.SYMBOLS_SQL}, w AS (SELECT * FROM sm QUALIFY count(*) OVER (PARTITION BY pkt) = 2048), n AS (SELECT ctx, sym, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY ctx) AS t FROM n) SELECT ctx, sum(n)::BIGINT AS n, round(-sum(n * log2(n / t)), 4) AS bits, sum(CASE WHEN sym = 63 THEN 16 * n ELSE 0 END)::BIGINT AS escape_bits FROM t GROUP BY ctx"),
     "slot_faults": (slot_faults, f"""WITH {SQL}, la AS (SELECT ch, frame + 1 AS frame, code FROM s), x AS (SELECT ch, false AS late, frame, code FROM s UNION ALL SELECT ch, true, frame, code FROM la),

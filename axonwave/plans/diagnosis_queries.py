@@ -16,11 +16,10 @@ BASE = f"WITH {SQL}, {BLOCKS_SQL}, {wavelet.forward_sql()}"
 
 
 def header_codec(spark, d):
-    """Header bytes of all modes and sequence numbers, and back."""
-    x = spark.range(1024).select(F.pmod("id", F.lit(4)).cast("int").alias("mode"), F.floor(F.col("id") / 4).cast("int").alias("seq"))
-    h = F.shiftleft(F.col("mode").bitwiseAND(3), 6).bitwiseOR(F.col("seq").bitwiseAND(63))
-    x = x.withColumn("head", h)
-    return x.select("mode", "seq", "head", F.shiftright("head", 6).alias("mode_back"), F.col("head").bitwiseAND(63).alias("seq_back"))
+    """Header bytes of the event table's packets (user and event number as mode and count), taken apart again."""
+    x = table(spark, d, "events").select(F.col("user_id").bitwiseAND(F.lit(3).cast("long")).alias("mode"), F.col("event_id").bitwiseAND(F.lit(63).cast("long")).alias("seq"))
+    x = x.withColumn("head", F.shiftleft("mode", 6).bitwiseOR(F.col("seq")))
+    return x.groupBy("mode", "seq", "head", F.shiftright("head", 6).alias("mode_back"), F.col("head").bitwiseAND(F.lit(63).cast("long")).alias("seq_back")).agg(F.count("*").alias("n"))
 
 
 def restoring_division(spark, d):
@@ -163,15 +162,16 @@ def mode_table(spark, d):
 
 
 def dependency_horizon(spark, d):
-    """For each frame of a block, the last frame whose symbols depend on its sample: an impulse is put at every place."""
-    at = spark.range(64).select(F.col("id").alias("blk"))
-    x = at.join(F.broadcast(spark.range(64).select(F.col("id").cast("int").alias("p"))))
-    x = x.select(F.lit(0).cast("long").alias("stream"), F.lit(0).alias("ch"), "blk", "p", (512 + F.when(F.col("p") == F.col("blk"), 400).otherwise(0)).cast("long").alias("code"))
+    """The last frame of a block whose symbols depend on a sample: one sample of every recorded block is changed, and the coefficients of both are compared."""
+    b = blocks(samples(spark, d))
+    place = F.pmod(F.col("blk") * 7 + F.col("ch"), F.lit(64))
+    other = b.withColumn("code", F.when(F.col("p") == place, F.when(F.col("code") < 512, F.col("code") + 400).otherwise(F.col("code") - 400)).otherwise(F.col("code")))
     ctx, i = wavelet.band(3)
     level = F.when(F.col("ctx") == 0, 3).otherwise(F.col("ctx"))
     when = F.least(F.lit(63), F.pow(F.lit(2), level).cast("long") * (F.col("i") + 2) - 2)
-    c = wavelet.forward(x).withColumns({"ctx": ctx, "i": i}).where("c != 0")
-    return c.groupBy(F.col("blk").alias("frame")).agg(F.max(when).alias("horizon"))
+    c = [wavelet.forward(v).select("stream", "ch", "blk", "p", F.col("c").alias(k)) for v, k in ((b, "c"), (other, "c2"))]
+    j = c[0].join(c[1], ["stream", "ch", "blk", "p"]).where("c != c2").withColumns({"ctx": ctx, "i": i})
+    return j.groupBy(place.cast("int").alias("frame")).agg(F.max(when).alias("horizon"), F.count("*").alias("changed"))
 
 
 def output_queue(spark, d):
@@ -225,7 +225,7 @@ def retrained_generalisation(spark, d):
 
 
 QUERIES = {
-    "header_codec": (header_codec, "SELECT (i % 4)::INT AS mode, (i // 4)::INT AS seq, (((i % 4) << 6) | ((i // 4) & 63))::INT AS head, (i % 4)::INT AS mode_back, ((i // 4) & 63)::INT AS seq_back FROM range(1024) t(i)"),
+    "header_codec": (header_codec, "SELECT user_id & 3 AS mode, event_id & 63 AS seq, ((user_id & 3) << 6) | (event_id & 63) AS head, user_id & 3 AS mode_back, event_id & 63 AS seq_back, count(*) AS n FROM events GROUP BY ALL"),
     "restoring_division": (restoring_division, f"WITH {SQL}, x AS (SELECT code * 1021 + 7 AS x, (code * 31) % 4000 + 1 AS f FROM s) SELECT sum(x // f)::BIGINT AS q, sum(x % f)::BIGINT AS r, 0::BIGINT AS wrong FROM x"),
     "group_rates": (group_rates, RICE_SQL.replace("SELECT pkt, ch, bits FROM r WHERE i = 127", ", p AS (SELECT pkt, sum(bits)::BIGINT AS bits FROM r WHERE i = 127 GROUP BY pkt) SELECT pkt, bits, round(bits / 1024, 6) AS bps, rank() OVER (ORDER BY bits DESC) AS rank, round(bits / sum(bits) OVER (), 8) AS share FROM p")),
     "frame_alignment": (frame_alignment, f"""WITH {SQL}, g AS (SELECT ch, frame - 3 AS frame, code AS got FROM s WHERE frame >= 3), j AS (SELECT sh, (got = s.code)::INT::DOUBLE AS e FROM g, range(8) t(sh), s WHERE s.ch = g.ch AND s.frame = g.frame + sh),
@@ -235,8 +235,9 @@ QUERIES = {
     "single_state_rans": (single_state_rans, None),
     "rice_context_bits": (rice_context_bits, RICE_CONTEXT_SQL),
     "mode_table": (mode_table, None),
-    "dependency_horizon": (dependency_horizon, f"""WITH b AS (SELECT 0::BIGINT AS stream, 0 AS ch, k AS blk, p::INT AS p, (512 + CASE WHEN p = k THEN 400 ELSE 0 END)::BIGINT AS code FROM range(64) t(k), range(64) u(p)), {wavelet.forward_sql()}
-        SELECT blk AS frame, max(least(63, (1 << CASE WHEN ctx = 0 THEN 3 ELSE ctx END) * (i + 2) - 2))::BIGINT AS horizon FROM co WHERE c != 0 GROUP BY blk"""),
+    "dependency_horizon": (dependency_horizon, f"""WITH {SQL}, {BLOCKS_SQL.replace("b AS (", "b1 AS (", 1)}, b AS (SELECT * FROM b1 UNION ALL SELECT stream + 1, ch, blk, p, CASE WHEN p != (blk * 7 + ch) % 64 THEN code WHEN code < 512 THEN code + 400 ELSE code - 400 END FROM b1), {wavelet.forward_sql()}
+        SELECT ((x.blk * 7 + x.ch) % 64)::INT AS frame, max(least(63, (1 << CASE WHEN x.ctx = 0 THEN 3 ELSE x.ctx END) * (x.i + 2) - 2))::BIGINT AS horizon, count(*) AS changed
+        FROM co x JOIN co y ON y.stream = x.stream + 1 AND y.ch = x.ch AND y.blk = x.blk AND y.p = x.p WHERE x.c != y.c GROUP BY 1"""),
     "output_queue": (output_queue, f"""WITH {SQL}, b AS (SELECT frame, sum(code // 128)::BIGINT AS b FROM s GROUP BY frame), n AS (SELECT frame, sum(b - 26) OVER (ORDER BY frame) AS net FROM b), q AS (SELECT net - least(0, min(net) OVER (ORDER BY frame)) AS depth FROM n)
         SELECT max(depth)::BIGINT AS deepest, sum((depth > 0)::BIGINT)::BIGINT AS busy, count(*) AS frames FROM q"""),
     "clock_network": (clock_network, f"""WITH RECURSIVE {EDGES}, x(root, node, depth) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey, 0 FROM region WHERE r_regionkey < 2 UNION SELECT root, dst, depth + 1 FROM x JOIN ed ON src = node WHERE src NOT LIKE 's%') SELECT root, depth::INT AS depth, count(*) AS cells FROM x GROUP BY ALL"""),

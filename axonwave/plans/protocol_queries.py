@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from axonwave.operators import wavelet
 from axonwave.plans.samples import BLOCKS_SQL, SQL, blocks, samples, table
+from axonwave.plans.signal_queries import RICE_SQL, rice_adaptive_bits
 
 BASE = f"WITH {SQL}, {BLOCKS_SQL}, {wavelet.forward_sql()}"
 
@@ -123,10 +124,10 @@ def nulls_last_order(spark, d):
 
 
 def break_even(spark, d):
-    """Energy of radio saved against energy of coding, for a grid of rates."""
-    g = spark.range(1, 11).select(F.col("id").cast("double").alias("bps"))
+    """Energy of radio saved against energy of coding, at the rate of each recorded packet."""
+    p = rice_adaptive_bits(spark, d).groupBy("pkt").agg((F.sum("bits") / 1024).alias("bps"))
     net = (10 - F.col("bps")) * F.lit(5.0) - F.lit(13.35)
-    return g.select("bps", F.round(net, 6).alias("net_nj"), (net > 0).alias("pays"), F.round((10 - F.col("bps")) * 5.0, 6).alias("budget_nj"))
+    return p.select("pkt", "bps", F.round(net, 6).alias("net_nj"), (net > 0).alias("pays"), F.round((10 - F.col("bps")) * 5.0, 6).alias("budget_nj"))
 
 
 def symbols_hit(spark, d):
@@ -327,7 +328,7 @@ QUERIES = {
     "majority_vote": (majority_vote, "WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) = 1"),
     "top_per_group": (top_per_group, "SELECT o_custkey, count(*) AS leaves FROM orders GROUP BY 1 ORDER BY leaves DESC, max(o_orderdate) DESC, o_custkey LIMIT 25"),
     "nulls_last_order": (nulls_last_order, "SELECT c_custkey, round(sum(o_totalprice), 2) AS uw FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1 ORDER BY sum(o_totalprice) ASC NULLS LAST, c_custkey LIMIT 20"),
-    "break_even": (break_even, "SELECT b::DOUBLE AS bps, round((10 - b) * 5.0::DOUBLE - 13.35::DOUBLE, 6) AS net_nj, (10 - b) * 5.0 > 13.35 AS pays, round((10 - b) * 5.0::DOUBLE, 6) AS budget_nj FROM range(1, 11) t(b)"),
+    "break_even": (break_even, RICE_SQL.replace("SELECT pkt, ch, bits FROM r WHERE i = 127", ", p AS (SELECT pkt, sum(bits)::DOUBLE / 1024 AS bps FROM r WHERE i = 127 GROUP BY pkt) SELECT pkt, bps, round((10 - bps) * 5.0::DOUBLE - 13.35::DOUBLE, 6) AS net_nj, (10 - bps) * 5.0::DOUBLE - 13.35::DOUBLE > 0 AS pays, round((10 - bps) * 5.0::DOUBLE, 6) AS budget_nj FROM p")),
     "symbols_hit": (symbols_hit, f"{BASE}, {wavelet.SYMBOLS_SQL} SELECT ctx, count(DISTINCT sym) AS hit, 64 - count(DISTINCT sym) AS missing FROM sm GROUP BY ctx"),
     "symbols_missing": (symbols_missing, f"{BASE}, {wavelet.SYMBOLS_SQL} SELECT (i // 64)::INT AS ctx, (i % 64)::INT AS sym FROM range(256) t(i) EXCEPT SELECT ctx, sym FROM sm"),
     "candidates_of_all": (candidates_of_all, f"{BASE}, {wavelet.SYMBOLS_SQL} SELECT ctx, sym FROM sm GROUP BY ALL HAVING count(DISTINCT pkt) = (SELECT count(DISTINCT pkt) FROM sm)"),

@@ -85,13 +85,11 @@ def lossy_reconstruction(spark, d):
 
 
 def burst_schedule(spark, d):
-    """Symbols that each frame of a block produces for one channel (0, 1, 2 or 4)."""
-    p = spark.range(64).select(F.col("id").cast("int").alias("p"))
-    ctx, i = wavelet.band(3)
+    """Symbols that each frame of a block has given rise to, over all blocks of a channel: a burst follows the frame that completes a coefficient."""
+    c = wavelet.coefficients(blocks(samples(spark, d)))
     level = F.when(F.col("ctx") == 0, 3).otherwise(F.col("ctx"))
     at = F.least(F.lit(63), F.pow(F.lit(2), level).cast("long") * (F.col("i") + 2) - 2).cast("int")
-    n = p.withColumns({"ctx": ctx, "i": i}).groupBy(at.alias("t")).agg(F.count("*").alias("n"))
-    return spark.range(64).select(F.col("id").cast("int").alias("t")).join(n, "t", "left").select("t", F.coalesce("n", F.lit(0)).alias("n"))
+    return c.groupBy("ch", at.alias("t")).agg(F.count("*").alias("n"), F.count_if(F.col("q") != 0).alias("nonzero"))
 
 
 def coding_positions(spark, d):
@@ -314,8 +312,12 @@ def file_quantiser(spark, d):
 
 
 def ramp_stimulus(spark, d):
-    x = spark.range(256).select(F.col("id").alias("frame")).join(F.broadcast(spark.createDataFrame([(3,), (40,), (41,), (90,), (255,)], "slot int")))
-    return x.select("frame", "slot", (F.col("frame") + 4 * F.col("slot")).bitwiseAND(1023).alias("ramp"), F.lit(512).cast("long").alias("constant"), F.when(F.pmod("frame", F.lit(2)) == 0, 0).otherwise(1023).cast("long").alias("nyquist"), F.when(F.pmod(F.floor(F.col("frame") / 37), F.lit(2)) == 0, 0).otherwise(1023).cast("long").alias("steps"))
+    """How far the recorded samples of each channel are from the test signals: a ramp by slot, mid-scale, full-scale alternation and slow steps."""
+    f, c = F.col("frame"), F.col("ch")
+    signals = {
+        "ramp": (f + 4 * c).bitwiseAND(F.lit(1023).cast("long")), "constant": F.lit(512), "nyquist": F.when(F.pmod(f, F.lit(2)) == 0, 0).otherwise(1023),
+        "steps": F.when(F.pmod(F.floor(f / 37), F.lit(2)) == 0, 0).otherwise(1023)}
+    return samples(spark, d).groupBy("ch").agg(*[F.sum(F.abs(F.col("code") - v)).cast("long").alias(k) for k, v in signals.items()])
 
 
 def lfsr_values(n: int, seed: int = 0xACE1, taps: int = 0xB400) -> list[int]:
@@ -327,15 +329,22 @@ def lfsr_values(n: int, seed: int = 0xACE1, taps: int = 0xB400) -> list[int]:
     return out
 
 
+def _lfsr(spark):
+    """The register's whole period: 65535 rows, so it can be broadcast."""
+    return F.broadcast(spark.createDataFrame(list(enumerate(lfsr_values(65535))), "at long, noise long"))
+
+
 def lfsr_stimulus(spark, d):
-    return spark.createDataFrame(list(enumerate(lfsr_values(2000))), "pos long, code long")
+    """The recorded samples against the register's sequence, one step a frame: bits in common, and what is left of both in a channel."""
+    x = samples(spark, d).withColumn("at", F.pmod("frame", F.lit(65535))).join(_lfsr(spark), "at")
+    mixed = F.col("code").bitwiseXOR(F.col("noise"))
+    return x.groupBy("ch").agg(F.count("*").alias("n"), F.count_if(mixed == 0).alias("equal"), F.sum(10 - F.bit_count(mixed)).cast("long").alias("bits"), F.sum(mixed).alias("total"))
 
 
 def encode_lfsr(spark, d):
-    """Worst case of mode 1: noise on 8 channels of 512 frames, with tables trained on itself."""
-    v = lfsr_values(512 * N)
-    x = spark.createDataFrame([(0, i % N, i // N, c) for i, c in enumerate(v)], "stream long, ch int, frame long, code long")
-    return _fingerprint(codecs.lossy_packets(x, N)[0])
+    """Worst case of mode 1: the recorded samples under noise of the register, with tables trained on it."""
+    x = samples(spark, d).withColumn("at", F.pmod(F.col("frame") * N + F.col("ch"), F.lit(65535))).join(_lfsr(spark), "at")
+    return _fingerprint(codecs.lossy_packets(x.select("stream", "ch", "frame", F.col("code").bitwiseXOR(F.col("noise")).alias("code")), N)[0])
 
 
 def renorm_sweep(spark, d):
@@ -433,8 +442,7 @@ QUERIES = {
     "symbol_histogram_pooled": (symbol_histogram_pooled, f"{BASE}, {SYM} SELECT sym, count(*) AS n, sum((sym = 63)::BIGINT)::BIGINT AS escapes FROM sm GROUP BY ALL"),
     "dwt_roundtrip": (dwt_roundtrip, f"{BASE}, {wavelet.inverse_sql('co', 'c')} SELECT ch, count(*) AS n, sum((x != code)::BIGINT)::BIGINT AS wrong FROM rx GROUP BY ch"),
     "lossy_reconstruction": (lossy_reconstruction, f"{SNR_SQL} SELECT ch, count(*) AS n, sum((y - code) * (y - code))::BIGINT AS sq_err, max(abs(y - code)) AS max_err, sum(y)::BIGINT AS total FROM rc GROUP BY ch"),
-    "burst_schedule": (burst_schedule, """WITH p AS (SELECT unnest(range(64)) AS p), c AS (SELECT CASE WHEN p % 2 = 1 THEN 1 WHEN p % 4 = 2 THEN 2 ELSE 3 END AS l, CASE WHEN p % 2 = 1 THEN p // 2 WHEN p % 4 = 2 THEN p // 4 ELSE p // 8 END AS i FROM p),
-        t AS (SELECT least(63, (1 << l) * (i + 2) - 2) AS t, count(*) AS n FROM c GROUP BY 1) SELECT p::INT AS t, coalesce(n, 0) AS n FROM p LEFT JOIN t ON t.t = p.p"""),
+    "burst_schedule": (burst_schedule, f"{BASE} SELECT ch, least(63, (1 << CASE WHEN ctx = 0 THEN 3 ELSE ctx END) * (i + 2) - 2)::INT AS t, count(*) AS n, count(*) FILTER (q != 0) AS nonzero FROM cq GROUP BY ALL"),
     "coding_positions": (coding_positions, f"{BASE}, {SYM}, po AS (SELECT *, row_number() OVER (PARTITION BY pkt ORDER BY blk, at_, ch, turn) - 1 AS pos FROM sm) SELECT pkt, count(*) AS n, sum(pos * (sym + 1))::BIGINT AS mixed, sum(pos * ch)::BIGINT AS chs FROM po GROUP BY pkt"),
     "entropy_bits": (entropy_bits, f"{BASE}, {SYM}, n AS (SELECT ctx, sym, count(*) AS n FROM sm GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY ctx) AS t FROM n) SELECT ctx, sum(n)::BIGINT AS n, round(-sum(n * log2(n / t)), 4) AS bits FROM t GROUP BY ctx"),
     "trained_cdf": (trained_cdf, f"{RAW_CDF} SELECT ctx, sym, f, c FROM cdf"),
@@ -469,9 +477,10 @@ QUERIES = {
         n AS (SELECT avg(gap) AS mean FROM g WHERE gap < (SELECT 1.5 * median(gap) FROM g)), sp AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS levels FROM u),
         st AS (SELECT lo, levels, (hi - lo) / round_even((hi - lo) / mean, 0) AS step FROM sp, n), c AS (SELECT round_even((x - lo) / step, 0)::BIGINT AS code, levels FROM u, st)
         SELECT max(levels) AS levels, count(DISTINCT code) AS codes, max(code) AS top, sum(code)::BIGINT AS total FROM c"""),
-    "ramp_stimulus": (ramp_stimulus, """SELECT f AS frame, slot::INT AS slot, ((f + 4 * slot) & 1023)::BIGINT AS ramp, 512::BIGINT AS constant, (CASE WHEN f % 2 = 0 THEN 0 ELSE 1023 END)::BIGINT AS nyquist, (CASE WHEN (f // 37) % 2 = 0 THEN 0 ELSE 1023 END)::BIGINT AS steps
-        FROM (SELECT unnest(range(256)) AS f), (VALUES (3), (40), (41), (90), (255)) x(slot)"""),
-    "lfsr_stimulus": (lfsr_stimulus, "WITH RECURSIVE l(pos, x) AS (SELECT 0::BIGINT, 44257::BIGINT UNION ALL SELECT pos + 1, xor(x >> 1, CASE WHEN x % 2 = 1 THEN 46080 ELSE 0 END) FROM l WHERE pos < 1999) SELECT pos, x & 1023 AS code FROM l"),
+    "ramp_stimulus": (ramp_stimulus, f"""WITH {SQL} SELECT ch, sum(abs(code - ((frame + 4 * ch) & 1023)))::BIGINT AS ramp, sum(abs(code - 512))::BIGINT AS constant, sum(abs(code - CASE WHEN frame % 2 = 0 THEN 0 ELSE 1023 END))::BIGINT AS nyquist,
+        sum(abs(code - CASE WHEN (frame // 37) % 2 = 0 THEN 0 ELSE 1023 END))::BIGINT AS steps FROM s GROUP BY ch"""),
+    "lfsr_stimulus": (lfsr_stimulus, f"""WITH RECURSIVE {SQL}, l(pos, x) AS (SELECT 0::BIGINT, 44257::BIGINT UNION ALL SELECT pos + 1, xor(x >> 1, CASE WHEN x % 2 = 1 THEN 46080 ELSE 0 END) FROM l WHERE pos < 65534 AND pos < (SELECT max(frame) FROM s)),
+        m AS (SELECT ch, xor(code, x & 1023) AS m FROM s JOIN l ON pos = frame % 65535) SELECT ch, count(*) AS n, count(*) FILTER (m = 0) AS equal, sum(10 - bit_count(m))::BIGINT AS bits, sum(m)::BIGINT AS total FROM m GROUP BY ch"""),
     "encode_lfsr": (encode_lfsr, None),
     "renorm_sweep": (renorm_sweep, None),
     "adaptive_rans": (adaptive_rans, ADAPTIVE_SQL),
