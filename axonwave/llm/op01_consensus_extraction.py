@@ -11,8 +11,8 @@ Only (host, winning path) is joined to the pages: broadcast if its size allows,
 join in which Spark splits hot hosts.
 
 What counts as text: everything in the container but menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, known by tag, role, or a word of class or id; but a name alone does not drop the element that has the
-article (spare()). Character
+scripts, styles and reader comments, known by tag, role, or a word of class or id; but a name alone does not drop the element that holds the
+larger part of the page (spare()). Parsing and scoring are linear in a page's tags, whatever is left open and however deep. Character
 references are decoded, white space (as str.split has it) in a block becomes one blank, blocks are joined by one blank.
 
 Edge cases: null or empty html and pages without text give ""; a null url or one without a host
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,9 +48,11 @@ DROP_ROLE = frozenset("navigation banner contentinfo complementary search alert
 #: Words of class and id that name what is not the article: those of parts that are never it, and those of layout, which themes also hang on its wrapper.
 NEVER_WORD = re.compile(
     r"(?:^|[_-])(?:ads?|advert\w*|adbox|adsense|adsbygoogle|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|"
-    r"comments?|commentlist|respond|replies|disqus|pagination|pager|paywall|breadcrumbs?|copyright)(?=$|[_-])",
+    r"pagination|pager|paywall|breadcrumbs?|copyright)(?=$|[_-])",
     re.I,
 )
+#: Words of what readers have written.
+READERS_WORD = re.compile(r"(?:^|[_-])(?:comments?|commentlist|respond|replies|disqus|reviews|feedback|discussions?|guestbook|reactions)(?=$|[_-])", re.I)
 LAYOUT_WORD = re.compile(
     r"(?:^|[_-])(?:sidebar|side-bar|aside|nav|navbar|navigation|menu|header|masthead|topbar|footer|foot|share|sharing|social|related|recommended|widget|toolbar|form|login|search|skip|hidden)(?=$|[_-])",
     re.I,
@@ -57,8 +60,10 @@ LAYOUT_WORD = re.compile(
 #: A name that says whether a page has such a part, as no-sidebar or sidebar-layout, names none.
 ABOUT = re.compile(r"^(?:\w+[_-]+)*(?:no|not|non|with|without|has|have|is|hide|show|under|below|above)[_-]|[_-](?:layout|offset|enabled|disabled|visible|open|page|template|off|on)$", re.I)
 #: Reasons to drop an element, in rising strength.
-KEEP, LAYOUT, NEVER, ALWAYS = range(4)
+KEEP, LAYOUT, NEVER, READERS, ALWAYS = range(5)
 GOOD_WORD = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|body|text|main|prose)(?=$|[\s_-])", re.I)
+LONG_TEXT = 400  #: characters that no advert or notice has
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the first set is closed by a start tag of the second.
 CLOSES = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
 
@@ -66,11 +71,11 @@ CLOSES = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd":
 def named(names: str) -> int:
     """What the words of class and id say of an element."""
     words = [w for w in names.split() if not ABOUT.search(w)]
-    return NEVER if any(map(NEVER_WORD.search, words)) else LAYOUT if any(map(LAYOUT_WORD.search, words)) else KEEP
+    return READERS if any(map(READERS_WORD.search, words)) else NEVER if any(map(NEVER_WORD.search, words)) else LAYOUT if any(map(LAYOUT_WORD.search, words)) else KEEP
 
 
 class Node:
-    __slots__ = ("children", "drop", "link", "name", "parent", "step", "tag", "weight")
+    __slots__ = ("block", "children", "drop", "link", "parent", "step", "tag", "weight")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
@@ -88,13 +93,23 @@ class Node:
         classes = sorted(re.sub(r"\d+", "#", c) for c in (attrs.get("class") or "").split()) if attrs else ()
         self.step = ".".join([tag, *classes])
         self.link = tag == "a" or (parent is not None and parent.link)
+        self.block = self if parent is None or tag in BLOCK or tag == "head" else parent.block  # the nearest element that is no inline one
 
 
 def parse(page: str) -> Node:
     """A tree of Nodes and strings (decoded text); None marks a line break."""
     root = now = Node("html", {}, None)
-    at, n = 0, len(page)
+    at, n, open_ = 0, len(page), Counter()
     unescape = _html.unescape
+
+    def closed(last: Node) -> Node:
+        """The element around last, which ends with all that is open in it."""
+        up = now
+        while up is not last.parent:
+            open_[up.tag] -= 1
+            up = up.parent
+        return up
+
     while at < n:
         cut = page.find("<", at)
         if cut < 0:
@@ -120,13 +135,13 @@ def parse(page: str) -> Node:
             continue
         tag, closing, rest = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            up = now
-            while up is not None and up.tag != tag:
-                up = up.parent
             if tag == "br":
                 now.children.append(None)
-            elif up is not None and up is not root and tag != "body":
-                now = up.parent
+            elif open_[tag] > 0 and tag != "body":
+                up = now
+                while up.tag != tag:
+                    up = up.parent
+                now = closed(up)
             continue
         attrs = {a[1].lower(): _html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(rest)} if rest.strip(" /\n\t") else {}
         if tag == "br":
@@ -136,13 +151,9 @@ def parse(page: str) -> Node:
             continue
         while now is not root:
             # an open element, through open inline ones, may end here without a tag of its own
-            up = now
-            while up is not root and up.tag not in BLOCK and up.tag != "head":
-                up = up.parent
-            if tag in CLOSES.get(up.tag, ()):
-                now = up.parent
-            else:
+            if tag not in CLOSES.get(now.block.tag, ()):
                 break
+            now = closed(now.block)
         node = Node(tag, attrs, now)
         now.children.append(node)
         if tag in RAW and not (tag in ("svg", "math") and rest.endswith("/")):
@@ -150,6 +161,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
         elif tag not in RAW and tag not in VOID and not (rest.endswith("/") and tag not in BLOCK and "href" not in attrs):
             now = node
+            open_[tag] += 1
     spare(root)
     return root
 
@@ -157,14 +169,15 @@ def parse(page: str) -> Node:
 def spare(root: Node) -> None:
     """Keeps an element that its names would drop, where it and not the rest of the page has the article.
 
-    That is if it holds an article, main or h1 element, and what is not dropped has none, or no text at all. Names of layout need one of the
-    two, others both. What is dropped inside such an element stays so, unless the same holds again.
+    That is if it holds the larger part of the page's text outside links and headings: at least as much as what is not dropped, where it has an article,
+    main or h1 element and the rest has none; else, where the rest has no article or main, twice as much and more than any advert. What readers have written may be
+    longer than the article; it is kept only if there is nothing else. What is dropped inside such an element stays so, unless the same holds again.
     """
     while True:
-        kept, marked, held, stack = 0, False, [], [(root, None)]
+        kept, marked, sure, held, stack = 0, False, False, [], [(root, None, False)]
         text: dict[int, list] = {}
         while stack:
-            node, inside = stack.pop()
+            node, inside, heading = stack.pop()
             if node.drop == ALWAYS:
                 continue
             if inside is None and node.drop:
@@ -172,22 +185,24 @@ def spare(root: Node) -> None:
                 held.append(node)
             if node.tag in ("article", "main", "h1"):
                 if inside is None:
-                    marked = True
+                    marked, sure = True, sure or node.tag != "h1"
                 else:
                     inside[1] = True
+            heading = heading or node.tag in HEADINGS
             for c in node.children:
                 if isinstance(c, str):
-                    size = 0 if c.isspace() else len(c)
+                    size = 0 if heading or node.link or c.isspace() else len(c)
                     if inside is None:
                         kept += size
                     else:
                         inside[0] += size
                 elif c is not None:
-                    stack.append((c, inside))
+                    stack.append((c, inside, heading))
         again = False
         for node in held:
             size, has = text[id(node)]
-            if size and ((has and not marked) + (not kept) >= node.drop):
+            larger = has and not marked and size >= kept or not sure and size >= max(2 * kept, LONG_TEXT)
+            if size and (not kept or node.drop != READERS and larger):
                 node.drop, again = KEEP, True
         if not again:
             return
@@ -230,34 +245,50 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def containers(root: Node) -> list[tuple[float, str, Node]]:
-    """(score, generalised path, node) of every container with text, in page order.
+def containers(root: Node) -> list[tuple[float, Node]]:
+    """(score, node) of every container that has a share in some text, in page order.
 
-    A block's text counts in full for the nearest container, in part for those above; text in links counts against.
+    A block's text counts in full for the nearest container, in part for those above, as far as the share matters; text in links counts against.
     """
     score: dict[int, float] = {}
-    order: list[tuple[Node, str]] = []
-    stack = [(root, root.step, 0)]
+    order: list[Node] = []
+    above: dict[int, Node | None] = {}  # the container around each
+    stack: list[tuple[Node, Node | None]] = [(root, None)]
     while stack:
-        node, path, _ = stack.pop()
+        node, box = stack.pop()
         if node.tag in CONTAINER:
-            order.append((node, path))
+            order.append(node)
+            above[id(node)], box = box, node
         for c in reversed(node.children):
             if c is None:
                 continue
             if isinstance(c, str):
                 size = len(c) - c.count(" ") if not c.isspace() else 0
                 if size:
-                    up, share = node, 1.0
+                    up, share = box, 1.0
                     gain = -size if node.link else size
                     while up is not None and share > 0.2:
-                        if up.tag in CONTAINER:
-                            score[id(up)] = score.get(id(up), 0.0) + gain * share
-                            share *= 0.9
-                        up = up.parent
+                        score[id(up)] = score.get(id(up), 0.0) + gain * share
+                        share *= 0.9
+                        up = above[id(up)]
             elif not c.drop:
-                stack.append((c, f"{path}>{c.step}", 0))
-    return [(score[id(x)] * x.weight, path, x) for x, path in order if score.get(id(x), 0.0) > 0]
+                stack.append((c, box))
+    return [(score[id(x)] * x.weight, x) for x in order if score.get(id(x), 0.0) > 0]
+
+
+def at_path(root: Node, path: str) -> list[Node]:
+    """The elements at a generalised path, in page order; only the path's own branches are entered."""
+    out, stack = [], [(root, 0)]
+    while stack:
+        node, at = stack.pop()
+        if not path.startswith(node.step, at):
+            continue
+        end = at + len(node.step)
+        if end == len(path):
+            out.append(node)
+        elif path[end] == ">":
+            stack += [(c, end + 1) for c in reversed(node.children) if isinstance(c, Node) and not c.drop]
+    return out
 
 
 def widened(node: Node) -> Node:
@@ -287,7 +318,7 @@ def best_container(root: Node) -> tuple[str, Node | None]:
     found = containers(root)
     if not found:
         return "", None
-    best = widened(max(found, key=lambda x: x[0])[2])
+    best = widened(max(found, key=lambda x: x[0])[1])
     return path_of(best), best
 
 
@@ -296,11 +327,10 @@ def main_text(page: str | None, winning: str | None, least_share: float = 0.5) -
     if not page:
         return ""
     root = parse(page)
-    found = containers(root)
-    if not found:
+    own, best = best_container(root)
+    if best is None:
         return ""
-    own = path_of(widened(max(found, key=lambda x: x[0])[2]))
-    at = lambda wanted: " ".join(t for _, path, x in found if path == wanted for t in blocks(x))
+    at = lambda path: " ".join(t for x in at_path(root, path) for t in blocks(x))
     text = at(own)
     if winning and own != winning:
         voted = at(winning)
