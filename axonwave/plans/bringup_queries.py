@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from axonwave.functions import coding
 from axonwave.operators import codecs, wavelet
 from axonwave.operators.numbering import numbered
-from axonwave.plans.protocol_queries import EDGES, edges, reach
+from axonwave.operators.graphs import reach
+from axonwave.plans.protocol_queries import EDGES, edges
 from axonwave.plans.samples import BLOCKS_SQL, SQL, blocks, packets, packets_sql, samples, table
 from axonwave.plans.signal_queries import SNR_SQL, N, snr_percentiles
 
@@ -195,7 +196,7 @@ def clock_roots(spark, d):
     # a root's own edges, then those of buffers only: the nodes on the way carry the root's mark by reach()
     onward = e.where(buffer(F.col("src"))).unionByName(e.join(roots, e.src == roots.node, "left_semi").withColumn("src", F.concat(F.lit("@"), "src")))
     start = roots.select(F.concat(F.lit("@"), "node").alias("node"))
-    r = reach(spark, start, onward).where("depth > 0").withColumn("root", F.substring("root", 2, 100))
+    r = reach(start, onward).where("depth > 0").withColumn("root", F.substring("root", 2, 100))
     is_gate, is_buffer = gate(F.col("node")), buffer(F.col("node"))
     found = r.groupBy("root").agg(F.sum(is_buffer.cast("long")).alias("buffers"), F.sum(is_gate.cast("long")).alias("child_gates"), F.sum((~is_gate & ~is_buffer).cast("long")).alias("sinks"), F.max(F.when(is_buffer, F.col("depth")).otherwise(0)).alias("depth"))
     return roots.select(F.col("node").alias("root")).join(found, "root", "left").na.fill(0)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from axonwave.functions import coding, tracing
 from axonwave.operators import codecs, faults, wavelet
-from axonwave.plans.protocol_queries import EDGES, edges, reach
+from axonwave.operators.graphs import reach
+from axonwave.plans.protocol_queries import EDGES, edges
 from axonwave.plans.samples import BLOCKS_SQL, SQL, blocks, packets, packets_sql, samples, table
 from axonwave.plans.signal_queries import N, RICE_SQL, rice_adaptive_bits, RICE_CONTEXT_SQL
 
@@ -195,7 +196,7 @@ def clock_network(spark, d):
     """Cells reached from the roots through buffers only, by depth."""
     e = edges(spark, d).where("src NOT LIKE 's%'")
     roots = table(spark, d, "region").where("r_regionkey < 2").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
-    return reach(spark, roots, e).groupBy("root", "depth").agg(F.count("*").alias("cells"))
+    return reach(roots, e).groupBy("root", "depth").agg(F.count("*").alias("cells"))
 
 
 def block_attribution(spark, d):

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from axonwave.operators import wavelet
+from axonwave.operators.graphs import block_labels, majority, reach
+from axonwave.operators.latency import delivery_latency
 from axonwave.plans.samples import BLOCKS_SQL, SQL, blocks, samples, table
 from axonwave.plans.signal_queries import RICE_SQL, rice_adaptive_bits
 
@@ -194,24 +196,11 @@ def edges(spark, d):
     return e.unionByName(c.select(F.concat(F.lit("s"), F.pmod("c_custkey", F.lit(10))).alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst")))
 
 
-def reach(spark, roots, edge, most: int = 16):
-    """root, node, depth of everything reachable from the roots: frontier by frontier, each node once for each root."""
-    seen = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
-    front = seen
-    for depth in range(1, most + 1):
-        front = front.join(edge, front.node == edge.src).select("root", F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct()
-        front = front.join(seen.select("root", "node"), ["root", "node"], "left_anti").persist()
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
-
-
 def fanout_trees(spark, d):
     """Leaves, buffers and depth below every root of the graph."""
     e = edges(spark, d)
     roots = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
-    r = reach(spark, roots, e)
+    r = reach(roots, e)
     inner = e.select(F.col("src").alias("node")).distinct().withColumn("buffer", F.lit(1))
     r = r.where("depth > 0").join(inner, "node", "left")
     return r.groupBy("root").agg(F.sum(F.when(F.col("buffer").isNull(), 1).otherwise(0)).alias("leaves"), F.coalesce(F.sum("buffer"), F.lit(0)).alias("buffers"), F.max("depth").alias("depth"))
@@ -225,7 +214,7 @@ def nearest_named(spark, d):
     e = edges(spark, d)
     up = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     leaves = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
-    r = reach(spark, leaves, up, 4).where(F.col("node").rlike("^n[0-9]*[02468]$"))
+    r = reach(leaves, up, 4).where(F.col("node").rlike("^n[0-9]*[02468]$"))
     return r.groupBy("root").agg(F.min(F.struct("depth", "node")).alias("m")).select("root", F.col("m.node").alias("named"), F.col("m.depth").alias("hops"))
 
 
@@ -304,6 +293,33 @@ def worst_verdict(spark, d):
 
 
 R = f"WITH {RECEIVED}"
+def _trade(spark, d):
+    """A graph of all orders: supplier -> part -> order -> customer."""
+    l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    e = l.select(node("s", "l_suppkey").alias("src"), node("p", "l_partkey").alias("dst")).unionByName(l.select(node("p", "l_partkey").alias("src"), node("o", "l_orderkey").alias("dst")))
+    return e.unionByName(o.select(node("o", "o_orderkey").alias("src"), node("c", "o_custkey").alias("dst"))).distinct()
+
+
+def labelled_blocks(spark, d):
+    """Blocks of anonymous nodes: the nearest name downstream (a few customers have one), else upstream (some suppliers have), and each brand's block by most of its parts."""
+    c, s, p = (table(spark, d, t) for t in ("customer", "supplier", "part"))
+    names = c.where("c_custkey % 97 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.concat(F.lit("seg "), "c_mktsegment").alias("label"))
+    names = names.unionByName(s.where("s_suppkey % 7 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.concat(F.lit("nation "), "s_nationkey").alias("label")))
+    parts = p.select(F.concat(F.lit("p"), "p_partkey").alias("node"), F.col("p_brand").alias("group"))
+    blocks_ = block_labels(_trade(spark, d), parts, names, down=2, up=1)
+    ways = parts.join(blocks_, "node").groupBy("group").agg(F.count_if(F.col("way") == "down").alias("down"), F.count_if(F.col("way") == "up").alias("up"), F.count_if(F.col("way") == "none").alias("none"))
+    return majority(parts, blocks_).join(ways, "group")
+
+
+def delivery_latencies(spark, d):
+    """Processing and delivery latency by stream: clicks and views are samples, purchases and errors symbols, signups packet ends; a symbol two samples on still depends on one."""
+    e = table(spark, d, "events").select("user_id", F.col("event_id").alias("clock"), "event_type")
+    of = lambda *kinds: e.where(F.col("event_type").isin(*kinds)).drop("event_type")
+    x = delivery_latency(of("click", "view"), of("purchase", "error"), of("signup"), ["user_id"], 2)
+    return x.groupBy("user_id").agg(F.count("*").alias("samples"), F.sum("processing").alias("processing"), F.max("processing").alias("most"), F.count("ended").alias("delivered"), F.sum("delivery").alias("delivery"), F.percentile("delivery", F.lit(0.5)).alias("median"))
+
+
 QUERIES = {
     "sequence_unwrap": (sequence_unwrap, f"""{R}, g AS (SELECT user_id, event_id, k, (((seq - coalesce(lag(seq) OVER (PARTITION BY user_id ORDER BY event_id), -1)) % 64) + 64) % 64 AS step FROM r WHERE NOT lost)
         SELECT user_id, count(*) AS got, sum(step - 1)::BIGINT AS missing, sum((n != k)::BIGINT)::BIGINT AS wrong FROM (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM g) GROUP BY user_id"""),
@@ -354,4 +370,14 @@ QUERIES = {
         SELECT ch, bit, high FROM o, h GROUP BY ALL HAVING bool_and(seen = CASE WHEN high THEN code | (1 << bit) ELSE code & (1023 - (1 << bit)) END)"""),
     "worst_verdict": (worst_verdict, """WITH e AS (SELECT *, CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 WHEN 'click' THEN 3 ELSE 9 END AS rk FROM events)
         SELECT user_id, event_type AS verdict, event_id AS packet FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rk, event_id) = 1"""),
+    "labelled_blocks": (labelled_blocks, """WITH na AS (SELECT 'c' || c_custkey AS node, 'seg ' || c_mktsegment AS label FROM customer WHERE c_custkey % 97 = 0 UNION ALL SELECT 's' || s_suppkey, 'nation ' || s_nationkey FROM supplier WHERE s_suppkey % 7 = 0),
+        o1 AS (SELECT o_orderkey, min(label) AS label FROM orders JOIN na ON node = 'c' || o_custkey GROUP BY o_orderkey), dn AS (SELECT l_partkey, min(label) AS label FROM lineitem JOIN o1 ON o_orderkey = l_orderkey GROUP BY l_partkey),
+        up AS (SELECT l_partkey, min(label) AS label FROM lineitem JOIN na ON node = 's' || l_suppkey GROUP BY l_partkey),
+        b AS (SELECT p_brand, coalesce(dn.label, up.label, 'core') AS label, CASE WHEN dn.label IS NOT NULL THEN 'down' WHEN up.label IS NOT NULL THEN 'up' ELSE 'none' END AS way FROM part LEFT JOIN dn ON dn.l_partkey = p_partkey LEFT JOIN up ON up.l_partkey = p_partkey),
+        n AS (SELECT p_brand, label, count(*) AS votes FROM b GROUP BY ALL), m AS (SELECT p_brand, label, votes FROM n QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY votes DESC, label) = 1)
+        SELECT p_brand AS "group", any_value(m.label) AS label, any_value(votes) AS votes, count(*) AS of, count(*) FILTER (way = 'down') AS down, count(*) FILTER (way = 'up') AS up, count(*) FILTER (way = 'none') AS none FROM b JOIN m USING (p_brand) GROUP BY p_brand"""),
+    "delivery_latencies": (delivery_latencies, """WITH a AS (SELECT user_id, event_id AS pushed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type IN ('click', 'view')),
+        b AS (SELECT user_id, event_id AS coded, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 2 AS n FROM events WHERE event_type IN ('purchase', 'error')), j AS (SELECT user_id, pushed, coded FROM a JOIN b USING (user_id, n)),
+        k AS (SELECT j.user_id, pushed, coded, (SELECT min(event_id) FROM events e WHERE e.event_type = 'signup' AND e.user_id = j.user_id AND e.event_id >= coded) AS ended FROM j)
+        SELECT user_id, count(*) AS samples, sum(coded - pushed)::BIGINT AS processing, max(coded - pushed) AS most, count(ended) AS delivered, sum(ended - pushed)::BIGINT AS delivery, quantile_cont(ended - pushed, 0.5) AS median FROM k GROUP BY user_id"""),
 }

@@ -1,6 +1,6 @@
 """Incremental intake: samples that arrive as event files become lossless packets, by day.
 
-    python -m jobs.packet_intake --source EVENTS --out FOLDER --checkpoint FOLDER --config jobs/packet_intake.json
+    spark-submit jobs/packet_intake.py --source EVENTS --out FOLDER --checkpoint FOLDER --config jobs/packet_intake.json
 
 Every user of the event table is a recorded stream of one channel, its events in order of event_id the samples.
 A run takes the files that its checkpoint does not know yet (a file stream with availableNow), numbers their samples
@@ -20,6 +20,8 @@ row for each stream; they meet new samples by a join whose side Spark picks by s
 
 from __future__ import annotations
 
+import os
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonwave.functions import coding
-from axonwave.operators.numbering import numbered
-from jobs.common import command_line, config_of, log, stored
+if not __package__:  # run as a file, as spark-submit does
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from axonwave.functions import coding  # noqa: E402
+from axonwave.operators.numbering import numbered  # noqa: E402
+from jobs.common import command_line, config_of, log, stored  # noqa: E402
 
 MARKS = "stream long, next_frame long, last_event_id long, batch long"
 OPEN = "stream long, frame long, event_id long, day string, code long, batch long"
@@ -69,7 +74,7 @@ def packets_of(samples: DataFrame, cfg: Intake) -> DataFrame:
 
 def take_batch(events: DataFrame, batch: int, out: str, cfg: Intake) -> None:
     """One micro-batch. It depends on the rows and on what earlier batches left, so doing it again changes nothing."""
-    spark, events = events.sparkSession, events.persist()  # four writes read it; what an executor loses is read again
+    spark, events = events.sparkSession, events.persist()  # several writes read it; what an executor loses is read again
     try:
         read = events.count()
         _write_batch(spark, events, batch, out, cfg)
@@ -90,6 +95,7 @@ def _write_batch(spark: SparkSession, events: DataFrame, batch: int, out: str, c
     late = F.coalesce(F.col("event_id") <= F.col("last_event_id"), F.lit(False))
     new = known.where(~late).withColumn("next_frame", F.coalesce("next_frame", F.lit(0)))
     new = numbered(new, ["stream"], "event_id", "place").withColumn("frame", F.col("next_frame") + F.col("place"))
+    new = new.select("stream", "frame", "event_id", "day", "code").persist()
 
     per = new.groupBy("stream").agg(F.max(F.col("frame") + 1).alias("n"), F.max("event_id").alias("to"))
     marks_after = marks.join(per, "stream", "full").select("stream", F.coalesce("n", "next_frame").alias("next_frame"), F.coalesce("to", "last_event_id").alias("last_event_id"))
@@ -97,11 +103,12 @@ def _write_batch(spark: SparkSession, events: DataFrame, batch: int, out: str, c
     put(marks_after, "marks")
     after = spark.read.schema(MARKS.replace(", batch long", "")).parquet(f"{out}/marks/batch={batch}")
 
-    rows = held.unionByName(new.select("stream", "frame", "event_id", "day", "code"))
+    rows = held.unionByName(new)
     rows = rows.join(after.select("stream", (F.floor(F.col("next_frame") / cfg.frames) * cfg.frames).alias("whole")), "stream")
     put(rows.where("frame >= whole").drop("whole"), "open")
     whole = packets_of(rows.where("frame < whole"), cfg)
     whole.write.mode("overwrite").partitionBy("day").parquet(f"{out}/packets/batch={batch}")
+    new.unpersist()
     reasons = known.where(late).select("event_id", F.col("stream").alias("user_id"), F.col("code").cast("double").alias("value"), F.lit("late").alias("reason"))
     put(bad.unionByName(reasons), "rejected")
 

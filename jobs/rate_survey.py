@@ -1,6 +1,6 @@
 """Rate survey: how many bits each coder would need for each recorded text, and which texts are over a budget.
 
-    python -m jobs.rate_survey --source DOCUMENTS --out FOLDER --config jobs/rate_survey.json
+    spark-submit jobs/rate_survey.py --source DOCUMENTS --out FOLDER --config jobs/rate_survey.json
 
 A text is a recording of 8-bit samples, its UTF-8 bytes. Two coders are compared with the raw bytes: Rice codes of the
 wrapped differences with the best fixed parameter of the text, and a static table for each source, trained on the other half of the
@@ -19,12 +19,17 @@ so one language or source with a third of all rows is many files and tasks. Cost
 
 from __future__ import annotations
 
+import os
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import command_line, config_of, log
+if not __package__:  # run as a file, as spark-submit does
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from jobs.common import command_line, config_of, log  # noqa: E402
 
 DOCUMENTS = "doc_id long, lang string, source string, n_bytes long, rice_k int, rice_bits long, table_millibits long, best string, best_bits long, over_budget boolean"
 

@@ -105,16 +105,25 @@ def test_intake_of_an_empty_table(spark, tmp_path):
     assert packet_intake.run(spark, src, str(tmp_path / "out"), str(tmp_path / "c")).count() > 0
 
 
-def test_command_line(spark, tmp_path):
-    """The file itself as a program, in a session of its own; the config is the one beside it."""
+def _program(name, *args):
+    """A job's file as a program, in a session of its own, with the config beside it; what it has logged."""
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.sql.shuffle.partitions=2 pyspark-shell"}
+    said = subprocess.run([sys.executable, f"{ROOT}/jobs/{name}.py", *args, "--config", f"{ROOT}/jobs/{name}.json"], cwd="/", env=env, capture_output=True, text=True, timeout=300)
+    assert said.returncode == 0, said.stderr[-2000:]
+    return said.stderr
+
+
+def test_command_lines(spark, tmp_path):
     src, cfg, a = str(tmp_path / "events"), Intake(), _events(0, 300)
     _put(spark, a, src)
-    args = ["--source", src, "--out", str(tmp_path / "out"), "--checkpoint", str(tmp_path / "c"), "--config", f"{ROOT}/jobs/packet_intake.json"]
-    env = os.environ | {"PYTHONPATH": ROOT, "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.sql.shuffle.partitions=2 pyspark-shell"}
-    said = subprocess.run([sys.executable, "-m", "jobs.packet_intake", *args], cwd=ROOT, env=env, capture_output=True, text=True, timeout=300)
-    assert said.returncode == 0, said.stderr[-2000:]
-    assert "read 300 new rows" in said.stderr
+    said = _program("packet_intake", "--source", src, "--out", str(tmp_path / "out"), "--checkpoint", str(tmp_path / "c"))
+    assert "read 300 new rows" in said
     assert _got(packet_intake.packets(spark, str(tmp_path / "out"))) == _want(a, cfg)
+    docs = [(k, "en", "s", "some words " * k) for k in range(9)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(str(tmp_path / "docs"))
+    said = _program("rate_survey", "--source", str(tmp_path / "docs"), "--out", str(tmp_path / "rates"))
+    assert "read 9 rows" in said and "wrote 9 documents, 1 sources" in said
+    assert Counter(tuple(r) for r in rate_survey.documents(spark, str(tmp_path / "rates")).collect()) == _rates(docs, rate_survey.Survey())
 
 
 def test_configs(spark, tmp_path):
