@@ -29,8 +29,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-if not __package__:  # run as a file, as spark-submit does
-    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+if not __package__:  # run as a file; workers on other machines get the packages by --py-files
+    sys.path.insert(0, root := os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])])
 
 from axonwave.functions import coding  # noqa: E402
 from axonwave.operators.numbering import numbered  # noqa: E402
