@@ -64,3 +64,28 @@ def majority(members: DataFrame, labels: DataFrame) -> DataFrame:
     n = members.join(labels, "node").groupBy("group", "label").agg(F.count("*").alias("votes"))
     best = F.min_by(F.struct("label", "votes"), F.struct(-F.col("votes"), F.col("label")))
     return n.groupBy("group").agg(best.alias("b"), F.sum("votes").alias("of")).select("group", "b.label", "b.votes", "of")
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """node, rep of every node in pairs(a, b): the least node that it is connected with.
+
+    Every round a node takes the least representative among its neighbours', then that one's own, so distances are halved and long chains take few rounds.
+    Rounds are tables; the search ends when a round changes nothing.
+    """
+    spark, at = pairs.sparkSession, new_folder(pairs.sparkSession, "components")
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    both.write.parquet(f"{at}/pairs")
+    both = spark.read.schema(both.schema).parquet(f"{at}/pairs")
+    round_ = lambda k: spark.read.schema("node string, rep string").parquet(f"{at}/round-{k}")
+    both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("rep")).write.parquet(f"{at}/round-0")
+    k = 0
+    while True:
+        now = round_(k)
+        offered = both.join(now.select(F.col("node").alias("b"), "rep"), "b").groupBy(F.col("a").alias("node")).agg(F.min("rep").alias("_near"))
+        best = now.join(offered, "node").select("node", F.col("rep").alias("_was"), F.least("rep", "_near").alias("_mid"))
+        far = now.select(F.col("node").alias("_mid"), F.col("rep").alias("_far"))
+        after = best.join(far, "_mid").select("node", "_was", F.least("_mid", "_far").alias("rep"))
+        after.write.parquet(f"{at}/round-{k + 1}")
+        k += 1
+        if spark.read.schema("node string, _was string, rep string").parquet(f"{at}/round-{k}").where("rep != _was").isEmpty():
+            return round_(k)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from axonwave.operators import wavelet
 from axonwave.operators.graphs import block_labels, majority, reach
 from axonwave.operators.latency import delivery_latency
 from axonwave.plans.samples import BLOCKS_SQL, SQL, blocks, samples, table
+from axonwave.sources import netlist
+from axonwave.sources.folders import new_folder
 from axonwave.plans.signal_queries import RICE_SQL, rice_adaptive_bits
 
 BASE = f"WITH {SQL}, {BLOCKS_SQL}, {wavelet.forward_sql()}"
@@ -320,6 +322,24 @@ def delivery_latencies(spark, d):
     return x.groupBy("user_id").agg(F.count("*").alias("samples"), F.sum("processing").alias("processing"), F.max("processing").alias("most"), F.count("ended").alias("delivered"), F.sum("delivery").alias("delivery"), F.percentile("delivery", F.lit(0.5)).alias("median"))
 
 
+def netlist_fanout(spark, d):
+    """Orders as cells of a netlist that is written and read back: cells, area and driven pins by cell type, nets resolved through assigns and ports."""
+    at, o = new_folder(spark, "netlist"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    k = F.col("o_orderkey")
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    near = F.when(k % 3 == 0, text("q", (F.floor(k / 20) * 10).cast("string"))).otherwise(text("\\n", F.floor(k / 2).cast("string"), " "))
+    cell = text("t", (F.col("o_custkey") % 25).cast("string"), " u", k.cast("string"), " ( .A(", near, "), .B(1'b0), .X(n", k.cast("string"), ") );")
+    names = F.when(k % 10 == 0, text("\nassign p", k.cast("string"), " = n", k.cast("string"), ";\nassign q", k.cast("string"), " = p", k.cast("string"), ";")).otherwise("")
+    port = F.when(k % 100 == 0, text("\noutput q", k.cast("string"), ";")).otherwise("")
+    o.select(text(cell, names, port).alias("value")).write.text(f"{at}/netlist")
+    n = table(spark, d, "nation").select(text("cell (t", F.col("n_nationkey").cast("string"), ") { area : ", (1.5 + F.col("n_nationkey") * 0.25).cast("string"), "; pin (A) { direction : input; } pin (B) { direction : input; } pin (X) { direction : output; } }").alias("value"))
+    n.write.text(f"{at}/library")
+    g = netlist.read_design(spark, f"{at}/netlist", netlist.read_liberty(spark, f"{at}/library"))
+    cells = g.where("output AND cell IS NOT NULL").groupBy("cell").agg(F.count("*").alias("cells"), F.sum("area").alias("area"))
+    driven = netlist.connections(g).groupBy("cell").agg(F.count("*").alias("pins"), F.count_if(F.col("to_cell").isNull()).alias("ports"))
+    return cells.join(driven, "cell", "left").select("cell", "cells", F.round("area", 6).alias("area"), F.coalesce("pins", F.lit(0)).alias("pins"), F.coalesce("ports", F.lit(0)).alias("ports"))
+
+
 QUERIES = {
     "sequence_unwrap": (sequence_unwrap, f"""{R}, g AS (SELECT user_id, event_id, k, (((seq - coalesce(lag(seq) OVER (PARTITION BY user_id ORDER BY event_id), -1)) % 64) + 64) % 64 AS step FROM r WHERE NOT lost)
         SELECT user_id, count(*) AS got, sum(step - 1)::BIGINT AS missing, sum((n != k)::BIGINT)::BIGINT AS wrong FROM (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM g) GROUP BY user_id"""),
@@ -380,4 +400,7 @@ QUERIES = {
         b AS (SELECT user_id, event_id AS coded, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 2 AS n FROM events WHERE event_type IN ('purchase', 'error')), j AS (SELECT user_id, pushed, coded FROM a JOIN b USING (user_id, n)),
         k AS (SELECT j.user_id, pushed, coded, (SELECT min(event_id) FROM events e WHERE e.event_type = 'signup' AND e.user_id = j.user_id AND e.event_id >= coded) AS ended FROM j)
         SELECT user_id, count(*) AS samples, sum(coded - pushed)::BIGINT AS processing, max(coded - pushed) AS most, count(ended) AS delivered, sum(ended - pushed)::BIGINT AS delivery, quantile_cont(ended - pushed, 0.5) AS median FROM k GROUP BY user_id"""),
+    "netlist_fanout": (netlist_fanout, """WITH c AS (SELECT o_orderkey AS k, 't' || o_custkey % 25 AS cell, 1.5 + (o_custkey % 25) * 0.25 AS area, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 20 * 10 ELSE o_orderkey // 2 END AS net FROM orders),
+        s AS (SELECT net, false AS port FROM c UNION ALL SELECT k, true FROM c WHERE k % 100 = 0), d AS (SELECT cell, count(*) AS pins, count(*) FILTER (port) AS ports FROM c x JOIN s ON s.net = x.k GROUP BY cell)
+        SELECT cell, count(*) AS cells, round(sum(area)::DOUBLE, 6) AS area, coalesce(any_value(pins), 0) AS pins, coalesce(any_value(ports), 0) AS ports FROM c LEFT JOIN d USING (cell) GROUP BY cell"""),
 }
