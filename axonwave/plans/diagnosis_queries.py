@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from axonwave.functions import coding, tracing
 from axonwave.operators import codecs, faults, wavelet
+from axonwave.operators.folds import carried
 from axonwave.operators.graphs import reach
 from axonwave.plans.protocol_queries import EDGES, edges
 from axonwave.plans.samples import BLOCKS_SQL, SQL, blocks, packets, packets_sql, samples, table
@@ -124,29 +125,52 @@ def single_state_rans(spark, d):
 
 
 def rice_context_bits(spark, d, reset: int = 256):
-    """Adaptive Rice cost with one tracker for each of four contexts of the last magnitude, reset at fixed frames."""
+    """Adaptive Rice cost with one tracker for each of four contexts of the last magnitude, reset at fixed frames.
 
-    def one(pdf):
-        x = pdf.sort_values("frame").code.tolist()
-        bits, state, avg, mag = 10, [[16, 1] for _ in range(4)], 30 << 17, 0
-        for t in range(1, len(x)):
-            e = (x[t] - x[t - 1] + 512) % 1024 - 512
-            m = max(1, avg >> 17)
-            c = (mag >= m) + (mag >= 3 * m) + (mag >= 5 * m)
+    Only the average magnitude outlives a reset. One cheap pass along a channel finds it at every reset; the trackers, which cost most, then run for all
+    stretches between resets at once.
+    """
+
+    def averages(state, rows):
+        last, avg, mag, out = *state, []
+        for t, x in zip(rows.frame.tolist(), rows.code.tolist(), strict=True):
             if t % reset == 0:
-                state, bits = [[16, 1] for _ in range(4)], bits + 10
+                out.append((t // reset, last, avg, mag))
+            if last is not None:
+                mag = abs((x - last + 512) % 1024 - 512)
+                avg += mag - (avg >> 17)
+            last = x
+        at = {c: rows[c].iloc[0] for c in ("stream", "ch")}
+        return (last, avg, mag), pd.DataFrame(out, columns=["run", "last", "avg", "mag"]).assign(**at)[["stream", "ch", "run", "last", "avg", "mag"]] if out else None
+
+    def stretch(pdf):
+        pdf = pdf.sort_values("frame")
+        last, avg, mag = pdf["last"].iloc[0], int(pdf.avg.iloc[0]), int(pdf.mag.iloc[0])
+        last, bits, state = None if pd.isna(last) else int(last), 0, [[16, 1] for _ in range(4)]
+        for t, x in zip(pdf.frame.tolist(), pdf.code.tolist(), strict=True):
+            e = 0 if last is None else (x - last + 512) % 1024 - 512
+            if t % reset == 0:
+                bits += 10
             else:
+                m = max(1, avg >> 17)
+                c = (mag >= m) + (mag >= 3 * m) + (mag >= 5 * m)
                 a, n = state[c]
                 k = next((k for k in range(9) if n << k >= a), 9)
                 q = (2 * e if e >= 0 else -2 * e - 1) >> k
                 bits += q + 1 + k if q < 16 else 26
                 a, n = a + abs(e), n + 1
                 state[c] = [a >> 1, n >> 1] if n == 64 else [a, n]
-            mag = abs(e)
-            avg += mag - (avg >> 17)
-        return pd.DataFrame({"ch": [int(pdf.ch.iloc[0])], "n": [len(x)], "bits": [bits]})
+            if last is not None:
+                mag = abs(e)
+                avg += mag - (avg >> 17)
+            last = x
+        return pd.DataFrame({"stream": [pdf.stream.iloc[0]], "ch": [pdf.ch.iloc[0]], "n": [len(pdf)], "bits": [bits]})
 
-    return samples(spark, d).groupBy("stream", "ch").applyInPandas(one, "ch int, n long, bits long")
+    x = samples(spark, d)
+    runs = carried(x, ["stream", "ch"], "frame", lambda: (None, 30 << 17, 0), averages, lambda key, state: None, "stream long, ch int, run long, last long, avg long, mag long")
+    rows = x.withColumn("run", F.floor(F.col("frame") / reset)).join(runs, ["stream", "ch", "run"])
+    each = rows.groupBy("stream", "ch", "run").applyInPandas(stretch, "stream long, ch int, n long, bits long")
+    return each.groupBy("stream", "ch").agg(F.sum("n").alias("n"), F.sum("bits").alias("bits")).drop("stream")
 
 
 def mode_table(spark, d):

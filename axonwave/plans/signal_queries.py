@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from axonwave.functions import coding
 from axonwave.operators import codecs, wavelet
 from axonwave.operators.codecs import high_passed, spikes, thresholds
+from axonwave.operators.folds import carried
 from axonwave.plans.packet_sql import LOSSY_CODED, RAW_CDF, rans_hex, rice_hex
 from axonwave.plans.samples import BLOCKS_SQL, SQL, blocks, packets, packets_sql, samples, table
 from axonwave.sources.folders import new_folder
@@ -387,27 +388,31 @@ def streamed_packets(spark, d):
 
 
 def lms_residuals(spark, d):
-    """Sign-sign LMS prediction of the differences: magnitude of the wrapped residual and samples of each context."""
+    """Sign-sign LMS prediction of the differences: magnitude of the wrapped residual and samples of each context. Sequential along a channel; its state is carried from batch to batch."""
     import numpy as np
 
-    start, step = np.array(LMS_START), np.array(LMS_STEP)
-
-    def one(pdf):
-        x = pdf.sort_values("frame").code.to_numpy()
-        w, past, acc, mag, total, ctx = start.copy(), np.zeros(8, np.int64), 30 << 17, 0, 0, [0] * 4
-        for t in range(1, len(x)):
-            diff = int(x[t] - x[t - 1])
-            r = diff + int((past * w).sum() >> 12)
-            w = np.clip(w - np.sign(past) * (1 if r > 0 else -1) * step, -8192, 8192)
-            past = np.concatenate([[diff], past[:-1]])
-            avg = max(1, acc >> 17)
-            ctx[(mag >= avg) + (mag >= 3 * avg) + (mag >= 5 * avg)] += 1
-            mag = abs((r + 512) % 1024 - 512)
-            acc += mag - (acc >> 17)
-            total += mag
-        return pd.DataFrame({"ch": [int(pdf.ch.iloc[0])], "total": [total], **{f"ctx{i}": [v] for i, v in enumerate(ctx)}})
-
-    return samples(spark, d).groupBy("stream", "ch").applyInPandas(one, "ch int, total long, ctx0 long, ctx1 long, ctx2 long, ctx3 long")
+    first, step = np.array(LMS_START), np.array(LMS_STEP)
+
+    def along(state, rows):
+        last, w, past, acc, mag, total, ctx = state
+        ctx = list(ctx)
+        for x in rows.code.tolist():
+            if last is not None:
+                diff = x - last
+                r = diff + int((past * w).sum() >> 12)
+                w = np.clip(w - np.sign(past) * (1 if r > 0 else -1) * step, -8192, 8192)
+                past = np.concatenate([[diff], past[:-1]])
+                avg = max(1, acc >> 17)
+                ctx[(mag >= avg) + (mag >= 3 * avg) + (mag >= 5 * avg)] += 1
+                mag = abs((r + 512) % 1024 - 512)
+                acc += mag - (acc >> 17)
+                total += mag
+            last = x
+        return (last, w, past, acc, mag, total, ctx), None
+
+    start = lambda: (None, first, np.zeros(8, np.int64), 30 << 17, 0, 0, [0] * 4)
+    end = lambda key, s: pd.DataFrame({"ch": [key[1]], "total": [s[5]], **{f"ctx{i}": [v] for i, v in enumerate(s[6])}})
+    return carried(samples(spark, d), ["stream", "ch"], "frame", start, along, end, "ch int, total long, ctx0 long, ctx1 long, ctx2 long, ctx3 long")
 
 
 # fixed values of the predictor: first weights and steps

@@ -69,3 +69,19 @@ def test_matching(spark):
     for r in codecs.matched_spikes(t.where("of = 'a'"), t.where(F.col("of") == "b")).collect():
         a, b = ([x[2] for x in rows if x[1] == r.ch and x[3] == o] for o in "ab")
         assert (r.orig, r.hits, r.false_pos, r.distance) == (len(a), *_greedy(a, b, 10))
+
+
+def test_carried_over_batches(spark):
+    from axonwave.operators.folds import carried
+
+    x = spark.range(5000).select((F.col("id") % 7).alias("k"), F.lit("x").alias("g"), (F.col("id") * 37 % 5003).alias("t"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        step = lambda s, rows: ((s[0] + 1, s[1] * 3 % 1009 + int(rows.v.sum()), [*s[2], *rows.t]), None)
+        import pandas as pd
+
+        end = lambda key, s: pd.DataFrame({"k": [key[0]], "pieces": [s[0]], "n": [len(s[2])], "sorted": [s[2] == sorted(s[2])]})
+        got = carried(x, ["k", "g"], "t", lambda: (0, 0, []), step, end, "k long, pieces long, n long, sorted boolean").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 7 and sum(r.n for r in got) == 5000 and all(r.sorted and r.pieces > 5 for r in got)
