@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from axonwave.plans import bringup_queries, diagnosis_queries, fault_queries, file_queries, frame_queries, protocol_queries, signal_queries
+from axonwave.plans import bringup_queries, check_queries, diagnosis_queries, fault_queries, file_queries, frame_queries, protocol_queries, signal_queries
 
-GROUPS = [signal_queries, protocol_queries, diagnosis_queries, bringup_queries, frame_queries, fault_queries, file_queries]
+GROUPS = [signal_queries, protocol_queries, diagnosis_queries, bringup_queries, frame_queries, fault_queries, file_queries, check_queries]
 
 
 def queries() -> dict:

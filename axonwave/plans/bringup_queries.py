@@ -10,6 +10,7 @@ from axonwave.functions import coding
 from axonwave.operators import codecs, wavelet
 from axonwave.operators.numbering import numbered
 from axonwave.operators.graphs import reach
+from axonwave.plans.packet_sql import LOSSY_CODED
 from axonwave.plans.protocol_queries import EDGES, edges
 from axonwave.plans.samples import BLOCKS_SQL, SQL, blocks, packets, packets_sql, samples, table
 from axonwave.plans.signal_queries import SNR_SQL, N, snr_percentiles
@@ -65,6 +66,41 @@ def compress_summary(spark, d):
     return p.crossJoin(q).select((F.col("packets") * 256 * N).alias("samples"), F.round(8 * F.col("n_bytes") / (F.col("packets") * 256 * N), 6).alias("bps"), "snr_median", "snr_p10")
 
 
+#: Packets of one block, since the recordings of few users are short.
+GROUP_CONFIG = wavelet.LossyConfig(blocks_per_packet=1)
+
+
+def recordings(spark, d):
+    """Users by their number modulo 64 are files, and eight files in order are a recording of eight channels: samples of many streams."""
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 64).alias("file"), F.least(F.lit(1023), F.greatest(F.lit(0), F.bround("value", 0).cast("long"))).alias("code"))
+    x = numbered(e, ["file"], "event_id", "frame")
+    return x.select(F.floor(F.col("file") / N).alias("stream"), (F.col("file") % N).cast("int").alias("ch"), "frame", "code")
+
+
+def compress_groups(spark, d):
+    """The compression step by groups of files, with tables of all of them: packets, bits a sample, and the SNR of a group's channels."""
+    b = blocks(recordings(spark, d))
+    sym = codecs.whole_packets(wavelet.symbols(b, GROUP_CONFIG), N, GROUP_CONFIG)
+    p = codecs.encode_lossy(sym, codecs.trained_tables(sym, GROUP_CONFIG), N, GROUP_CONFIG)
+    p = p.groupBy("stream").agg(F.count("*").alias("packets"), F.sum(F.length("bytes")).alias("n_bytes"))
+    r = wavelet.reconstruction(b)
+    mean = r.groupBy("stream", "ch").agg(F.avg("code").alias("mean"))
+    c = r.join(mean, ["stream", "ch"]).groupBy("stream", "ch").agg(F.sum((F.col("code") - F.col("mean")) ** 2).alias("s"), F.sum((F.col("y") - F.col("code")) ** 2).alias("e"))
+    snr = c.withColumn("snr", 10 * F.log10(F.col("s") / F.greatest(F.col("e"), F.lit(1e-9)))).groupBy("stream").agg(F.round(F.median("snr"), 6).alias("snr_median"), F.round(F.percentile("snr", F.lit(0.1)), 6).alias("snr_p10"))
+    return p.join(snr, "stream").select("stream", "packets", "n_bytes", F.round(8 * F.col("n_bytes") / (F.col("packets") * GROUP_CONFIG.block * N), 6).alias("bps"), "snr_median", "snr_p10")
+
+
+def _groups_sql() -> str:
+    """The SQL of mode 1 over many streams: a packet is a block, named by its stream and number."""
+    q = LOSSY_CODED.replace(SQL, """s AS (SELECT user_id % 64 // 8 AS stream, (user_id % 8)::INT AS ch, row_number() OVER (PARTITION BY user_id % 64 ORDER BY event_id) - 1 AS frame, least(1023, greatest(0, round_even(value, 0)::BIGINT)) AS code FROM events)""")
+    q = q.replace("PARTITION BY ch, frame // 64", "PARTITION BY stream, ch, frame // 64").replace("blk // 4 AS pkt", "stream * 1000000 + blk AS pkt").replace("= 2048", "= 512")
+    return f"""{q}, {wavelet.RECON_SQL}, {wavelet.inverse_sql('dq', 'd')}, rc AS (SELECT stream, ch, code, greatest(0, least(1023, x)) AS y FROM rx),
+    mm AS (SELECT stream, ch, avg(code) AS mean FROM rc GROUP BY ALL), sn AS (SELECT stream, ch, 10 * log10(sum((code - mean) ** 2) / greatest(sum(((y - code) ** 2)::DOUBLE), 1e-9)) AS snr FROM rc JOIN mm USING (stream, ch) GROUP BY ALL),
+    gs AS (SELECT stream, round(median(snr), 6) AS snr_median, round(quantile_cont(snr, 0.1), 6) AS snr_p10 FROM sn GROUP BY stream),
+    gp AS (SELECT pkt // 1000000 AS stream, count(*) AS packets, sum(length(packet) // 2 + 1)::BIGINT AS n_bytes FROM rans_hex GROUP BY 1)
+    SELECT stream, packets, n_bytes, round(8 * n_bytes / (packets * 512), 6) AS bps, snr_median, snr_p10 FROM gp JOIN gs USING (stream)"""
+
+
 def snr_summary(spark, d):
     """The SNR part of the compression summary."""
     return snr_percentiles(spark, d).select(F.col("median").alias("snr_median"), F.col("p10").alias("snr_p10"))
@@ -215,6 +251,7 @@ QUERIES = {
         m AS (SELECT file, CASE WHEN e >= 0 THEN 2 * e ELSE -2 * e - 1 END >> 4 AS q FROM e), f AS (SELECT file, count(*) AS len, 10 + coalesce(sum(CASE WHEN q < 16 THEN q + 5 WHEN q IS NOT NULL THEN 26 END), 0) AS bits FROM m GROUP BY file),
         t AS (SELECT count(*) AS files, sum(len) AS samples, sum((bits + 7) // 8) + 8 * count(*) AS n, sum(44 + 2 * len) AS wav FROM f) SELECT files, samples::BIGINT AS samples, n::BIGINT AS n_bytes, round(8 * n / samples, 6) AS bps, round(wav / n, 6) AS ratio FROM t"""),
     "compress_summary": (compress_summary, None),
+    "compress_groups": (compress_groups, _groups_sql()),
     "snr_summary": (snr_summary, f"{SNR_SQL} SELECT round(median(snr), 6) AS snr_median, round(quantile_cont(snr, 0.1), 6) AS snr_p10 FROM snr"),
     "energy_figures": (energy_figures, "SELECT p_partkey, round(p_retailprice * 1e-6 / (8 * 19531.0::DOUBLE) * 1e9, 6) AS nj, round(p_retailprice * 1e-3 / (p_size / 0.6::DOUBLE * 1e-2), 6) AS density, round(p_retailprice * 1e-6 / (8 * 19531.0::DOUBLE) * 1e9 / ((10 - 2.087::DOUBLE) * 5.0::DOUBLE), 8) AS radio_ratio FROM part"),
     "regex_selection": (regex_selection, "SELECT p_type, count(*) AS chosen, count(m) AS with_metric FROM part LEFT JOIN (SELECT l_partkey, count(*) AS m FROM lineitem WHERE l_discount > 0.09 GROUP BY 1) ON l_partkey = p_partkey WHERE regexp_matches(p_type, '^(S[MT]|ECO).*[LDY]$') GROUP BY 1"),

@@ -87,7 +87,7 @@ def coder_upsets(spark, d):
     return rows.join(bad.drop("payload"), KEYS).join(found, KEYS, "left").select("pkt", "symbol", F.col("fault").alias("kind"), "flipped", "clean", F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
-_AT = "at_ AS (SELECT pkt, pos, sum(n) OVER (PARTITION BY pkt ORDER BY pos) - n AS lo, n, raw, sum(n) OVER (PARTITION BY pkt) AS body FROM (SELECT x.pkt, x.pos, length(x.put) // 2 AS n, length(y.raw) // 2 AS raw FROM rx x JOIN ly y ON x.pkt = y.pkt AND x.pos = y.pos))"
+_AT = "at_ AS (SELECT pkt, pos, sum(n) OVER (PARTITION BY pkt ORDER BY pos) - n AS lo, n, raw, sum(n) OVER (PARTITION BY pkt) AS body FROM (SELECT x.pkt, x.pos, length(x.put) // 2 AS n, length(y.raw) // 2 AS raw FROM rput x JOIN ly y ON x.pkt = y.pkt AND x.pos = y.pos))"
 TOLERANT_SQL = f"""{LOSSY_CODED}, {_AT}, h AS (SELECT pkt, pos // {EVERY} AS s, body, (pkt * 97 + 5) % body AS a, lo, n, raw FROM at_)
     SELECT pkt, (s * {EVERY})::INT AS k, NOT bool_or(a >= lo + raw AND a < lo + n) AS clean, 0::BIGINT AS wrong FROM h GROUP BY pkt, s"""
 BOUNDS_SQL = f"""{LOSSY_CODED}, {_AT}, h AS (SELECT *, body // 4 + pkt % 7 AS a, count(*) OVER (PARTITION BY pkt) AS of FROM at_)

@@ -29,17 +29,17 @@ rice_hex AS (SELECT {k}, string_agg(substr('0123456789ABCDEF', 1 + 8 * substr(bi
 def rans_hex(symbols: str, lsh: int, n_ch: int, state_bytes: int) -> str:
     """CTEs up to rans_hex(pkt, packet): packets of symbols(pkt, ch, pos, f, c, m, raw), raw hexadecimal digits that go first, without a header.
 
-    Each channel's state is followed by a recursion over its symbols; at most three bytes leave a state at once. rx has what every position puts out.
+    Each channel's state is followed by a recursion over its symbols; at most three bytes leave a state at once. rput has what every position puts out.
     """
     byte = lambda k: f"printf('%02X', ((x >> {8 * k}) & 255)::INT)"
     over = [f"((x >> {8 * k}) >= (f << {lsh + 8}))::INT" for k in range(3)]
     last = " || ".join(byte(k) for k in range(state_bytes))
     return f"""rs AS (SELECT *, row_number() OVER (PARTITION BY pkt, ch ORDER BY pos) AS i FROM {symbols}),
-rx(pkt, ch, pos, i, x, put) AS (SELECT DISTINCT pkt, ch, -1::BIGINT, 0::BIGINT, (m << {lsh})::BIGINT, '' FROM rs
+rput(pkt, ch, pos, i, x, put) AS (SELECT DISTINCT pkt, ch, -1::BIGINT, 0::BIGINT, (m << {lsh})::BIGINT, '' FROM rs
   UNION ALL SELECT pkt, ch, pos, i, ((x >> 8 * n) // f) * m + (x >> 8 * n) % f + c, raw || CASE n WHEN 0 THEN '' WHEN 1 THEN {byte(0)} WHEN 2 THEN {byte(0)} || {byte(1)} ELSE {byte(0)} || {byte(1)} || {byte(2)} END
-  FROM (SELECT *, {' + '.join(over)} AS n FROM (SELECT rs.pkt, rs.ch, rs.pos, rs.i, rx.x, rs.f, rs.c, rs.m, rs.raw FROM rx JOIN rs ON rs.pkt = rx.pkt AND rs.ch = rx.ch AND rs.i = rx.i + 1))),
-rend AS (SELECT pkt, ch, x FROM rx QUALIFY row_number() OVER (PARTITION BY pkt, ch ORDER BY i DESC) = 1),
-rans_hex AS (SELECT b.pkt, b.body || e.tail AS packet FROM (SELECT pkt, string_agg(put, '' ORDER BY pos) AS body FROM rx GROUP BY pkt) b
+  FROM (SELECT *, {' + '.join(over)} AS n FROM (SELECT rs.pkt, rs.ch, rs.pos, rs.i, rput.x, rs.f, rs.c, rs.m, rs.raw FROM rput JOIN rs ON rs.pkt = rput.pkt AND rs.ch = rput.ch AND rs.i = rput.i + 1))),
+rend AS (SELECT pkt, ch, x FROM rput QUALIFY row_number() OVER (PARTITION BY pkt, ch ORDER BY i DESC) = 1),
+rans_hex AS (SELECT b.pkt, b.body || e.tail AS packet FROM (SELECT pkt, string_agg(put, '' ORDER BY pos) AS body FROM rput GROUP BY pkt) b
   JOIN (SELECT pkt, string_agg({last}, '' ORDER BY ch) AS tail FROM rend WHERE ch < {n_ch} GROUP BY pkt) e ON b.pkt = e.pkt)"""
 
 
@@ -49,7 +49,7 @@ RAW_CDF = f"""WITH RECURSIVE {SQL}, {BLOCKS_SQL}, {wavelet.forward_sql()}, {SYM}
     w AS (SELECT ctx, sym, coalesce(n, 0) + 0.5::DOUBLE AS c FROM g LEFT JOIN n USING (ctx, sym)), v AS (SELECT ctx, sym, greatest(1, floor(c / sum(c) OVER (PARTITION BY ctx) * 4096)::BIGINT) AS f FROM w),
     fr(ctx, f, gap) AS (SELECT ctx, list(f ORDER BY sym), 4096 - sum(f)::BIGINT FROM v GROUP BY ctx UNION ALL SELECT ctx, list_transform(f, lambda x, i: CASE WHEN i = list_position(f, list_max(f)) THEN x + sign(gap) ELSE x END), gap - sign(gap) FROM fr WHERE gap != 0),
     fl AS (SELECT ctx, unnest(range(64))::INT AS sym, unnest(f) AS f FROM fr WHERE gap = 0), cdf AS (SELECT ctx, sym, f, (sum(f) OVER (PARTITION BY ctx ORDER BY sym) - f)::BIGINT AS c FROM fl)"""
-#: Mode 1 payloads of whole packets, tables trained on them: ly(pkt, ch, pos, f, c, m, raw), rx, rans_hex.
+#: Mode 1 payloads of whole packets, tables trained on them: ly(pkt, ch, pos, f, c, m, raw), rput, rans_hex.
 LOSSY_CODED = f"""{RAW_CDF.replace(f"{SYM}, g AS", f"{SYM}, wsm AS (SELECT *, row_number() OVER (PARTITION BY pkt ORDER BY blk, at_, ch, turn) - 1 AS pos FROM sm QUALIFY count(*) OVER (PARTITION BY pkt) = 2048), g AS").replace("FROM sm GROUP BY ALL", "FROM wsm GROUP BY ALL")},
     ly AS (SELECT pkt, ch, pos, cdf.f, cdf.c, 4096 AS m, CASE WHEN sym = 63 THEN printf('%02X', (z & 255)::INT) || printf('%02X', (z >> 8)::INT) ELSE '' END AS raw
         FROM (SELECT pkt, ch, pos, ctx, sym, CASE WHEN v >= 0 THEN 2 * v ELSE -2 * v - 1 END AS z FROM wsm) JOIN cdf USING (ctx, sym)), {rans_hex("ly", 2, 8, 3)}"""
