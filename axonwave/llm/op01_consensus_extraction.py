@@ -170,8 +170,8 @@ def spare(root: Node) -> None:
     """Keeps an element that its names would drop, where it and not the rest of the page has the article.
 
     That is if it holds the larger part of the page's text outside links and headings: at least as much as what is not dropped, where it has an article,
-    main or h1 element and the rest has none; else, where the rest has no article or main, twice as much and more than any advert. What readers have written may be
-    longer than the article; it is kept only if there is nothing else. What is dropped inside such an element stays so, unless the same holds again.
+    main or h1 element and the rest has none; else, where the rest has no article or main, twice as much and more than any advert. Where nothing else has text, names of
+    layout drop nothing, others only what has no such element. What readers have written may be longer than the article and is kept in that case alone. What is dropped inside such an element stays so, unless the same holds again.
     """
     while True:
         kept, marked, sure, held, stack = 0, False, False, [], [(root, None, False)]
@@ -202,7 +202,8 @@ def spare(root: Node) -> None:
         for node in held:
             size, has = text[id(node)]
             larger = has and not marked and size >= kept or not sure and size >= max(2 * kept, LONG_TEXT)
-            if size and (not kept or node.drop != READERS and larger):
+            alone = not kept and (node.drop == LAYOUT or has and not marked)
+            if size and (alone or node.drop != READERS and larger):
                 node.drop, again = KEEP, True
         if not again:
             return

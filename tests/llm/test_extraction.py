@@ -38,7 +38,9 @@ def test_deep_pages_of_a_host(spark):
         (f"<article><p>short one</p></article><section class=user-reviews><p>{LONG}</p></section>", "short one"),
         (f"<article><p>short one</p></article><div class=feedback-list><p>{LONG}</p></div>", "short one"),
         (f"<div><p>short one</p></div><div id=discussion><p>{LONG}</p></div>", "short one"),
-        (f"<div id=comments><p>{LONG}</p></div>", LONG.strip()),
+        (f"<div id=comments><p>{LONG}</p></div>", ""),
+        (f"<div class=promo-story><p>{LONG}</p></div>", LONG.strip()),
+        ("<div class=promo-story><p>buy now</p></div>", ""),
         (f"<div class=sidebar><p>aside</p></div><div><p>{LONG}</p></div>", LONG.strip()),
     ],
 )

@@ -40,4 +40,4 @@ def test_short_lines_of_their_own_stay(spark, tmp_path):
 
 
 def test_registry():
-    assert len(queries.queries()) == 10 and [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
+    assert len(queries.queries()) == 12 and [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
