@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from axonwave.functions import coding, tracing
-from axonwave.operators import codecs, faults, wavelet
+from axonwave.operators import codecs, faults, rates, wavelet
 from axonwave.operators.folds import carried
 from axonwave.operators.graphs import reach
 from axonwave.plans.protocol_queries import EDGES, edges
@@ -186,6 +186,12 @@ def mode_table(spark, d):
     return out.groupBy("mode").agg(F.count("*").alias("packets"), F.sum("b").alias("n_bytes"), F.round(8 * F.sum("b") / F.sum("n"), 6).alias("bps"), F.round(10 * F.sum("n") / (8 * F.sum("b")), 6).alias("ratio"))
 
 
+def mode_rates(spark, d):
+    """The benchmark table: modes calibrated on the first 256 frames and measured on the rest."""
+    r = rates.mode_rates(samples(spark, d), N, 256, 19531.0, 1.0)
+    return r.select("mode", "packets", "n_bytes", "samples", *[F.round(c, 6).alias(c) for c in ("bps", "vs_10", "vs_16", "vs_feature", "note")])
+
+
 def dependency_horizon(spark, d):
     """The last frame of a block whose symbols depend on a sample: one sample of every recorded block is changed, and the coefficients of both are compared."""
     b = blocks(samples(spark, d))
@@ -260,6 +266,7 @@ QUERIES = {
     "single_state_rans": (single_state_rans, None),
     "rice_context_bits": (rice_context_bits, RICE_CONTEXT_SQL),
     "mode_table": (mode_table, None),
+    "mode_rates": (mode_rates, None),
     "dependency_horizon": (dependency_horizon, f"""WITH {SQL}, {BLOCKS_SQL.replace("b AS (", "b1 AS (", 1)}, b AS (SELECT * FROM b1 UNION ALL SELECT stream + 1, ch, blk, p, CASE WHEN p != (blk * 7 + ch) % 64 THEN code WHEN code < 512 THEN code + 400 ELSE code - 400 END FROM b1), {wavelet.forward_sql()}
         SELECT ((x.blk * 7 + x.ch) % 64)::INT AS frame, max(least(63, (1 << CASE WHEN x.ctx = 0 THEN 3 ELSE x.ctx END) * (x.i + 2) - 2))::BIGINT AS horizon, count(*) AS changed
         FROM co x JOIN co y ON y.stream = x.stream + 1 AND y.ch = x.ch AND y.blk = x.blk AND y.p = x.p WHERE x.c != y.c GROUP BY 1"""),
