@@ -101,6 +101,10 @@ def _groups_sql() -> str:
     SELECT stream, packets, n_bytes, round(8 * n_bytes / (packets * 512), 6) AS bps, snr_median, snr_p10 FROM gp JOIN gs USING (stream)"""
 
 
+COMPRESS_SQL = f"""{LOSSY_CODED}, {SNR_SQL.split(f"{wavelet.forward_sql()}, ", 1)[1]}, np AS (SELECT count(*) AS n, sum(length(packet) // 2 + 1)::BIGINT AS b FROM rans_hex), pc AS (SELECT round(median(snr), 6) AS snr_median, round(quantile_cont(snr, 0.1), 6) AS snr_p10 FROM snr)
+SELECT n * 2048 AS samples, round(8 * b / (n * 2048), 6) AS bps, snr_median, snr_p10 FROM np, pc"""
+
+
 def snr_summary(spark, d):
     """The SNR part of the compression summary."""
     return snr_percentiles(spark, d).select(F.col("median").alias("snr_median"), F.col("p10").alias("snr_p10"))
@@ -250,7 +254,7 @@ QUERIES = {
     "file_ratio": (file_ratio, """WITH c AS (SELECT user_id AS file, event_id, least(1023, greatest(0, round_even(value, 0)::BIGINT)) AS code FROM events), e AS (SELECT file, (code - lag(code) OVER (PARTITION BY file ORDER BY event_id) + 1536) % 1024 - 512 AS e FROM c),
         m AS (SELECT file, CASE WHEN e >= 0 THEN 2 * e ELSE -2 * e - 1 END >> 4 AS q FROM e), f AS (SELECT file, count(*) AS len, 10 + coalesce(sum(CASE WHEN q < 16 THEN q + 5 WHEN q IS NOT NULL THEN 26 END), 0) AS bits FROM m GROUP BY file),
         t AS (SELECT count(*) AS files, sum(len) AS samples, sum((bits + 7) // 8) + 8 * count(*) AS n, sum(44 + 2 * len) AS wav FROM f) SELECT files, samples::BIGINT AS samples, n::BIGINT AS n_bytes, round(8 * n / samples, 6) AS bps, round(wav / n, 6) AS ratio FROM t"""),
-    "compress_summary": (compress_summary, None),
+    "compress_summary": (compress_summary, COMPRESS_SQL),
     "compress_groups": (compress_groups, _groups_sql()),
     "snr_summary": (snr_summary, f"{SNR_SQL} SELECT round(median(snr), 6) AS snr_median, round(quantile_cont(snr, 0.1), 6) AS snr_p10 FROM snr"),
     "energy_figures": (energy_figures, "SELECT p_partkey, round(p_retailprice * 1e-6 / (8 * 19531.0::DOUBLE) * 1e9, 6) AS nj, round(p_retailprice * 1e-3 / (p_size / 0.6::DOUBLE * 1e-2), 6) AS density, round(p_retailprice * 1e-6 / (8 * 19531.0::DOUBLE) * 1e9 / ((10 - 2.087::DOUBLE) * 5.0::DOUBLE), 8) AS radio_ratio FROM part"),

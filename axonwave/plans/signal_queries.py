@@ -205,6 +205,12 @@ ADAPTIVE_SQL = f"""{BASE.replace("WITH", "WITH RECURSIVE", 1)}, {SYM}, po AS (SE
     ta AS (SELECT pkt, sym, f, (sum(f) OVER (PARTITION BY pkt ORDER BY sym) - f)::BIGINT AS c, (sum(f) OVER (PARTITION BY pkt))::BIGINT AS m FROM g),
     wt AS (SELECT w.pkt, w.ch, w.pos, ta.f, ta.c, ta.m, '' AS raw FROM w JOIN ta ON w.pkt = ta.pkt AND w.sym = ta.sym), {rans_hex("wt", 11, 8, 4)}
     SELECT pkt, length(packet) // 2 AS n_bytes, sha256(unhex(packet)) AS sha, 0::BIGINT AS wrong FROM rans_hex"""
+RENORM_SQL = f"""{LOSSY_CODED}, un(u) AS (VALUES (8), (4), (2), (1)), ry AS (SELECT ly.*, u, row_number() OVER (PARTITION BY pkt, ch, u ORDER BY pos) AS i FROM ly, un),
+    rr(pkt, ch, u, i, x, bits) AS (SELECT DISTINCT pkt, ch, u, 0::BIGINT, (4096 << 2)::BIGINT, 0::BIGINT FROM ry
+        UNION ALL SELECT pkt, ch, u, i, ((x >> u * n) // f) * 4096 + (x >> u * n) % f + c, bits + u * n + 4 * length(raw)
+        FROM (SELECT *, {' + '.join(f"CASE WHEN u * {k} < 40 AND (x >> least(u * {k}, 40)) >= (f << 2 + u) THEN 1 ELSE 0 END" for k in range(24))} AS n
+            FROM (SELECT ry.pkt, ry.ch, ry.u, ry.i, rr.x, rr.bits, ry.f, ry.c, ry.raw FROM rr JOIN ry ON ry.pkt = rr.pkt AND ry.ch = rr.ch AND ry.u = rr.u AND ry.i = rr.i + 1)))
+    SELECT pkt, u::INT AS unit, (sum(bits) + 8 * (14 + u))::BIGINT AS bits FROM (SELECT * FROM rr QUALIFY row_number() OVER (PARTITION BY pkt, ch, u ORDER BY i DESC) = 1) GROUP BY pkt, u"""
 LOSSY_SQL = f"""{LOSSY_CODED} SELECT pkt, 1::INT AS mode, (pkt % 64)::INT AS seq, length(packet) // 2 + 1 AS n_bytes, sha256(unhex(printf('%02X', (64 + pkt % 64)::INT) || packet)) AS sha FROM rans_hex"""
 LOSSY_ROUND_SQL = f"{BASE}, sz AS (SELECT blk // 4 AS pkt, count(*) AS n FROM b GROUP BY 1) SELECT ch, count(*) AS n, 0::BIGINT AS wrong FROM b WHERE blk // 4 IN (SELECT pkt FROM sz WHERE n = 2048) GROUP BY ch"
 
@@ -487,7 +493,7 @@ QUERIES = {
     "lfsr_stimulus": (lfsr_stimulus, f"""WITH RECURSIVE {SQL}, l(pos, x) AS (SELECT 0::BIGINT, 44257::BIGINT UNION ALL SELECT pos + 1, xor(x >> 1, CASE WHEN x % 2 = 1 THEN 46080 ELSE 0 END) FROM l WHERE pos < 65534 AND pos < (SELECT max(frame) FROM s)),
         m AS (SELECT ch, xor(code, x & 1023) AS m FROM s JOIN l ON pos = frame % 65535) SELECT ch, count(*) AS n, count(*) FILTER (m = 0) AS equal, sum(10 - bit_count(m))::BIGINT AS bits, sum(m)::BIGINT AS total FROM m GROUP BY ch"""),
     "encode_lfsr": (encode_lfsr, None),
-    "renorm_sweep": (renorm_sweep, None),
+    "renorm_sweep": (renorm_sweep, RENORM_SQL),
     "adaptive_rans": (adaptive_rans, ADAPTIVE_SQL),
     "lms_residuals": (lms_residuals, LMS_SQL),
 }
