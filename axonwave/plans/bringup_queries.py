@@ -90,6 +90,32 @@ def compress_groups(spark, d):
     return p.join(snr, "stream").select("stream", "packets", "n_bytes", F.round(8 * F.col("n_bytes") / (F.col("packets") * GROUP_CONFIG.block * N), 6).alias("bps"), "snr_median", "snr_p10")
 
 
+def held_out_files(spark, d):
+    """Tables trained on every other recording, on the files of the rest: bits a symbol of each context and recording that the tables have not seen."""
+    s = wavelet.symbols(blocks(recordings(spark, d)), GROUP_CONFIG).select("stream", "ctx", "sym")
+    t = s.where("stream % 2 = 0").groupBy("ctx", "sym").agg(F.count("*").alias("m"))
+    total = t.groupBy("ctx").agg(F.sum("m").alias("t"))
+    h = s.where("stream % 2 = 1").groupBy("stream", "ctx", "sym").agg(F.count("*").alias("n"))
+    j = h.join(total, "ctx").join(t, ["ctx", "sym"], "left")
+    bits = -F.col("n") * F.log2((F.coalesce("m", F.lit(0)) + 0.5) / (F.col("t") + 32))
+    return j.groupBy("stream", "ctx").agg(F.sum("n").alias("n"), F.count_if(F.col("m").isNull()).alias("unseen"), F.round(F.sum(bits) / F.sum("n"), 6).alias("bits_per_symbol"))
+
+
+def fifo_profile(spark, d):
+    """Buffer of each channel's symbols: the largest burst (all that is needed if every burst is coded before the next sample), and, at one symbol a frame, the deepest queue and how many frames the last symbol of a block comes after its end."""
+    c = wavelet.coefficients(blocks(samples(spark, d)))
+    level = F.when(F.col("ctx") == 0, 3).otherwise(F.col("ctx"))
+    at = F.least(F.lit(63), F.pow(F.lit(2), level).cast("long") * (F.col("i") + 2) - 2)
+    n = c.groupBy("stream", "ch", "blk", at.alias("t")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("stream", "ch", "blk").orderBy("t")
+    # a queue that drains one a frame is as deep as the fullest stretch up to here; the last symbol waits for the fullest stretch to the end
+    n = n.withColumn("sum", F.sum("n").over(w)).withColumn("base", F.col("sum") - F.col("n") - F.col("t"))
+    n = n.withColumn("depth", F.col("sum") - F.col("t") - F.min("base").over(w))
+    n = n.withColumn("done", F.col("t") + F.sum("n").over(w.orderBy(F.desc("t"))))
+    per = n.groupBy("stream", "ch", "blk").agg(F.max("n").alias("burst"), F.max("depth").alias("depth"), (F.max("done") - 64).alias("lag"))
+    return per.groupBy("ch").agg(F.count("*").alias("blocks"), F.max("burst").alias("burst"), F.max("depth").alias("depth"), F.max("lag").alias("lag"))
+
+
 def _groups_sql() -> str:
     """The SQL of mode 1 over many streams: a packet is a block, named by its stream and number."""
     q = LOSSY_CODED.replace(SQL, """s AS (SELECT user_id % 64 // 8 AS stream, (user_id % 8)::INT AS ch, row_number() OVER (PARTITION BY user_id % 64 ORDER BY event_id) - 1 AS frame, least(1023, greatest(0, round_even(value, 0)::BIGINT)) AS code FROM events)""")
@@ -256,6 +282,12 @@ QUERIES = {
         t AS (SELECT count(*) AS files, sum(len) AS samples, sum((bits + 7) // 8) + 8 * count(*) AS n, sum(44 + 2 * len) AS wav FROM f) SELECT files, samples::BIGINT AS samples, n::BIGINT AS n_bytes, round(8 * n / samples, 6) AS bps, round(wav / n, 6) AS ratio FROM t"""),
     "compress_summary": (compress_summary, COMPRESS_SQL),
     "compress_groups": (compress_groups, _groups_sql()),
+    "held_out_files": (held_out_files, f"""{_groups_sql().split(", wsm AS")[0]}, t AS (SELECT ctx, sym, count(*) AS m FROM sm WHERE stream % 2 = 0 GROUP BY ALL), tt AS (SELECT ctx, sum(m) AS t FROM t GROUP BY ctx),
+        h AS (SELECT stream, ctx, sym, count(*) AS n FROM sm WHERE stream % 2 = 1 GROUP BY ALL) SELECT stream, h.ctx, sum(n)::BIGINT AS n, count(*) FILTER (m IS NULL) AS unseen, round(sum(-n * log2((coalesce(m, 0) + 0.5) / (tt.t + 32))) / sum(n), 6) AS bits_per_symbol
+        FROM h JOIN tt ON tt.ctx = h.ctx LEFT JOIN t ON t.ctx = h.ctx AND t.sym = h.sym GROUP BY ALL"""),
+    "fifo_profile": (fifo_profile, f"""{BASE}, n AS (SELECT ch, blk, least(63, (1 << CASE WHEN ctx = 0 THEN 3 ELSE ctx END) * (i + 2) - 2) AS t, count(*) AS n FROM cq GROUP BY ALL), a AS (SELECT *, sum(n) OVER (PARTITION BY ch, blk ORDER BY t) AS s, t + sum(n) OVER (PARTITION BY ch, blk ORDER BY t DESC) AS done FROM n),
+        q AS (SELECT *, s - t - min(s - n - t) OVER (PARTITION BY ch, blk ORDER BY t) AS depth FROM a), p AS (SELECT ch, blk, max(n) AS burst, max(depth) AS depth, max(done) - 64 AS lag FROM q GROUP BY ch, blk)
+        SELECT ch, count(*) AS blocks, max(burst) AS burst, max(depth)::BIGINT AS depth, max(lag)::BIGINT AS lag FROM p GROUP BY ch"""),
     "snr_summary": (snr_summary, f"{SNR_SQL} SELECT round(median(snr), 6) AS snr_median, round(quantile_cont(snr, 0.1), 6) AS snr_p10 FROM snr"),
     "energy_figures": (energy_figures, "SELECT p_partkey, round(p_retailprice * 1e-6 / (8 * 19531.0::DOUBLE) * 1e9, 6) AS nj, round(p_retailprice * 1e-3 / (p_size / 0.6::DOUBLE * 1e-2), 6) AS density, round(p_retailprice * 1e-6 / (8 * 19531.0::DOUBLE) * 1e9 / ((10 - 2.087::DOUBLE) * 5.0::DOUBLE), 8) AS radio_ratio FROM part"),
     "regex_selection": (regex_selection, "SELECT p_type, count(*) AS chosen, count(m) AS with_metric FROM part LEFT JOIN (SELECT l_partkey, count(*) AS m FROM lineitem WHERE l_discount > 0.09 GROUP BY 1) ON l_partkey = p_partkey WHERE regexp_matches(p_type, '^(S[MT]|ECO).*[LDY]$') GROUP BY 1"),
