@@ -288,6 +288,19 @@ def spike_match(spark, d):
     return codecs.matched_spikes(spikes(a, thr), spikes(z, thr)).drop("stream")
 
 
+#: Greedy matching as a walk over both lists of spikes.
+MATCH_SQL = f"""{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, {wavelet.RECON_SQL}, {wavelet.inverse_sql('dq', 'd')}, z AS (SELECT ch, 'a' AS w, blk * 64 + p AS frame, code AS v FROM rx UNION ALL SELECT ch, 'b', blk * 64 + p, greatest(0, least(1023, x)) FROM rx),
+h AS (SELECT ch, w, 0::BIGINT AS frame, v - (4096 >> 3) AS hp, 4096 + v - (4096 >> 3) AS acc FROM z WHERE frame = 0
+    UNION ALL SELECT z.ch, z.w, z.frame, z.v - (h.acc >> 3), h.acc + z.v - (h.acc >> 3) FROM h JOIN z ON z.ch = h.ch AND z.w = h.w AND z.frame = h.frame + 1),
+th AS (SELECT ch, greatest(1, round_even(1.0 * median(abs(hp)) / 0.6745, 0)::BIGINT) AS thr FROM h WHERE w = 'a' GROUP BY ch),
+lo AS (SELECT h.ch, w, frame, row_number() OVER (PARTITION BY h.ch, w ORDER BY frame) AS i FROM h JOIN th ON h.ch = th.ch WHERE hp <= -thr),
+rf(ch, w, i, last, keep) AS (SELECT ch, w, i, frame, true FROM lo WHERE i = 1 UNION ALL SELECT lo.ch, lo.w, lo.i, CASE WHEN frame - last > 20 THEN frame ELSE last END, frame - last > 20 FROM rf JOIN lo ON lo.ch = rf.ch AND lo.w = rf.w AND lo.i = rf.i + 1),
+li AS (SELECT ch, coalesce(list(last ORDER BY last) FILTER (w = 'a'), []) AS a, coalesce(list(last ORDER BY last) FILTER (w = 'b'), []) AS b FROM rf WHERE keep GROUP BY ch),
+wk(ch, i, j, hits, far) AS (SELECT ch, 1::BIGINT, 1::BIGINT, 0::BIGINT, 0::BIGINT FROM li UNION ALL SELECT wk.ch, CASE WHEN b[j] < a[i] - 10 THEN i ELSE i + 1 END, CASE WHEN b[j] > a[i] + 10 THEN j ELSE j + 1 END,
+    hits + CASE WHEN abs(a[i] - b[j]) <= 10 THEN 1 ELSE 0 END, far + CASE WHEN abs(a[i] - b[j]) <= 10 THEN abs(a[i] - b[j]) ELSE 0 END FROM wk JOIN li ON li.ch = wk.ch WHERE i <= len(a) AND j <= len(b))
+SELECT li.ch, any_value(len(a)) AS orig, max(hits) AS hits, any_value(len(b)) - max(hits) AS false_pos, max(far) AS distance FROM wk JOIN li ON li.ch = wk.ch GROUP BY li.ch"""
+
+
 def value_range(spark, d):
     c = wavelet.coefficients(blocks(samples(spark, d)))
     return c.groupBy("ctx").agg(F.max(F.abs("c")).alias("most"), (F.ceil(F.log2(F.max(F.abs("c")) + 1.0)) + 1).cast("long").alias("bits"))
@@ -480,7 +493,7 @@ QUERIES = {
     "snr_per_channel": (snr_per_channel, f"{SNR_SQL} SELECT ch, snr FROM snr"),
     "snr_pooled": (snr_pooled, f"{SNR_SQL} SELECT round(10 * log10(sum(s) / sum(e)), 6) AS snr FROM t"),
     "snr_percentiles": (snr_percentiles, f"{SNR_SQL} SELECT round(median(snr), 6) AS median, round(quantile_cont(snr, 0.1), 6) AS p10, min(snr) AS lo FROM snr"),
-    "spike_match": (spike_match, None),
+    "spike_match": (spike_match, MATCH_SQL),
     "value_range": (value_range, f"{BASE} SELECT ctx, max(abs(c)) AS most, (ceil(log2(max(abs(c)) + 1.0)) + 1)::BIGINT AS bits FROM cq GROUP BY ctx"),
     "bits_per_sample": (bits_per_sample, f"{RICE_SQL.replace('SELECT pkt, ch, bits FROM r WHERE i = 127', ', b AS (SELECT pkt, (8 + sum(bits) + 7) // 8 AS n FROM r WHERE i = 127 GROUP BY pkt) SELECT sum(n)::BIGINT AS n_bytes, round(8 * sum(n) / (count(*) * 1024), 6) AS bps FROM b')}"),
     "worst_packets": (worst_packets, RICE_SQL + " ORDER BY bits DESC, pkt, ch LIMIT 10"),
