@@ -10,9 +10,10 @@ from axonwave.functions import coding, tracing
 from axonwave.operators import codecs, faults, rates, wavelet
 from axonwave.operators.folds import carried
 from axonwave.operators.graphs import reach
+from axonwave.plans.packet_sql import LOSSY_CODED, rice_hex
 from axonwave.plans.protocol_queries import EDGES, edges
 from axonwave.plans.samples import BLOCKS_SQL, SQL, blocks, packets, packets_sql, samples, table
-from axonwave.plans.signal_queries import N, RICE_SQL, rice_adaptive_bits, RICE_CONTEXT_SQL
+from axonwave.plans.signal_queries import N, RICE_SQL, SPIKES_SQL, rice_adaptive_bits, RICE_CONTEXT_SQL
 
 BASE = f"WITH {SQL}, {BLOCKS_SQL}, {wavelet.forward_sql()}"
 
@@ -255,6 +256,15 @@ def retrained_generalisation(spark, d):
     return j.groupBy("ctx").agg(F.sum("n").alias("n"), F.round(F.sum(-F.col("n") * F.log2((F.coalesce("m", F.lit(0)) + 0.5) / (F.col("t") + 32))) / F.sum("n"), 6).alias("bits_per_symbol"))
 
 
+_PACKETS = {f: packets_sql(f).replace("k AS (", f"k{f} AS (", 1) for f in (128, 400)}
+MODES_SQL = f"""{LOSSY_CODED}, {_PACKETS[128]}, {_PACKETS[400]}, q AS (SELECT pkt, ch, frame % 128 AS i, code FROM k128), {rice_hex("q", "")}, {SPIKES_SQL.split(f"{SQL}, ", 1)[1]},
+    cn AS (SELECT frame // 400 AS pkt, ch, count(*) AS n FROM sp WHERE keep GROUP BY ALL), c2 AS (SELECT x.pkt, x.ch, coalesce(least(cn.n, 7), 0) AS n FROM (SELECT DISTINCT pkt, ch FROM k400) x LEFT JOIN cn ON cn.pkt = x.pkt AND cn.ch = x.ch),
+    c3 AS (SELECT k400.pkt, k400.ch, least(255, sum(abs(hp))::BIGINT >> 6) AS v FROM k400 JOIN hp ON hp.ch = k400.ch AND hp.frame = k400.frame GROUP BY ALL),
+    pk AS (SELECT 0 AS mode, length(packet) // 2 AS b, 128 * 8 AS n FROM rice_hex UNION ALL SELECT 1, length(packet) // 2 + 1, 256 * 8 FROM rans_hex
+        UNION ALL SELECT 2, (9 + CASE WHEN max(n) > 0 THEN sum(CASE WHEN n = 7 THEN 7 ELSE n + 1 END) ELSE 0 END + 7)::BIGINT // 8, 400 * 8 FROM c2 GROUP BY pkt
+        UNION ALL SELECT 3, (8 + sum(CASE WHEN v > 0 THEN 9 ELSE 1 END) + 7)::BIGINT // 8, 400 * 8 FROM c3 GROUP BY pkt)
+    SELECT mode::INT AS mode, count(*) AS packets, sum(b)::BIGINT AS n_bytes, round(8 * sum(b) / sum(n), 6) AS bps, round(10 * sum(n) / (8 * sum(b)), 6) AS ratio FROM pk GROUP BY mode"""
+
 QUERIES = {
     "header_codec": (header_codec, "SELECT user_id & 3 AS mode, event_id & 63 AS seq, ((user_id & 3) << 6) | (event_id & 63) AS head, user_id & 3 AS mode_back, event_id & 63 AS seq_back, count(*) AS n FROM events GROUP BY ALL"),
     "restoring_division": (restoring_division, f"WITH {SQL}, x AS (SELECT code * 1021 + 7 AS x, (code * 31) % 4000 + 1 AS f FROM s) SELECT sum(x // f)::BIGINT AS q, sum(x % f)::BIGINT AS r, 0::BIGINT AS wrong FROM x"),
@@ -265,7 +275,7 @@ QUERIES = {
     "state_flips": (state_flips, None),
     "single_state_rans": (single_state_rans, None),
     "rice_context_bits": (rice_context_bits, RICE_CONTEXT_SQL),
-    "mode_table": (mode_table, None),
+    "mode_table": (mode_table, MODES_SQL),
     "mode_rates": (mode_rates, None),
     "dependency_horizon": (dependency_horizon, f"""WITH {SQL}, {BLOCKS_SQL.replace("b AS (", "b1 AS (", 1)}, b AS (SELECT * FROM b1 UNION ALL SELECT stream + 1, ch, blk, p, CASE WHEN p != (blk * 7 + ch) % 64 THEN code WHEN code < 512 THEN code + 400 ELSE code - 400 END FROM b1), {wavelet.forward_sql()}
         SELECT ((x.blk * 7 + x.ch) % 64)::INT AS frame, max(least(63, (1 << CASE WHEN x.ctx = 0 THEN 3 ELSE x.ctx END) * (x.i + 2) - 2))::BIGINT AS horizon, count(*) AS changed
