@@ -21,9 +21,14 @@ r({k}, ch, i, a, n, word) AS (SELECT {k}, ch, 0::BIGINT, 16::BIGINT, 1::BIGINT,
   FROM (SELECT {z}, z.ch, z.i, z.e, r.a, r.n, CASE WHEN z.e >= 0 THEN 2 * z.e ELSE -2 * z.e - 1 END AS m,
     ({' + '.join(f'CASE WHEN (r.n << {j}) < r.a THEN 1 ELSE 0 END' for j in range(9))})::BIGINT AS kk FROM r JOIN z ON {on} AND z.ch = r.ch AND z.i = r.i + 1)),
 rice_bits AS (SELECT {k}, lpad(bin(pkt % 64), 8, '0') || string_agg(word, '' ORDER BY i, ch) AS bits FROM r GROUP BY {k}),
-rice_padded AS (SELECT {k}, bits || repeat('0', ((8 - length(bits) % 8) % 8)::INT) AS bits FROM rice_bits),
-rice_hex AS (SELECT {k}, string_agg(substr('0123456789ABCDEF', 1 + 8 * substr(bits, i::INT, 1)::INT + 4 * substr(bits, i::INT + 1, 1)::INT + 2 * substr(bits, i::INT + 2, 1)::INT + substr(bits, i::INT + 3, 1)::INT, 1), '' ORDER BY i) AS packet
-    FROM (SELECT {k}, bits, unnest(range(1, length(bits) + 1, 4)) AS i FROM rice_padded) GROUP BY {k})"""
+{bits_hex("rice_bits", k, "rice_hex")}"""
+
+
+def bits_hex(source: str, keys: str, name: str) -> str:
+    """CTEs up to name(keys, packet): strings of bits of source(keys, bits), padded to whole bytes, as hexadecimal digits."""
+    return f"""{name}_padded AS (SELECT {keys}, bits || repeat('0', ((8 - length(bits) % 8) % 8)::INT) AS bits FROM {source}),
+{name} AS (SELECT {keys}, string_agg(substr('0123456789ABCDEF', 1 + 8 * substr(bits, i::INT, 1)::INT + 4 * substr(bits, i::INT + 1, 1)::INT + 2 * substr(bits, i::INT + 2, 1)::INT + substr(bits, i::INT + 3, 1)::INT, 1), '' ORDER BY i) AS packet
+    FROM (SELECT {keys}, bits, unnest(range(1, length(bits) + 1, 4)) AS i FROM {name}_padded) GROUP BY {keys})"""
 
 
 def rans_hex(symbols: str, lsh: int, n_ch: int, state_bytes: int) -> str:

@@ -12,7 +12,7 @@ from axonwave.functions import coding
 from axonwave.operators import codecs, wavelet
 from axonwave.operators.codecs import high_passed, spikes, thresholds
 from axonwave.operators.folds import carried
-from axonwave.plans.packet_sql import LOSSY_CODED, RAW_CDF, rans_hex, rice_hex
+from axonwave.plans.packet_sql import LOSSY_CODED, RAW_CDF, bits_hex, rans_hex, rice_hex
 from axonwave.plans.samples import BLOCKS_SQL, SQL, blocks, packets, packets_sql, samples, table
 from axonwave.sources.folders import new_folder
 from axonwave.streaming import coder
@@ -453,6 +453,12 @@ RICE_CONTEXT_SQL = f"""WITH RECURSIVE {SQL}, q AS (SELECT ch, frame, (code - lag
     SELECT ch, frame + 1 AS n, bits FROM l QUALIFY row_number() OVER (PARTITION BY ch ORDER BY frame DESC) = 1"""
 
 
+_FEATURES = "SELECT pkt, {mode}::INT AS mode, (pkt % 64)::INT AS seq, length(packet) // 2 AS n_bytes, sha256(unhex(packet)) AS sha FROM fx"
+SPIKE_PACKETS_SQL = f"""{SPIKES_SQL}, {packets_sql(400)}, cn AS (SELECT frame // 400 AS pkt, ch, count(*) AS n FROM sp WHERE keep GROUP BY ALL), c2 AS (SELECT x.pkt, x.ch, coalesce(least(cn.n, 7), 0) AS n FROM (SELECT DISTINCT pkt, ch FROM k) x LEFT JOIN cn ON cn.pkt = x.pkt AND cn.ch = x.ch),
+    bi AS (SELECT pkt, lpad(bin(128 + pkt % 64), 8, '0') || CASE WHEN max(n) = 0 THEN '0' ELSE '1' || string_agg(repeat('1', n::INT) || CASE WHEN n < 7 THEN '0' ELSE '' END, '' ORDER BY ch) END AS bits FROM c2 GROUP BY pkt), {bits_hex("bi", "pkt", "fx")} {_FEATURES.format(mode=2)}"""
+BAND_PACKETS_SQL = f"""{HP_SQL}, {packets_sql(400)}, c3 AS (SELECT k.pkt, k.ch, least(255, sum(abs(hp))::BIGINT >> 6) AS v FROM k JOIN hp ON hp.ch = k.ch AND hp.frame = k.frame GROUP BY ALL),
+    bi AS (SELECT pkt, lpad(bin(192 + pkt % 64), 8, '0') || string_agg(CASE WHEN v > 0 THEN '1' || lpad(bin(v), 8, '0') ELSE '0' END, '' ORDER BY ch) AS bits FROM c3 GROUP BY pkt), {bits_hex("bi", "pkt", "fx")} {_FEATURES.format(mode=3)}"""
+
 QUERIES = {
     "samples_summary": (samples_summary, f"WITH {SQL} SELECT ch, count(*) AS n, min(code) AS lo, max(code) AS hi, sum(code)::BIGINT AS total FROM s GROUP BY ch"),
     "slot_selection": (slot_selection, "SELECT x.ch::INT AS ch, count(*) AS n, sum(round_even(value, 0)::BIGINT)::BIGINT AS total FROM events e JOIN (VALUES (0,3),(1,40),(2,41),(3,90),(4,128),(5,149)) x(ch, slot) ON e.user_id % 256 = x.slot GROUP BY x.ch"),
@@ -488,8 +494,8 @@ QUERIES = {
     "spike_counts": (spike_counts, f"{SPIKES_SQL} SELECT ch, count(*) AS n, sum(frame)::BIGINT AS frames FROM sp WHERE keep GROUP BY ch"),
     "spike_bins": (spike_bins, f"{SPIKES_SQL}, {packets_sql(400)}, g AS (SELECT DISTINCT pkt, ch FROM k), c AS (SELECT frame // 400 AS pkt, ch, count(*) AS n FROM sp WHERE keep GROUP BY ALL) SELECT g.pkt, g.ch, coalesce(least(n, 7), 0) AS n FROM g LEFT JOIN c USING (pkt, ch)"),
     "band_power": (band_power, f"{HP_SQL}, {packets_sql(400)} SELECT k.pkt, k.ch, least(255, sum(abs(hp))::BIGINT >> 6) AS value FROM k JOIN hp USING (ch, frame) GROUP BY ALL"),
-    "spike_bin_packets": (spike_bin_packets, None),
-    "band_power_packets": (band_power_packets, None),
+    "spike_bin_packets": (spike_bin_packets, SPIKE_PACKETS_SQL),
+    "band_power_packets": (band_power_packets, BAND_PACKETS_SQL),
     "snr_per_channel": (snr_per_channel, f"{SNR_SQL} SELECT ch, snr FROM snr"),
     "snr_pooled": (snr_pooled, f"{SNR_SQL} SELECT round(10 * log10(sum(s) / sum(e)), 6) AS snr FROM t"),
     "snr_percentiles": (snr_percentiles, f"{SNR_SQL} SELECT round(median(snr), 6) AS median, round(quantile_cont(snr, 0.1), 6) AS p10, min(snr) AS lo FROM snr"),
