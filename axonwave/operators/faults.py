@@ -11,6 +11,9 @@ damage is confined to the segment that has it.
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,23 +108,29 @@ def upsets(rows: DataFrame, keys: list[str], coder: Coder, kinds=UPSETS) -> Data
     return m.where(wrote.bitwiseXOR(flip("write_back")) == F.col("y")).select(*keys, "k", "ch", "h.kind", "h.bit")
 
 
+def symbols_crc(sym: list[int]) -> int:
+    """CRC-32 of symbols, four bytes each: a change of one symbol is never missed."""
+    return zlib.crc32(np.array(sym, "<i4").tobytes())
+
+
 def snapshots(coded: DataFrame, keys: list[str], coder: Coder, every: int) -> DataFrame:
-    """keys, k, at, states: every n-th boundary of each packet as it is coded, and the last."""
+    """keys, k, at, states, crc: every n-th boundary of each packet as it is coded, and the last. coded needs sym too; crc is that of the symbols since the boundary before."""
 
     def one(pdf):
         bounds, _ = tracing.forward(coded_of(pdf), coder)
-        rows = [(k, at, list(x)) for k, (at, x) in bounds.items() if k % every == 0 or k == len(pdf)]
-        k, at, states = zip(*rows, strict=True)
-        return pd.DataFrame({c: pdf[c].iloc[0] for c in keys} | {"k": k, "at": at, "states": states})
+        sym = pdf.sort_values("pos").sym.tolist()
+        rows = [(k, at, list(x), symbols_crc(sym[(k - 1) // every * every if k else 0 : k])) for k, (at, x) in bounds.items() if k % every == 0 or k == len(pdf)]
+        k, at, states, crc = zip(*rows, strict=True)
+        return pd.DataFrame({c: pdf[c].iloc[0] for c in keys} | {"k": k, "at": at, "states": states, "crc": crc})
 
-    return coded.select(*keys, "pos", "ch", "f", "c", "raw").groupBy(*keys).applyInPandas(one, f"{_keys_of(coded, keys)}, k int, at long, states array<long>")
+    return coded.select(*keys, "pos", "ch", "f", "c", "raw", "sym").groupBy(*keys).applyInPandas(one, f"{_keys_of(coded, keys)}, k int, at long, states array<long>, crc long")
 
 
 def decode_tolerant(payloads: DataFrame, keys: list[str], order: list[tuple[int, int]], tables, coder: Coder, snaps: DataFrame | None = None, esc: int | None = 63, esc_bytes: int = 2) -> DataFrame:
     """keys, k (first symbol), syms, raws, clean: decoding that never fails, of segments between snapshots, or of whole packets without any.
 
-    A segment is read from the states of its last snapshot, and is clean if that leads to the states of its first with no byte left. Where bytes were lost
-    or came twice, segments behind the place are found by their distance from the end. Segments are rows, so a packet's are read in parallel.
+    A segment is read from the states of its last snapshot, and is clean if that leads to the states of its first with no byte left and to the symbols' checksum:
+    a coder that has read a wrong byte may fall back into step, so states alone do not tell. Where bytes were lost or came twice, segments behind the place are found by their distance from the end. Segments are rows, so a packet's are read in parallel.
     """
     flush, indexed = coder.n_ch * coder.state_bytes, snaps is not None
     if not indexed:
@@ -130,15 +139,15 @@ def decode_tolerant(payloads: DataFrame, keys: list[str], order: list[tuple[int,
     else:
         w = Window.partitionBy(*keys).orderBy("k")
         whole = F.max("at").over(Window.partitionBy(*keys))
-        seg = snaps.withColumns({"k1": F.lead("k").over(w), "at1": F.lead("at").over(w), "states1": F.lead("states").over(w), "_end": whole}).where("k1 IS NOT NULL")
+        seg = snaps.withColumns({"k1": F.lead("k").over(w), "at1": F.lead("at").over(w), "states1": F.lead("states").over(w), "crc": F.lead("crc").over(w), "_end": whole}).where("k1 IS NOT NULL")
         seg = seg.join(payloads, keys).withColumn("shift", F.length("payload") - flush - F.col("_end"))
         cut = lambda by: F.substring("payload", (F.col("at") + by + 1).cast("int"), (F.col("at1") - F.col("at")).cast("int"))
         seg = seg.withColumns({"there": cut(F.lit(0)), "here": F.when((F.col("shift") != 0) & (F.col("at") + F.col("shift") >= 0), cut(F.col("shift")))})
-        seg = seg.select(*keys, "k", "k1", "at", "at1", "states", "states1", "there", "here")
+        seg = seg.select(*keys, "k", "k1", "at", "at1", "states", "states1", "crc", "there", "here")
 
-    def read(body, states, first, k, k1):
+    def read(body, states, first, k, k1, crc=None):
         syms, raws, got, left, short = tracing.undone(body, states, order[k:k1], tables, coder, esc, esc_bytes)
-        return syms, raws, not short and left == 0 and got == list(first)
+        return syms, raws, not short and left == 0 and got == list(first) and crc in (None, symbols_crc(syms))
 
     def many(batches):
         for pdf in batches:
@@ -148,9 +157,9 @@ def decode_tolerant(payloads: DataFrame, keys: list[str], order: list[tuple[int,
                     body, states = coder.parted(bytes(r.payload))
                     best = read(body, states, [coder.low] * coder.n_ch, r.k, r.k1)
                 else:
-                    best = read(bytes(r.there), r.states1, r.states, r.k, r.k1)
+                    best = read(bytes(r.there), r.states1, r.states, r.k, r.k1, r.crc)
                     if not best[2] and r.here is not None:
-                        other = read(bytes(r.here), r.states1, r.states, r.k, r.k1)
+                        other = read(bytes(r.here), r.states1, r.states, r.k, r.k1, r.crc)
                         best = other if other[2] else best
                 out.append((*[getattr(r, c) for c in keys], r.k, *best))
             yield pd.DataFrame(out, columns=[*keys, "k", "syms", "raws", "clean"])

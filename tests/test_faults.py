@@ -138,6 +138,19 @@ def test_tolerant_decoding(spark):
     assert [clean[p] for p in range(4)] == [9, 8, 8, 8] and clean[4] <= 1 and clean[5] < 9
 
 
+def test_a_coder_that_falls_back_into_step_is_not_clean(spark):
+    """A wrong byte that changes two symbols and leads to the right states with no byte left."""
+    rows = _packet(75, 40)
+    good, order = _made(_coded(rows)), [(r[1], r[2]) for r in rows]
+    bad = good[:12] + bytes([good[12] ^ 8]) + good[13:]
+    body, states = CODER.parted(bad)
+    syms, _, first, left, short = tracing.undone(body, states, order, TABLES, CODER, ESC)
+    assert syms != [r[3] for r in rows] and first == [CODER.low] * N_CH and left == 0 and not short
+    coded, pay = _frames(spark, {0: rows, 1: rows}, {0: good, 1: bad})
+    got = {r.pkt: r for r in faults.decode_tolerant(pay, KEYS, order, TABLES, CODER, faults.snapshots(coded, KEYS, CODER, 64), esc=ESC).collect()}
+    assert got[0].clean and got[0].syms == [r[3] for r in rows] and not got[1].clean
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_traces_meet_everywhere_in_a_good_packet(seed):
     s = _coded(_packet(seed))
