@@ -7,15 +7,15 @@ is done with. While the pairs that are left outnumber the rows there were and a
 remain are tested pair by pair: of each bucket those of different groups that are not both in its largest one.
 Every link that could join two groups is thus tested or implied, so the groups are exact.
 
-Everything is joins and combined aggregates on thin rows; hot keys are split by Spark's skew joins. Each table is dropped
-as soon as it has been read.
+Everything is joins, combined aggregates and windows on thin rows; hot keys are split by Spark's skew joins, and the windows of a bucket, which spill, count
+its rows and find its head. Each table is dropped as soon as it has been read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonwave.llm.common import forget, written
@@ -88,13 +88,9 @@ def linked_groups(
     large: in buckets of so many nodes the head is tested against all.
     """
     near, alike = near or (lambda x, y: F.lit(True)), alike or (lambda x, y: F.lit(True))
-    rows = written(buckets.distinct(), "buckets")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("of")).where("of > 1")
-    held = written(rows.join(sizes, "bucket"), "held")
-    forget(rows)
-    weights = held.groupBy("node").agg(F.sum("of").alias("w"))
-    left = written(held.join(weights, "node"), "left")
-    forget(held)
+    # a bucket's rows and then a node's meet once each, thin and sorted, in place of aggregates that are joined to what they were made from
+    held = buckets.repartition("bucket").distinct().withColumn("of", F.count("*").over(Window.partitionBy("bucket"))).where("of > 1")
+    left = written(held.withColumn("w", F.sum("of").over(Window.partitionBy("node"))), "left")
     more = ()
     if attributes is not None:
         nodes = written(left.select("node").distinct(), "nodes")
@@ -105,8 +101,7 @@ def linked_groups(
     enough, before_pairs = left.count(), float("inf")
     while True:
         order = F.struct("w", F.xxhash64("node", "bucket"))
-        heads = left.groupBy("bucket").agg(F.max(F.struct(order.alias("o"), "node", *carry)).alias("h"))
-        own = left.join(heads, "bucket")
+        own = left.withColumn("h", F.max(F.struct(order.alias("o"), "node", *carry)).over(Window.partitionBy("bucket")))
         if found is not None:  # nodes of the head's own group need no test
             own = own.join(found.select(F.col("node").alias("_n"), F.col("component").alias("_g")), F.col("h.node") == F.col("_n"), "left").where("NOT g <=> coalesce(_g, h.node) OR node = h.node")
         own = written(own, "own")
