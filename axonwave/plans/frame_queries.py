@@ -44,7 +44,7 @@ def streamed_frames(spark, d):
     top = _reached(t) or 0
     with coder.state_store(spark):
         for part in (F.col("clock") < top // 2, F.col("clock") >= top // 2):
-            t.where(part).repartition(1).write.mode("append").parquet(f"{at}/in")
+            t.where(part).write.mode("append").parquet(f"{at}/in")
             made = streaming_frame_packets(spark.readStream.schema(t.schema).parquet(f"{at}/in"), FramePolicy(SLOTS, FRAMES, LIMIT, "repair"))
             made.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{at}/out")

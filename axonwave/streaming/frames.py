@@ -3,6 +3,9 @@
 A frame that does not fill up and is not followed by another has only its time limit: an event-time timer closes it when the
 watermark has passed, so its packet comes out although its stream is silent. The same rows as `operators.frames.frame_packets`; what is
 open when the input ends stays open. State is bounded: the last code of each place, and sums.
+
+Streams are dealt to groups by hash, and a group's streams share a state (an array for each variable) and a timer, the first limit among them: a call for a key and
+each of its trips to the state cost milliseconds, a token microseconds.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from axonwave.operators.frames import PACKETS, FramePolicy
 
-STATE = "seg long, on boolean, over boolean, frame long, begun long, place int, frames int, short int, lost boolean, total long, codes array<long>"
+STATE = ", ".join(f"{c} array<{t}>" for c, t in (c.split() for c in "stream long, seg long, on boolean, over boolean, frame long, begun long, place int, frames int, short int, lost boolean, total long, codes long".split(", ")))
 
 
 @dataclass
@@ -90,44 +93,67 @@ class _Frames(StatefulProcessor):
                 if s.place == self.cfg.n_slots:
                     yield self._close(s)
 
-    def _frame(self, key, out) -> pd.DataFrame:
-        rows = [(key[0], *r) for r in out if r]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in PACKETS.split(", ")]).astype({"total": "Int64"})
-
-    def _keep(self, s: Open) -> None:
-        """Saves the state; the open frame's limit is the only timer."""
-        self.state.update(s.row())
-        limit = (s.begun + self.cfg.limit) * self.tick_ms if s.begun >= 0 else None
-        timers = list(self.handle.listTimers())
-        for t in timers:
-            if t != limit:
-                self.handle.deleteTimer(t)
-        if limit is not None and limit not in timers:
-            self.handle.registerTimer(limit)
+    def _load(self) -> dict[int | None, Open]:
+        held = self.state.get()
+        if held is None:
+            return {}
+        *columns, codes = (list(c) for c in held)
+        n = self.cfg.n_slots
+        return {stream: Open(*row, codes=codes[k * n : k * n + n]) for k, (stream, *row) in enumerate(zip(*columns, strict=True))}
+
+    def _save(self, of: dict[int | None, Open]) -> None:
+        rows = [(stream, *s.row()) for stream, s in of.items()]
+        *columns, codes = zip(*rows, strict=True)
+        self.state.update((*map(list, columns), [v for c in codes for v in (c or [self.cfg.idle] * self.cfg.n_slots)]))
+
+    def _due(self, of: dict[int | None, Open]) -> int | None:
+        """The first limit of an open frame; it is the only timer of a group, so the state tells which one is set."""
+        return min(((s.begun + self.cfg.limit) * self.tick_ms for s in of.values() if s.begun >= 0), default=None)
+
+    def _packets(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PACKETS.split(", ")]).astype({"stream": "Int64", "total": "Int64"})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = Open(*self.state.get()) if self.state.exists() else Open()
-        s.codes, out = list(s.codes or []), []
-        pdf = pd.concat(list(rows)).sort_values("clock")
-        for r in zip(pdf.clock.tolist(), pdf.kind.tolist(), pdf.start.tolist(), pdf.code.tolist(), strict=True):
-            out += self._token(s, *r)
-        self._keep(s)
-        yield self._frame(key, out)
+        of = self._load()
+        out, was, tokens = [], self._due(of), []
+        for pdf in rows:
+            streams = pdf.stream.tolist() if key[0] >= 0 else [None] * len(pdf)
+            tokens += zip(pdf.clock.tolist(), streams, pdf.kind.tolist(), pdf.start.tolist(), pdf.code.tolist(), strict=True)
+        for clock, stream, *r in sorted(tokens, key=lambda t: t[0]):
+            if stream not in of:
+                of[stream] = Open()
+            out += [(stream, *p) for p in self._token(of[stream], clock, *r) if p]
+        self._save(of)
+        due = self._due(of)
+        if was not in (None, due):
+            self.handle.deleteTimer(was)
+        if due not in (None, was):
+            self.handle.registerTimer(due)
+        yield from self._packets(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        s = Open(*self.state.get())
-        s.codes, out = list(s.codes or []), []
-        if s.begun >= 0 and (s.begun + self.cfg.limit) * self.tick_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            out = [self._close(s)]
-            self.state.update(s.row())
-        yield self._frame(key, out)
+        """Closes every frame of the group whose limit the watermark has passed; what comes later is later than that."""
+        of, out = self._load(), []
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        for stream, s in of.items():
+            if s.begun >= 0 and (s.begun + self.cfg.limit) * self.tick_ms <= now and (p := self._close(s)):
+                out.append((stream, *p))
+        self._save(of)
+        if (due := self._due(of)) is not None:
+            self.handle.registerTimer(due)
+        yield from self._packets(out)
 
     def close(self) -> None:
         pass
 
 
-def streaming_frame_packets(tokens: DataFrame, cfg: FramePolicy = FramePolicy(), tick_ms: int = 1, late: str = "0 seconds") -> DataFrame:
-    """Streamed tokens (stream, clock, kind, start, code) -> PACKETS. Event time is the clock; tokens more than late behind the latest are dropped."""
+def streaming_frame_packets(tokens: DataFrame, cfg: FramePolicy = FramePolicy(), tick_ms: int = 1, late: str = "0 seconds", groups: int = 1024) -> DataFrame:
+    """Streamed tokens (stream, clock, kind, start, code) -> PACKETS. Event time is the clock; tokens more than late behind the latest are dropped.
+
+    groups: how many groups share the streams; it belongs to the checkpoint.
+    """
     t = tokens.select("stream", "clock", "kind", F.coalesce("start", F.lit(False)).alias("start"), F.coalesce("code", F.lit(0)).cast("long").alias("code"))
     t = t.withColumn("ts", F.timestamp_millis(F.col("clock") * tick_ms)).withWatermark("ts", late)
-    return t.groupBy("stream").transformWithStateInPandas(_Frames(cfg, tick_ms), PACKETS, "Append", "EventTime")
+    group = F.when(F.col("stream").isNull(), -1).otherwise(F.pmod(F.xxhash64("stream"), F.lit(groups))).cast("int")
+    return t.withColumn("group", group).groupBy("group").transformWithStateInPandas(_Frames(cfg, tick_ms), PACKETS, "Append", "EventTime")

@@ -109,3 +109,18 @@ def test_stream_is_the_batch(spark, tmp_path, on_short):
                 made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     got = _rows(spark.read.parquet(f"{tmp_path}/out"))
     assert got == _plain(t, cfg, top) and got != _plain(t, cfg)  # timers have closed frames that no token closes
+
+
+def test_streams_share_the_state_of_their_group(spark, tmp_path):
+    """One state row and one timer at a time for all streams of a group, over two runs; the rows are those of streams on their own."""
+    cfg = FramePolicy(3, 2, 12, "repair")
+    t = [x for s in range(20) for x in _tokens(s + 80, s, 40 + 9 * s)]
+    top, src = max(x[1] for x in t), str(tmp_path / "in")
+    for k, own in enumerate(([x for x in t if x[1] < top // 2], [x for x in t if x[1] >= top // 2])):
+        spark.createDataFrame(own, TOKENS).write.mode("append").parquet(src)
+        with coder.state_store(spark):
+            made = streaming_frame_packets(spark.readStream.schema(TOKENS).parquet(src), cfg, groups=2)
+            q = made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+            q.awaitTermination()
+        assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress) <= 8  # two states, two timers and their index
+    assert _rows(spark.read.parquet(f"{tmp_path}/out")) == _plain(t, cfg, top)
