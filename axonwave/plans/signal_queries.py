@@ -392,16 +392,25 @@ def adaptive_rans(spark, d):
     return p.join(wrong, ["stream", "pkt"]).select("pkt", F.length("bytes").cast("long").alias("n_bytes"), F.sha2("bytes", 256).alias("sha"), "wrong")
 
 
+#: Frames of a channel in a micro-batch of `streamed_packets`, at most.
+BATCH = 1 << 17
+
+
 def streamed_packets(spark, d):
-    """Lossless packets from a stream whose coder keeps its state between micro-batches and over a restart."""
+    """Lossless packets from a stream whose coder keeps its state between micro-batches and over a restart. A micro-batch has at most BATCH frames, however many there are."""
     x, at = samples(spark, d), new_folder(spark, "streamed-packets")
+    x.withColumn("part", F.floor(F.col("frame") / BATCH)).repartition("part").write.partitionBy("part").parquet(f"{at}/all")
+    x = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in x.schema)}, part long").parquet(f"{at}/all")
     top = x.agg(F.max("frame")).first()[0] or 0
-    put = lambda lo, hi: x.where(F.col("frame").between(lo, hi - 1)).repartition(1).write.mode("append").parquet(f"{at}/in")  # noqa: E731  one file a micro-batch
+    within = lambda lo, hi: F.col("part").between(lo // BATCH, hi // BATCH) & F.col("frame").between(lo, hi - 1)
+    put = lambda lo, hi: x.where(within(lo, hi)).drop("part").coalesce(1).write.mode("append").parquet(f"{at}/in")  # noqa: E731  one file a micro-batch
+    x_schema = x.drop("part").schema
     with coder.state_store(spark):
         for cuts in ([0, top // 3], [top // 3, top // 2, top + 1]):
+            cuts = sorted([*cuts, *(k for k in range(0, top + 1, BATCH) if cuts[0] < k < cuts[-1] and k not in cuts)])
             for lo, hi in zip(cuts, cuts[1:]):
                 put(lo, hi)
-            made = coder.streaming_rice(spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"))
+            made = coder.streaming_rice(spark.readStream.schema(x_schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"))
             made.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return _fingerprint(coder.lossless_packets(spark.read.parquet(f"{at}/out"), N))
 

@@ -26,6 +26,9 @@ from axonwave.functions.coding import BitString, RiceConfig
 from axonwave.operators.codecs import PACKETS
 
 
+PIECE = 64  #: packets of a channel that are put out together
+
+
 @contextlib.contextmanager
 def state_store(spark: SparkSession):
     """The session setting that named state needs, for streams started inside; then as it was."""
@@ -47,23 +50,28 @@ class _Rice(StatefulProcessor):
         self.open = handle.getListState("open", "word long, bits int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf, cfg = pd.concat(list(rows)).sort_values("frame"), self.cfg
+        cfg = self.cfg
+        # of a micro-batch only two numbers a sample are held; codewords leave a few packets at a time
+        frames, codes = (np.concatenate(c) for c in zip(*((pdf.frame.to_numpy(np.int64), pdf.code.to_numpy(np.int32)) for pdf in rows), strict=True))
+        order = np.argsort(frames, kind="stable")
         at, total, count, last = self.coder.get() if self.coder.exists() else (0, cfg.a_init, 1, 0)
         held = [tuple(w) for w in self.open.get()] if at % cfg.frames else []
-        out = []
-        for frame, x in zip(pdf.frame.tolist(), pdf.code.tolist(), strict=True):
-            if frame != at:
-                raise ValueError(f"stream {key[0]}, channel {key[1]}: frame {frame} in place of {at}")
-            (ones, closed, value, bits), total, count = coding.rice_word(x, last if at % cfg.frames else None, total, count, cfg)
-            held.append((((1 << ones) - 1 << closed) << bits | value, ones + closed + bits))
-            at, last = at + 1, x
-            if at % cfg.frames == 0:
-                words, sizes = zip(*held, strict=True)
-                out.append((key[0], key[1], at // cfg.frames - 1, list(words), list(sizes)))
-                held = []
+        for begin in range(0, len(order), step := PIECE * cfg.frames):
+            own, out = order[begin : begin + step], []
+            for frame, x in zip(frames[own].tolist(), codes[own].tolist(), strict=True):
+                if frame != at:
+                    raise ValueError(f"stream {key[0]}, channel {key[1]}: frame {frame} in place of {at}")
+                (ones, closed, value, bits), total, count = coding.rice_word(x, last if at % cfg.frames else None, total, count, cfg)
+                held.append((((1 << ones) - 1 << closed) << bits | value, ones + closed + bits))
+                at, last = at + 1, x
+                if at % cfg.frames == 0:
+                    words, sizes = zip(*held, strict=True)
+                    out.append((key[0], key[1], at // cfg.frames - 1, list(words), list(sizes)))
+                    held = []
+            if out:
+                yield pd.DataFrame(out, columns=["stream", "ch", "pkt", "words", "bits"])
         self.coder.update((at, total, count, last))
         self.open.put(held) if held else self.open.clear()
-        yield pd.DataFrame(out, columns=["stream", "ch", "pkt", "words", "bits"])
 
     def close(self) -> None:
         pass

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +60,24 @@ def test_lossless_packets_over_batches_and_a_restart(spark, samples, tmp_path):
         _drain(spark, stream(), tmp_path)
 
 
+def test_a_large_micro_batch_leaves_in_pieces():
+    """Packets come out a few at a time, and the state follows the last of them."""
+    kept = {}
+
+    class Kept:
+        exists = lambda self: "coder" in kept
+        get = lambda self: kept["coder"]
+        update = lambda self, v: kept.__setitem__("coder", v)
+        put = lambda self, v: kept.__setitem__("open", v)
+
+    p = coder._Rice(coder.RiceConfig())
+    p.coder = p.open = Kept()
+    n = 128 * (2 * coder.PIECE + 1) + 5
+    rows = pd.DataFrame({"frame": np.arange(n)[::-1], "code": np.arange(n)[::-1] % 700})
+    sizes = [len(out) for out in p.handleInputRows((3, 1), iter([rows[:1000], rows[1000:]]), None)]
+    assert sizes == [coder.PIECE, coder.PIECE, 1] and kept["coder"][0] == n and len(kept["open"]) == 5
+
+
 @pytest.fixture(scope="module")
 def symbols(samples):
     """64 frames a packet, coded channel by channel."""
