@@ -53,9 +53,11 @@ def traced(coded: DataFrame, payloads: DataFrame, keys: list[str], coder: Coder,
     """
     meet, fault = "array<struct<k:int,ch:int,f:long,c:long,x:long,y:long,n:int,bytes:long>>", "array<struct<kind:string,ctx:int,sym:int,bit:int,value:int>>"
 
-    def one(pdf):
+    def one(pdf, given):
+        if pdf.empty or given.empty:
+            return pd.DataFrame()
         s, n = coded_of(pdf), len(pdf)
-        body, states = coder.parted(bytes(pdf.payload.iloc[0]))
+        body, states = coder.parted(bytes(given.payload.iloc[0]))
         ahead, _ = tracing.forward(s, coder, body)
         back = tracing.backward(s, coder, body, states)
         clean = ahead.get(n) == (len(body), tuple(states))
@@ -68,7 +70,8 @@ def traced(coded: DataFrame, payloads: DataFrame, keys: list[str], coder: Coder,
 
     schema = f"{_keys_of(coded, keys)}, n int, prefix int, suffix int, clean boolean, meets {meet}" + (f", faults {fault}" if stuck else "")
     columns = [*keys, "pos", "ch", "f", "c", "raw", *(["ctx", "sym"] if stuck else [])]
-    return coded.select(*columns).join(payloads.select(*keys, "payload"), keys).groupBy(*keys).applyInPandas(one, schema)
+    # a payload comes once to its packet's symbols: joined, every symbol would carry it through the sort
+    return coded.select(*columns).groupBy(*keys).cogroup(payloads.select(*keys, "payload").groupBy(*keys)).applyInPandas(one, schema)
 
 
 def _stuck(s: Coded, coder: Coder, ahead, body: bytes, states, ctx: list[int], sym: list[int]):

@@ -109,6 +109,16 @@ def test_stuck_bits_and_bounds(spark):
     assert {r.pkt for r in faults.upsets(faults.traced(coded, pay, KEYS, CODER), KEYS, CODER).collect()}.isdisjoint({3, 4, 5})
 
 
+def test_symbols_do_not_carry_their_payload(spark):
+    """No plan step below the traces has rows of symbols with the payload."""
+    rows = _packet(3, 60)
+    good = _made(_coded(rows))
+    coded, pay = _frames(spark, {0: rows, 1: rows}, {0: good, 2: good})
+    out = faults.traced(coded, pay, KEYS, CODER)
+    assert "Join" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert [(r.pkt, r.n, r.clean) for r in out.collect()] == [(0, 60, True)]  # packets of one side only have no row
+
+
 def test_tolerant_decoding(spark):
     one = _packet(7, 90)  # one order for all packets, as a format has
     rows = {p: [(pos, ch, ctx, *R.choice([(s, s) for s in range(ESC)] + [(ESC, R.randint(-400, 400))])) for pos, ch, ctx, _, _ in one] for p in range(6)}
