@@ -439,7 +439,7 @@ def _marked(docs: DataFrame, plan: LinePlan, name: str) -> DataFrame:
     """docs and a struct column: text, n_lines, n_removed, dropped of what is left."""
     lost = removed_lines(docs, plan).select(F.struct("doc", "th").alias(f"{name}_key"), F.col("lost").alias(f"{name}_lost"), F.col("dropped").alias(f"{name}_gone"))
     key = F.struct(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)), F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    out = docs.join(small_side(lost, 20_000), key == F.col(f"{name}_key"), "left")
+    out = docs.join(lost.hint("shuffle_hash"), key == F.col(f"{name}_key"), "left")  # texts are dealt, not sorted
     parts, gone = F.split("text", "\n", -1), F.col(f"{name}_lost")
     text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n"))
     found = F.struct(

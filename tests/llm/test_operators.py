@@ -364,6 +364,15 @@ def edit_distance(a: str, b: str) -> int:
     return int(row[-1])
 
 
+def test_texts_meet_their_lost_lines_without_a_sort(spark):
+    """The same join at every size: its shuffle grows as the texts do, and texts are not sorted."""
+    docs = spark.createDataFrame([(k, f"a line that all of them have\nnumber {k}") for k in range(4)], "doc_id long, text string")
+    out = op10.with_lines_removed(docs)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    assert {r.doc_id: r.text for r in out.collect()} == {0: "a line that all of them have\nnumber 0"} | {k: f"number {k}" for k in range(1, 4)}
+
+
 def test_similar_lines_are_found(spark):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9)))
