@@ -242,12 +242,14 @@ def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
         np.bitwise_or.at(bitmap, at >> 3, (1 << (7 - (at & 7))).astype(np.uint8))
         near = share(bitmap)
         of = written(fragments(texts, near, order, plan).join(wanted, ["node"]).where("doc_id <=> rep").dropDuplicates(["node", "frag"]).select("node", "frag", "n", "part"), "fragments")
+        near.destroy()
         side = lambda c: of.select(F.col("node").alias(c), "frag", F.col("n").alias(f"n{c}"), F.col("part").alias(f"part_{c}"))
         part = pairs.join(side("a"), "a").join(side("b"), ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).alias("common"))
         both = part.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         return both.where(100 * F.col("common") >= plan.percent * (F.col("na") + F.col("nb") - F.col("common")))
 
     groups = linked_groups(texts.mapInArrow(buckets, "bucket long, node long, n int, at int"), verify, allowed, carry=("n", "at"), near=near)
+    again.destroy(), order.destroy()
     named = known.join(groups.withColumnRenamed("node", "f1"), "f1", "left").withColumn("component", F.coalesce("component", "f1"))
     named = written(named.select("f1", "rep", "component"), "named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -220,8 +220,8 @@ def _values(column) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[first:last].copy().view(np.uint64) if last > first else np.zeros(0, np.uint64)
 
 
-def line_buckets(lines: DataFrame, again, plan: LinePlan) -> DataFrame:
-    """bucket, node, n of the blocks that seem to occur in more than one node; again: bitmap of the nodes that occur more than once."""
+def line_buckets(lines: DataFrame, again, plan: LinePlan):
+    """(bucket, node, n of the blocks that seem to occur in more than one node; their bitmap, to be destroyed); again: bitmap of the nodes that occur more than once."""
     spark, owners = lines.sparkSession, owners_for(lines)
     long = lines.where("keys IS NOT NULL").select("node", "n", "keys")
 
@@ -264,7 +264,7 @@ def line_buckets(lines: DataFrame, again, plan: LinePlan) -> DataFrame:
             at = pa.array(line[hit])
             yield pa.RecordBatch.from_arrays([pa.array(k[hit].view(np.int64)), b.column(0).take(at), b.column(1).take(at)], ["bucket", "node", "n"])
 
-    return nodes.mapInArrow(rows, "bucket long, node long, n int")
+    return nodes.mapInArrow(rows, "bucket long, node long, n int"), repeated
 
 
 def _nodes_of(df: DataFrame, owners: int, bits: int, least: int):
@@ -391,8 +391,9 @@ def line_links(lines: DataFrame, again, plan: LinePlan = LinePlan()) -> DataFram
         side = lambda c: texts[0].select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "line_a", "line_b").mapInArrow(similar, "a long, b long")
 
-    out = linked_groups(line_buckets(lines, again, plan), verify, carry=("n",), near=sizes, attributes=described, alike=alike, large=1 << 62)
-    forget(texts[0])
+    buckets, repeated = line_buckets(lines, again, plan)
+    out = linked_groups(buckets, verify, carry=("n",), near=sizes, attributes=described, alike=alike, large=1 << 62)
+    forget(texts[0]), repeated.destroy()
     return out
 
 
@@ -415,6 +416,7 @@ def line_groups(lines: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     some = thin.mapInArrow(several, thin.schema).join(linked, "node", "left")
     some = some.withColumns({"group": F.coalesce("component", "node"), "own": F.when(F.col("component").isNull(), F.col("check"))})
     some = written(some.select("doc", "th", "pos", "node", "words", "group", "own"), "several")
+    again.destroy(), joined.destroy()
     first = some.groupBy("group", "own").agg(F.count("*").alias("of"), F.min(F.struct("doc", "th", "pos")).alias("first")).where("of > 1")
     first = written(first.select("group", F.col("own").alias("_own"), "first"), "first")
     out = written(some.join(small_side(first), "group").where("own <=> _own").select("doc", "th", "pos", "words", "node", "first"), "groups")

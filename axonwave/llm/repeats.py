@@ -9,6 +9,7 @@ step that follows, and cost time only; when a collection grows, bits should grow
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -69,11 +70,13 @@ def bitmap_of(blobs: DataFrame, owners: int, bits: int, least: int = 2) -> np.nd
         again = h[1:][h[1:] == h[:-1]] if least > 1 else h
         own = np.zeros(1 << span, bool)
         own[(again >> np.uint64(64 - bits)).astype(np.int64) & ((1 << span) - 1)] = True
-        return pa.table({"owner": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([np.packbits(own).tobytes()], pa.binary())})
+        return pa.table({"owner": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([zlib.compress(np.packbits(own), 1)], pa.binary())})
 
     out = np.zeros((owners, (1 << span) // 8), np.uint8)
-    for r in blobs.groupBy("owner").applyInArrow(slices, "owner int, part binary").toLocalIterator():
-        out[r.owner] = np.frombuffer(r.part, np.uint8)
+    # one job: a local iterator runs one for each partition, and the driver remembers them all; the parts together have 2**bits bits at most
+    found = blobs.groupBy("owner").applyInArrow(slices, "owner int, part binary").toArrow()
+    for owner, part in zip(found.column("owner").to_pylist(), found.column("part"), strict=True):
+        out[owner] = np.frombuffer(zlib.decompress(part.as_buffer()), np.uint8)
     return out.reshape(-1)
 
 

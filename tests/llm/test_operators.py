@@ -443,6 +443,28 @@ def test_close_is_edit_similarity():
             assert op10.close(a, b, s) == (edit_distance(a, b) <= (1 - s) * max(len(a), len(b)) + 1e-9), (a, b, s)
 
 
+def test_a_bitmap_takes_one_job(spark):
+    """Whatever the number of partitions."""
+    from axonwave.llm import repeats
+
+    hashes = np.random.default_rng(4).integers(0, 1 << 63, 4000, np.uint64) * np.uint64(2)
+    hashes[1000:1500] = hashes[:500]
+    rows = [(int(o), hashes[k::4][repeats.owner_of(hashes[k::4], 8) == o].tobytes()) for k in range(4) for o in range(8)]
+    key, context = "spark.sql.adaptive.coalescePartitions.enabled", spark.sparkContext
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    context.setJobGroup("a bitmap", "")
+    try:
+        got = repeats.bitmap_of(spark.createDataFrame(rows, "owner int, hashes binary"), 8, 16)
+    finally:
+        spark.conf.set(key, before)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    want = np.zeros(1 << 16, bool)
+    want[(hashes[:500] >> np.uint64(48)).astype(np.int64)] = True
+    assert (got == np.packbits(want)).all()
+    assert len(context.statusTracker().getJobIdsForGroup("a bitmap")) <= 2  # the shuffle's and the result's
+
+
 def test_short_and_unspaced_lines(spark):
     zh = "\u4eca\u5929\u6211\u4eec\u4e00\u8d77\u53bb\u516c\u56ed\u770b\u82b1\u7136\u540e\u56de\u5bb6\u5403\u996d"
     rows = [(1, f"les.\nchapter 1\n{zh}"), (2, f"Les\nchapter 2\n{zh[:8]}\u5c71{zh[9:]}"), (3, f"les\n{zh[::-1]}"), (4, "\u7b2c\u4e00"), (5, "\u7b2c\u4e00\nb"), (6, "les")]
