@@ -29,13 +29,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonwave.llm.common import ascii_lower, batches_of, forget, fresh, key_side, small_side, table, written
+from axonwave.llm.common import batches_of, forget, fresh, key_side, small_side, table, written
 from axonwave.llm.linkage import linked_groups
 from axonwave.llm.repeats import bitmap_of, owners_for, packed_by_owner, tested
 
 NO_DOC = -(1 << 63)
-#: What stands between words.
-SEPARATORS = r"[\x20\x09-\x0D!-/:-@\[-`{-~]+"
 SIGN = tuple(f"s{i}" for i in range(16))  #: columns of the SimHash
 
 
@@ -53,6 +51,7 @@ class LinePlan:
     most_lost: float = 1.0  #: a document goes if it loses this share of its words
 
 
+#: What stands between words.
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, *range(9, 14), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -139,14 +138,14 @@ def block_keys(words: np.ndarray, begin: np.ndarray, count: np.ndarray, plan: Li
 
 
 def _lines(batches, plan: LinePlan):
-    """For each slice: batch, first row, bytes, plain bytes, (word start, end, hash) and per line with a word: row, place, node, check, first word, words, long."""
+    """For each slice: batch, first row, plain bytes, (word start, end, hash) and per line with a word: row, place, node, check, first word, words, long."""
     from axonwave.llm.vectors import mix, powers, prefix_sums, slices, span_hashes
 
     for b in batches:
         for first, data, offsets in slices(b.column(2)):
             if not len(data):
                 continue
-            raw, data = data, _PLAIN[data]
+            data = _PLAIN[data]
             start, end, line, row, place = line_words(data, offsets)
             if not len(start):
                 continue
@@ -161,7 +160,7 @@ def _lines(batches, plan: LinePlan):
                 node = mix(np.add.reduceat(h * powers(0xD1342543DE82EF95, most)[order], begin) + count.astype(np.uint64))
                 check = mix(np.add.reduceat(mix(h) * powers(0xA0761D6478BD642F, most)[order], begin)) >> np.uint64(32)
             line = line[begin]
-            yield b, first, raw, data, start, end, h, row[line], place[line], node, check.astype(np.uint32).view(np.int32), begin, count, long
+            yield b, first, data, start, end, h, row[line], place[line], node, check.astype(np.uint32).view(np.int32), begin, count, long
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -169,9 +168,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame, plan: LinePlan) -> DataFrame:
-    """doc, th (hash of the text), pos, node, check, words of every line with a word; n (characters), keys, line of the long ones.
+    """doc, th (hash of the text), pos, node, check, words, doc_words (of all its lines) of every line with a word; n (characters), keys, line of the long ones.
 
-    Of the lines that a slice of the texts has several times, one has keys, and line: its text from the first word to the last.
+    Of the lines that a slice of the texts has several times, one has keys, and line: its normalised text, words and single blanks.
     """
 
     def rows(batches):
@@ -179,7 +178,7 @@ def line_table(docs: DataFrame, plan: LinePlan) -> DataFrame:
 
         from axonwave.llm.vectors import gathered
 
-        for b, first, raw, data, start, end, h, row, place, node, check, begin, count, long in _lines(batches, plan):
+        for b, first, data, start, end, h, row, place, node, check, begin, count, long in _lines(batches, plan):
             at = pa.array(first + row)
             own = np.flatnonzero(long)
             own = own[np.unique(node[own], return_index=True)[1]]
@@ -203,14 +202,18 @@ def line_table(docs: DataFrame, plan: LinePlan) -> DataFrame:
                 some = pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
                 cells = lambda kind, offsets, blob: pa.Array.from_buffers(kind, len(node), [some, pa.py_buffer(np.cumsum(offsets).astype(np.int32).tobytes()), pa.py_buffer(blob.tobytes())])
                 keys = cells(pa.binary(), offsets, k)
-                i = begin[own]
-                size = end[i + count[own] - 1] - start[i]
+                i, gap = begin[own], _SEPARATOR[data]
+                stays = ~gap
+                stays[1:] |= gap[1:] & ~gap[:-1]  # of the separators behind a word one blank
+                at_byte = np.concatenate([[0], np.cumsum(stays)])
+                first_byte = at_byte[start[i]]
+                size = at_byte[end[i + count[own] - 1]] - first_byte
                 offsets[own + 1] = size
-                text = cells(pa.string(), offsets, gathered(raw, start[i], size)[0])
-            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(check), pa.array(count.astype(np.int32)), pa.array(n), keys, text]
-            yield pa.RecordBatch.from_arrays(cols, ["doc", "th", "pos", "node", "check", "words", "n", "keys", "line"])
+                text = cells(pa.string(), offsets, gathered(np.where(gap, np.uint8(32), data)[stays], first_byte, size)[0])
+            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(check), pa.array(count.astype(np.int32)), pa.array(n), keys, text, pa.array(np.bincount(row, count)[row].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "th", "pos", "node", "check", "words", "n", "keys", "line", "doc_words"])
 
-    return _keyed(docs).mapInArrow(rows, "doc long, th long, pos int, node long, check int, words int, n int, keys binary, line string")
+    return _keyed(docs).mapInArrow(rows, "doc long, th long, pos int, node long, check int, words int, n int, keys binary, line string, doc_words long")
 
 
 def _values(column) -> np.ndarray:
@@ -232,7 +235,7 @@ def line_buckets(lines: DataFrame, again, plan: LinePlan):
         for b in batches:
             yield b.filter(pa.array(test(b.column(0).to_numpy().view(np.uint64))))
 
-    once = written(long.mapInArrow(several, long.schema).dropDuplicates(["node"]), "once")
+    once = written(long.mapInArrow(several, long.schema).repartition("node").dropDuplicates(["node"]), "once")
     nodes = once.withColumn("apart", F.lit(True)).unionByName(long.withColumn("apart", F.lit(False)))
 
     def each(batches):
@@ -333,17 +336,18 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
-def close(a: str, b: str, similarity: float) -> bool:
-    """Whether the edit similarity is at least that. The cost of some way to edit words, if it is low enough, saves the exact distance."""
-    most = (1 - similarity) * max(len(a), len(b)) + 1e-9
+def _judged(a: str, b: str, most: float) -> tuple[bool | None, str, str]:
+    """(whether the distance is at most that, None if it takes the exact one; what differs). The cost of some way to edit words, if it is low enough, saves the exact distance."""
     if abs(len(a) - len(b)) > most:
-        return False
+        return False, a, b
     i = _common(a, b)
     a, b = a[i:], b[i:]
     i = _common(a[::-1], b[::-1])
     a, b = a[: len(a) - i], b[: len(b) - i]
     if max(len(a), len(b)) <= most:
-        return True
+        return True, a, b
+    if not a or not b:
+        return False, a, b
     x, y, i, j, cost = a.split(" "), b.split(" "), 0, 0, 0
     size = lambda words: sum(map(len, words)) + len(words)
     while i < len(x) and j < len(y) and cost <= most:
@@ -355,9 +359,80 @@ def close(a: str, b: str, similarity: float) -> bool:
         gone, new = next(ahead, (len(x) - i, len(y) - j))
         cost += max(size(x[i : i + gone]), size(y[j : j + new]))
         i, j = i + gone, j + new
-    if cost + max(size(x[i:]), size(y[j:])) <= most:
-        return True
-    return edit_distance(a, b) <= most
+    return cost + max(size(x[i:]), size(y[j:])) <= most or None, a, b
+
+
+def _most(a: str, b: str, similarity: float) -> float:
+    return (1 - similarity) * max(len(a), len(b)) + 1e-9
+
+
+def close(a: str, b: str, similarity: float) -> bool:
+    """Whether the edit similarity is at least that."""
+    most = _most(a, b, similarity)
+    found, a, b = _judged(a, b, most)
+    return edit_distance(a, b) <= most if found is None else found
+
+
+def close_pairs(a: list[str], b: list[str], similarity: float) -> np.ndarray:
+    """close() of many pairs: the exact distances are bit-parallel through all pairs at once, where enough have patterns of as many words of 64 bits."""
+    most = np.array([_most(x, y, similarity) for x, y in zip(a, b, strict=True)])
+    judged = [_judged(x, y, m) for x, y, m in zip(a, b, most.tolist(), strict=True)]
+    out = np.array([bool(found) for found, _, _ in judged], bool)
+    left = [k for k, (found, _, _) in enumerate(judged) if found is None]
+    a, b, left = [judged[k][1] for k in left], [judged[k][2] for k in left], np.array(left, np.int64)
+    la, lb = (np.fromiter(map(len, texts), np.int64, len(texts)) for texts in (a, b))
+    width = -(-la // 64)
+    order = np.lexsort((lb, width))
+    for own in np.split(order, np.flatnonzero(np.diff(width[order])) + 1) if len(order) else ():
+        w = int(width[own[0]])
+        step = min(4096, max(1, (1 << 22) // (64 * w)))
+        for at in range(0, len(own), step):
+            i = own[at : at + step]
+            x, y = [a[k] for k in i], [b[k] for k in i]
+            if len(i) < 16 * w:  # a step of Python for each is less than one of numpy
+                distance = [edit_distance(*pair) for pair in zip(x, y, strict=True)]
+            else:
+                distance = _distances(x, y, la[i], lb[i], w)
+            out[left[i]] = distance <= most[left[i]]
+    return out
+
+
+def _matrix(texts: list[str], size: np.ndarray, columns: int, fill: int) -> np.ndarray:
+    """Code points, a row for each text."""
+    out = np.full((len(texts), columns), fill, np.uint32)
+    out[np.arange(columns) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def _distances(a: list[str], b: list[str], la: np.ndarray, lb: np.ndarray, w: int) -> np.ndarray:
+    """Levenshtein distances of pairs in the order of lb; each a has 1 to 64 w characters."""
+    rows, text = _matrix(a, la, 64 * w, 1 << 21), _matrix(b, lb, int(lb.max()), 1 << 22).T.copy()
+    one, high = np.uint64(1), np.uint64(63)
+    up, down = np.full((w, len(a)), ~np.uint64(0)), np.zeros((w, len(a)), np.uint64)
+    ended = np.searchsorted(lb, np.arange(len(text)), "right")
+    for c, k in zip(text, ended.tolist(), strict=True):  # the first k texts have ended
+        match = np.packbits(rows[k:] == c[k:, None], axis=1, bitorder="little").view("<u8")
+        carry, plus_in, minus_in = np.uint64(0), one, np.uint64(0)
+        for v in range(w):
+            u, d = up[v, k:], down[v, k:]
+            x = match[:, v] | d
+            low = x & u
+            total = low + u
+            more = total < low
+            total += carry
+            carry = (more | (total < carry)).astype(np.uint64)
+            d0 = (total ^ u) | x
+            plus, minus = d | ~(d0 | u), u & d0
+            plus_out, minus_out = plus >> high, minus >> high
+            plus, minus = plus << one | plus_in, minus << one | minus_in
+            plus_in, minus_in = plus_out, minus_out
+            up[v, k:], down[v, k:] = minus | ~(d0 | plus), plus & d0
+    out = lb.copy()
+    for v in range(w):  # the last column, summed from its top down to the end of a
+        bits = np.clip(la - 64 * v, 0, 64).astype(np.uint64)
+        mask = np.where(bits == 64, ~np.uint64(0), (one << (bits & high)) - one)
+        out += np.bitwise_count(up[v] & mask).astype(np.int64) - np.bitwise_count(down[v] & mask).astype(np.int64)
+    return out
 
 
 def line_links(lines: DataFrame, again, plan: LinePlan = LinePlan()) -> DataFrame:
@@ -375,16 +450,14 @@ def line_links(lines: DataFrame, again, plan: LinePlan = LinePlan()) -> DataFram
         import pyarrow as pa
 
         for b in batches:
-            keep = [close(x, y, plan.min_similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            out = b.filter(pa.array(keep, pa.bool_()))
+            out = b.filter(pa.array(close_pairs(b.column(2).to_pylist(), b.column(3).to_pylist(), plan.min_similarity)))
             yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], ["a", "b"])
 
     texts = []
 
     def described(nodes: DataFrame) -> DataFrame:
-        plain = F.regexp_replace(ascii_lower(F.col("line")), SEPARATORS, " ")
-        found = long.select("node", "n", "line").join(key_side(nodes), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("line").alias("line"))
-        texts.append(written(found.select("node", "n", plain.alias("line")), "texts"))
+        found = long.select("node", "n", "line").join(key_side(nodes), "node", "left_semi").repartition("node")  # dealt first: they are sorted once
+        texts.append(written(found.groupBy("node").agg(F.first("n").alias("n"), F.first("line").alias("line")), "texts"))
         return texts[0].mapInArrow(signs_of, "node long, n int, " + ", ".join(f"{c} long" for c in SIGN))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -398,7 +471,7 @@ def line_links(lines: DataFrame, again, plan: LinePlan = LinePlan()) -> DataFram
 
 
 def line_groups(lines: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
-    """doc, th, pos, words, node and first (struct doc, th, pos of the occurrence that stays) of all lines that occur more than once or are linked."""
+    """doc, th, pos, words, doc_words, node and first (struct doc, th, pos of the occurrence that stays) of all lines that occur more than once or are linked."""
     owners = owners_for(lines)
     again = _nodes_of(lines, owners, plan.bits, 2)
     linked = line_links(lines, again, plan)
@@ -412,14 +485,14 @@ def line_groups(lines: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
             node = b.column(3).to_numpy().view(np.uint64)
             yield b.filter(pa.array(twice(node) | other(node)))
 
-    thin = lines.select("doc", "th", "pos", "node", "check", "words")
+    thin = lines.select("doc", "th", "pos", "node", "check", "words", "doc_words")
     some = thin.mapInArrow(several, thin.schema).join(linked, "node", "left")
     some = some.withColumns({"group": F.coalesce("component", "node"), "own": F.when(F.col("component").isNull(), F.col("check"))})
-    some = written(some.select("doc", "th", "pos", "node", "words", "group", "own"), "several")
+    some = written(some.select("doc", "th", "pos", "node", "words", "doc_words", "group", "own"), "several")
     again.destroy(), joined.destroy()
     first = some.groupBy("group", "own").agg(F.count("*").alias("of"), F.min(F.struct("doc", "th", "pos")).alias("first")).where("of > 1")
     first = written(first.select("group", F.col("own").alias("_own"), "first"), "first")
-    out = written(some.join(small_side(first), "group").where("own <=> _own").select("doc", "th", "pos", "words", "node", "first"), "groups")
+    out = written(some.join(small_side(first), "group").where("own <=> _own").select("doc", "th", "pos", "words", "doc_words", "node", "first"), "groups")
     forget(some), forget(first), forget(linked)
     return out
 
@@ -430,9 +503,10 @@ def removed_lines(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     groups = line_groups(lines, plan)
     stays = (F.col("doc") == F.col("first.doc")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))
     gone = groups.where(~stays)
-    left = lines.groupBy("doc", "th").agg(F.sum("words").alias("words"))
-    lost = gone.groupBy("doc", "th").agg(F.collect_set("pos").alias("lost"), F.sum("words").alias("gone"))
-    out = written(lost.join(left, ["doc", "th"]).select("doc", "th", "lost", (F.col("gone") >= plan.most_lost * F.col("words")).alias("dropped")), "lost")
+    # places and their words: rows that repeat a document add nothing
+    lost = gone.groupBy("doc", "th").agg(F.collect_set(F.struct("pos", "words")).alias("lines"), F.max("doc_words").alias("all"))
+    words = F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    out = written(lost.select("doc", "th", F.col("lines.pos").alias("lost"), (words >= plan.most_lost * F.col("all")).alias("dropped")), "lost")
     forget(lines), forget(groups)
     return out
 

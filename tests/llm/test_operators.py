@@ -443,6 +443,35 @@ def test_close_is_edit_similarity():
             assert op10.close(a, b, s) == (edit_distance(a, b) <= (1 - s) * max(len(a), len(b)) + 1e-9), (a, b, s)
 
 
+def test_many_pairs_are_tested_at_once():
+    """Patterns of one word of 64 bits and of several, at and beside their ends, in numbers that are stepped through together and alone."""
+    rnd = random.Random(8)
+    pairs = []
+    for _ in range(900):
+        letters = rnd.choice(("abcde ", "ab\u4e2d\u6587\U00020000 "))
+        a = [rnd.choice(letters) for _ in range(rnd.choice((0, 1, 63, 64, 65, 127, 128, 129, rnd.randint(1, 190))))]
+        b = list(a)
+        for _ in range(rnd.randint(0, 1 + len(a) // 3)):
+            k = rnd.randrange(len(b) + 1)
+            b[k : k + rnd.randint(0, 2)] = [rnd.choice(letters) for _ in range(rnd.randint(0, 2))]
+        pairs.append(("".join(a), "".join(b)))
+    pairs += [("x" * 3000, "x" * 2900 + "y" * 100), ("x" * 3000, "y" * 3000)]
+    for n in (len(pairs), 5, 0):
+        a, b = [x for x, _ in pairs[-n:] if n], [y for _, y in pairs[-n:] if n]
+        want = [edit_distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9 for x, y in zip(a, b, strict=True)]
+        assert op10.close_pairs(a, b, 0.8).tolist() == want
+
+
+def test_words_of_all_lines_and_normalised_text_come_from_one_pass(spark):
+    rows = [(1, " One, TWO  three-four 'five'!\nsix\n\n...\nseven"), (1, " One, TWO  three-four 'five'!\nsix\n\n...\nseven"), (2, None), (3, "one two three four five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = op10.line_table(docs, op10.LinePlan()).collect()
+    assert {(r.doc, r.pos, r.words, r.doc_words) for r in lines} == {(1, 0, 5, 7), (1, 1, 1, 7), (1, 4, 1, 7), (3, 0, 5, 5)}
+    assert {r.line for r in lines if r.line is not None} == {"one two three four five"}
+    gone = {r.doc: (r.lost, r.dropped) for r in op10.removed_lines(docs.unionByName(docs.where("doc_id = 3"))).collect()}
+    assert gone == {3: ([0], True)}  # repeated rows lose no more and hold no more
+
+
 def test_a_bitmap_takes_one_job(spark):
     """Whatever the number of partitions."""
     from axonwave.llm import repeats
