@@ -58,17 +58,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def written(df: DataFrame, label: str = "step") -> DataFrame:
+def written(df: DataFrame, label: str = "step", **options: str) -> DataFrame:
     """df as a table in the shared folder: later steps read it, whichever executors are lost.
 
     Lineage ends here, and the reader knows the size, so that small tables are broadcast and
-    large ones are not. The application's tables go when the driver ends.
+    large ones are not. The application's tables go when the driver ends. options: of Spark's writer.
     """
     spark = df.sparkSession
     top = f"{shared_dir(spark)}/axonwave-{spark.sparkContext.applicationId}"
     path = f"{top}/{label}-{uuid.uuid4().hex}"
     with batches_of(spark, "16m"):  # what Python workers hold at once
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     if top not in _tops:
         _tops.add(top)
         atexit.register(dropped, spark, top)
@@ -120,8 +120,3 @@ def small_side(df: DataFrame, most_rows: int = 100_000, most_bytes: int = 16 <<
         where = jvm.org.apache.hadoop.fs.Path(top)
         total += where.getFileSystem(conf).getContentSummary(where).getLength()
     return F.broadcast(df) if total <= most_bytes else df
-
-
-def key_side(df: DataFrame) -> DataFrame:
-    """small_side for tables of a number or two a row."""
-    return small_side(df, most_rows=2_000_000)

@@ -77,26 +77,32 @@ def linked_groups(
     carry: tuple[str, ...] = (),
     near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
     large: int = 32,
-    attributes: Callable[[DataFrame], DataFrame] | None = None,
+    plain: bool = False,
+    attributes: DataFrame | None = None,
     alike: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
 ) -> DataFrame:
     """buckets(bucket, node, *carry), rows may repeat -> node, component of the graph of verified candidate pairs.
 
     verify(pairs(a, b)) returns the pairs that are links; allowed(pairs) may drop pairs that cannot be, cheaply.
     near(x, y), given the carried columns of two rows of a bucket, may be false where this bucket need not make them a pair.
-    alike(x, y), given the attributes of two nodes (attributes(nodes) has node and more, a row for each), must hold for a pair whatever the bucket.
+    alike(x, y), given the attributes of two nodes (node and more, a row for each and perhaps for others), must hold for a pair whatever the bucket.
     large: in buckets of so many nodes the head is tested against all.
+    plain: rows do not repeat and the carried columns are the node's alone; then buckets with the same nodes make the same pairs, and are one.
     """
     near, alike = near or (lambda x, y: F.lit(True)), alike or (lambda x, y: F.lit(True))
     # a bucket's rows and then a node's meet once each, thin and sorted, in place of aggregates that are joined to what they were made from
-    held = buckets.repartition("bucket").distinct().withColumn("of", F.count("*").over(Window.partitionBy("bucket"))).where("of > 1")
-    left = written(held.withColumn("w", F.sum("of").over(Window.partitionBy("node"))), "left")
+    held = buckets.repartition("bucket")
+    bucket, weight = Window.partitionBy("bucket"), F.col("of")
+    held = (held if plain else held.distinct()).withColumn("of", F.count("*").over(bucket))
+    if plain:  # every node of such buckets keeps the same one of them
+        held = held.withColumn("nodes", F.bit_xor(F.xxhash64("node")).over(bucket)).where("of > 1").repartition("node")
+        held, weight = held.groupBy("node", *carry, "of", "nodes").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times")), F.col("of") * F.col("times")
+    held = held.where("of > 1").withColumn("w", F.sum(weight).over(Window.partitionBy("node")))
+    left = written(held.select("bucket", "node", *carry, "of", "w"), "left")
     more = ()
     if attributes is not None:
-        nodes = written(left.select("node").distinct(), "nodes")
-        attributes = written(attributes(nodes), "attributes")
+        attributes = written(attributes, "attributes")
         more = tuple(c for c in attributes.columns if c != "node" and c not in carry)
-        forget(nodes)
     links, found, tested = [], None, []
     enough, before_pairs = left.count(), float("inf")
     while True:

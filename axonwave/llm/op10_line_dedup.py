@@ -11,7 +11,8 @@ edit of one word. The 1,024 sign bits of the SimHash over the different words ar
 Blocks that occur once are left out by a bitmap, lengths that rule the similarity out by the join, and linkage.py keeps the tests of a bucket linear.
 Of each connected group the first occurrence (smallest doc_id, then place) stays, all others go.
 
-One pass over the texts makes a table of lines, with numbers for all that follows and the text of a long line's first occurrence in a slice. Lines that occur
+One pass over the texts makes a table of lines, with numbers for all that follows and the text of a long line's first occurrence in a slice;
+a row holds the lines of a slice of the texts as arrays, which later passes read whole. Lines that occur
 once and have no partner are sorted out by bitmaps before anything is joined; a line that occurs in every document is one node, counted by a
 combined aggregate. Equality of lines is that of 64 and further 32 bits of hash.
 
@@ -24,12 +25,13 @@ all as they were but text and n_chars; with_lines_removed() adds n_lines, n_remo
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonwave.llm.common import batches_of, forget, fresh, key_side, small_side, table, written
+from axonwave.llm.common import batches_of, forget, fresh, small_side, table, written
 from axonwave.llm.linkage import linked_groups
 from axonwave.llm.repeats import bitmap_of, owners_for, packed_by_owner, tested
 
@@ -87,26 +89,29 @@ def line_words(data: np.ndarray, offsets: np.ndarray):
 
 def unspaced(data: np.ndarray) -> np.ndarray:
     """Where characters of scripts without blanks begin (Chinese, Japanese, Thai, Lao, Burmese, Khmer): each is a word."""
-    second = np.append(data[1:], np.uint8(0))
-    thai = (data == 0xE0) & (second >= 0xB8) & (second <= 0xBB)
-    khmer = (data == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second >= 0x9E) & (second <= 0x9F))
-    return (data >= 0xE3) & (data <= 0xE9) | (data == 0xF0) & (second >= 0xA0) & (second <= 0xB3) | thai | khmer
+    out, at = np.zeros(len(data), bool), np.flatnonzero(data >= 0xE0)  # few bytes in most texts
+    if len(at):
+        lead, second = data[at], np.where(at + 1 < len(data), data[np.minimum(at + 1, len(data) - 1)], np.uint8(0))
+        thai = (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB)
+        khmer = (lead == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second >= 0x9E) & (second <= 0x9F))
+        out[at] = (lead >= 0xE3) & (lead <= 0xE9) | (lead == 0xF0) & (second >= 0xA0) & (second <= 0xB3) | thai | khmer
+    return out
 
 
 def signs(words: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """SimHash of 64 bits of each line: the majority of its words' bits, ties as 0."""
     most = 255  #: words that a counter of eight bits can take
-    parts = -(-count // most)
-    line = np.repeat(np.arange(len(begin)), parts)
-    at = begin[line] + most * (np.arange(len(line)) - np.repeat(np.cumsum(parts) - parts, parts))
-    heads = np.cumsum(parts) - parts
-    out = np.zeros(len(begin), np.uint64)
+    parts, at, heads = -(-count // most), begin, None
+    if len(count) and int(parts.max()) > 1:
+        line = np.repeat(np.arange(len(begin)), parts)
+        heads = np.cumsum(parts) - parts
+        at = begin[line] + most * (np.arange(len(line)) - np.repeat(heads, parts))
+    bits = np.empty((len(begin), 8, 8), bool)
+    half = (count // 2).astype(np.uint8 if heads is None else np.int32)[:, None]
     for k in range(8):  # the bits k, k + 8, ... of a word are counted at once, each in a byte of its own
-        n = np.add.reduceat((words >> np.uint64(k)) & np.uint64(0x0101010101010101), at).astype("<u8").view(np.uint8).reshape(-1, 8)
-        n = np.add.reduceat(n.astype(np.int32), heads)
-        for j in range(8):
-            out |= (2 * n[:, j] > count).astype(np.uint64) << np.uint64(8 * j + k)
-    return out
+        n = np.add.reduceat((words >> np.uint64(k)) & np.uint64(0x0101010101010101), at).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+        bits[:, :, k] = (n if heads is None else np.add.reduceat(n.astype(np.int32), heads)) > half
+    return np.packbits(bits.reshape(-1, 64), axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 
 
 def block_keys(words: np.ndarray, begin: np.ndarray, count: np.ndarray, plan: LinePlan) -> tuple[np.ndarray, np.ndarray]:
@@ -167,53 +172,105 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
 
 
-def line_table(docs: DataFrame, plan: LinePlan) -> DataFrame:
-    """doc, th (hash of the text), pos, node, check, words, doc_words (of all its lines) of every line with a word; n (characters), keys, line of the long ones.
+#: A slice of the texts, a row with arrays: of its lines, and of its long lines (own: which; of several equal ones, one).
+LINES = {"doc": np.int64, "th": np.int64, "pos": np.int32, "node": np.int64, "check": np.int32, "words": np.int32, "doc_words": np.int64}
+LONG = {"own": np.int32, "n": np.int32, "n_keys": np.int32, "keys": np.uint64, "sizes": np.int32, "line": np.uint8}
+SLICES = ", ".join(f"{c} binary" for c in (*LINES, *LONG))
+#: For a table of slices: row groups by bytes, looked at after few rows, as a row is large.
+FEW_LARGE_ROWS = {"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "4", "parquet.page.size.row.check.min": "4"}
+
+
+def _packed(arrays: dict):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(arrays[c], kind).tobytes()], pa.binary()) for c, kind in (LINES | LONG).items()], [*LINES, *LONG])
+
+
+def _slices(batches):
+    """The arrays of each slice, by name, of the columns there are."""
+    for b in batches:
+        for k in range(len(b)):
+            yield {c: np.frombuffer(b.column(c)[k].as_buffer(), (LINES | LONG)[c]) for c in b.schema.names}
+
+
+def _few(lines: DataFrame, *columns: str, parts: int) -> DataFrame:
+    """Columns that are a small share of the bytes, so that a task reads those of several parts; no fewer tasks than cores."""
+    n = lines.rdd.getNumPartitions()
+    return lines.select(*columns).coalesce(max(-(-n // parts), min(n, lines.sparkSession.sparkContext.defaultParallelism)))
+
+
+def line_slices(docs: DataFrame, plan: LinePlan) -> DataFrame:
+    """Rows of SLICES: doc, th (hash of the text), pos, node, check, words, doc_words (of all its lines) of every line with a word; of long ones n (characters), keys, line.
 
-    Of the lines that a slice of the texts has several times, one has keys, and line: its normalised text, words and single blanks.
+    Of the long lines that a slice of the texts has several times, one is in LONG; line: its normalised text, words and single blanks, sizes its bytes.
     """
 
     def rows(batches):
-        import pyarrow as pa
-
         from axonwave.llm.vectors import gathered
 
         for b, first, data, start, end, h, row, place, node, check, begin, count, long in _lines(batches, plan):
-            at = pa.array(first + row)
+            doc, th = (b.column(c).to_numpy()[first + row] for c in (0, 1))
+            out = {"doc": doc, "th": th, "pos": place, "node": node.view(np.int64), "check": check, "words": count, "doc_words": np.bincount(row, count)[row]}
             own = np.flatnonzero(long)
-            own = own[np.unique(node[own], return_index=True)[1]]
-            n, keys = np.zeros(len(node), np.int32), pa.nulls(len(node), pa.binary())
-            text = pa.nulls(len(node), pa.string())
+            own = np.sort(own[np.unique(node[own], return_index=True)[1]])
+            out |= {c: np.zeros(0, kind) for c, kind in LONG.items()} | {"own": own}
             if len(own):
-                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                apart = np.append(start[1:] > end[:-1], False)  # a blank comes behind the word
-                apart[begin + count - 1] = False
-                n = np.add.reduceat(chars[end] - chars[start] + apart, begin).astype(np.int32)
-                sub = np.repeat(np.isin(np.arange(len(node)), own), count)
-                own = np.sort(own)
-                w, c = h[sub], count[own]
-                i = np.cumsum(c) - c
-                line, k = block_keys(w, i, c, plan)
-                k = k[np.argsort(line, kind="stable")]
-                offsets = np.zeros(len(node) + 1, np.int64)
-                offsets[own + 1] = 8 * np.bincount(line, minlength=len(own))
-                valid = np.zeros(len(node), bool)
-                valid[own] = True
-                some = pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
-                cells = lambda kind, offsets, blob: pa.Array.from_buffers(kind, len(node), [some, pa.py_buffer(np.cumsum(offsets).astype(np.int32).tobytes()), pa.py_buffer(blob.tobytes())])
-                keys = cells(pa.binary(), offsets, k)
-                i, gap = begin[own], _SEPARATOR[data]
+                sub = np.zeros(len(node), bool)
+                sub[own] = True
+                w, c = h[np.repeat(sub, count)], count[own]
+                line, k = block_keys(w, np.cumsum(c) - c, c, plan)
+                out |= {"n_keys": np.bincount(line, minlength=len(own)), "keys": k[np.argsort(line, kind="stable")]}
+                gap = _SEPARATOR[data]
                 stays = ~gap
                 stays[1:] |= gap[1:] & ~gap[:-1]  # of the separators behind a word one blank
-                at_byte = np.concatenate([[0], np.cumsum(stays)])
-                first_byte = at_byte[start[i]]
-                size = at_byte[end[i + count[own] - 1]] - first_byte
-                offsets[own + 1] = size
-                text = cells(pa.string(), offsets, gathered(np.where(gap, np.uint8(32), data)[stays], first_byte, size)[0])
-            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(check), pa.array(count.astype(np.int32)), pa.array(n), keys, text, pa.array(np.bincount(row, count)[row].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc", "th", "pos", "node", "check", "words", "n", "keys", "line", "doc_words"])
+                at_byte = np.zeros(len(data) + 1, np.int64)
+                np.cumsum(stays, out=at_byte[1:])
+                i, j = start[begin[own]], end[begin[own] + c - 1]
+                size = at_byte[j] - at_byte[i]
+                out |= {"n": size, "sizes": size, "line": gathered(np.where(gap, np.uint8(32), data)[stays], at_byte[i], size)[0]}
+                if int(data.max()) >= 0x80:
+                    np.cumsum((data & 0xC0) == 0x80, out=at_byte[1:])
+                    out["n"] = size - (at_byte[j] - at_byte[i])
+            yield _packed(out)
 
-    return _keyed(docs).mapInArrow(rows, "doc long, th long, pos int, node long, check int, words int, n int, keys binary, line string, doc_words long")
+    return _keyed(docs).mapInArrow(rows, SLICES)
+
+
+def line_table(docs: DataFrame, plan: LinePlan) -> DataFrame:
+    """The same with a row for each line; n, keys and line are null but where the slices have them."""
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for x in _slices(batches):
+            m, at = len(x["node"]), x["own"]
+            n = np.zeros(m, np.int32)
+            n[at] = x["n"]
+            cells = [[None] * m, [None] * m]
+            for cell, cuts, blob in zip(cells, (8 * x["n_keys"], x["sizes"]), (x["keys"].tobytes(), x["line"].tobytes()), strict=True):
+                ends = np.cumsum(cuts)
+                for k, i, j in zip(at.tolist(), (ends - cuts).tolist(), ends.tolist(), strict=True):
+                    cell[k] = blob[i:j]
+            cols = [pa.array(x[c]) for c in LINES] + [pa.array(n), pa.array(cells[0], pa.binary()), pa.array(cells[1], pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, [*LINES, "n", "keys", "line"])
+
+    return line_slices(docs, plan).mapInArrow(rows, "doc long, th long, pos int, node long, check int, words int, doc_words long, n int, keys binary, line string")
+
+
+def sliced(lines: DataFrame) -> DataFrame:
+    """Slices of rows of line_table()."""
+
+    def rows(batches):
+        for b in batches:
+            if len(b):
+                some = b.filter(b.column("line").is_valid())
+                line, keys = some.column("line").to_pylist(), some.column("keys").to_pylist()
+                line = [x.encode() for x in line]
+                out = {c: b.column(c).to_numpy() for c in LINES} | {"own": np.flatnonzero(b.column("line").is_valid().to_numpy(zero_copy_only=False)), "n": some.column("n").to_numpy()}
+                out |= {"n_keys": np.array([len(x) // 8 for x in keys]), "keys": np.frombuffer(b"".join(keys), np.uint64), "sizes": np.array([len(x) for x in line]), "line": np.frombuffer(b"".join(line), np.uint8)}
+                yield _packed(out)
+
+    return lines.select(*LINES, "n", "keys", "line").mapInArrow(rows, SLICES)
 
 
 def _values(column) -> np.ndarray:
@@ -223,61 +280,94 @@ def _values(column) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[first:last].copy().view(np.uint64) if last > first else np.zeros(0, np.uint64)
 
 
-def line_buckets(lines: DataFrame, again, plan: LinePlan):
-    """(bucket, node, n of the blocks that seem to occur in more than one node; their bitmap, to be destroyed); again: bitmap of the nodes that occur more than once."""
-    spark, owners = lines.sparkSession, owners_for(lines)
-    long = lines.where("keys IS NOT NULL").select("node", "n", "keys")
+def _rows_of(x: dict, keep: np.ndarray):
+    """node, n, keys, line of the long lines of a slice that are to be kept."""
+    import pyarrow as pa
 
-    def several(batches):
-        import pyarrow as pa
+    from axonwave.llm.vectors import gathered
 
-        test = tested(again.value, plan.bits)
-        for b in batches:
-            yield b.filter(pa.array(test(b.column(0).to_numpy().view(np.uint64))))
+    at, cols = np.flatnonzero(keep), []
+    for kind, cuts, blob in ((pa.binary(), 8 * x["n_keys"].astype(np.int64), x["keys"].view(np.uint8)), (pa.string(), x["sizes"].astype(np.int64), x["line"])):
+        data, offsets = gathered(blob, (np.cumsum(cuts) - cuts)[at], cuts[at])
+        cols.append(pa.Array.from_buffers(kind, len(at), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]))
+    return pa.RecordBatch.from_arrays([pa.array(x["node"][x["own"]][at]), pa.array(x["n"][at]), *cols], ["node", "n", "keys", "line"])
 
-    once = written(long.mapInArrow(several, long.schema).repartition("node").dropDuplicates(["node"]), "once")
-    nodes = once.withColumn("apart", F.lit(True)).unionByName(long.withColumn("apart", F.lit(False)))
 
-    def each(batches):
-        """Every node once: those that occur more than once have been set apart."""
-        import pyarrow as pa
+def bucketed(lines: DataFrame, again, plan: LinePlan) -> DataFrame:
+    """node, n, line, buckets (those of its blocks that seem to occur in more than one node) of the long lines that have any, each once; a written table.
 
+    lines: slices; again: bitmap of the nodes that occur more than once.
+    """
+    spark, owners = lines.sparkSession, owners_for(lines)
+    long = lines.select("node", "own", "n", "n_keys", "keys", "sizes", "line")
+
+    def seen(x, test):
+        return test(x["node"][x["own"]].view(np.uint64))
+
+    def several(batches):
         test = tested(again.value, plan.bits)
-        for b in batches:
-            if len(b):
-                b = b.filter(pa.array(~test(b.column(0).to_numpy().view(np.uint64)) | b.column(3).to_numpy(zero_copy_only=False)))
-            if len(b):
-                yield b
+        for x in _slices(batches):
+            yield _rows_of(x, seen(x, test))
+
+    rows = "node long, n int, keys binary, line string"
+    once = written(long.mapInArrow(several, rows).repartition("node").dropDuplicates(["node"]), "once")
 
     def keys(batches):
-        yield from packed_by_owner((_values(b.column(2)) for b in each(batches)), owners)
+        test = tested(again.value, plan.bits)
+        yield from packed_by_owner((x["keys"][np.repeat(~seen(x, test), x["n_keys"])] for x in _slices(batches)), owners)
+
+    def keys_once(batches):
+        yield from packed_by_owner((_values(b.column(0)) for b in batches if len(b)), owners)
 
+    blobs = "owner int, hashes binary"
     with batches_of(spark, "16m"):
-        repeated = spark.sparkContext.broadcast(bitmap_of(nodes.mapInArrow(keys, "owner int, hashes binary"), owners, plan.bits))
+        found = _few(lines, "node", "own", "n_keys", "keys", parts=2).mapInArrow(keys, blobs).unionByName(once.select("keys").mapInArrow(keys_once, blobs))
+        repeated = spark.sparkContext.broadcast(bitmap_of(found, owners, plan.bits))
 
-    def rows(batches):
+    def hits(b, test):
+        """Rows with a list of their keys that the bitmap holds."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        k, size = _values(b.column(2)), pc.binary_length(b.column(2)).to_numpy() // 8
+        hit = test(k)
+        of = np.bincount(np.repeat(np.arange(len(b)), size)[hit], minlength=len(b))
+        some = of > 0
+        offsets = np.concatenate([[0], np.cumsum(of[some])]).astype(np.int32)
+        b = b.filter(pa.array(some))
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.ListArray.from_arrays(pa.array(offsets), pa.array(k[hit].view(np.int64)))], ["node", "n", "line", "buckets"])
+
+    def rest(batches):
+        test, other = tested(repeated.value, plan.bits), tested(again.value, plan.bits)
+        for x in _slices(batches):
+            own = ~seen(x, other)
+            at = np.repeat(np.arange(len(own)), x["n_keys"])
+            keep = np.bincount(at[test(x["keys"]) & own[at]], minlength=len(own)) > 0
+            if keep.any():
+                yield hits(_rows_of(x, keep), test)
+
+    def rest_once(batches):
         test = tested(repeated.value, plan.bits)
-        for b in each(batches):
-            k = _values(b.column(2))
-            line = np.repeat(np.arange(len(b)), pc.binary_length(b.column(2)).to_numpy() // 8)
-            hit = test(k)
-            at = pa.array(line[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(k[hit].view(np.int64)), b.column(0).take(at), b.column(1).take(at)], ["bucket", "node", "n"])
+        for b in batches:
+            if len(b):
+                yield hits(b, test)
 
-    return nodes.mapInArrow(rows, "bucket long, node long, n int"), repeated
+    rows = "node long, n int, line string, buckets array<long>"
+    out = written(long.mapInArrow(rest, rows).unionByName(once.select("node", "n", "keys", "line").mapInArrow(rest_once, rows)), "texts")
+    forget(once), repeated.destroy()
+    return out
 
 
 def _nodes_of(df: DataFrame, owners: int, bits: int, least: int):
-    """Bitmap of the nodes that occur least times."""
+    """Bitmap of the nodes of rows or of slices that occur least times."""
+    packed = df.schema["node"].dataType.typeName() == "binary"
 
     def hashes(batches):
-        yield from packed_by_owner((b.column(0).to_numpy().view(np.uint64) for b in batches if len(b)), owners)
+        some = (x["node"] for x in _slices(batches)) if packed else (b.column(0).to_numpy() for b in batches if len(b))
+        yield from packed_by_owner((x.view(np.uint64) for x in some), owners)
 
     with batches_of(df.sparkSession, "16m"):
-        return df.sparkSession.sparkContext.broadcast(bitmap_of(df.select("node").mapInArrow(hashes, "owner int, hashes binary"), owners, bits, least))
+        return df.sparkSession.sparkContext.broadcast(bitmap_of((_few(df, "node", parts=6) if packed else df.select("node")).mapInArrow(hashes, "owner int, hashes binary"), owners, bits, least))
 
 
 def signs_of(batches):
@@ -291,7 +381,8 @@ def signs_of(batches):
             rows = len(offsets) - 1
             start, end, line, row, _ = line_words(data, offsets)
             w, row = span_hashes(prefix_sums(data), start, end), row[line]
-            order = np.lexsort((w, row))  # each word of a line once, so that the frequent ones do not rule
+            # each word of a line once, so that the frequent ones do not rule
+            order = np.argsort(row.astype(np.uint64) << np.uint64(48) | w >> np.uint64(16)) if rows < 1 << 16 else np.lexsort((w, row))
             w, row = w[order], row[order]
             new = np.ones(len(w), bool)
             new[1:] = (w[1:] != w[:-1]) | (row[1:] != row[:-1])
@@ -374,12 +465,40 @@ def close(a: str, b: str, similarity: float) -> bool:
 
 
 def close_pairs(a: list[str], b: list[str], similarity: float) -> np.ndarray:
-    """close() of many pairs: the exact distances are bit-parallel through all pairs at once, where enough have patterns of as many words of 64 bits."""
+    """close() of many pairs."""
+    out, left = judged_pairs(a, b, similarity)
+    out[left[0]] = within(*left[1:])
+    return out
+
+
+def judged_pairs(a: list[str], b: list[str], similarity: float) -> tuple[np.ndarray, tuple[np.ndarray, list[str], list[str], np.ndarray]]:
+    """(close() of the pairs that need no exact distance; which of them do, what differs in these, the most that their distance may be)."""
     most = np.array([_most(x, y, similarity) for x, y in zip(a, b, strict=True)])
     judged = [_judged(x, y, m) for x, y, m in zip(a, b, most.tolist(), strict=True)]
-    out = np.array([bool(found) for found, _, _ in judged], bool)
-    left = [k for k, (found, _, _) in enumerate(judged) if found is None]
-    a, b, left = [judged[k][1] for k in left], [judged[k][2] for k in left], np.array(left, np.int64)
+    left = np.array([k for k, (found, _, _) in enumerate(judged) if found is None], np.int64)
+    a, b = [judged[k][1] for k in left], [judged[k][2] for k in left]
+    near = np.flatnonzero(_at_least(a, b) <= most[left])
+    left, a, b = left[near], [a[k] for k in near], [b[k] for k in near]
+    return np.array([bool(found) for found, _, _ in judged], bool), (left, a, b, most[left])
+
+
+def _at_least(a: list[str], b: list[str]) -> np.ndarray:
+    """No distance is below this: an edit takes away one character at most and brings one at most. Characters are counted by their last six bits."""
+    out = np.zeros(len(a), np.int64)
+    for at in range(0, len(a), 4096):
+        counts = []
+        for texts in (a[at : at + 4096], b[at : at + 4096]):
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) & np.uint32(63)
+            counts.append(np.bincount(np.repeat(64 * np.arange(len(texts)), size) + code, minlength=64 * len(texts)).reshape(-1, 64))
+        more = counts[0] - counts[1]
+        out[at : at + 4096] = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+    return out
+
+
+def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether each distance is at most that: bit-parallel through all pairs at once, where enough have patterns of as many words of 64 bits."""
+    out = np.zeros(len(a), bool)
     la, lb = (np.fromiter(map(len, texts), np.int64, len(texts)) for texts in (a, b))
     width = -(-la // 64)
     order = np.lexsort((lb, width))
@@ -393,7 +512,7 @@ def close_pairs(a: list[str], b: list[str], similarity: float) -> np.ndarray:
                 distance = [edit_distance(*pair) for pair in zip(x, y, strict=True)]
             else:
                 distance = _distances(x, y, la[i], lb[i], w)
-            out[left[i]] = distance <= most[left[i]]
+            out[i] = distance <= most[i]
     return out
 
 
@@ -437,8 +556,6 @@ def _distances(a: list[str], b: list[str], la: np.ndarray, lb: np.ndarray, w: in
 
 def line_links(lines: DataFrame, again, plan: LinePlan = LinePlan()) -> DataFrame:
     """node, component of the lines that are linked with others."""
-    long = lines.where("keys IS NOT NULL")
-
     def sizes(x, y):
         return F.least(x("n"), y("n")) >= plan.min_similarity * F.greatest(x("n"), y("n")) - 1e-6
 
@@ -447,32 +564,50 @@ def line_links(lines: DataFrame, again, plan: LinePlan = LinePlan()) -> DataFram
         return differ <= F.when(F.least(x("n"), y("n")) < plan.short_chars, plan.short_bits).otherwise(plan.sign_bits)
 
     def similar(batches):
+        """Pairs that need an exact distance are gathered over the batches, up to a bound: many at once take less."""
         import pyarrow as pa
 
-        for b in batches:
-            out = b.filter(pa.array(close_pairs(b.column(2).to_pylist(), b.column(3).to_pylist(), plan.min_similarity)))
-            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], ["a", "b"])
+        held, characters = [], 0
 
-    texts = []
+        def rows(x, y):
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-    def described(nodes: DataFrame) -> DataFrame:
-        found = long.select("node", "n", "line").join(key_side(nodes), "node", "left_semi").repartition("node")  # dealt first: they are sorted once
-        texts.append(written(found.groupBy("node").agg(F.first("n").alias("n"), F.first("line").alias("line")), "texts"))
-        return texts[0].mapInArrow(signs_of, "node long, n int, " + ", ".join(f"{c} long" for c in SIGN))
+        def settled():
+            x, y, a, b, most = zip(*held, strict=True)
+            found = within([*chain(*a)], [*chain(*b)], np.concatenate(most))
+            return rows(np.concatenate(x)[found], np.concatenate(y)[found])
+
+        for b in batches:
+            found, (left, *texts, most) = judged_pairs(b.column(2).to_pylist(), b.column(3).to_pylist(), plan.min_similarity)
+            x, y = (b.column(k).to_numpy() for k in (0, 1))
+            yield rows(x[found], y[found])
+            held.append((x[left], y[left], *texts, most))
+            characters += sum(map(len, texts[0])) + sum(map(len, texts[1]))
+            if characters > 4 << 20:
+                yield settled()
+                held, characters = [], 0
+        if held:
+            yield settled()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: texts[0].select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"))
+        side = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "line_a", "line_b").mapInArrow(similar, "a long, b long")
 
-    buckets, repeated = line_buckets(lines, again, plan)
-    out = linked_groups(buckets, verify, carry=("n",), near=sizes, attributes=described, alike=alike, large=1 << 62)
-    forget(texts[0]), repeated.destroy()
+    texts = bucketed(lines, again, plan)
+    described = texts.select("node", "n", "line").mapInArrow(signs_of, "node long, n int, " + ", ".join(f"{c} long" for c in SIGN))
+    out = linked_groups(texts.select(F.explode("buckets").alias("bucket"), "node", "n"), verify, carry=("n",), near=sizes, attributes=described, alike=alike, large=1 << 62, plain=True)
+    forget(texts)
     return out
 
 
-def line_groups(lines: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
-    """doc, th, pos, words, doc_words, node and first (struct doc, th, pos of the occurrence that stays) of all lines that occur more than once or are linked."""
-    owners = owners_for(lines)
+def grouped_lines(lines: DataFrame, plan: LinePlan) -> tuple[DataFrame, list[DataFrame]]:
+    """doc, th, pos, words, doc_words, node and first (struct doc, th, pos of the occurrence that stays) of all lines that occur more than once or are linked.
+
+    lines: line_slices() or line_table(), as a written table. With the tables that it reads, to be dropped after use.
+    """
+    owners, rows = owners_for(lines), None
+    if "own" not in lines.columns:
+        lines = rows = written(sliced(lines), "lines", **FEW_LARGE_ROWS)
     again = _nodes_of(lines, owners, plan.bits, 2)
     linked = line_links(lines, again, plan)
     joined = _nodes_of(linked, owners, plan.bits, 1)
@@ -481,33 +616,42 @@ def line_groups(lines: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
         import pyarrow as pa
 
         twice, other = tested(again.value, plan.bits), tested(joined.value, plan.bits)
-        for b in batches:
-            node = b.column(3).to_numpy().view(np.uint64)
-            yield b.filter(pa.array(twice(node) | other(node)))
+        for x in _slices(batches):
+            node = x["node"].view(np.uint64)
+            keep = twice(node) | other(node)
+            yield pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in LINES], [*LINES])
 
-    thin = lines.select("doc", "th", "pos", "node", "check", "words", "doc_words")
-    some = thin.mapInArrow(several, thin.schema).join(linked, "node", "left")
+    some = _few(lines, *LINES, parts=4).mapInArrow(several, "doc long, th long, pos int, node long, check int, words int, doc_words long").join(linked, "node", "left")
     some = some.withColumns({"group": F.coalesce("component", "node"), "own": F.when(F.col("component").isNull(), F.col("check"))})
     some = written(some.select("doc", "th", "pos", "node", "words", "doc_words", "group", "own"), "several")
-    again.destroy(), joined.destroy()
+    again.destroy(), joined.destroy(), forget(rows)
     first = some.groupBy("group", "own").agg(F.count("*").alias("of"), F.min(F.struct("doc", "th", "pos")).alias("first")).where("of > 1")
     first = written(first.select("group", F.col("own").alias("_own"), "first"), "first")
-    out = written(some.join(small_side(first), "group").where("own <=> _own").select("doc", "th", "pos", "words", "doc_words", "node", "first"), "groups")
-    forget(some), forget(first), forget(linked)
+    forget(linked)
+    return some.join(small_side(first), "group").where("own <=> _own").select("doc", "th", "pos", "words", "doc_words", "node", "first"), [some, first]
+
+
+def line_groups(lines: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
+    """grouped_lines() as a written table."""
+    groups, tables = grouped_lines(lines, plan)
+    out = written(groups, "groups")
+    for t in tables:
+        forget(t)
     return out
 
 
 def removed_lines(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     """doc, th, lost (places of the lines that go), dropped, of the documents that lose any; a written table."""
-    lines = written(line_table(docs, plan), "lines")
-    groups = line_groups(lines, plan)
+    lines = written(line_slices(docs, plan), "lines", **FEW_LARGE_ROWS)
+    groups, tables = grouped_lines(lines, plan)
     stays = (F.col("doc") == F.col("first.doc")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))
     gone = groups.where(~stays)
     # places and their words: rows that repeat a document add nothing
     lost = gone.groupBy("doc", "th").agg(F.collect_set(F.struct("pos", "words")).alias("lines"), F.max("doc_words").alias("all"))
     words = F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["words"])
     out = written(lost.select("doc", "th", F.col("lines.pos").alias("lost"), (words >= plan.most_lost * F.col("all")).alias("dropped")), "lost")
-    forget(lines), forget(groups)
+    for t in (lines, *tables):
+        forget(t)
     return out
 
 
@@ -518,8 +662,9 @@ def _marked(docs: DataFrame, plan: LinePlan, name: str) -> DataFrame:
     out = docs.join(lost.hint("shuffle_hash"), key == F.col(f"{name}_key"), "left")  # texts are dealt, not sorted
     parts, gone = F.split("text", "\n", -1), F.col(f"{name}_lost")
     text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1  # most texts need not be split
     found = F.struct(
-        text.alias("text"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
+        text.alias("text"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.col(f"{name}_gone"), F.lit(False)).alias("dropped"),
     )
     return out.withColumn(name, found).drop(f"{name}_key", f"{name}_lost", f"{name}_gone")

@@ -462,6 +462,62 @@ def test_many_pairs_are_tested_at_once():
         assert op10.close_pairs(a, b, 0.8).tolist() == want
 
 
+def test_far_pairs_take_no_exact_distance(monkeypatch):
+    """Their characters tell, in texts that no cheaper look settles."""
+    a, b = "alpha beta gamma delta " * 9 + "omega", "xi psi tau rho " * 13 + "omega s"
+    monkeypatch.setattr(op10, "edit_distance", lambda *_: pytest.fail("an exact distance"))
+    monkeypatch.setattr(op10, "_distances", lambda *_: pytest.fail("exact distances"))
+    assert op10.close_pairs([a] * 40, [b] * 40, 0.8).tolist() == [False] * 40
+
+
+def test_signs_are_majorities():
+    """In lines of few words and of more than a byte counts."""
+    count = np.array([1, 2, 7, 255, 256, 700])
+    words = np.random.default_rng(2).integers(0, 1 << 63, count.sum(), np.uint64) * np.uint64(2) + np.uint64(1)
+    for some in (count, count[:4]):
+        begin = np.cumsum(some) - some
+        want = [sum(1 << k for k in range(64) if 2 * sum(int(w) >> k & 1 for w in words[i : i + c]) > c) for i, c in zip(begin, some, strict=True)]
+        assert op10.signs(words[: some.sum()], begin, some).tolist() == want
+
+
+def test_unspaced_characters():
+    text = "a\u4e00\u0e01\u0e81\u1000\u1780\u00fc\U00020000\U0001f600\uac00 z\u6587"
+    data = np.frombuffer(text.encode(), np.uint8)
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    assert "".join(c for c, i in zip(text, lead, strict=True) if op10.unspaced(data)[i]) == "\u4e00\u0e01\u0e81\u1000\u1780\U00020000\u6587"
+    assert op10.unspaced(data).sum() == 7 and not op10.unspaced(data[:0]).size and op10.unspaced(data[-3:-2]).all()
+
+
+def test_equal_buckets_are_one(spark, monkeypatch):
+    """Buckets with the same nodes make the same pairs: later steps have them once."""
+    from axonwave.llm import linkage
+
+    sizes, keep = [], linkage.written
+
+    def counted(df, label="step", **options):
+        out = keep(df, label, **options)
+        sizes.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(linkage, "written", counted)
+    rows = [(k, n, 9) for k in range(6) for n in (1, 2, 3)] + [(10, 3, 9), (10, 4, 9), (11, 5, 9), (11, 6, 9), (12, 7, 9)]
+    groups = linkage.linked_groups(spark.createDataFrame(rows, "bucket long, node long, n int"), lambda pairs: pairs.where("a < 5"), carry=("n",), plain=True)
+    assert {r.node: r.component for r in groups.collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    assert sizes[0] == ("left", 7)
+
+
+def test_slices_hold_what_their_rows_do(spark):
+    from axonwave.llm.common import written
+
+    line = "a line of caf\u00e9s that some of the others have"
+    rows = [(1, f"{line}\nshort\n{line}!"), (2, f"{line} too\nshort"), (3, "nothing\n\n"), (4, None), (5, f"own words of this one\n{line.upper()}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = [{(r.doc, r.pos, r.words, r.doc_words, r.first.doc, r.first.pos) for r in op10.line_groups(written(f(docs, op10.LinePlan()))).collect()} for f in (op10.line_slices, op10.line_table)]
+    assert groups[0] == groups[1] and {x[:2] for x in groups[0]} == {(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (5, 1)}
+    long = {(r.doc, r.pos): (r.n, r.line) for r in op10.line_table(docs, op10.LinePlan()).collect() if r.line is not None}
+    assert all(n == len(text) for n, text in long.values()) and long[1, 0][1] == line and (1, 2) not in long
+
+
 def test_words_of_all_lines_and_normalised_text_come_from_one_pass(spark):
     rows = [(1, " One, TWO  three-four 'five'!\nsix\n\n...\nseven"), (1, " One, TWO  three-four 'five'!\nsix\n\n...\nseven"), (2, None), (3, "one two three four five")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
