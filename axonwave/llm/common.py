@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,16 +60,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def written(df: DataFrame, label: str = "step", **options: str) -> DataFrame:
+def written(df: DataFrame, label: str = "step", batch: str = "16m", **options: str) -> DataFrame:
     """df as a table in the shared folder: later steps read it, whichever executors are lost.
 
     Lineage ends here, and the reader knows the size, so that small tables are broadcast and
-    large ones are not. The application's tables go when the driver ends. options: of Spark's writer.
+    large ones are not. The application's tables go when the driver ends. batch: most bytes of an
+    Arrow batch; options: of Spark's writer.
     """
     spark = df.sparkSession
     top = f"{shared_dir(spark)}/axonwave-{spark.sparkContext.applicationId}"
     path = f"{top}/{label}-{uuid.uuid4().hex}"
-    with batches_of(spark, "16m"):  # what Python workers hold at once
+    with batches_of(spark, batch):  # what Python workers hold at once
         df.write.options(**options).parquet(path)
     if top not in _tops:
         _tops.add(top)
@@ -89,6 +92,27 @@ def batches_of(spark: SparkSession, size: str):
         spark.conf.set(key, before)
 
 
+def tidy(rows: Callable) -> Callable:
+    """rows, a function for mapInArrow, whose worker gives back what its task has freed: idle workers count as the executor's memory, and the next task's is added to theirs."""
+
+    def out(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            given_back()
+
+    return out
+
+
+def given_back() -> None:
+    """Freed memory that Arrow and the C library keep for later goes back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # of glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _tops: set[str] = set()
 
 

@@ -78,6 +78,7 @@ def linked_groups(
     near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
     large: int = 32,
     plain: bool = False,
+    batch: str = "16m",
     attributes: DataFrame | None = None,
     alike: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
 ) -> DataFrame:
@@ -88,6 +89,7 @@ def linked_groups(
     alike(x, y), given the attributes of two nodes (node and more, a row for each and perhaps for others), must hold for a pair whatever the bucket.
     large: in buckets of so many nodes the head is tested against all.
     plain: rows do not repeat and the carried columns are the node's alone; then buckets with the same nodes make the same pairs, and are one.
+    batch: most bytes of an Arrow batch of what verify and attributes read.
     """
     near, alike = near or (lambda x, y: F.lit(True)), alike or (lambda x, y: F.lit(True))
     # a bucket's rows and then a node's meet once each, thin and sorted, in place of aggregates that are joined to what they were made from
@@ -101,7 +103,7 @@ def linked_groups(
     left = written(held.select("bucket", "node", *carry, "of", "w"), "left")
     more = ()
     if attributes is not None:
-        attributes = written(attributes, "attributes")
+        attributes = written(attributes, "attributes", batch)
         more = tuple(c for c in attributes.columns if c != "node" and c not in carry)
     links, found, tested = [], None, []
     enough, before_pairs = left.count(), float("inf")
@@ -120,7 +122,7 @@ def linked_groups(
             side = lambda c: attributes.select(F.col("node").alias(c), F.struct("*").alias(f"_{c}"))
             stars = stars.join(side("a"), "a").join(side("b"), "b").where(alike(lambda c: F.col(f"_a.{c}"), lambda c: F.col(f"_b.{c}"))).select("a", "b")
         star = written(allowed(stars), "stars")
-        new = written(verify(star).select("a", "b"), "links")
+        new = written(verify(star).select("a", "b"), "links", batch)
         tested.append(star)
         fresh = not links or not new.isEmpty()
         links.append(new)
@@ -155,7 +157,7 @@ def linked_groups(
         rest = rest.join(t, ["a", "b"], "left_anti")
     rest = written(allowed(rest), "rest")
     forget(left)
-    more = written(verify(rest).select("a", "b"), "links")
+    more = written(verify(rest).select("a", "b"), "links", batch)
     forget(rest)
     if not more.isEmpty():
         links.append(more)

@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonwave.llm.common import table
+from axonwave.llm.common import table, tidy
 
 BLANK = "▁"
 
@@ -232,8 +232,8 @@ class PieceCodec:
         return packed.tobytes()
 
     def forget(self) -> None:
-        """Drops the words; what is known of pairs of pieces is of use to all texts and stays."""
-        self.words, self.older = {}, {}
+        """Drops the words and pairs; the model stays."""
+        self.words, self.older, self.pairs = {}, {}, {}
 
     def encode(self, text: str, begin: bool = True, end: bool = True) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -336,7 +336,7 @@ def encoded(docs: DataFrame, model: PieceModel, doc: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays(columns, names)
         codec.forget()  # an idle worker stays for a while
 
-    return docs.select(doc, text).mapInArrow(rows, schema)
+    return docs.select(doc, text).mapInArrow(tidy(rows), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonwave.llm.common import forget, small_side, table, written
+from axonwave.llm.common import forget, small_side, table, tidy, written
 from axonwave.llm.linkage import linked_groups
 from axonwave.llm.repeats import owners_for, packed_by_owner, repeated_bitmap, tested
 
@@ -127,7 +127,7 @@ def classes(docs: DataFrame, plan: JoinPlan) -> DataFrame:
         if held:
             yield frequent(held)
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).mapInArrow(rows, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).mapInArrow(tidy(rows), schema)
 
 
 def frequent_shingles(found: DataFrame, plan: JoinPlan) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
     def prefixes(batches):
         yield from packed_by_owner((_prefix(s, *order.value, plan.percent) for _, s in _once(batches, plan)), owners)
 
-    blobs = texts.mapInArrow(prefixes, "owner int, hashes binary")
+    blobs = texts.mapInArrow(tidy(prefixes), "owner int, hashes binary")
     again = share(repeated_bitmap(blobs, owners, plan.bits))  # 2**bits bits
 
     def buckets(batches):
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
         side = lambda c: known.select(F.col("f1").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"parity_{c}"))
         near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * plan.percent
         both = pairs.join(side("a"), "a").join(side("b"), "b").where(near)
-        return both.select("a", "b", "na", "nb", "parity_a", "parity_b").mapInArrow(differing, "a long, b long")
+        return both.select("a", "b", "na", "nb", "parity_a", "parity_b").mapInArrow(tidy(differing), "a long, b long")
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("f1")).union(pairs.select("b")).distinct()
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
         both = part.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         return both.where(100 * F.col("common") >= plan.percent * (F.col("na") + F.col("nb") - F.col("common")))
 
-    groups = linked_groups(texts.mapInArrow(buckets, "bucket long, node long, n int, at int"), verify, allowed, carry=("n", "at"), near=near)
+    groups = linked_groups(texts.mapInArrow(tidy(buckets), "bucket long, node long, n int, at int"), verify, allowed, carry=("n", "at"), near=near)
     again.destroy(), order.destroy()
     named = known.join(groups.withColumnRenamed("node", "f1"), "f1", "left").withColumn("component", F.coalesce("component", "f1"))
     named = written(named.select("f1", "rep", "component"), "named")
@@ -302,7 +302,7 @@ def fragments(texts: DataFrame, near, order, plan: JoinPlan) -> DataFrame:
         if out:
             yield flush()
 
-    return texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "node long, doc_id long, frag int, n long, part array<long>")
+    return texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(rows), "node long, doc_id long, frag int, n long, part array<long>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

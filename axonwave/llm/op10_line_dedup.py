@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonwave.llm.common import batches_of, forget, fresh, small_side, table, written
+from axonwave.llm.common import batches_of, forget, fresh, small_side, table, tidy, written
 from axonwave.llm.linkage import linked_groups
 from axonwave.llm.repeats import bitmap_of, owners_for, packed_by_owner, tested
 
@@ -178,6 +178,9 @@ LONG = {"own": np.int32, "n": np.int32, "n_keys": np.int32, "keys": np.uint64, "
 SLICES = ", ".join(f"{c} binary" for c in (*LINES, *LONG))
 #: For a table of slices: row groups by bytes, looked at after few rows, as a row is large.
 FEW_LARGE_ROWS = {"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "4", "parquet.page.size.row.check.min": "4"}
+#: Arrow batches of texts and slices: a worker holds one and what is made of it, and its task another.
+HELD = "4m"
+PACKED = 1 << 18  #: hashes that a task sorts at once
 
 
 def _packed(arrays: dict):
@@ -233,7 +236,7 @@ def line_slices(docs: DataFrame, plan: LinePlan) -> DataFrame:
                     out["n"] = size - (at_byte[j] - at_byte[i])
             yield _packed(out)
 
-    return _keyed(docs).mapInArrow(rows, SLICES)
+    return _keyed(docs).mapInArrow(tidy(rows), SLICES)
 
 
 def line_table(docs: DataFrame, plan: LinePlan) -> DataFrame:
@@ -254,7 +257,7 @@ def line_table(docs: DataFrame, plan: LinePlan) -> DataFrame:
             cols = [pa.array(x[c]) for c in LINES] + [pa.array(n), pa.array(cells[0], pa.binary()), pa.array(cells[1], pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(cols, [*LINES, "n", "keys", "line"])
 
-    return line_slices(docs, plan).mapInArrow(rows, "doc long, th long, pos int, node long, check int, words int, doc_words long, n int, keys binary, line string")
+    return line_slices(docs, plan).mapInArrow(tidy(rows), "doc long, th long, pos int, node long, check int, words int, doc_words long, n int, keys binary, line string")
 
 
 def sliced(lines: DataFrame) -> DataFrame:
@@ -270,7 +273,7 @@ def sliced(lines: DataFrame) -> DataFrame:
                 out |= {"n_keys": np.array([len(x) // 8 for x in keys]), "keys": np.frombuffer(b"".join(keys), np.uint64), "sizes": np.array([len(x) for x in line]), "line": np.frombuffer(b"".join(line), np.uint8)}
                 yield _packed(out)
 
-    return lines.select(*LINES, "n", "keys", "line").mapInArrow(rows, SLICES)
+    return lines.select(*LINES, "n", "keys", "line").mapInArrow(tidy(rows), SLICES)
 
 
 def _values(column) -> np.ndarray:
@@ -310,18 +313,18 @@ def bucketed(lines: DataFrame, again, plan: LinePlan) -> DataFrame:
             yield _rows_of(x, seen(x, test))
 
     rows = "node long, n int, keys binary, line string"
-    once = written(long.mapInArrow(several, rows).repartition("node").dropDuplicates(["node"]), "once")
+    once = written(long.mapInArrow(tidy(several), rows).repartition("node").dropDuplicates(["node"]), "once", HELD)
 
     def keys(batches):
         test = tested(again.value, plan.bits)
-        yield from packed_by_owner((x["keys"][np.repeat(~seen(x, test), x["n_keys"])] for x in _slices(batches)), owners)
+        yield from packed_by_owner((x["keys"][np.repeat(~seen(x, test), x["n_keys"])] for x in _slices(batches)), owners, PACKED)
 
     def keys_once(batches):
-        yield from packed_by_owner((_values(b.column(0)) for b in batches if len(b)), owners)
+        yield from packed_by_owner((_values(b.column(0)) for b in batches if len(b)), owners, PACKED)
 
     blobs = "owner int, hashes binary"
-    with batches_of(spark, "16m"):
-        found = _few(lines, "node", "own", "n_keys", "keys", parts=2).mapInArrow(keys, blobs).unionByName(once.select("keys").mapInArrow(keys_once, blobs))
+    with batches_of(spark, HELD):
+        found = _few(lines, "node", "own", "n_keys", "keys", parts=2).mapInArrow(tidy(keys), blobs).unionByName(once.select("keys").mapInArrow(tidy(keys_once), blobs))
         repeated = spark.sparkContext.broadcast(bitmap_of(found, owners, plan.bits))
 
     def hits(b, test):
@@ -353,7 +356,7 @@ def bucketed(lines: DataFrame, again, plan: LinePlan) -> DataFrame:
                 yield hits(b, test)
 
     rows = "node long, n int, line string, buckets array<long>"
-    out = written(long.mapInArrow(rest, rows).unionByName(once.select("node", "n", "keys", "line").mapInArrow(rest_once, rows)), "texts")
+    out = written(long.mapInArrow(tidy(rest), rows).unionByName(once.select("node", "n", "keys", "line").mapInArrow(tidy(rest_once), rows)), "texts", HELD)
     forget(once), repeated.destroy()
     return out
 
@@ -364,10 +367,10 @@ def _nodes_of(df: DataFrame, owners: int, bits: int, least: int):
 
     def hashes(batches):
         some = (x["node"] for x in _slices(batches)) if packed else (b.column(0).to_numpy() for b in batches if len(b))
-        yield from packed_by_owner((x.view(np.uint64) for x in some), owners)
+        yield from packed_by_owner((x.view(np.uint64) for x in some), owners, PACKED)
 
-    with batches_of(df.sparkSession, "16m"):
-        return df.sparkSession.sparkContext.broadcast(bitmap_of((_few(df, "node", parts=6) if packed else df.select("node")).mapInArrow(hashes, "owner int, hashes binary"), owners, bits, least))
+    with batches_of(df.sparkSession, HELD):
+        return df.sparkSession.sparkContext.broadcast(bitmap_of((_few(df, "node", parts=6) if packed else df.select("node")).mapInArrow(tidy(hashes), "owner int, hashes binary"), owners, bits, least))
 
 
 def signs_of(batches):
@@ -591,11 +594,11 @@ def line_links(lines: DataFrame, again, plan: LinePlan = LinePlan()) -> DataFram
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "line_a", "line_b").mapInArrow(similar, "a long, b long")
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "line_a", "line_b").mapInArrow(tidy(similar), "a long, b long")
 
     texts = bucketed(lines, again, plan)
-    described = texts.select("node", "n", "line").mapInArrow(signs_of, "node long, n int, " + ", ".join(f"{c} long" for c in SIGN))
-    out = linked_groups(texts.select(F.explode("buckets").alias("bucket"), "node", "n"), verify, carry=("n",), near=sizes, attributes=described, alike=alike, large=1 << 62, plain=True)
+    described = texts.select("node", "n", "line").mapInArrow(tidy(signs_of), "node long, n int, " + ", ".join(f"{c} long" for c in SIGN))
+    out = linked_groups(texts.select(F.explode("buckets").alias("bucket"), "node", "n"), verify, carry=("n",), near=sizes, attributes=described, alike=alike, large=1 << 62, plain=True, batch=HELD)
     forget(texts)
     return out
 
@@ -607,7 +610,7 @@ def grouped_lines(lines: DataFrame, plan: LinePlan) -> tuple[DataFrame, list[Dat
     """
     owners, rows = owners_for(lines), None
     if "own" not in lines.columns:
-        lines = rows = written(sliced(lines), "lines", **FEW_LARGE_ROWS)
+        lines = rows = written(sliced(lines), "lines", HELD, **FEW_LARGE_ROWS)
     again = _nodes_of(lines, owners, plan.bits, 2)
     linked = line_links(lines, again, plan)
     joined = _nodes_of(linked, owners, plan.bits, 1)
@@ -621,9 +624,9 @@ def grouped_lines(lines: DataFrame, plan: LinePlan) -> tuple[DataFrame, list[Dat
             keep = twice(node) | other(node)
             yield pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in LINES], [*LINES])
 
-    some = _few(lines, *LINES, parts=4).mapInArrow(several, "doc long, th long, pos int, node long, check int, words int, doc_words long").join(linked, "node", "left")
+    some = _few(lines, *LINES, parts=4).mapInArrow(tidy(several), "doc long, th long, pos int, node long, check int, words int, doc_words long").join(linked, "node", "left")
     some = some.withColumns({"group": F.coalesce("component", "node"), "own": F.when(F.col("component").isNull(), F.col("check"))})
-    some = written(some.select("doc", "th", "pos", "node", "words", "doc_words", "group", "own"), "several")
+    some = written(some.select("doc", "th", "pos", "node", "words", "doc_words", "group", "own"), "several", HELD)
     again.destroy(), joined.destroy(), forget(rows)
     first = some.groupBy("group", "own").agg(F.count("*").alias("of"), F.min(F.struct("doc", "th", "pos")).alias("first")).where("of > 1")
     first = written(first.select("group", F.col("own").alias("_own"), "first"), "first")
@@ -642,7 +645,7 @@ def line_groups(lines: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
 
 def removed_lines(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     """doc, th, lost (places of the lines that go), dropped, of the documents that lose any; a written table."""
-    lines = written(line_slices(docs, plan), "lines", **FEW_LARGE_ROWS)
+    lines = written(line_slices(docs, plan), "lines", HELD, **FEW_LARGE_ROWS)
     groups, tables = grouped_lines(lines, plan)
     stays = (F.col("doc") == F.col("first.doc")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))
     gone = groups.where(~stays)

@@ -65,12 +65,17 @@ def bitmap_of(blobs: DataFrame, owners: int, bits: int, least: int = 2) -> np.nd
     def slices(key, group):
         import pyarrow as pa
 
+        from axonwave.llm.common import given_back
+
         held = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("hashes")]
         h = np.sort(np.concatenate(held))
         again = h[1:][h[1:] == h[:-1]] if least > 1 else h
         own = np.zeros(1 << span, bool)
         own[(again >> np.uint64(64 - bits)).astype(np.int64) & ((1 << span) - 1)] = True
-        return pa.table({"owner": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([zlib.compress(np.packbits(own), 1)], pa.binary())})
+        part = zlib.compress(np.packbits(own), 1)
+        del held, h, again, own
+        given_back()
+        return pa.table({"owner": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([part], pa.binary())})
 
     out = np.zeros((owners, (1 << span) // 8), np.uint8)
     # one job: a local iterator runs one for each partition, and the driver remembers them all; the parts together have 2**bits bits at most
